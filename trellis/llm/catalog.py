@@ -1,6 +1,8 @@
 """The queries of this subpackage by name, with the SQL that those are held against which SQL can express."""
 
+from trellis.llm.mixing import op5_source_mix
+from trellis.llm.rules import op10_quality_rules
 from trellis.llm.topk import OP7_SQL, op7_exact_topk
 
-QUERIES = {"op7_exact_topk": op7_exact_topk}
+QUERIES = {"op5_source_mix": op5_source_mix, "op7_exact_topk": op7_exact_topk, "op10_quality_rules": op10_quality_rules}
 SQL = {"op7_exact_topk": OP7_SQL}
