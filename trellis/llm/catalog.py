@@ -1,10 +1,11 @@
 """The queries of this subpackage by name, with the SQL that those are held against which SQL can express."""
 
 from trellis.llm.mixing import op5_source_mix
+from trellis.llm.packing import op2_sequence_packing
 from trellis.llm.pii import op8_pii
 from trellis.llm.rules import op10_quality_rules
 from trellis.llm.secret_scan import op1_secret_scan
 from trellis.llm.topk import OP7_SQL, op7_exact_topk
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op5_source_mix": op5_source_mix, "op7_exact_topk": op7_exact_topk, "op8_pii": op8_pii, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_sequence_packing": op2_sequence_packing, "op5_source_mix": op5_source_mix, "op7_exact_topk": op7_exact_topk, "op8_pii": op8_pii, "op10_quality_rules": op10_quality_rules}
 SQL = {"op7_exact_topk": OP7_SQL}

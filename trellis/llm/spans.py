@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -57,9 +56,7 @@ def digest(found: DataFrame, base: list[str]) -> DataFrame:
     """Counts of the base kinds, the hash of their spans, and all spans as text."""
     text = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     of_base = F.filter("found", lambda s: s["kind"].isin(*base) & (s["score"] == 1.0))
-    counts = [F.size(F.filter(of_base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
+    of_kind = lambda kind: lambda s: s["kind"] == kind
+    counts = [F.size(F.filter(of_base, of_kind(k))).cast("long").alias(f"n_{k}") for k in base]
     return found.select("doc_id", *counts, F.sha2(F.array_join(F.transform(of_base, text), ","), 256).alias("base_sha256"), F.array_join(F.transform("found", text), ",").alias("spans"))
 
-
-def joined_hash(spans: list[Span]) -> str:
-    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b, _ in spans).encode()).hexdigest()
