@@ -27,8 +27,8 @@ from trellis.llm.common import column, documents, pick, staged, strings
 SEQ_LEN, END_ID = 1024, 2
 #: The fit leaves this share of the pieces under this part of a sequence to the residual, which needs them as filling.
 HELD_SHARE, HELD_UNDER = 0.5, 0.25
-#: Units of text whose ids a worker keeps, and rows that a bucket of the ranking holds on average.
-KEPT_UNITS, BUCKET_ROWS = 300_000, 4_000
+#: Units of text whose ids a worker keeps, twice, and rows that a bucket of the ranking holds on average.
+KEPT_UNITS, BUCKET_ROWS = 250_000, 4_000
 
 
 class Units:
@@ -45,30 +45,46 @@ class Units:
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.border, self.uneven = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s | \s")
+        self.border = re.compile(r"(?<=\S) (?=\S)")
+        self.spaces = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
         self.end = np.uint32(end_id).tobytes()
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def encoded(self, unit: str, space: str, known: dict[str, bytes]) -> bytes:
-        raw = array("I", self.encoding.encode_ordinary(space + unit)).tobytes()
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.marks = {m: self.raw(m, "") for m in ".,"}
+
+    def raw(self, unit: str, space: str) -> bytes:
+        return array("I", self.encoding.encode_ordinary(space + unit)).tobytes()
+
+    def later(self, unit: str) -> bytes:
+        """Ids of a unit with the space before it. Letters are one piece; a full stop or comma after them is another."""
+        if unit.isalpha():
+            if (raw := self.older.get(unit)) is None:
+                raw = array("I", self.encoding._core_bpe.encode_single_piece(f" {unit}".encode())).tobytes()
+        elif (raw := self.older.get(unit)) is None:
+            if (mark := unit[-1:]) in self.marks and (word := unit[:-1]).isalpha():
+                raw = (self.known.get(word) or self.later(word)) + self.marks[mark]
+            else:
+                raw = self.raw(unit, " ")
         if len(unit) <= 64:
-            if len(known) >= KEPT_UNITS:
-                known.clear()
-            known[unit] = raw
+            if len(self.known) >= KEPT_UNITS:
+                self.known, self.older = {}, self.known
+            self.known[unit] = raw
         return raw
 
     def ids(self, text: str) -> bytes:
         """Native unsigned 32-bit ids of text, then the end id."""
         if not text:
             return self.end
-        units = self.border.split(text) if self.uneven.search(text) or text[0] == " " or text[-1] == " " else text.split(" ")
-        out = list(map(self.later.get, units))
-        out[0] = self.first.get(units[0]) or self.encoded(units[0], "", self.first)
+        units = text.split(" ")
+        if "" in units or " \n" in text or "\n " in text or any(map(text.__contains__, self.spaces)):
+            units = self.border.split(text)
+        out = list(map(self.known.get, units))
+        out[0] = self.raw(units[0], "")
         if None in out:
+            get, later = self.known.get, self.later
             for i, raw in enumerate(out):
                 if raw is None:
-                    out[i] = self.later.get(units[i]) or self.encoded(units[i], " ", self.later)
+                    out[i] = get(units[i]) or later(units[i])
         out.append(self.end)
         return b"".join(out)
 
