@@ -7,7 +7,8 @@ fixed number of slots, filled from all documents, and its hash; the table bears
 1. Documents with one size and one prefix make a group; a group's shingles are listed once. Lists of one group end there.
 2. Each group is held against the groups that begin most of its lists, and each group's members against one of them.
    The links found tie large groups of near copies together, without pairs among all of their members.
-3. Lists that still have several components are expanded to members, and pairs of different components, of fitting sizes
+3. Long lists with several components are shuffled into parts, round by round, and a part's members held against its first.
+4. Lists that still have several components are expanded to members, and pairs of different components, of fitting sizes
    and places, are verified. Pairs within a component can't change it.
 
 Verification compares whole sets, made again from the texts.
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trellis.llm.common import Texts, U, column, documents, pick, splitmix, staged, text_slices, windows
@@ -30,6 +31,8 @@ SHINGLE, PERCENT = 4, 85
 #: Most bits of the slot number in the table of counts, slots that are summed up by one task, entries of a bucket of
 #: lists, pairs of a task that verifies, and ids that are broadcast at most (8 MB).
 MAX_BITS, PART_SLOTS, BUCKET_ENTRIES, TASK_PAIRS, BROADCAST_IDS = 22, 1 << 16, 400_000, 500, 1_000_000
+#: Lists of more entries are first linked in parts of about that many, in so many rounds at most.
+LONG_LIST, ROUNDS = 32, 4
 ENTRY = np.dtype([("token", np.uint64), ("g", np.int64), ("n", np.int32), ("at", np.int32)])
 
 
@@ -101,7 +104,7 @@ FOUND = "kind int, a long, g long, n int, s1 long, s2 long, at int, center long"
 
 def prefix_lists(rows: DataFrame, k: int, percent: int) -> DataFrame:
     """Of kind 0, a row per document: a = doc_id, its group g, size n and two hashes of its set. Of kind 1, a row per place of a
-    group in a list of two groups or more: a = the shingle, g, n, at = the place in the prefix, center = the list's least group."""
+    group in a list of two groups or more: a = the shingle, g, n, at = the place in the prefix, center = the list's group of the first place."""
     count = rows.count()
     bits = min(MAX_BITS, max(12, math.ceil(math.log2(max(1, count))) + 4))
     sent = rows.sparkSession.sparkContext.broadcast(slot_classes(rows, k, bits))
@@ -155,7 +158,7 @@ def prefix_lists(rows: DataFrame, k: int, percent: int) -> DataFrame:
             zero32, zero64 = pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int64))
             return pa.table([zero32, docs["a"], docs["g"], docs["n"], docs["s1"], docs["s2"], zero32, zero64], schema=kinds)
         e = np.concatenate([np.frombuffer(p, ENTRY) for p in payloads])
-        e = e[np.lexsort((e["g"], e["token"]))]
+        e = e[np.lexsort((e["g"], e["at"], e["token"]))]
         new = np.r_[True, e["token"][1:] != e["token"][:-1]]
         e = e[new | np.r_[True, e["g"][1:] != e["g"][:-1]]]
         starts = np.flatnonzero(np.r_[True, e["token"][1:] != e["token"][:-1]])
@@ -204,6 +207,26 @@ def verified(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFra
     return left.groupBy("y", "s").cogroup(right.groupBy("of", "part")).applyInArrow(compare, "u long, v long")
 
 
+def _open_lists(lists: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
+    """(t, token, rep, c, n, at, entries): the members of the lists (t = 0) and of the groups (t = 1) that hold several components."""
+    tied = sets.select("rep", "g", "n").join(components(links).withColumnsRenamed({"node": "rep", "component": "c"}), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+    tied = staged(tied, "tied")
+    placed = lists.select("token", "g", "at").join(tied, "g").select(F.lit(0).alias("t"), "token", "rep", "c", "n", "at")
+    placed = placed.union(tied.select(F.lit(1).alias("t"), F.col("g").alias("token"), "rep", "c", "n", F.lit(0).alias("at")))
+    several = placed.groupBy("t", "token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("entries")).where("lo < hi").select("t", "token", "entries")
+    return placed.join(several, ["t", "token"])
+
+
+def _close(percent: int) -> Column:
+    """Whether sizes and places leave room for enough overlap, if this is the first common shingle.
+
+    Similar sets pass in the list of their first common shingle, before which they have nothing in common.
+    """
+    n1, n2, at1, at2 = (F.col(c) for c in ("n1", "n2", "at1", "at2"))
+    most = F.least(n1 - at1, n2 - at2)
+    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (((100 + percent) * most >= percent * (n1 + n2)) | (F.col("t1") == 1))
+
+
 def similar_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs: the smallest doc_id that it reaches over links of similar sets.
 
@@ -227,23 +250,26 @@ def similar_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     within = sets.join(firsts, "g").where("rep <> first").select(F.col("rep").alias("x"), F.col("first").alias("y"))
     links = staged(verified(staged(across.union(within).distinct(), "pairs"), known, k, percent), "links")
 
-    # what different components may still have in common
-    tied = sets.select("rep", "g", "n").join(components(links).withColumnsRenamed({"node": "rep", "component": "c"}), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
-    tied = staged(tied, "tied")
-    placed = lists.select("token", "g", "at").join(tied, "g").select(F.lit(0).alias("t"), "token", "rep", "c", "n", "at")
-    grouped = tied.select(F.lit(1).alias("t"), F.col("g").alias("token"), "rep", "c", "n", F.lit(0).alias("at"))
-    placed = placed.union(grouped)
-    open_ = placed.groupBy("t", "token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("t", "token")
-    placed = staged(placed.join(open_, ["t", "token"], "left_semi"), "open")
+    # long lists: each member and the first of its shuffled part of the list, until no further link turns up
+    for turn in range(ROUNDS):
+        placed = staged(_open_lists(lists, sets, links), "open")
+        part = Window.partitionBy("t", "token", F.pmod(F.hash("rep", F.lit(turn)), F.ceil(F.col("entries") / LONG_LIST))).orderBy("at", "rep")
+        near = placed.where(F.col("entries") > LONG_LIST)
+        near = near.select(*[F.col(c).alias(f"{c}1") for c in ("t", "rep", "c", "n", "at")], *[F.first(c).over(part).alias(f"{c}2") for c in ("rep", "c", "n", "at")])
+        near = near.where((F.col("c1") != F.col("c2")) & _close(percent)).select(F.greatest("rep1", "rep2").alias("x"), F.least("rep1", "rep2").alias("y"))
+        new = staged(verified(staged(near.distinct(), "pairs"), known, k, percent), "links")
+        if new.isEmpty():
+            break
+        links = staged(links.union(new), "links")
+
+    # pairs of what different components still have in common
     classes = placed.groupBy("t", "token", "c").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    one, two = classes.withColumnsRenamed({"c": "c1", "low": "low1", "high": "high1"}), classes.withColumnsRenamed({"c": "c2", "low": "low2", "high": "high2"})
+    one, two = (classes.withColumnsRenamed({c: f"{c}{i}" for c in ("c", "low", "high")}) for i in (1, 2))
     fit = (100 * F.col("high1") >= percent * F.col("low2")) & (100 * F.col("high2") >= percent * F.col("low1"))
     ways = one.join(two, ["t", "token"]).where((F.col("c1") < F.col("c2")) & fit).select("t", "token", "c1", "c2")
-    x = placed.withColumnsRenamed({"c": "c1", "rep": "x", "n": "nx", "at": "ax"})
-    y = placed.withColumnsRenamed({"c": "c2", "rep": "y", "n": "ny", "at": "ay"})
-    room = F.least("ax", "ay") + 1 + F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay")) - 1
-    close = (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (((100 + percent) * room >= percent * (F.col("nx") + F.col("ny"))) | (F.col("t") == 1))
-    rest = staged(ways.join(x, ["t", "token", "c1"]).join(y, ["t", "token", "c2"]).where(close).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "rest")
+    x, y = (placed.drop("entries").withColumnsRenamed({c: f"{c}{i}" for c in ("rep", "c", "n", "at")}) for i in (1, 2))
+    both = ways.join(x, ["t", "token", "c1"]).join(y, ["t", "token", "c2"]).withColumnRenamed("t", "t1").where(_close(percent))
+    rest = staged(both.select(F.greatest("rep1", "rep2").alias("x"), F.least("rep1", "rep2").alias("y")).distinct(), "rest")
     more = verified(rest, known, k, percent)
 
     ends = components(links.union(more)).withColumnsRenamed({"node": "rep"})
