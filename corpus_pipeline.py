@@ -1,6 +1,79 @@
-STAGES = []
+"""From raw documents to packed training sequences, in five stages; each takes what the one before it kept.
+
+Quality rules drop documents, the n-gram Jaccard join leaves one document of each group of near copies (five-word
+shingles, similarity 0.8), secrets are masked in the texts, sources are mixed to their target weights, with copies and with
+the last document of a source cut where its target is reached, and the result is tokenized and packed. All but the last
+stage return the columns of documents, n_chars counted again where a text has changed. SQL can't express the stages.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trellis.llm.common import SPACE, documents, pick, staged
+from trellis.llm.jaccard import BROADCAST_IDS, similar_components
+from trellis.llm.mixing import mixed
+from trellis.llm.packing import packed_documents
+from trellis.llm.rules import measured, references
+from trellis.llm.secret_scan import redacted
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the rules keep, whole."""
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc_id"), docs["text"])
+    # a filter would be pushed below the measures, and each of them written out again wherever it is used
+    kept = F.when(F.col("kept"), F.array("doc_id")).otherwise(F.slice(F.array("doc_id"), 1, 0))
+    return measured(rows, references(docs)).select(F.explode(kept).alias("row")).select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows without those of a component whose doc_id isn't its smallest; one row of a doc_id stays. Null ids stay."""
+    found = staged(similar_components(docs, k=5, percent=80), "components")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    n, rows, ids = gone.count(), *found.where("doc_id is not null").agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
+    left = docs.join(F.broadcast(gone) if n <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    if rows == ids:
+        return left
+    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with secrets masked."""
+    return redacted(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each copy that the mix serves, in the order of its virtual finish times; a copy served in part has its first words only."""
+    served = mixed(pick(docs, "doc_id", "text", "source")).where("taken > 0").groupBy("doc_id", "_text").agg(F.first("copies").alias("copies"), F.first("size").alias("size"))
+    served = served.withColumnsRenamed({"doc_id": "_id", "_text": "_hash"})
+    rows = docs.withColumn("_text", F.xxhash64("text"))
+    rows = rows.join(served, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))).withColumn("_copy", F.explode("copies"))
+    first = F.concat_ws(" ", F.slice(F.filter(F.split("text", SPACE), lambda w: w != ""), 1, F.col("_copy.words").cast("int")))
+    rows = rows.withColumn("text", F.when(F.col("_copy.words") < F.col("size"), first).otherwise(F.col("text")))
+    rows = rows.withColumn("n_chars", F.length("text").cast("long"))
+    return rows.orderBy("_copy.finish", "_text", "_copy.epoch").select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows with their places in sequences."""
+    return packed_documents(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("secret_scans", secrets),
+    ("source_mix", source_mix),
+    ("sequence_packing", packing),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents; each one's rows are written in the shared folder and read again."""
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
