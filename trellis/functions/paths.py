@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,10 +96,14 @@ def fold_key(name: Column, case_fold: bool, norm_fold: bool) -> Column:
     if not norm_fold:
         return F.lower(name) if case_fold else name
 
+    def fold(text: str) -> str:
+        text = unicodedata.normalize("NFC", text)
+        # letters one by one: a letter never becomes two
+        return unicodedata.normalize("NFC", "".join(c.lower()[0] for c in text)) if case_fold else text
+
     @F.arrow_udf("string")
     def folded(names: pa.Array) -> pa.Array:
-        out = pc.utf8_normalize(names, form="NFC")
-        return pc.utf8_normalize(pc.utf8_lower(out), form="NFC") if case_fold else out
+        return pa.array([None if x is None else fold(x) for x in names.to_pylist()], pa.string())
 
     return folded(name)
 
