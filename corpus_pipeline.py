@@ -47,14 +47,14 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each copy that the mix serves, in the order of its virtual finish times; a copy served in part has its first words only."""
-    served = mixed(pick(docs, "doc_id", "text", "source")).where("taken > 0").groupBy("doc_id", "_text").agg(F.first("copies").alias("copies"), F.first("size").alias("size"))
+    served = mixed(pick(docs, "doc_id", "text", "source")).where("taken > 0").groupBy("doc_id", "_text").agg(F.first("copies").alias("_copies"), F.first("size").alias("_size"))
     served = served.withColumnsRenamed({"doc_id": "_id", "_text": "_hash"})
-    rows = docs.withColumn("_text", F.xxhash64("text"))
-    rows = rows.join(served, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))).withColumn("_copy", F.explode("copies"))
-    first = F.concat_ws(" ", F.slice(F.filter(F.split("text", SPACE), lambda w: w != ""), 1, F.col("_copy.words").cast("int")))
-    rows = rows.withColumn("text", F.when(F.col("_copy.words") < F.col("size"), first).otherwise(F.col("text")))
-    rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.orderBy("_copy.finish", "_text", "_copy.epoch").select(*docs.columns)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"].alias("_doc"), F.xxhash64(docs["text"]).alias("_text"))
+    rows = rows.join(served, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))).withColumn("_copy", F.explode("_copies"))
+    first = F.concat_ws(" ", F.slice(F.filter(F.split("_row.text", SPACE), lambda w: w != ""), 1, F.col("_copy.words").cast("int")))
+    text = F.when(F.col("_copy.words") < F.col("_size"), first).otherwise(F.col("_row.text"))
+    rows = rows.withColumn("_row", F.col("_row").withField("text", text)).orderBy("_copy.finish", "_text", "_copy.epoch")
+    return rows.select("_row.*").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
