@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellis.functions import paths as P
+from trellis.functions import reports as R
 from trellis.operators import audit, feed, reconcile
 from trellis.operators import nodes as trees
 from trellis.plans.fixtures import COARSE, NODES, NOW, SNAPSHOTS, nodes, snapshots, sql_text
@@ -323,3 +324,24 @@ def report_texts(spark, d):
 def apply_baseline(spark, d):
     base, local, remote = snapshots(spark, d)
     return reconcile.applied(base, local, remote, plan_of(spark, d))
+
+
+@query(f"""with {SNAPSHOTS} {_PLAN}, a as (
+  select case when type in ('upload', 'update_remote', 'trash_remote', 'move_remote') then 'local' when type in ('download', 'quarantine_local', 'move_local') then 'remote' when type = 'conflict_backup' then 'conflict' end as source,
+         case type when 'upload' then 'upload' when 'update_remote' then 'update' when 'download' then 'download' when 'trash_remote' then 'trash' when 'quarantine_local' then 'trash' when 'move_local' then 'move' when 'move_remote' then 'move' when 'conflict_backup' then 'conflict' end as kind,
+         rel_path, case when new_rel_path is null then '' else concat('-> ', new_rel_path) end as detail from plan)
+select * from a where kind is not null""")
+def activity_of_plan(spark, d):
+    t = F.col("type")
+    rows = plan_of(spark, d).where(R.kind(t).isNotNull())
+    return rows.select(R.source(t).alias("source"), R.kind(t).alias("kind"), "rel_path", R.detail(F.col("new_rel_path"), F.lit(0)).alias("detail"))
+
+
+@query("""select p_partkey, case when regexp_replace(replace(replace(p_name, '.', '_'), ' ', '_'), '[^A-Za-z0-9_-]', '', 'g') = '' then 'unknown_machine' else regexp_replace(replace(replace(p_name, '.', '_'), ' ', '_'), '[^A-Za-z0-9_-]', '', 'g') end as machine,
+case when length(p_name) < 14 then rpad(p_name, 14, ' ') else p_name end as padded, case when length(p_name) > 9 then concat(left(p_name, 8), '…') else p_name end as cut, case when length(p_name) > 9 then concat('…', right(p_name, 8)) else p_name end as tail,
+format('{:,}', p_partkey * 977) as n, case when p_size < 2 then '' else concat(' (×', cast(p_size as varchar), ')') end as times, case when p_size % 3 < 2 then concat(p_type, '.txt') else concat(p_type, '.', cast(p_size % 3 as varchar), '.txt') end as numbered from part""")
+def report_labels(spark, d):
+    name, n = F.col("p_name"), F.col("p_size")
+    texts = {"machine": R.machine_name(name), "padded": R.pad(name, 14), "cut": R.truncated(name, 9), "tail": R.truncated(name, 9, "right"), "n": R.thousands(F.col("p_partkey") * 977)}
+    texts |= {"times": R.repeat_suffix(n), "numbered": R.numbered(F.concat("p_type", F.lit(".txt")), n % 3)}
+    return table(spark, d, "part").select("p_partkey", *[c.alias(k) for k, c in texts.items()])
