@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ WINDOW = 20
 LEVELS, SLOTS, GROUP_SUFFIXES, GROUP_ROWS, MAX_BITS = (1, 2, 4, 8), 1 << 14, 1_000_000, 1_000, 28
 #: A place in a slice of texts; one text has fewer words than that.
 PLACE_BITS = U(28)
+#: Tasks whose tables of prefixes are added up together, before the driver adds up the sums.
+TABLE_TASKS = 256
 NO_ID = np.int64(np.iinfo(np.int64).max)
 
 
@@ -92,8 +95,8 @@ def shared_anchors(rows: DataFrame, window: int, n_rows: int) -> tuple[np.ndarra
 
     What comes to the driver is the map, at most 2**MAX_BITS bits, and the tables.
     """
-    bits = min(MAX_BITS, max(16, math.ceil(math.log2(max(1, n_rows) * 400))))
-    buckets = min(1 << (bits - 10), 1 << max(6, math.ceil(math.log2(max(1, n_rows) / 4_000))))
+    bits = min(MAX_BITS, max(18, math.ceil(math.log2(max(1, n_rows) * 400))))
+    buckets = min(1 << (bits - 10), 1 << max(8, math.ceil(math.log2(max(1, n_rows) / 4_000))))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = [np.zeros(SLOTS, np.int64) for _ in LEVELS]
@@ -112,7 +115,8 @@ def shared_anchors(rows: DataFrame, window: int, n_rows: int) -> tuple[np.ndarra
                 anchors, n = np.unique(np.concatenate(found), return_counts=True)
                 marked = (anchors & ~U(1)) | (n > 1).astype(U)
                 yield _batch(_packed(0, (anchors >> U(64 - int(math.log2(buckets)))).astype(np.int64), marked))
-        yield _batch([(1, i, t.tobytes()) for i, t in enumerate(counts)])
+        first = TaskContext.get().partitionId() // TABLE_TASKS * len(LEVELS)
+        yield _batch([(1, first + i, t.tobytes()) for i, t in enumerate(counts)])
 
     def settle(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         if key[0].as_py() == 1:
@@ -131,7 +135,7 @@ def shared_anchors(rows: DataFrame, window: int, n_rows: int) -> tuple[np.ndarra
     tables = [np.zeros(SLOTS, np.int64) for _ in LEVELS]
     for r in rows.select("text").mapInArrow(gather, ROW).groupBy("kind", "key").applyInArrow(settle, ROW).toLocalIterator():
         if r["kind"]:
-            tables[r["key"]] = np.frombuffer(bytes(r["payload"]), np.int64)
+            tables[r["key"] % len(LEVELS)] += np.frombuffer(bytes(r["payload"]), np.int64)
         else:
             bit_map[r["key"] * share : (r["key"] + 1) * share] = np.frombuffer(bytes(r["payload"]), np.uint8)
     return bit_map, tables, bits
