@@ -263,9 +263,10 @@ def similar_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
         links = staged(links.union(new), "links")
 
     # pairs of what different components still have in common
-    classes = placed.groupBy("t", "token", "c").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    one, two = (classes.withColumnsRenamed({c: f"{c}{i}" for c in ("c", "low", "high")}) for i in (1, 2))
+    classes = placed.groupBy("t", "token", "c").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("at")).alias("room"))
+    one, two = (classes.withColumnsRenamed({c: f"{c}{i}" for c in ("c", "low", "high", "room")}) for i in (1, 2))
     fit = (100 * F.col("high1") >= percent * F.col("low2")) & (100 * F.col("high2") >= percent * F.col("low1"))
+    fit &= ((100 + percent) * F.least("room1", "room2") >= percent * (F.col("low1") + F.col("low2"))) | (F.col("t") == 1)
     ways = one.join(two, ["t", "token"]).where((F.col("c1") < F.col("c2")) & fit).select("t", "token", "c1", "c2")
     x, y = (placed.drop("entries").withColumnsRenamed({c: f"{c}{i}" for c in ("rep", "c", "n", "at")}) for i in (1, 2))
     both = ways.join(x, ["t", "token", "c1"]).join(y, ["t", "token", "c2"]).withColumnRenamed("t", "t1").where(_close(percent))
