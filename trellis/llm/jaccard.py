@@ -267,9 +267,12 @@ def similar_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     one, two = (classes.withColumnsRenamed({c: f"{c}{i}" for c in ("c", "low", "high", "room")}) for i in (1, 2))
     fit = (100 * F.col("high1") >= percent * F.col("low2")) & (100 * F.col("high2") >= percent * F.col("low1"))
     fit &= ((100 + percent) * F.least("room1", "room2") >= percent * (F.col("low1") + F.col("low2"))) | (F.col("t") == 1)
-    ways = one.join(two, ["t", "token"]).where((F.col("c1") < F.col("c2")) & fit).select("t", "token", "c1", "c2")
+    ways = one.join(two, ["t", "token"]).where((F.col("c1") < F.col("c2")) & fit).select("t", "token", "c1", "c2", "low2", "high2", "room2")
     x, y = (placed.drop("entries").withColumnsRenamed({c: f"{c}{i}" for c in ("rep", "c", "n", "at")}) for i in (1, 2))
-    both = ways.join(x, ["t", "token", "c1"]).join(y, ["t", "token", "c2"]).withColumnRenamed("t", "t1").where(_close(percent))
+    # a member that fits no size or place of the other component stays out before it meets that one's members
+    able = (100 * F.col("n1") >= percent * F.col("low2")) & (100 * F.col("high2") >= percent * F.col("n1"))
+    able &= ((100 + percent) * F.least(F.col("n1") - F.col("at1"), F.col("room2")) >= percent * (F.col("n1") + F.col("low2"))) | (F.col("t") == 1)
+    both = ways.join(x, ["t", "token", "c1"]).where(able).select("t", "token", "c2", "rep1", "c1", "n1", "at1").join(y, ["t", "token", "c2"]).withColumnRenamed("t", "t1").where(_close(percent))
     rest = staged(both.select(F.greatest("rep1", "rep2").alias("x"), F.least("rep1", "rep2").alias("y")).distinct(), "rest")
     more = verified(rest, known, k, percent)
 
