@@ -72,6 +72,19 @@ def test_constants_reach_sensitive_names():
     assert [text[a:b] for _, a, b, _ in secret_scan.literal_spans(text)] == ["hunter2hunter2x9", "zz99yy88xx77ww66"]
 
 
+def test_every_part_of_a_secret_has_a_span(spark):
+    parts = [f"q7Zk{i:02}Xw" for i in range(20)]
+    quoted = [f'"{p}"' for p in parts]
+    for text in ("api_key = " + " + ".join(quoted), "A = " + " + ".join(quoted[:10]) + "\nB = " + " + ".join(quoted[10:]) + "\napi_key = A + B"):
+        assert sorted(text[a:b] for _, a, b, _ in secret_scan.literal_spans(text)) == parts
+        masked = secret_scan.redacted(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["text"]
+        assert not any(p in masked for p in parts)
+    doubling = 'K0 = "hunter2hunter2x9"\n' + "".join(f"K{i + 1} = K{i} + K{i}\n" for i in range(3000)) + "password = K3000"
+    assert [doubling[a:b] for _, a, b, _ in secret_scan.literal_spans(doubling)] == ["hunter2hunter2x9"]
+    growing = 'token = "a1"\n' + "".join(f'token = token + "b{i}c"\n' for i in range(3000))
+    assert len(secret_scan.literal_spans(growing)) == 3001
+
+
 def test_pii(spark, texts):
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 

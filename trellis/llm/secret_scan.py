@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,9 @@ SENSITIVE = {
 STEMS = [b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"auth", b"bearer"]
 LEAST_SCORE = 0.5
 PLACEHOLDER = re.compile(r"(?i)^(?:none|null|nil|true|false|undefined|todo|changeme|example|placeholder|your[-_ ].*|x+|\*+|<.*>|\$\{.*\}|\$\(.*\)|%\(.*\)s|\{\{.*\}\})$")
+#: Those of any length that can hold digits, and how much of each end of a value tells them.
+OPEN_PLACEHOLDER = re.compile(r"(?i)^(?:your[-_ ].*|<.*>|\$\{.*\}|\$\(.*\)|%\(.*\)s|\{\{.*\}\})$")
+ENDS = 16
 
 _NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*"
 _VALUE = rf"""(?:"(?P<{{0}}dq>(?:[^"\\\n]|\\.)*)"|'(?P<{{0}}sq>(?:[^'\\\n]|\\.)*)'|(?P<{{0}}bare>[A-Za-z0-9+/_.=@$%~\-]+))"""
@@ -59,43 +63,102 @@ def sensitivity(name: str) -> float:
     return max((SENSITIVE.get(p, 0.0) for p in [*parts, *joined]), default=0.0)
 
 
-def strength(value: str, quoted: bool) -> float:
-    """0 to 1: how much a literal looks like a secret and not like a word, a path, a number or a placeholder."""
+class Value(NamedTuple):
+    """What the score of a value needs: its length, the share of each character, its two ends, and whether a part was quoted."""
+
+    n: int
+    shares: dict[str, float]
+    head: str
+    tail: str
+    quoted: bool
+
+
+def _literal(value: str, quoted: bool) -> Value:
     n = len(value)
-    if n < 8 or PLACEHOLDER.match(value) or " " in value or not any(c.isdigit() for c in value) or not any(c.isalpha() for c in value):
+    return Value(n, {c: k / n for c, k in Counter(value).items()}, value[:ENDS], value[-ENDS:], quoted)
+
+
+def _joined(parts: list[Value]) -> Value:
+    """The parts one after another; work and memory don't depend on the length that this has written out."""
+    if len(parts) == 1:
+        return parts[0]
+    n = sum(p.n for p in parts)
+    shares: dict[str, float] = {}
+    for p in parts:
+        for c, share in p.shares.items():
+            shares[c] = shares.get(c, 0.0) + p.n / n * share
+    head = tail = ""
+    for p in parts:
+        head = (head + p.head)[:ENDS]
+        tail = (tail + p.tail)[-ENDS:]
+    return Value(n, shares, head, tail, any(p.quoted for p in parts))
+
+
+def strength(value: Value) -> float:
+    """0 to 1: how much a value looks like a secret and not like a word, a path, a number or a placeholder.
+
+    Placeholders longer than ENDS are told by their ends, or have no digit.
+    """
+    n, shares = value.n, value.shares
+    if n < 8 or " " in shares or not any(c.isdigit() for c in shares) or not any(c.isalpha() for c in shares):
+        return 0.0
+    if PLACEHOLDER.match(value.head) if n <= ENDS else OPEN_PLACEHOLDER.match(value.head + value.tail):
         return 0.0
-    entropy = -sum(k / n * math.log2(k / n) for k in Counter(value).values())
-    length = min(1.0, n / 16)
-    return min(1.0, entropy / 3.2) * (0.6 + 0.4 * length) * (1.0 if quoted else 0.9)
+    entropy = -sum(x * math.log2(x) for x in shares.values() if x)
+    length = min(n, 16) / 16
+    return min(1.0, entropy / 3.2) * (0.6 + 0.4 * length) * (1.0 if value.quoted else 0.9)
 
 
 def literal_spans(text: str) -> list[Span]:
-    """Literals that reach a sensitive name, each once, with the best of its scores."""
-    known: dict[str, list[tuple[int, int, bool]]] = {}
-    best: dict[tuple[int, int], float] = {}
+    """Literals that reach a sensitive name, each once, with the best of its scores.
 
-    def value(m: re.Match) -> list[tuple[int, int, bool]]:
-        for group, quoted in (("adq", True), ("asq", True), ("abare", False)):
-            if m[group] is not None:
-                if not quoted and m[group] in known:
-                    return known[m[group]]
-                return [(*m.span(group), quoted)]
-        return []
+    Each assignment keeps its operands: literals, or the numbers of the earlier assignments of its constants. Nothing is
+    written out, so that constants that double line by line cost no more than others.
+    """
+    known: dict[str, int] = {}
+    operands: list[list[tuple[int, int, bool] | int]] = []
+    scores: list[float] = []
+    values: dict[int, Value] = {}
+
+    def operand(m: re.Match) -> tuple[int, int, bool] | int:
+        group, quoted = next(x for x in (("adq", True), ("asq", True), ("abare", False)) if m[x[0]] is not None)
+        return known[m[group]] if not quoted and m[group] in known else (*m.span(group), quoted)
+
+    def value(number: int) -> Value:
+        waiting = [number]
+        while waiting:
+            at = waiting[-1]
+            if at not in values and (first := [p for p in operands[at] if isinstance(p, int) and p not in values]):
+                waiting += first
+                continue
+            if at not in values:
+                parts = [values[p] if isinstance(p, int) else _literal(text[p[0] : p[1]], p[2]) for p in operands[at]]
+                values[at] = _joined(parts)
+            waiting.pop()
+        return values[number]
 
     for m in PAIR.finditer(text):
         if m["xml"]:
             name, parts = m["tag"], [(*m.span("body"), True)]
         else:
-            name, parts, at = m["name"], value(m), m.end()
+            name, parts, at = m["name"], [operand(m)], m.end()
             while more := MORE.match(text, at):
-                parts, at = parts + value(more), more.end()
-        known[name] = parts = parts[:16]
-        if weight := sensitivity(name):
-            score = weight * strength("".join(text[a:b] for a, b, _ in parts), any(q for *_, q in parts))
-            if score >= LEAST_SCORE:
-                for a, b, _ in parts:
-                    best[a, b] = max(best.get((a, b), 0.0), min(score, 0.99))
-    return [("literal", a, b, s) for (a, b), s in best.items() if b > a]
+                parts.append(operand(more))
+                at = more.end()
+        known[name] = len(operands)
+        operands.append(parts)
+        weight = sensitivity(name)
+        score = weight * strength(value(known[name])) if weight else 0.0
+        scores.append(min(score, 0.99) if score >= LEAST_SCORE else 0.0)
+    best: dict[tuple[int, int], float] = {}
+    for number in range(len(operands) - 1, -1, -1):
+        if score := scores[number]:
+            for p in operands[number]:
+                if isinstance(p, int):
+                    scores[p] = max(scores[p], score)
+                else:
+                    best[p[:2]] = max(best.get(p[:2], 0.0), score)
+    return [("literal", a, b, s) for (a, b), s in sorted(best.items()) if b > a]
 
 
 def secret_spans(text: str) -> list[Span]:
