@@ -1,9 +1,9 @@
 """From raw documents to packed training sequences, in five stages; each takes what the one before it kept.
 
 Quality rules drop documents, the n-gram Jaccard join leaves one document of each group of near copies (five-word
-shingles, similarity 0.8), secrets are masked in the texts, sources are mixed to their target weights, with copies and with
-the last document of a source cut where its target is reached, and the result is tokenized and packed. All but the last
-stage return the columns of documents, n_chars counted again where a text has changed. SQL can't express the stages.
+shingles, similarity 0.8), secrets are masked in the texts, sources are mixed to near their target weights, with
+copies, each of a whole document, and the result is tokenized and packed. All but the last stage return the columns of
+documents, n_chars counted again where a text has changed. SQL can't express the stages.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm.common import SPACE, documents, pick, staged
+from trellis.llm.common import documents, pick, staged
 from trellis.llm.jaccard import BROADCAST_IDS, similar_components
 from trellis.llm.mixing import mixed
 from trellis.llm.packing import packed_documents
@@ -46,15 +46,12 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy that the mix serves, in the order of its virtual finish times; a copy served in part has its first words only."""
-    served = mixed(pick(docs, "doc_id", "text", "source")).where("taken > 0").groupBy("doc_id", "_text").agg(F.first("copies").alias("_copies"), F.first("size").alias("_size"))
+    """A row for each copy that the mix serves, whole, in the order of its virtual finish times."""
+    served = mixed(pick(docs, "doc_id", "text", "source"), whole=True).where("taken > 0").groupBy("doc_id", "_text").agg(F.first("copies").alias("_copies"))
     served = served.withColumnsRenamed({"doc_id": "_id", "_text": "_hash"})
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"].alias("_doc"), F.xxhash64(docs["text"]).alias("_text"))
     rows = rows.join(served, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))).withColumn("_copy", F.explode("_copies"))
-    first = F.concat_ws(" ", F.slice(F.filter(F.split("_row.text", SPACE), lambda w: w != ""), 1, F.col("_copy.words").cast("int")))
-    text = F.when(F.col("_copy.words") < F.col("_size"), first).otherwise(F.col("_row.text"))
-    rows = rows.withColumn("_row", F.col("_row").withField("text", text)).orderBy("_copy.finish", "_text", "_copy.epoch")
-    return rows.select("_row.*").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return rows.orderBy("_copy.finish", "_text", "_copy.epoch").select("_row.*").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

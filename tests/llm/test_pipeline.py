@@ -4,10 +4,12 @@ import collections
 import re
 
 import corpus_pipeline as pipeline
+import numpy as np
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
 from trellis.llm.common import documents, staged
+from trellis.llm.mixing import mixed
 from trellis.llm.rules import quality_rules
 from trellis.llm.secret_scan import secret_spans
 
@@ -70,3 +72,19 @@ def test_columns_that_clash_and_empty_tables(spark):
         for name, stage in pipeline.STAGES:
             now = staged(stage(spark, now, SMALL), name)
         now.collect()
+
+
+def test_the_mix_serves_whole_documents(spark):
+    r = np.random.default_rng(3)
+    sizes = {"long": [60_000, 70, 90, 110], "small": [500, 800], **{f"s{k:02}": r.integers(60, 900, 7).tolist() for k in range(8)}, None: [40]}
+    rows = [(100 * k + i, " ".join(f"w{k}x{i}x{j}" for j in range(n)), "en", s, 0) for k, (s, own) in enumerate(sizes.items()) for i, n in enumerate(own)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    before = {x[0]: x[1] for x in rows}
+    served = collections.Counter(x["doc_id"] for x in pipeline.source_mix(spark, docs, SMALL).collect() if x["text"] == before[x["doc_id"]])
+    assert served.total() == pipeline.source_mix(spark, docs, SMALL).count() and max(served.values()) <= 3
+    parts = mixed(docs).groupBy("source").agg(F.first("target").alias("target")).collect()
+    for x in parts:
+        own = {i: len(t.split()) for i, t, _, s, _ in rows if s == x["source"]}
+        words = sum(n * served[i] for i, n in own.items())
+        assert abs(words - x["target"]) <= max(own.values()) / 2 + 1
+    assert all(x["taken"] % max(1, x["size"]) == 0 for x in mixed(docs, whole=True).collect())

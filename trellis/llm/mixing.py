@@ -3,7 +3,8 @@
 The documents of a source wait in a shuffled queue, again and again up to max_epochs times. A copy's virtual finish time is
 the number of its source's words up to its end, divided by the source's target. All copies are served in the order of
 these times until the total budget is spent: at virtual time 1, when each source has been served its target. The copy in
-service then is served in part. Targets above max_epochs times a source's size are cut there, and the excess is shared
+service then is served in part, or, where documents are served whole, the copies next to the cut are chosen anew, so that
+their words come nearest to what is left of the target. Targets above max_epochs times a source's size are cut there, and the excess is shared
 again by weight.
 
 Running sums over a source are split into buckets by a hash of the document, whose number follows the row count, so that
@@ -12,7 +13,7 @@ no task holds a source: sums per bucket are added up first, and each bucket's ro
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trellis.llm.common import NOT_SPACE, documents, pick, staged
@@ -20,6 +21,10 @@ from trellis.llm.common import NOT_SPACE, documents, pick, staged
 WEIGHTS, MAX_EPOCHS = (5.0, 2.0, 1.0), 3
 #: Rows that a bucket of the shuffle holds on average.
 BUCKET_ROWS = 2_000
+#: Copies on each side of the cut that are chosen anew where documents are served whole; all of their subsets are tried.
+NEAR_CUT = 6
+#: Sources with a row each that are broadcast at most.
+BROADCAST_SOURCES = 20_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -47,10 +52,11 @@ def targets(by_source: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epoc
     return rows.select("source", "source_size", F.when(F.col("_level") * F.col("_w") < F.col("_limit"), F.col("_level") * F.col("_w")).otherwise(F.col("_limit")).alias("target"))
 
 
-def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, budget: float | None = None, seed: int = 1) -> DataFrame:
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, budget: float | None = None, seed: int = 1, whole: bool = False) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies (struct<epoch, finish, words> of the copies served) of each document.
 
-    taken counts the words served, those of repeats too. The order within a source is that of hashes of doc_id with the
+    taken counts the words served, those of repeats too. With whole, no copy is served in part: taken is 0 or size times
+    the copies, and a source ends near its target instead of at it. The order within a source is that of hashes of doc_id with the
     seed, then of doc_id, size and a hash of the text, so that reruns agree; rows equal in all of these are
     interchangeable. A null source is one of its own, after all others. Documents without words are served nothing; an
     empty table gives no rows. Other columns are not read.
@@ -58,13 +64,16 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int
     rows = staged(sizes(docs), "sizes")
     buckets = max(1, -(-rows.count() // BUCKET_ROWS))
     rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(buckets)))
-    sums = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
+    filled = F.when(F.col("size") > 0, 1).otherwise(0)
+    sums = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"), F.sum(filled).alias("_filled"))
     goals = targets(sums.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, max_epochs, budget)
     through = Window.partitionBy("source").orderBy("_bucket")
-    starts = sums.withColumn("_before", F.sum("_sum").over(through) - F.col("_sum")).join(goals.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "_sum")
+    ranks = [(F.sum("_filled").over(through) - F.col("_filled")).alias("_ahead"), F.sum("_filled").over(Window.partitionBy("source")).alias("_of")]
+    starts = sums.select("source", "_bucket", "_sum", (F.sum("_sum").over(through) - F.col("_sum")).alias("_before"), *(ranks if whole else [])).join(goals.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "_sum")
     starts = starts.withColumnsRenamed({"source": "_s", "_bucket": "_b"})
     inside = Window.partitionBy("source", "_bucket").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size", "_text")
-    rows = rows.withColumn("_end", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("*", F.sum("size").over(so_far).alias("_end"), *([F.sum(filled).over(so_far).alias("_rank")] if whole else []))
     rows = rows.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
     end = F.col("_before") + F.col("_end")
     goal = F.round("target").cast("long")
@@ -74,11 +83,64 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int
         words = F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), goal - finish + F.col("size")))
         return F.struct(epoch.cast("int").alias("epoch"), F.try_divide(finish.cast("double"), F.col("target")).alias("finish"), words.alias("words"))
 
-    copies = F.filter(F.transform(F.sequence(F.lit(0), F.lit(max_epochs - 1)), copy), lambda c: c["words"] > 0)
-    rows = rows.withColumn("copies", copies)
+    epochs = F.sequence(F.lit(0), F.lit(max_epochs - 1))
+    if whole:
+        rows = _whole(rows, end, goal, epochs)
+    else:
+        rows = rows.withColumn("copies", F.filter(F.transform(epochs, copy), lambda c: c["words"] > 0))
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])
     return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "copies", "_text")
 
 
+def _whole(rows: DataFrame, end: Column, goal: Column, epochs: Column) -> DataFrame:
+    """Adds copies, each of a whole document: those well before the cut of their source, and the chosen ones next to it.
+
+    A copy's place is its number in the queue of its source. The cut is behind the last copy that ends at the target or
+    before it. Among the subsets of the NEAR_CUT copies on each side the one with the nearest sum is taken; of several,
+    the one closest to the queue's order. What all sources together are then off the budget is made up by another subset of
+    the one source that comes nearest to it; no source ends farther from its target than half its longest document there.
+    """
+
+    def copy(epoch):
+        finish = end + epoch * F.col("source_size")
+        place = F.col("_ahead") + F.col("_rank") + epoch * F.col("_of")
+        return F.struct(epoch.cast("int").alias("epoch"), finish.alias("end"), place.alias("place"))
+
+    queued = F.when(F.col("size") > 0, F.transform(epochs, copy)).otherwise(F.filter(F.transform(epochs, copy), lambda c: F.lit(False)))
+    rows = staged(rows.select("doc_id", "source", "size", "source_size", "target", "_text", goal.alias("_goal"), queued.alias("_queued")), "queue")
+    cuts = rows.groupBy(F.col("source").alias("_s")).agg(F.sum(F.size(F.filter("_queued", lambda c: c["end"] <= F.col("_goal")))).alias("_cut"))
+    cuts = staged(cuts, "cuts")
+    small = cuts.count() <= BROADCAST_SOURCES
+    placed = rows.join(F.broadcast(cuts) if small else cuts, F.col("source").eqNullSafe(F.col("_s")))
+    near = placed.select("source", "size", "_goal", "_cut", F.explode(F.filter("_queued", lambda c: (c["place"] > F.col("_cut") - NEAR_CUT) & (c["place"] <= F.col("_cut") + NEAR_CUT))).alias("c"))
+    near = near.groupBy("source", "_goal", "_cut").agg(F.sort_array(F.collect_list(F.struct(F.col("c.place"), "size", F.col("c.end")))).alias("_near"))
+    near = staged(near.withColumn("_left", F.col("_goal") - (F.col("_near")[0]["end"] - F.col("_near")[0]["size"])), "near")
+    subset = lambda words, changes, places: F.struct(words.alias("words"), changes.alias("changes"), places.alias("places"))
+    none = F.array(subset(F.lit(0).cast("long"), F.lit(0), F.array().cast("array<bigint>")))
+
+    def both(subsets: Column, c: Column) -> Column:
+        early = F.when(c["place"] <= F.col("_cut"), 1).otherwise(0)
+        out = F.transform(subsets, lambda x: subset(x["words"], x["changes"] + early, x["places"]))
+        return F.concat(out, F.transform(subsets, lambda x: subset(x["words"] + c["size"], x["changes"] + 1 - early, F.concat(x["places"], F.array(c["place"])))))
+
+    def best(off: Column) -> Column:
+        """The subset with which a source that others leave off by that many words comes nearest."""
+        tried = F.transform(F.aggregate("_near", none, both), lambda x: F.struct(F.abs(x["words"] - F.col("_left") + off).alias("far"), x["changes"], x["places"].alias("places"), (x["words"] - F.col("_left")).alias("over")))
+        most = F.aggregate("_near", F.lit(0).cast("long"), lambda a, c: F.greatest(a, c["size"]))
+        return F.array_min(F.filter(tried, lambda x: 2 * F.abs(x["over"]) <= most))
+
+    first = staged(near.withColumn("_best", best(F.lit(0))), "first")
+    over = first.agg(F.coalesce(F.sum("_best.over"), F.lit(0))).first()[0]
+    places = F.col("_best.places")
+    other = first.select("source", best(F.lit(over) - F.col("_best.over")).alias("_best")).where(F.col("_best.far") < abs(over))
+    for r in other.orderBy("_best.far", F.abs("_best.over"), "source").limit(1).collect():
+        places = F.when(F.col("source").eqNullSafe(F.lit(r["source"])), F.array(*[F.lit(x) for x in r["_best"]["places"]]).cast("array<bigint>")).otherwise(places)
+    chosen = first.select(F.col("source").alias("_t"), places.alias("_chosen"))
+    cuts = staged(cuts.join(chosen, F.col("_s").eqNullSafe(F.col("_t")), "left").select("_s", "_cut", "_chosen"), "chosen")
+    rows = rows.join(F.broadcast(cuts) if small else cuts, F.col("source").eqNullSafe(F.col("_s")))
+    kept = F.filter("_queued", lambda c: (c["place"] <= F.col("_cut") - NEAR_CUT) | F.coalesce(F.array_contains("_chosen", c["place"]), F.lit(False)))
+    return rows.withColumn("copies", F.transform(kept, lambda c: F.struct(c["epoch"], F.try_divide(c["end"].cast("double"), F.col("target")).alias("finish"), F.col("size").alias("words"))))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
