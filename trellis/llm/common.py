@@ -6,6 +6,7 @@ megabytes at a time, so that memory doesn't depend on how many rows an Arrow bat
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that are worked on at once in numpy.
-SLICE_BYTES = 2 << 20
+#: Bytes of text that are worked on at once in numpy, and rows.
+SLICE_BYTES, SLICE_ROWS = 1 << 19, 1 << 15
 #: White space, as the contracts of this subpackage define it.
 SPACE = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
@@ -36,9 +37,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one is made and set only where that setting is absent."""
+    """The folder named in spark.checkpoint.dir; one is made and set only where that setting is absent, and all run on one machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="trellis-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -55,8 +58,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def released() -> None:
+    """Gives freed memory back to the system: Python workers live on after a task, beside those of the next one."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:
@@ -84,12 +91,15 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(of: int, n: int) -> np.ndarray:
-    """of**0 .. of**(n-1) modulo 2**64, kept between calls."""
-    if len(_powers.get(of, ())) < n:
-        steps = np.full(max(n, SLICE_BYTES), U(of))
-        steps[0] = U(1)
-        _powers[of] = np.multiply.accumulate(steps)
-    return _powers[of][:n]
+    """of**0 .. of**(n-1) modulo 2**64, kept between calls but for those of parts longer than a slice."""
+    if (kept := _powers.get(of)) is not None and n <= len(kept):
+        return kept[:n]
+    steps = np.full(max(n, SLICE_BYTES + 1), U(of))
+    steps[0] = U(1)
+    out = np.multiply.accumulate(steps)
+    if n <= SLICE_BYTES + 1:
+        _powers[of] = out
+    return out[:n]
 
 
 class Texts:
@@ -123,15 +133,23 @@ class Words:
         self.data, self.starts, self.ends, self.first = data, starts, ends, first
 
     def hashes(self) -> np.ndarray:
-        if not len(self.starts):
-            return np.empty(0, U)
-        n = len(self.data)
+        """A hash of each word; those of a longer text are computed slice by slice, so that memory follows the longest word."""
+        out, at = np.empty(len(self.starts), U), 0
+        while at < len(out):
+            to = max(at + 1, int(np.searchsorted(self.ends, self.starts[at] + SLICE_BYTES, side="right")))
+            out[at:to] = self._hashes(self.starts[at:to], self.ends[at:to])
+            at = to
+        return out
+
+    def _hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        data = self.data[starts[0] : ends[-1]]
+        starts, ends, n = starts - starts[0], ends - starts[0], len(data)
         with np.errstate(over="ignore"):
             sums = np.empty(n + 1, U)
             sums[0] = 0
-            np.cumsum(BYTE_VALUES[self.data] * powers(BASE, n), out=sums[1:])
-            h = (sums[self.ends] - sums[self.starts]) * powers(BASE_INVERSE, n + 1)[self.starts]
-            return splitmix(h + (self.ends - self.starts).astype(U) * U(0xD1B54A32D192ED03))
+            np.cumsum(BYTE_VALUES[data] * powers(BASE, n), out=sums[1:])
+            h = (sums[ends] - sums[starts]) * powers(BASE_INVERSE, n + 1)[starts]
+            return splitmix(h + (ends - starts).astype(U) * U(0xD1B54A32D192ED03))
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -153,7 +171,7 @@ def windows(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
 
 
 def text_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[tuple[int, Texts]]:
-    """(first row, texts) of runs of rows of at most most bytes, or of one longer row. A null text is an empty one."""
+    """(first row, texts) of runs of rows of at most most bytes, or of one longer row, and of SLICE_ROWS at most. A null text is an empty one."""
     array = batch.column(batch.schema.get_field_index(column))
     if array.null_count:
         array = array.fill_null("")
@@ -166,7 +184,7 @@ def text_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) ->
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
     at = 0
     while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
+        to = min(max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1), at + SLICE_ROWS)
         yield at, Texts(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
         at = to
 
