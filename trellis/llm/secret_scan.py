@@ -10,14 +10,18 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm.common import LOWER, Texts, documents, pick
+from trellis.llm.common import LOWER, Texts, documents, pick, released, text_slices
 from trellis.llm.spans import Span, digest, holding, ordered, places, scanned
 
 # The base patterns and the least lengths of what they match.
@@ -162,8 +166,11 @@ def literal_spans(text: str) -> list[Span]:
 
 
 def secret_spans(text: str) -> list[Span]:
+    """The base spans, and the literals that lie in none of them."""
     base = base_spans(text)
-    inside = lambda a, b: any(x <= a and b <= y for _, x, y, _ in base)
+    starts = sorted(x for _, x, _, _ in base)
+    ends = list(accumulate((y for _, _, y, _ in sorted(base, key=lambda s: s[1])), max))
+    inside = lambda a, b: (k := bisect_right(starts, a)) > 0 and ends[k - 1] >= b
     return ordered([*base, *(s for s in literal_spans(text) if not inside(s[1], s[2]))], KINDS)
 
 
@@ -174,10 +181,13 @@ def candidates(texts: Texts) -> np.ndarray:
     """Texts that have a run of hex digits that is long enough, AKIA, or a stem of a sensitive name and an assignment."""
     lower = LOWER[texts.data]
     raw = lower.tobytes()
-    inside = np.zeros(len(lower) + 2, np.int8)
-    inside[1:-1] = _HEX_BYTES[texts.data]
-    turn = np.flatnonzero(np.diff(inside))
-    hexes = turn[::2][turn[1::2] - turn[::2] >= MIN_HEX]
+    # a run of hex digits ends where its text ends
+    inside = _HEX_BYTES[texts.data]
+    edge = np.zeros(len(inside) + 1, bool)
+    edge[texts.offsets] = True
+    starts = np.flatnonzero(inside & (~np.r_[False, inside[:-1]] | edge[:-1]))
+    ends = np.flatnonzero(inside & (~np.r_[inside[1:], False] | edge[1:])) + 1
+    hexes = starts[ends - starts >= MIN_HEX]
     marks = holding(texts, hexes) | holding(texts, np.array(places(texts.data.tobytes(), b"AKIA"), np.int64))
     stems = np.sort(np.array([p for s in STEMS for p in places(raw, s)], np.int64))
     signs = np.flatnonzero((lower == ord("=")) | (lower == ord(":")) | (lower == ord("<")))
@@ -194,32 +204,38 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """docs with each span replaced by mark, overlapping spans by one, and n_chars counted again."""
-    from collections.abc import Iterator
-
-    import pyarrow as pa
-
-    from trellis.llm.common import text_slices
+    """docs with each span replaced by mark, overlapping spans by one, and n_chars counted again.
 
+    All rows and columns stay; null and empty texts, and texts without secrets, stay as they are. Repeated rows are masked
+    one by one. An empty table gives no rows. The text is the first column of that name; n_chars, where there is one such
+    column, becomes a long.
+    """
     names = docs.columns
     where = names.index("text")
 
+    def masked(text: str) -> str | None:
+        spans, out, end = secret_spans(text), [], 0
+        for _, a, b, _ in spans:
+            if a >= end:
+                out += [text[end:a], mark]
+            end = max(end, b)
+        return "".join([*out, text[end:]]) if spans else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = None
+            kind = batch.schema.field(where).type
             for at, part in text_slices(batch, names[where]):
+                rows = batch.slice(at, len(part))
+                pieces, done = [], 0
                 for i in np.flatnonzero(candidates(part)).tolist():
-                    text, to = part.bytes(i).decode(), None
-                    if spans := secret_spans(text):
-                        texts = batch.column(where).to_pylist() if texts is None else texts
-                        out, end = [], 0
-                        for _, a, b, _ in spans:
-                            if a >= end:
-                                out += [text[end:a], mark]
-                            end = max(end, b)
-                        texts[at + i] = "".join([*out, text[end:]])
-            columns = [batch.column(i) if i != where or texts is None else pa.array(texts, batch.schema.field(where).type) for i in range(batch.num_columns)]
-            yield pa.record_batch(columns, schema=batch.schema)
+                    if (now := masked(part.bytes(i).decode())) is not None:
+                        pieces += [rows.column(where).slice(done, i - done), pa.array([now], kind)]
+                        done = i + 1
+                if pieces:
+                    text = pa.concat_arrays([*pieces, rows.column(where).slice(done)])
+                    rows = pa.record_batch([text if i == where else rows.column(i) for i in range(rows.num_columns)], schema=batch.schema)
+                yield rows
+        released()
 
     out = docs.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if names.count("n_chars") == 1 else out

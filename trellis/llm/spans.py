@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.common import Texts, column, pick, text_slices
+from trellis.llm.common import Texts, column, pick, released, text_slices
 
 #: A span of code points [start, end) of a text, with what the method knows of it.
 SPAN = "struct<kind:string,start:int,end:int,score:double>"
@@ -37,13 +37,14 @@ def scanned(docs: DataFrame, candidates: Callable[[Texts], np.ndarray], scan: Ca
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             for at, texts in text_slices(batch, "text"):
+                found: list[list[dict]] = [[] for _ in range(len(texts))]
                 which = np.flatnonzero(candidates(texts))
                 if len(which):
                     for i, spans in zip(which.tolist(), scan([texts.bytes(i).decode() for i in which.tolist()]), strict=True):
-                        found[at + i] = [{"kind": k, "start": a, "end": b, "score": s} for k, a, b, s in spans]
-            yield pa.record_batch([column(batch, "doc_id"), pa.array(found, pa.list_(_ARROW))], names=["doc_id", "found"])
+                        found[i] = [{"kind": k, "start": a, "end": b, "score": s} for k, a, b, s in spans]
+                yield pa.record_batch([column(batch, "doc_id").slice(at, len(texts)), pa.array(found, pa.list_(_ARROW))], names=["doc_id", "found"])
+        released()
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, found array<{SPAN}>")
 
