@@ -189,11 +189,6 @@ def text_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) ->
         at = to
 
 
-def strings(batch: pa.RecordBatch, column: str) -> list[str]:
-    """The texts of a batch; a null text is an empty one."""
-    return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
-
-
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -11,6 +11,7 @@ of lengths and not that of documents. Each piece then finds its place by its ran
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from array import array
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trellis.llm.common import column, documents, pick, staged, strings
+from trellis.llm.common import column, documents, pick, released, staged, text_slices
 
 SEQ_LEN, END_ID = 1024, 2
 #: The fit leaves this share of the pieces under this part of a sequence to the residual, which needs them as filling.
@@ -39,7 +40,7 @@ class Units:
     units one after another, and the ids of units seen before are taken from a table.
     """
 
-    def __init__(self, ranks_path: str, pattern: str, end_id: int) -> None:
+    def __init__(self, ranks_path: str, pattern: str, end_id: int, added: tuple[tuple[str, int], ...] = ()) -> None:
         import tiktoken
 
         with open(ranks_path, "rb") as f:
@@ -48,6 +49,9 @@ class Units:
         self.border = re.compile(r"(?<=\S) (?=\S)")
         self.spaces = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
         self.end = np.uint32(end_id).tobytes()
+        self.added = {content: np.uint32(i).tobytes() for content, i in added}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.added_pattern = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if added else None
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.marks = {m: self.raw(m, "") for m in ".,"}
@@ -72,9 +76,16 @@ class Units:
         return raw
 
     def ids(self, text: str) -> bytes:
-        """Native unsigned 32-bit ids of text, then the end id."""
+        """Native unsigned 32-bit ids of text, then the end id. Added tokens stand for themselves, and end what is before them."""
+        if self.added_pattern is not None and any(map(text.__contains__, self.added)):
+            parts = self.added_pattern.split(text)
+            return b"".join([self.added.get(part) or self.plain(part) for part in parts if part] + [self.end])
+        return self.plain(text) + self.end
+
+    def plain(self, text: str) -> bytes:
+        """Native unsigned 32-bit ids of a text without added tokens."""
         if not text:
-            return self.end
+            return b""
         units = text.split(" ")
         if "" in units or " \n" in text or "\n " in text or any(map(text.__contains__, self.spaces)):
             units = self.border.split(text)
@@ -85,7 +96,6 @@ class Units:
             for i, raw in enumerate(out):
                 if raw is None:
                     out[i] = get(units[i]) or later(units[i])
-        out.append(self.end)
         return b"".join(out)
 
 
@@ -98,27 +108,30 @@ def cut(n: int, seq_len: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, seq_len) for s in range(first, n, seq_len))]
 
 
-def pieces(docs: DataFrame, ranks_path: str, pattern: str, seq_len: int = SEQ_LEN, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, ranks_path: str, pattern: str, seq_len: int = SEQ_LEN, end_id: int = END_ID, added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every document; a null text is an empty one."""
     rows = pick(docs, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (ranks_path, pattern, end_id)
+        key = (ranks_path, pattern, end_id, added)
         if key not in _units:
             _units[key] = Units(*key)
         units = _units[key]
         for batch in batches:
-            row, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(strings(batch, "text")):
-                raw = units.ids(text)
-                for p, (s, n) in enumerate(cut(len(raw) // 4, seq_len)):
-                    row.append(i)
-                    piece.append(p)
-                    start.append(s)
-                    length.append(n)
-                    crc.append(zlib.crc32(raw[4 * s : 4 * (s + n)]))
-            numbers = [pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
-            yield pa.record_batch([column(batch, "doc_id").take(pa.array(row, pa.int64())), *numbers], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            for at, texts in text_slices(batch, "text"):
+                row, piece, start, length, crc = [], [], [], [], []
+                for i in range(len(texts)):
+                    raw = units.ids(texts.bytes(i).decode())
+                    for p, (s, n) in enumerate(cut(len(raw) // 4, seq_len)):
+                        row.append(i)
+                        piece.append(p)
+                        start.append(s)
+                        length.append(n)
+                        crc.append(zlib.crc32(raw[4 * s : 4 * (s + n)]))
+                numbers = [pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
+                ids = column(batch, "doc_id").slice(at, len(texts))
+                yield pa.record_batch([ids.take(pa.array(row, pa.int64())), *numbers], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        released()
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
@@ -306,19 +319,29 @@ def packed(cut_pieces: DataFrame, seq_len: int = SEQ_LEN) -> DataFrame:
     return ranked.mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def packed_documents(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, seq_len: int = SEQ_LEN, end_id: int = END_ID) -> DataFrame:
+def added_tokens(tokenizer_path: str) -> tuple[tuple[str, int], ...]:
+    """Contents and ids of the tokens that a tokenizer's file adds to its vocabulary; such a string in a text is that token."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    if odd := [t["content"] for t in found if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]]:
+        raise ValueError(f"added tokens with rules of their own: {odd}")
+    return tuple((t["content"], t["id"]) for t in found)
+
+
+def packed_documents(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, seq_len: int = SEQ_LEN, end_id: int = END_ID, added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every row of docs.
 
-    The tokenizer is a file of ranks and the pattern that splits text ahead of it, by default those of the public
-    byte_bpe_50k vocabulary; strings of special tokens in a text are ordinary text. Null and empty texts are one piece,
-    the end id. Repeated rows are packed each. A null doc_id stays null. An empty table gives no rows. Other columns are
+    The tokenizer is a file of ranks, the pattern that splits text ahead of it, and its added tokens; by default those of
+    the public byte_bpe_50k vocabulary. Null and empty texts are one piece, the end id. Texts are encoded whole, whatever
+    their length. Repeated rows are packed each. A null doc_id stays null. An empty table gives no rows. Other columns are
     not read.
     """
     if ranks_path is None or pattern is None:
         import public_tokenizers
 
         ranks_path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return packed(pieces(docs, ranks_path, pattern, seq_len, end_id), seq_len)
+        added = added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    return packed(pieces(docs, ranks_path, pattern, seq_len, end_id, added), seq_len)
 
 
 def op2_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
