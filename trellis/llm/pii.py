@@ -18,6 +18,8 @@ from trellis.llm.common import Texts, documents, pick
 from trellis.llm.spans import Span, digest, holding, ordered, scanned
 
 KINDS = ["email", "ip", "card", "phone"]
+#: Words that are decoded together, with those that fill up shorter chains.
+DECODED = 1 << 16
 
 # The base patterns. A lookbehind that changes no match keeps long runs of digits linear.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -164,18 +166,22 @@ class Field:
         return out, lengths
 
     def decode(self, chains: list[list[list[int]]]) -> list[list[int]]:
-        """The best labels of each chain, chains of similar lengths together."""
+        """The best labels of each chain, chains of similar lengths together: at most DECODED words with their padding, or one chain."""
         move = np.where(_ALLOWED, self.move, -1e9)
         order = sorted(range(len(chains)), key=lambda i: len(chains[i]))
         out: list[list[int]] = [[] for _ in chains]
-        for at in range(0, len(order), 512):
-            part = order[at : at + 512]
+        at = 0
+        while at < len(order):
+            to = at + 1
+            while to < len(order) and (to + 1 - at) * len(chains[order[to]]) <= DECODED:
+                to += 1
+            part, at = order[at:to], to
             scores, lengths = self.scores([chains[i] for i in part])
             best, back = scores[:, 0] + move[OUTSIDE], []
             finals = np.where((lengths == 1)[:, None], best, -np.inf)
             for t in range(1, scores.shape[1]):
                 paths = best[:, :, None] + move
-                back.append(paths.argmax(1))
+                back.append(paths.argmax(1).astype(np.int8))
                 best = paths.max(1) + scores[:, t]
                 finals[lengths == t + 1] = best[lengths == t + 1]
             last = (finals + move[:, OUTSIDE]).argmax(1)
