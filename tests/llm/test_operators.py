@@ -85,6 +85,23 @@ def test_every_part_of_a_secret_has_a_span(spark):
     assert len(secret_scan.literal_spans(growing)) == 3001
 
 
+def test_a_run_of_digits_ends_with_its_text(spark):
+    texts = ["the whole tale", "0123456789abcdef0123456789abcdef", "abc", "def0123456789abcdef0123", "01234567890123456789012", "3a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["found"]] for r in secret_scan.scan_secrets(df).collect()}
+    assert got == {i: [("hex", 0, 32)] if i == 1 else [] for i in range(6)}
+    assert [r["text"] for r in secret_scan.redacted(df).orderBy("doc_id").collect()] == [texts[0], "[secret]", *texts[2:]]
+
+
+def test_long_chains_are_decoded_like_short_ones():
+    field = pii.train(pii.labelled_table())
+    words = [f"{i % 10}{i % 7}" for i in range(20_000)]
+    chains = [field.rows(words, 0, len(words)), *(field.rows(words, i, i + 1 + i % 5) for i in range(300))]
+    together = field.decode(chains)
+    assert together[0] == field.decode(chains[:1])[0] and len(together[0]) == 20_000
+    assert together[1:] == [field.decode([c])[0] for c in chains[1:]]
+
+
 def test_pii(spark, texts):
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
@@ -118,7 +135,6 @@ def test_packing_is_an_exact_round_trip(spark, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rows = QUERIES["op2_sequence_packing"](spark, SMALL).collect()
     ids = {i: [*t.encode(x, add_special_tokens=False).ids, 2] for i, x in texts.items()}
     pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
@@ -140,6 +156,19 @@ def test_packing_is_an_exact_round_trip(spark, texts):
     assert len(sequences) <= 1.02 * -(-sum(map(len, ids.values())) // 1024) + 1
 
 
+def test_ids_are_those_of_the_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["hello <|endoftext|> bye", "<|endoftext|>", "a<|endoftext|><|endoftext|> b  c ", "<|endoftext", " x\n\n y\u00a0z \u3000 don't  12345 .,", "caf\u00e9 \U0001f600 \u4e2d\u6587 a.b, c. d", "", " ", "x" * 3000]
+    rows = packing.packed_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), seq_len=4096).collect()
+    for r in rows:
+        ids = [*t.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 2]
+        assert (r["length"], r["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), texts[r["doc_id"]]
+    assert len(rows) == len(texts)
+
+
 def test_plans_place_every_piece():
     r = np.random.default_rng(1)
     for lengths in (r.integers(1, 65, 3000), np.full(100, 33), r.integers(1, 9, 50), np.array([], int)):
