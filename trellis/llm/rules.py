@@ -3,7 +3,7 @@
 Each document's histogram of character classes and of common words is compared, by Jensen-Shannon distance (base 2, so 0
 to 1), with references of the languages. The references are the same histograms summed over all documents of a language;
 a document is measured against the nearest one, so that its own language label is never trusted. Distances of texts
-under the minimum lengths say little and reject nothing.
+under the minimum lengths say little and reject nothing; words are compared only with languages whose common words are known.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm.common import SPACE, documents, pick
+from trellis.llm.common import SPACE, documents, pick, staged
 
 # Frequent function words of each language, by its code.
 COMMON_WORDS = {
@@ -37,6 +37,8 @@ MIN_CHARS, MIN_COMPARED_WORDS = 200, 50
 #: A text fails beyond the first distance of its characters, or beyond both of the others, of its characters and its
 #: words. The words of a text without any common word are 0.29 away from prose in which every third word is common.
 MAX_CHAR_DISTANCE, CHAR_DISTANCE_WITH_WORDS, MAX_WORD_DISTANCE = 0.30, 0.125, 0.27
+#: The share of all characters that the documents of a language must have to make a reference: at most 1,000 references.
+REFERENCE_SHARE = 0.001
 
 
 def _classes(df: DataFrame) -> DataFrame:
@@ -52,27 +54,23 @@ def _class_counts() -> list[str]:
     return [*(f"n_{c}" for c in CLASSES), "n_other"]
 
 
-def references(docs: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
-    """Shares of character classes, and of common words and all others, for each language that has documents.
+def references(counts: DataFrame) -> dict[str, tuple[list[float], list[float] | None]]:
+    """Shares of character classes, and of common words and all others, summed over the documents of each language.
 
-    One row a language comes to the driver, at most as many as COMMON_WORDS has. Where no document has such a label, all
-    documents make one reference.
+    counts is what counted() gives. Labels with at least REFERENCE_SHARE of all characters make a reference, so that their
+    number is bounded; word shares are known of those in COMMON_WORDS. Where no label has that much, all documents make
+    one reference.
     """
-    rows = pick(docs, "text", "lang").where(F.col("text").isNotNull())
-    rows = rows.withColumn("lang", F.when(F.col("lang").isin(*COMMON_WORDS), F.col("lang")))
-    sums = {r["lang"]: r for r in _classes(rows).groupBy("lang").agg(*[F.sum(c).alias(c) for c in _class_counts()]).collect()}
-    word = F.explode(F.split("text", SPACE)).alias("word")
-    named = F.when(F.col("word").isin(*BINS), F.col("word")).otherwise("")
-    found: dict[str | None, dict[str, int]] = {}
-    for r in rows.select("lang", word).where("word <> ''").groupBy("lang", named.alias("word")).count().collect():
-        found.setdefault(r["lang"], {})[r["word"]] = r["count"]
-    labelled = [k for k in sums if k is not None]
-    out = {}
-    for lang in labelled or [k for k in sums]:
-        chars = [float(sums[lang][c] or 0) for c in _class_counts()]
-        words = [float(found.get(lang, {}).get(w, 0)) for w in [*BINS, ""]]
-        if sum(chars) and sum(words):
-            out[lang or ""] = ([x / sum(chars) for x in chars], [x / sum(words) for x in words])
+    sums = [F.sum(c).alias(c) for c in _class_counts()] + [F.sum(F.col("bins")[i]).alias(f"bin_{i}") for i in range(len(BINS) + 1)]
+    by_lang = counts.groupBy("lang").agg(*sums).withColumn("chars", sum((F.col(c) for c in _class_counts()), F.lit(0)))
+    total = counts.agg(F.sum("n_chars")).first()[0] or 0
+    found = [r for r in by_lang.where(F.col("chars") > 0).where(F.col("chars") >= REFERENCE_SHARE * total).collect()]
+    found = [r for r in found if r["lang"] is not None] or counts.agg(*sums).withColumn("lang", F.lit("")).withColumn("chars", sum((F.col(c) for c in _class_counts()), F.lit(0))).where("chars > 0").collect()
+    out: dict[str, tuple[list[float], list[float] | None]] = {}
+    for r in sorted(found, key=lambda r: r["lang"]):
+        words = [float(r[f"bin_{i}"]) for i in range(len(BINS) + 1)]
+        listed = sum(words) and (r["lang"] in COMMON_WORDS or r["lang"] == "")
+        out[r["lang"]] = ([float(r[c]) / r["chars"] for c in _class_counts()], [x / sum(words) for x in words] if listed else None)
     return out
 
 
@@ -94,47 +92,71 @@ def _nearest(counts: Column, total: Column, known: list[list[float]]) -> Column:
     return F.least(*far) if len(far) > 1 else far[0] if far else F.lit(0.0)
 
 
-#: Starts of 3-word windows that are found twice or more. Each window's hash, above the bits of its place, is sorted, so
-#: that equal ones are neighbours; places need as many bits as n_words has.
-_KEYS = "transform(sequence(0, n_words - 3), i -> shiftleft(xxhash64(words[i], words[i + 1], words[i + 2]), _bits) | i)"
-_SAME = "filter(transform(_keys, (x, i) -> if(shiftright(x, _bits) = shiftright(get(_keys, i - 1), _bits) or shiftright(x, _bits) = shiftright(get(_keys, i + 1), _bits), cast(x & (shiftleft(1L, _bits) - 1) as int), null)), x -> x is not null)"
+#: Starts of 3-word windows that may be found twice or more. Each window's hash, above the bits of its place, is sorted, so
+#: that equal ones are neighbours; places need as many bits as n_words has. As that leaves fewer bits for the hash, the
+#: windows found are sorted again by their words, and only those with an equal neighbour count.
+_KEYS = "transform(slice(words, 1, n_words - 2), (w, i) -> shiftleft(xxhash64(w, words[i + 1], words[i + 2]), _bits) | i)"
+_NEAR = "filter(transform(_keys, (x, i) -> if(shiftright(x, _bits) = shiftright(get(_keys, i - 1), _bits) or shiftright(x, _bits) = shiftright(get(_keys, i + 1), _bits), cast(x & (shiftleft(1L, _bits) - 1) as int), null)), x -> x is not null)"
+_TOLD = "sort_array(transform(_near, s -> struct(words[s] as a, words[s + 1] as b, words[s + 2] as c, s as s)))"
+_SAME = "filter(transform(_told, (x, i) -> if(struct(x.a, x.b, x.c) = struct(get(_told, i - 1).a, get(_told, i - 1).b, get(_told, i - 1).c) or struct(x.a, x.b, x.c) = struct(get(_told, i + 1).a, get(_told, i + 1).b, get(_told, i + 1).c), x.s, null)), x -> x is not null)"
 
 
-def measured(docs: DataFrame, known: dict[str, tuple[list[float], list[float]]]) -> DataFrame:
-    """doc_id, the base measures, both distances and the verdict for every document; a null text is an empty one."""
-    df = pick(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
+def text_key(text: Column) -> Column:
+    """What tells texts apart: two hashes, of 96 bits together, and the length. A null text is an empty one."""
+    text = F.coalesce(text, F.lit(""))
+    return F.struct(F.xxhash64(text).alias("a"), F.hash(text).alias("b"), F.length(text).alias("n"))
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, key, the base measures and both histograms of every document, in one pass; staged, so that nothing
+    that is asked of them later reaches the texts."""
+    df = pick(docs, "doc_id", "text", "lang").withColumn("key", text_key(F.col("text"))).withColumn("text", F.coalesce("text", F.lit("")))
     df = df.withColumn("words", F.filter(F.split("text", SPACE), lambda w: w != "")).withColumn("n_words", F.size("words"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
     df = df.withColumn("_lines", lines).withColumn("n_dup_lines", F.size("_lines") - F.size(F.array_distinct("_lines"))).drop("_lines")
     df = _classes(df)
     df = df.withColumn("_bits", F.length(F.bin("n_words")))
     df = df.withColumn("_keys", F.expr(f"if(n_words < 4, cast(array() as array<bigint>), sort_array({_KEYS}))"))
-    df = df.withColumn("_starts", F.expr(_SAME))
+    df = df.withColumn("_near", F.expr(_NEAR)).withColumn("_told", F.expr(_TOLD)).withColumn("_starts", F.expr(_SAME))
     covered = F.expr("size(array_distinct(concat(_starts, transform(_starts, x -> x + 1), transform(_starts, x -> x + 2))))")
-    df = df.withColumn("n_repeat_words", F.when(F.size("_starts") == 0, 0).otherwise(covered)).drop("_starts", "_keys", "_bits")
+    df = df.withColumn("n_repeat_words", F.when(F.size("_starts") == 0, 0).otherwise(covered)).drop("_starts", "_told", "_near", "_keys", "_bits")
     df = df.withColumn("_common", F.filter("words", lambda w: w.isin(*BINS))).drop("words", "text")
     df = df.withColumn("_n_common", F.size("_common"))
     bins = F.transform(F.array(*[F.lit(w) for w in BINS]), lambda w: F.col("_n_common") - F.size(F.array_remove("_common", w)))
-    df = df.withColumn("_bins", F.concat(bins, F.array(F.col("n_words") - F.col("_n_common")))).drop("_common", "_n_common")
-    df = df.withColumn("n_chars", sum((F.col(c) for c in _class_counts()), F.lit(0))).withColumn("_chars", F.array(*_class_counts()))
-    df = df.withColumn("char_distance", _nearest(F.col("_chars"), F.col("n_chars"), [c for c, _ in known.values()]))
-    df = df.withColumn("word_distance", _nearest(F.col("_bins"), F.col("n_words"), [w for _, w in known.values()]))
+    df = df.withColumn("bins", F.concat(bins, F.array(F.col("n_words") - F.col("_n_common")))).drop("_common", "_n_common")
+    return staged(df.withColumn("n_chars", sum((F.col(c) for c in _class_counts()), F.lit(0))), "rule-counts")
+
+
+def judged(counts: DataFrame, known: dict[str, tuple[list[float], list[float] | None]]) -> DataFrame:
+    """doc_id, key, the base measures, both distances and the verdict of each row of counts; staged."""
+    chars = F.array(*_class_counts())
+    near = lambda refs: _nearest(chars, F.col("n_chars"), refs)
+    df = counts.withColumn("_listed", near([c for c, w in known.values() if w])).withColumn("_others", near([c for c, w in known.values() if not w]) if any(not w for _, w in known.values()) else F.lit(1.0))
+    df = df.withColumn("char_distance", F.least("_listed", "_others") if any(w for _, w in known.values()) else F.col("_others"))
+    df = df.withColumn("word_distance", _nearest(F.col("bins"), F.col("n_words"), [w for _, w in known.values() if w]))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     both = (F.col("n_words") >= MIN_COMPARED_WORDS) & (F.col("char_distance") > CHAR_DISTANCE_WITH_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE)
     far = (F.col("n_chars") >= MIN_CHARS) & ((F.col("char_distance") > MAX_CHAR_DISTANCE) | both)
     df = df.withColumn("word_chars", F.col("n_chars") - F.col("n_space")).withColumn("base_failed", failed)
     whole = [F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars")]
     whole += [F.col("n_symbol").cast("long").alias("n_symbols"), *[F.col(c).cast("long").alias(c) for c in ("n_dup_lines", "n_repeat_words")]]
-    return df.select("doc_id", *whole, "base_failed", (~failed & ~far).alias("kept"), "char_distance", "word_distance")
+    return staged(df.select("doc_id", "key", *whole, "base_failed", (~failed & ~far).alias("kept"), "char_distance", "word_distance"), "rule-verdicts")
+
+
+def verdicts(docs: DataFrame) -> DataFrame:
+    """quality_rules() with the key of each row's text."""
+    counts = counted(docs)
+    return judged(counts, references(counts))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """The measures and the verdict (kept) of each row of docs (doc_id, text, lang).
 
     Null and empty texts have no words and fail the minimum. Repeated rows are judged one by one; a null doc_id stays
-    null. An empty table gives no rows. Other columns are not read.
+    null. An empty table gives no rows. Other columns are not read. The result is a table of its own in the shared folder:
+    filters, joins and aggregates on it never reach the texts.
     """
-    return measured(docs, references(docs))
+    return verdicts(docs).drop("key")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
