@@ -15,18 +15,23 @@ from trellis.llm.common import documents, pick, staged
 from trellis.llm.jaccard import BROADCAST_IDS, similar_components
 from trellis.llm.mixing import mixed
 from trellis.llm.packing import packed_documents
-from trellis.llm.rules import measured, references
+from trellis.llm.rules import text_key, verdicts
 from trellis.llm.secret_scan import redacted
 
 ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows that the rules keep, whole."""
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc_id"), docs["text"])
-    # a filter would be pushed below the measures, and each of them written out again wherever it is used
-    kept = F.when(F.col("kept"), F.array("doc_id")).otherwise(F.slice(F.array("doc_id"), 1, 0))
-    return measured(rows, references(docs)).select(F.explode(kept).alias("row")).select("row.*")
+    """The rows that the rules keep, whole.
+
+    A verdict follows from the text alone, so that rows go by the key of their text: null and empty texts go, equal texts go
+    or stay together, and rows with a null doc_id are judged like others. An empty table stays empty.
+    """
+    gone = verdicts(docs).where("not kept").select(F.col("key").alias("_key")).distinct()
+    gone = staged(gone, "rejected")
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), text_key(docs["text"]).alias("_key"))
+    left = keyed.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "_key", "left_anti")
+    return left.select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
