@@ -210,6 +210,23 @@ def test_near_copies_of_one_text(spark):
     assert got == {i: 0 for i in range(120)} | {200: 200}
 
 
+def test_rows_of_one_id_are_linked_each_with_its_text(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a), (5, a), (5, b), (7, b), (8, c), (9, c + " more"), (9, d), (9, None), (10, d), (None, a), (11, ""), (11, "")]
+    got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == collections.Counter([(1, 37, 1), (5, 37, 1), (5, 37, 1), (7, 37, 1), (8, 37, 8), (9, 38, 8), (9, 37, 8), (9, 0, 9), (10, 37, 8), (None, None, None), (11, 0, 11), (11, 0, 11)])
+
+
+def test_components_of_large_stars(spark, monkeypatch):
+    from trellis.llm import components as c
+
+    monkeypatch.setattr(c, "MANY", 1)
+    monkeypatch.setattr(c, "STAR_LINKS", 8)
+    links = [(i, 0) for i in range(1, 60)] + [(i, 59) for i in range(60, 90)] + [(200, 201)]
+    got = {r["node"]: r["component"] for r in c.components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == {i: 0 for i in range(90)} | {200: 200, 201: 200}
+
+
 def test_components(spark):
     links = [(i + 1, i) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "u long, v long")).collect()}

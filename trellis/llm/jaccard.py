@@ -21,16 +21,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trellis.llm.common import Texts, U, column, documents, pick, splitmix, staged, text_slices, windows
+from trellis.llm.common import Texts, U, column, documents, pick, released, splitmix, staged, text_slices, windows
 from trellis.llm.components import components
 
 SHINGLE, PERCENT = 4, 85
 #: Most bits of the slot number in the table of counts, slots that are summed up by one task, entries of a bucket of
 #: lists, pairs of a task that verifies, and ids that are broadcast at most (8 MB).
-MAX_BITS, PART_SLOTS, BUCKET_ENTRIES, TASK_PAIRS, BROADCAST_IDS = 22, 1 << 16, 400_000, 500, 1_000_000
+MAX_BITS, PART_SLOTS, BUCKET_ENTRIES, TASK_PAIRS, BROADCAST_IDS = 22, 1 << 16, 400_000, 128, 500_000
+#: Tasks whose tables of counts are added up together, before these sums are.
+TABLE_TASKS = 256
 #: Lists of more entries are first linked in parts of about that many, in so many rounds at most.
 LONG_LIST, ROUNDS = 32, 4
 ENTRY = np.dtype([("token", np.uint64), ("g", np.int64), ("n", np.int32), ("at", np.int32)])
@@ -78,32 +81,42 @@ def slot_classes(rows: DataFrame, k: int, bits: int) -> np.ndarray:
                     counts += np.bincount(slots, minlength=size).astype(np.uint32)
                 else:
                     np.add.at(counts, slots, 1)
-        wide = counts.astype("<u4") if counts.max(initial=0) > 255 else counts.astype(np.uint8)
-        yield pa.record_batch({"part": pa.array(range(size // part), pa.int32()), "size": pa.array([wide.itemsize] * (size // part), pa.int32()), "counts": pa.array([wide[i : i + part].tobytes() for i in range(0, size, part)], pa.binary())})
+        wide = counts if counts.max(initial=0) > 255 else counts.astype(np.uint8)
+        yield _table([(TaskContext.get().partitionId() // TABLE_TASKS, i // part, wide.itemsize, wide[i : i + part].tobytes()) for i in range(0, size, part)])
+        released()
 
     def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         total = np.zeros(part, np.float64)
         for n, raw in zip(table["size"].to_pylist(), table["counts"].to_pylist(), strict=True):
-            total += np.frombuffer(raw, np.uint8 if n == 1 else "<u4")
-        classes = np.minimum(2 * np.log2(1 + total), 255).astype(np.uint8)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "classes": pa.array([classes.tobytes()], pa.binary())})
+            total += np.frombuffer(raw, {1: np.uint8, 4: np.uint32, 8: np.float64}[n])
+        if len(key) == 1:
+            total = np.minimum(2 * np.log2(1 + total), 255).astype(np.uint8)
+        return pa.Table.from_batches([_table([(0, key[-1].as_py(), total.itemsize, total.tobytes())])])
 
     out = np.zeros(size, np.uint8)
-    for r in rows.select("text").mapInArrow(gather, "part int, size int, counts binary").groupBy("part").applyInArrow(add, "part int, classes binary").toLocalIterator():
-        out[r["part"] * part : (r["part"] + 1) * part] = np.frombuffer(bytes(r["classes"]), np.uint8)
+    once = rows.select("text").mapInArrow(gather, TABLE).groupBy("tasks", "part").applyInArrow(add, TABLE)
+    for r in once.groupBy("part").applyInArrow(add, TABLE).toLocalIterator():
+        out[r["part"] * part : (r["part"] + 1) * part] = np.frombuffer(bytes(r["counts"]), np.uint8)
     return out
 
 
+TABLE = "tasks long, part int, size int, counts binary"
+
+
+def _table(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["tasks", "part", "size", "counts"])
+
+
 def needed(n: int, percent: int) -> int:
     """The least overlap of a set of n with a similar one."""
     return -(-percent * n // 100)
 
 
-FOUND = "kind int, a long, g long, n int, s1 long, s2 long, at int, center long"
+FOUND = "kind int, a long, th long, g long, n int, s1 long, s2 long, at int, center long"
 
 
 def prefix_lists(rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of kind 0, a row per document: a = doc_id, its group g, size n and two hashes of its set. Of kind 1, a row per place of a
+    """Of kind 0, a row per document: a = doc_id, th = the hash of its text, its group g, size n and two hashes of its set. Of kind 1, a row per place of a
     group in a list of two groups or more: a = the shingle, g, n, at = the place in the prefix, center = the list's group of the first place."""
     count = rows.count()
     bits = min(MAX_BITS, max(12, math.ceil(math.log2(max(1, count))) + 4))
@@ -133,7 +146,7 @@ def prefix_lists(rows: DataFrame, k: int, percent: int) -> DataFrame:
                         e["token"], e["g"], e["n"], e["at"] = head, g, n, np.arange(len(head))
                         entries.append(e)
             docs = column(batch, "doc_id").cast(pa.int64())
-            table = pa.table({"a": docs, "g": group, "n": size, "s1": s1, "s2": s2}).to_batches()[0] if batch.num_rows else None
+            table = pa.table({"a": docs, "th": column(batch, "th"), "g": group, "n": size, "s1": s1, "s2": s2}).to_batches()[0] if batch.num_rows else None
             if table is not None:
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, table.schema) as out:
@@ -147,8 +160,9 @@ def prefix_lists(rows: DataFrame, k: int, percent: int) -> DataFrame:
                 e, home = e[order], home[order]
                 cuts = np.flatnonzero(np.r_[True, home[1:] != home[:-1], True])
                 yield pa.record_batch({"kind": pa.array([1] * (len(cuts) - 1), pa.int32()), "key": pa.array(home[cuts[:-1]]), "payload": pa.array([e[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+        released()
 
-    kinds = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("g", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("at", pa.int32()), ("center", pa.int64())])
+    kinds = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("th", pa.int64()), ("g", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("at", pa.int32()), ("center", pa.int64())])
 
     def settle(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         payloads = table["payload"].to_pylist()
@@ -156,7 +170,7 @@ def prefix_lists(rows: DataFrame, k: int, percent: int) -> DataFrame:
             docs = pa.concat_tables([pa.ipc.open_stream(p).read_all() for p in payloads])
             n = len(docs)
             zero32, zero64 = pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int64))
-            return pa.table([zero32, docs["a"], docs["g"], docs["n"], docs["s1"], docs["s2"], zero32, zero64], schema=kinds)
+            return pa.table([zero32, docs["a"], docs["th"], docs["g"], docs["n"], docs["s1"], docs["s2"], zero32, zero64], schema=kinds)
         e = np.concatenate([np.frombuffer(p, ENTRY) for p in payloads])
         e = e[np.lexsort((e["g"], e["at"], e["token"]))]
         new = np.r_[True, e["token"][1:] != e["token"][:-1]]
@@ -167,22 +181,22 @@ def prefix_lists(rows: DataFrame, k: int, percent: int) -> DataFrame:
         keep = np.repeat(sizes > 1, sizes)
         e, center = e[keep], center[keep]
         zero = np.zeros(len(e), np.int64)
-        return pa.table([pa.array(zero.astype(np.int32) + 1, pa.int32()), pa.array(e["token"].view(np.int64).copy()), pa.array(e["g"].copy()), pa.array(e["n"].copy()), pa.array(zero), pa.array(zero), pa.array(e["at"].copy()), pa.array(center)], schema=kinds)
+        return pa.table([pa.array(zero.astype(np.int32) + 1, pa.int32()), pa.array(e["token"].view(np.int64).copy()), pa.array(zero), pa.array(e["g"].copy()), pa.array(e["n"].copy()), pa.array(zero), pa.array(zero), pa.array(e["at"].copy()), pa.array(center)], schema=kinds)
 
     return rows.mapInArrow(gather, "kind int, key long, payload binary").groupBy("kind", "key").applyInArrow(settle, FOUND)
 
 
 def verified(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs (x, y) of doc_ids whose whole sets are similar enough, as (u, v)."""
-    ids = staged(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct(), "ids")
+    """Those of the pairs (x, y) of texts, struct<doc_id, th> each, whose whole sets are similar enough, as doc_ids (u, v)."""
+    ids = staged(pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct(), "ids")
     n, most = ids.count(), pairs.groupBy("y").count().agg(F.max("count")).first()[0]
     if not n:
-        return pairs.select(F.col("x").alias("u"), F.col("y").alias("v"))
+        return pairs.select(F.col("x.doc_id").alias("u"), F.col("y.doc_id").alias("v"))
     salts = -(-most // TASK_PAIRS)
-    asked = rows.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    asked = rows.select(F.struct("doc_id", "th").alias("node"), "text").join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
     dealt = pairs.withColumn("s", F.pmod(F.hash("x"), F.lit(salts)).cast("int"))
-    left = dealt.join(asked.withColumnRenamed("doc_id", "x"), "x")
-    right = dealt.select("y", "s").distinct().join(asked.withColumnRenamed("doc_id", "y"), "y").select(F.col("y").alias("of"), F.col("s").alias("part"), F.col("text").alias("whole"))
+    left = dealt.join(asked.withColumnRenamed("node", "x"), "x").select(F.col("x.doc_id").alias("x"), F.col("y.doc_id").alias("y"), F.col("y.th").alias("y_th"), F.col("s").alias("salt"), "text")
+    right = dealt.select("y", "s").distinct().join(asked.withColumnRenamed("node", "y"), "y").select(F.col("y.doc_id").alias("of"), F.col("y.th").alias("of_th"), F.col("s").alias("part"), F.col("text").alias("whole"))
 
     def sets(table: pa.Table, name: str) -> list[np.ndarray]:
         out = []
@@ -204,12 +218,12 @@ def verified(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFra
                         v.append(y_id)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    return left.groupBy("y", "s").cogroup(right.groupBy("of", "part")).applyInArrow(compare, "u long, v long")
+    return left.groupBy("y", "y_th", "salt").cogroup(right.groupBy("of", "of_th", "part")).applyInArrow(compare, "u long, v long")
 
 
 def _open_lists(lists: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
     """(t, token, rep, c, n, at, entries): the members of the lists (t = 0) and of the groups (t = 1) that hold several components."""
-    tied = sets.select("rep", "g", "n").join(components(links).withColumnsRenamed({"node": "rep", "component": "c"}), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+    tied = sets.select("rep", "g", "n").join(components(links), F.col("rep.doc_id") == F.col("node"), "left").select("rep", "g", "n", F.coalesce("component", "rep.doc_id").alias("c"))
     tied = staged(tied, "tied")
     placed = lists.select("token", "g", "at").join(tied, "g").select(F.lit(0).alias("t"), "token", "rep", "c", "n", "at")
     placed = placed.union(tied.select(F.lit(1).alias("t"), F.col("g").alias("token"), "rep", "c", "n", F.lit(0).alias("at")))
@@ -230,16 +244,16 @@ def _close(percent: int) -> Column:
 def similar_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs: the smallest doc_id that it reaches over links of similar sets.
 
-    Null and empty texts, and texts without words, have no shingles and are their own components. Rows that share a
-    doc_id are linked with each other, and stand for their least text when sets are compared. Rows with a null doc_id
-    take no part and get a null component. doc_id is an integer; an empty table gives no rows. Other columns are not
-    read.
+    Null and empty texts, and texts without words, have no shingles and are their own components, also where another row
+    has the same doc_id. Other rows that share a doc_id are linked with each other, each with its own text. Rows with a
+    null doc_id take no part and get a null component. doc_id is an integer; an empty table gives no rows. Other columns
+    are not read.
     """
-    rows = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("th", F.xxhash64("text"))
     known = rows.where(F.col("doc_id").isNotNull())
     found = staged(prefix_lists(known, k, percent), "lists")
-    members = found.where("kind = 0").select(F.col("a").alias("doc_id"), "g", "n", "s1", "s2")
-    sets = staged(members.where("n > 0").groupBy("s1", "s2", "n", "g").agg(F.min("doc_id").alias("rep")), "sets")
+    members = found.where("kind = 0").select(F.col("a").alias("doc_id"), "th", "g", "n", "s1", "s2")
+    sets = staged(members.where("n > 0").groupBy("s1", "s2", "n", "g").agg(F.min(F.struct("doc_id", "th")).alias("rep")), "sets")
     lists = found.where("kind = 1").select(F.col("a").alias("token"), "g", "n", "at", "center")
     firsts = sets.groupBy("g").agg(F.min("rep").alias("first"))
 
@@ -248,7 +262,11 @@ def similar_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     stars = lists.where("g <> center").groupBy("g", "center").count().withColumn("r", F.row_number().over(often)).where("r <= 2").select("g", "center")
     across = stars.join(firsts, "g").withColumnRenamed("first", "x").join(firsts.select(F.col("g").alias("center"), F.col("first").alias("y")), "center").select("x", "y")
     within = sets.join(firsts, "g").where("rep <> first").select(F.col("rep").alias("x"), F.col("first").alias("y"))
-    links = staged(verified(staged(across.union(within).distinct(), "pairs"), known, k, percent), "links")
+    # the sets of one doc_id
+    of_id = F.struct("s1", "s2", "n")
+    several = members.where("n > 0").groupBy("doc_id").agg(F.min(of_id).alias("lo"), F.max(of_id).alias("hi")).where("lo <> hi").select("doc_id")
+    own = members.join(several, "doc_id").join(sets, ["s1", "s2", "n", "g"]).select(F.col("doc_id").alias("u"), F.col("rep.doc_id").alias("v")).where("u <> v")
+    links = staged(verified(staged(across.union(within).distinct(), "pairs"), known, k, percent).union(own), "links")
 
     # long lists: each member and the first of its shuffled part of the list, until no further link turns up
     for turn in range(ROUNDS):
@@ -276,8 +294,7 @@ def similar_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     rest = staged(both.select(F.greatest("rep1", "rep2").alias("x"), F.least("rep1", "rep2").alias("y")).distinct(), "rest")
     more = verified(rest, known, k, percent)
 
-    ends = components(links.union(more)).withColumnsRenamed({"node": "rep"})
-    named = sets.join(ends, "rep", "left").select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("n").alias("size"), F.coalesce("component", "rep").alias("component_id"))
+    named = sets.join(components(links.union(more)), F.col("rep.doc_id") == F.col("node"), "left").select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("n").alias("size"), F.coalesce("component", "rep.doc_id").alias("component_id"))
     same = (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")) & (F.col("n") == F.col("size"))
     out = members.join(named, same, "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.union(rows.where(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("long"), F.lit(None).cast("long")))
