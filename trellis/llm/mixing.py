@@ -1,11 +1,12 @@
 """Mixing sources to target weights by weighted fair queueing, in DataFrame operations only.
 
 The documents of a source wait in a shuffled queue, again and again up to max_epochs times. A copy's virtual finish time is
-the number of its source's words up to its end, divided by the source's target. All copies are served in the order of
-these times until the total budget is spent: at virtual time 1, when each source has been served its target. The copy in
-service then is served in part, or, where documents are served whole, the copies next to the cut are chosen anew, so that
-their words come nearest to what is left of the target. Targets above max_epochs times a source's size are cut there, and the excess is shared
-again by weight.
+the number of its source's words up to its end, divided by the source's target. A copy is served in packets: the words up to
+the moment at which its source has been served its target, which is virtual time 1, the word in service then, and those
+after it; most copies lie on one side and are one packet. All packets of all sources are range-sorted by their finish times, running totals are added up over
+the ranges, and the order is truncated where the total budget is spent; the packet there is served in part. Where documents
+are served whole, the copies next to the cut are chosen anew, so that their words come nearest to what is left of the target.
+Targets above max_epochs times a source's size are cut there, and the excess is shared again by weight.
 
 Running sums over a source are split into buckets by a hash of the document, whose number follows the row count, so that
 no task holds a source: sums per bucket are added up first, and each bucket's rows after that.
@@ -23,6 +24,8 @@ WEIGHTS, MAX_EPOCHS = (5.0, 2.0, 1.0), 3
 BUCKET_ROWS = 2_000
 #: Copies on each side of the cut that are chosen anew where documents are served whole; all of their subsets are tried.
 NEAR_CUT = 6
+#: Packets of a range of the global order, and ranges at most; one sum for each comes to the driver.
+RANGE_ROWS, MAX_RANGES = 200_000, 10_000
 #: Sources with a row each that are broadcast at most.
 BROADCAST_SOURCES = 20_000
 
@@ -73,25 +76,67 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int
     starts = starts.withColumnsRenamed({"source": "_s", "_bucket": "_b"})
     inside = Window.partitionBy("source", "_bucket").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size", "_text")
     so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.select("*", F.sum("size").over(so_far).alias("_end"), *([F.sum(filled).over(so_far).alias("_rank")] if whole else []))
+    rows = rows.select("*", F.sum("size").over(so_far).alias("_end"), F.row_number().over(inside).alias("_row"), *([F.sum(filled).over(so_far).alias("_rank")] if whole else []))
     rows = rows.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
     end = F.col("_before") + F.col("_end")
-    goal = F.round("target").cast("long")
-
-    def copy(epoch):
-        finish = end + epoch * F.col("source_size")
-        words = F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), goal - finish + F.col("size")))
-        return F.struct(epoch.cast("int").alias("epoch"), F.try_divide(finish.cast("double"), F.col("target")).alias("finish"), words.alias("words"))
 
     epochs = F.sequence(F.lit(0), F.lit(max_epochs - 1))
-    if whole:
-        rows = _whole(rows, end, goal, epochs)
-    else:
-        rows = rows.withColumn("copies", F.filter(F.transform(epochs, copy), lambda c: c["words"] > 0))
+    rows = _whole(rows, end, F.round("target").cast("long"), epochs) if whole else _truncated(rows, end, F.floor("target").cast("long"), epochs, budget)
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])
     return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "copies", "_text")
 
 
+def _truncated(rows: DataFrame, end: Column, goal: Column, epochs: Column, budget: float | None) -> DataFrame:
+    """Adds copies, with the words that they are served: packets in the global order of finish times, up to the budget."""
+    order = ["finish", "part", "source", "epoch", "bucket", "row"]
+    rows = staged(rows.select("doc_id", "source", "size", "source_size", "target", "_text", "_bucket", "_row", end.alias("_end"), goal.alias("_goal")), "queue")
+
+    def packets(epoch: Column) -> list[Column]:
+        last = F.col("_end") + epoch * F.col("source_size")
+        start, none = last - F.col("size"), F.lit(0).cast("long")
+        early = F.least(F.col("size"), F.greatest(none, F.col("_goal") - start))
+        at_one = F.when((start <= F.col("_goal")) & (F.col("_goal") < last) & (F.col("_goal") < F.col("target")), 1).otherwise(none)
+        # packets that start after their source's target are behind more words than the budget has
+        late = F.when(start <= F.col("_goal"), F.col("size") - early - at_one).otherwise(none)
+
+        def packet(part: int, to: Column, words: Column) -> Column:
+            exact = F.try_divide(to.cast("double"), F.col("target"))
+            finish = [F.least(exact, F.lit(1.0)), F.lit(1.0), F.greatest(exact, F.lit(1.0))][part]
+            key = [finish, F.lit(part), F.col("source"), epoch.cast("int"), F.col("_bucket"), F.col("_row")]
+            return F.struct(F.struct(*[c.alias(n) for c, n in zip(key, order, strict=True)]).alias("key"), words.alias("words"))
+
+        return [packet(0, start + early, early), packet(1, last, at_one), packet(2, last, late)]
+
+    every = F.flatten(F.transform(epochs, lambda e: F.array(*packets(e))))
+    queue = rows.where("size > 0").select(F.explode(F.filter(every, lambda p: p["words"] > 0)).alias("p")).select("p.key.*", "p.words")
+    total = rows.agg(F.sum("size"), F.count("*")).first()
+    spent = int(total[0] or 0) if budget is None else int(budget)
+    ranges = min(MAX_RANGES, max(1, -(-2 * total[1] // RANGE_ROWS)))
+    queue = staged(queue.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "packets")
+    before, cut = 0, None
+    for r in queue.groupBy("_range").agg(F.sum("words").alias("words")).orderBy("_range").collect():
+        if before + r["words"] > spent:
+            so_far = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+            inside = queue.where(F.col("_range") == r["_range"]).withColumn("_to", F.sum("words").over(so_far))
+            cut = inside.where(F.col("_to") + F.lit(before) > spent).orderBy(*order).limit(1).withColumn("_left", F.lit(spent - before) - F.col("_to") + F.col("words")).first()
+            break
+        before += r["words"]
+    kinds = dict(queue.dtypes)
+    at = None if cut is None else F.struct(*[F.lit(cut[n]).cast(kinds[n]).alias(n) for n in order])
+
+    def served(p: Column) -> Column:
+        if at is None:
+            return p["words"]
+        return F.when(p["key"] < at, p["words"]).when(p["key"] == at, F.least(p["words"], F.lit(cut["_left"]))).otherwise(F.lit(0).cast("long"))
+
+    def copy(epoch: Column) -> Column:
+        words = sum((served(p) for p in packets(epoch)), F.lit(0).cast("long"))
+        finish = F.try_divide((F.col("_end") + epoch * F.col("source_size")).cast("double"), F.col("target"))
+        return F.struct(epoch.cast("int").alias("epoch"), finish.alias("finish"), words.alias("words"))
+
+    return rows.withColumn("copies", F.filter(F.transform(epochs, copy), lambda c: (F.col("size") > 0) & (c["words"] > 0)))
+
+
 def _whole(rows: DataFrame, end: Column, goal: Column, epochs: Column) -> DataFrame:
     """Adds copies, each of a whole document: those well before the cut of their source, and the chosen ones next to it.
 
