@@ -312,6 +312,30 @@ def test_repeated_windows(spark, texts):
         assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"]) == (len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest())
 
 
+def test_subtrees_part_where_their_suffixes_do():
+    r = np.random.default_rng(2)
+    h = r.integers(0, 3, 600).astype(np.uint64)
+    for window in (20, 7, 3):
+        at = np.arange(len(h) - window + 1)
+        s = np.zeros(len(at), substrings.SUFFIX)
+        s["path"], s["doc"], s["at"] = substrings.paths(h, at, window), 1, at
+        order, depth = substrings.subtree(s, window)
+        cuts = substrings.depths(window)
+        for x, y, d in zip(order[:-1], order[1:], depth[1:]):
+            common = next((k for k in range(window) if h[x + k] != h[y + k]), window)
+            assert d == max(c for c in cuts if c <= common)
+        first = {tuple(h[i : i + window]): i for i in at[::-1]}
+        order, _, again = substrings.leaves(s, window)
+        assert sorted(order[again].tolist()) == [i for i in at if first[tuple(h[i : i + window])] != i]
+
+
+def test_spans_of_what_goes(spark):
+    w = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(w)), (2, " ".join(["a", *w[5:40], "b"])), (3, " ".join(w[:19])), (None, " ".join(w))]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], [tuple(s) for s in r["spans"]]) for r in substrings.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (60, 0, []), 2: (37, 35, [(1, 36)]), 3: (19, 0, []), None: (60, 60, [(0, 60)])}
+
+
 def test_rules(spark, texts):
     got = run(spark, "op10_quality_rules")
     for i, t in texts.items():

@@ -4,15 +4,19 @@ The suffixes that matter begin at the windows of `window` words. Three passes ov
 
 1. Each window has an anchor, the smallest hash of its half-length word sequences, so that equal windows have equal anchors.
    Anchors that occur at two places or more set a bit in a map of bounded size; windows without that bit repeat nowhere.
-   The same pass counts suffixes by hashes of their first 1, 2, 4 and 8 words, in tables of fixed size.
+   The same pass counts suffixes by hashes of their first 1, 2, 4 and 8 words.
 2. The suffixes left are split by prefixes: a prefix that starts too many of them is made longer, up to a whole window,
-   and prefixes are gathered to groups that fit into memory. Each block of documents first keeps, of suffixes with one
-   window, its own earliest, and marks the others as repeats at once, so that a passage of very many documents is sent
-   once a block. A group sorts its suffixes along the levels of its tree. Internal nodes as deep as a window are the
-   repeats; the earliest leaf of such a node stays.
-3. Repeats go to their documents, in groups of documents, and the words that they cover are taken out.
-
-A false bit costs work and changes nothing. Windows are compared by hashes of 64 bits, twice, of different kinds.
+   and prefixes are gathered to groups that fit into memory. A suffix goes as its path from the root: up to EDGES edges of
+   a few words each, a hash an edge, down to the depth of a window. A group sorts its suffixes by their paths, so that
+   neighbours have their common prefixes at hand; the depth at which neighbours part is that of an internal node of the
+   subtree. Nodes as deep as a window hold what repeats; of their leaves the earliest stays and all others are repeats.
+   Each task does the same first with what it reads, and sends one leaf of each of its deep nodes, so that a passage of
+   very many documents is sent once a task.
+3. Repeats go to their documents, in groups of documents, and the words that they cover are taken out; repeats that start
+   one after another make a maximal one, whose span is returned.
+
+Nodes below the depth of a window change nothing in what repeats, so that paths end there. A false bit costs work and
+changes nothing. Two windows are the same when the hashes of all of their edges are, 32 bits each, 160 together.
 """
 
 from __future__ import annotations
@@ -26,12 +30,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm.common import Texts, U, Words, column, documents, pick, splitmix, text_slices, windows
+from trellis.llm.common import U, Words, column, documents, pick, released, splitmix, text_slices, windows
 
 WINDOW = 20
-#: Lengths of prefixes that are counted, slots of each table, suffixes of a group, documents of a last group, and the
-#: most bits of the map of anchors.
-LEVELS, SLOTS, GROUP_SUFFIXES, GROUP_ROWS, MAX_BITS = (1, 2, 4, 8), 1 << 14, 1_000_000, 1_000, 28
+#: Edges of a path from the root to the depth of a window.
+EDGES = 5
+#: Lengths of prefixes that are counted, least and most bits of a slot of their tables, suffixes of a group, groups that
+#: there are at least on large inputs, documents of a last group, and the most bits of the map of anchors.
+LEVELS, SLOT_BITS, GROUP_SUFFIXES, LEAST_GROUPS, GROUP_ROWS, MAX_BITS = (1, 2, 4, 8), (14, 20), 1_000_000, 256, 1_000, 28
+#: Suffixes that a task holds before it sends them off.
+HELD_SUFFIXES = 1 << 20
 #: A place in a slice of texts; one text has fewer words than that.
 PLACE_BITS = U(28)
 #: Tasks whose tables of prefixes are added up together, before the driver adds up the sums.
@@ -66,8 +74,8 @@ def _anchor_bits(keys: np.ndarray) -> np.ndarray:
     return splitmix(keys >> PLACE_BITS)
 
 
-def _slot(h: np.ndarray, level: int) -> np.ndarray:
-    return (windows(h, level, seed=level) >> U(64 - 14)).astype(np.int64)
+def _slot(h: np.ndarray, level: int, slots: int) -> np.ndarray:
+    return (windows(h, level, seed=level) % U(slots)).astype(np.int64)
 
 
 def _packed(kind: int, keys: np.ndarray, values: np.ndarray) -> list[tuple[int, int, bytes]]:
@@ -96,10 +104,11 @@ def shared_anchors(rows: DataFrame, window: int, n_rows: int) -> tuple[np.ndarra
     What comes to the driver is the map, at most 2**MAX_BITS bits, and the tables.
     """
     bits = min(MAX_BITS, max(18, math.ceil(math.log2(max(1, n_rows) * 400))))
+    slots_of = 1 << min(max(SLOT_BITS[0], math.ceil(math.log2(max(1, n_rows)) - 6)), SLOT_BITS[1])
     buckets = min(1 << (bits - 10), 1 << max(8, math.ceil(math.log2(max(1, n_rows) / 4_000))))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [np.zeros(SLOTS, np.int64) for _ in LEVELS]
+        counts = [np.zeros(slots_of, np.int64) for _ in LEVELS]
         for batch in batches:
             found = []
             for _, texts in text_slices(batch, "text"):
@@ -110,13 +119,14 @@ def shared_anchors(rows: DataFrame, window: int, n_rows: int) -> tuple[np.ndarra
                 keys = _anchors(h, window)[ok]
                 found.append(_anchor_bits(np.unique(keys)))
                 for table, level in zip(counts, LEVELS, strict=True):
-                    table += np.bincount(_slot(h, level)[: len(ok)][ok], minlength=SLOTS)
+                    np.add.at(table, _slot(h, level, slots_of)[: len(ok)][ok], 1)
             if found:
                 anchors, n = np.unique(np.concatenate(found), return_counts=True)
                 marked = (anchors & ~U(1)) | (n > 1).astype(U)
                 yield _batch(_packed(0, (anchors >> U(64 - int(math.log2(buckets)))).astype(np.int64), marked))
         first = TaskContext.get().partitionId() // TABLE_TASKS * len(LEVELS)
         yield _batch([(1, first + i, t.tobytes()) for i, t in enumerate(counts)])
+        released()
 
     def settle(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         if key[0].as_py() == 1:
@@ -132,7 +142,7 @@ def shared_anchors(rows: DataFrame, window: int, n_rows: int) -> tuple[np.ndarra
 
     share = (1 << bits) // 8 // buckets
     bit_map = np.zeros((1 << bits) // 8, np.uint8)
-    tables = [np.zeros(SLOTS, np.int64) for _ in LEVELS]
+    tables = [np.zeros(slots_of, np.int64) for _ in LEVELS]
     for r in rows.select("text").mapInArrow(gather, ROW).groupBy("kind", "key").applyInArrow(settle, ROW).toLocalIterator():
         if r["kind"]:
             tables[r["key"] % len(LEVELS)] += np.frombuffer(bytes(r["payload"]), np.int64)
@@ -149,7 +159,7 @@ def prefix_groups(tables: list[np.ndarray], most: int) -> tuple[list[np.ndarray]
     """
     out, group, size, left = [], 0, 0, 1.0
     for table in tables:
-        homes = np.full(SLOTS, -1, np.int64)
+        homes = np.full(len(table), -1, np.int64)
         for slot in np.flatnonzero((table <= most) & (table > 0)).tolist():
             n = int(table[slot] * left) + 1
             if size and size + n > most:
@@ -162,35 +172,60 @@ def prefix_groups(tables: list[np.ndarray], most: int) -> tuple[list[np.ndarray]
     return out, group + 1 + rest
 
 
-RECORD = np.dtype([("tree", np.uint64), ("node", np.uint64), ("doc", np.int64), ("at", np.int64)])
+SUFFIX = np.dtype([("path", np.uint32, (EDGES,)), ("doc", np.int64), ("at", np.int32)])
 PLACE = np.dtype([("doc", np.int64), ("at", np.int64)])
 
 
-def _later(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorts suffixes along the tree; of those below one node as deep as a window, the earliest and the rest, by place."""
-    r = r[np.lexsort((r["at"], r["doc"], r["node"], r["tree"]))]
-    same = np.zeros(len(r), bool)
-    same[1:] = (r["node"][1:] == r["node"][:-1]) & (r["tree"][1:] == r["tree"][:-1])
-    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(r)))) if len(r) else np.empty(0, np.int64)
-    again = same & ((r["doc"] != r["doc"][first]) | (r["at"] != r["at"][first]))
-    return r[~same], r[again]
+def depths(window: int) -> list[int]:
+    """The depths, in words, at which the edges of a path begin and end; EDGES of them, some empty where a window is short."""
+    return [window * i // EDGES for i in range(EDGES + 1)]
+
+
+def paths(h: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """The paths of the suffixes that start at words at: a hash of the words of each edge."""
+    out = np.zeros((len(at), EDGES), np.uint32)
+    cuts = depths(window)
+    for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if b > a:
+            out[:, i] = (windows(h, b - a, seed=11 + i)[at + a] >> U(32)).astype(np.uint32)
+    return out
+
+
+def subtree(r: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of suffixes along their tree, equal ones by place, and the depth of the node at which each parts from the one before it."""
+    p = r["path"].astype(np.uint64)
+    order = np.lexsort((r["at"], r["doc"], p[:, 4], p[:, 2] << U(32) | p[:, 3], p[:, 0] << U(32) | p[:, 1]))
+    p = r["path"][order]
+    common = np.zeros(len(r), np.int64)
+    common[1:] = np.logical_and.accumulate(p[1:] == p[:-1], axis=1).sum(1)
+    return order, np.array(depths(window))[common]
+
+
+def leaves(r: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of subtree(); which of its suffixes are the first below their node as deep as a window (all others are
+    alone below none, or below the same one); and which are repeats: below such a node, at another place than the first."""
+    order, depth = subtree(r, window)
+    first = depth < window
+    early = np.maximum.accumulate(np.where(first, np.arange(len(r)), 0)) if len(r) else np.empty(0, np.int64)
+    doc, at = r["doc"][order], r["at"][order]
+    return order, first, ~first & ((doc != doc[early]) | (at != at[early]))
 
 
 def repeats(rows: DataFrame, window: int, homes: int) -> DataFrame:
     """(home, payload): places (doc, at) of the windows whose words also start earlier, for groups of documents by a hash of doc_id."""
     sc = rows.sparkSession.sparkContext
     bit_map, tables, bits = shared_anchors(rows, window, rows.count())
-    groups, n_groups = prefix_groups(tables, GROUP_SUFFIXES)
+    groups, n_groups = prefix_groups(tables, min(GROUP_SUFFIXES, max(20_000, int(tables[0].sum()) // LEAST_GROUPS)))
     last = max(int(g.max()) for g in groups) + 1 if groups else 0
     sent = sc.broadcast((bit_map, groups))
 
-    def group_of(h: np.ndarray, at: np.ndarray, node: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
+    def group_of(h: np.ndarray, at: np.ndarray, path: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
         out = np.full(len(at), -1, np.int64)
         for level, table in zip(LEVELS, levels, strict=True):
             open_ = out < 0
-            out[open_] = table[_slot(h, level)[at[open_]]]
+            out[open_] = table[_slot(h, level, len(table))[at[open_]]]
         whole = out < 0
-        out[whole] = last + (splitmix(node[whole]) % U(max(1, n_groups - last))).astype(np.int64)
+        out[whole] = last + (splitmix((path[whole, 0].astype(U) << U(32) | path[whole, 1]) ^ path[whole, 3]) % U(max(1, n_groups - last))).astype(np.int64)
         return out
 
     def home_of(docs: np.ndarray) -> np.ndarray:
@@ -203,9 +238,17 @@ def repeats(rows: DataFrame, window: int, homes: int) -> DataFrame:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, levels = sent.value
+        parts, whose = [], []
+
+        def sorted_off() -> Iterator[pa.RecordBatch]:
+            r, group = np.concatenate(parts), np.concatenate(whose)
+            order, first, again = leaves(r, window)
+            yield _batch(_packed(0, group[order[first]], r[order[first]]))
+            if again.any():
+                yield _batch(places(r[order[again]]))
+
         for batch in batches:
             ids = column(batch, "doc_id").cast(pa.int64()).fill_null(int(NO_ID)).to_numpy()
-            parts, whose = [], []
             for row, texts in text_slices(batch, "text"):
                 words = texts.words()
                 h, ok = words.hashes(), _valid(words, window)
@@ -217,36 +260,30 @@ def repeats(rows: DataFrame, window: int, homes: int) -> DataFrame:
                 if not len(at):
                     continue
                 owner = words.owner()[at]
-                r = np.empty(len(at), RECORD)
-                r["tree"], r["node"] = windows(h, window, seed=1)[at], windows(h, window, seed=2)[at]
-                r["doc"], r["at"] = ids[row + owner], at - words.first[owner]
+                r = np.empty(len(at), SUFFIX)
+                r["path"], r["doc"], r["at"] = paths(h, at, window), ids[row + owner], at - words.first[owner]
                 parts.append(r)
-                whose.append(group_of(h, at, r["node"], levels))
-            if not parts:
-                continue
-            r, group = np.concatenate(parts), np.concatenate(whose)
-            # a window's group follows from its words, so that it can ride in the sort as a lookup by its first suffix
-            order = np.lexsort((r["at"], r["doc"], r["node"], r["tree"]))
-            r, group = r[order], group[order]
-            early, late = _later(r)
-            same = np.zeros(len(r), bool)
-            same[1:] = (r["node"][1:] == r["node"][:-1]) & (r["tree"][1:] == r["tree"][:-1])
-            yield _batch(_packed(0, group[~same], early))
-            if len(late):
-                yield _batch(places(late))
+                whose.append(group_of(h, at, r["path"], levels))
+                if sum(map(len, parts)) > HELD_SUFFIXES:
+                    yield from sorted_off()
+                    parts, whose = [], []
+        if parts:
+            yield from sorted_off()
+        released()
 
     def settle(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         if key[0].as_py() == 1:
             return table
-        _, late = _later(_payloads(table, RECORD))
-        return pa.Table.from_batches([_batch(places(late))])
+        r = _payloads(table, SUFFIX)
+        order, _, again = leaves(r, window)
+        return pa.Table.from_batches([_batch(places(r[order[again]]))])
 
     found = rows.mapInArrow(gather, ROW).groupBy("kind", "key").applyInArrow(settle, ROW)
     return found.select(F.col("key").alias("home"), "payload")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed and text of each row: its kept words, joined by single spaces.
+    """doc_id, n_words, n_removed, text (the kept words, joined by single spaces) and spans (of the words that go) of each row.
 
     A word goes if it is covered by a window of consecutive words that also starts earlier: in a row with a smaller
     doc_id, or in the same one at an earlier word. Windows are judged on the input. Null and empty texts have no words.
@@ -262,10 +299,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         places = np.unique(_payloads(right, PLACE))
         ids = left["doc_id"].cast(pa.int64()).fill_null(int(NO_ID)).to_numpy()
         low, high = np.searchsorted(places["doc"], ids, "left"), np.searchsorted(places["doc"], ids, "right")
-        n_words, n_removed, out = [], [], []
+        n_words, n_removed, out, spans = [], [], [], []
         for text, a, b in zip(left["text"].to_pylist(), low.tolist(), high.tolist(), strict=True):
             words = (text or "").encode().split()
-            n = len(words)
+            n, gone = len(words), np.empty(0, np.int64)
             if b > a:
                 at = places["at"][a:b]
                 at = at[at < n]
@@ -274,14 +311,17 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 np.add.at(change, at + window, -1)
                 stay = np.cumsum(change)[:n] == 0
                 words = [words[i] for i in np.flatnonzero(stay).tolist()]
+                gone = np.flatnonzero(np.diff(np.r_[True, stay, True].astype(np.int8)))
             n_words.append(n)
             n_removed.append(n - len(words))
             out.append(b" ".join(words).decode())
-        return pa.table({"doc_id": left["doc_id"], "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "text": pa.array(out, pa.string())})
+            spans.append([{"start": x, "end": y} for x, y in gone.reshape(-1, 2).tolist()])
+        released()
+        return pa.table({"doc_id": left["doc_id"], "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "text": pa.array(out, pa.string()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))})
 
     number = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID)))
     homed = rows.withColumn("home", _home(number, homes))
-    return homed.groupBy("home").cogroup(repeats(rows, window, homes).groupBy("home")).applyInArrow(strip, f"doc_id {kind}, n_words long, n_removed long, text string")
+    return homed.groupBy("home").cogroup(repeats(rows, window, homes).groupBy("home")).applyInArrow(strip, f"doc_id {kind}, n_words long, n_removed long, text string, spans array<struct<start:long,end:long>>")
 
 
 def _home(number, homes: int):
