@@ -1,14 +1,16 @@
 """A quality classifier: random-indexing word vectors, pooled per document, and a two-layer network in numpy.
 
-Each word has two units: a slot of its hash, and its shape (letters, digits, marks, length, whether it repeats the word
-before). Units have fixed sparse index vectors; a unit's context vector is the sum of its neighbours' index vectors over all
-documents. A document is the mean of its words' vectors, the mean of the squares of their shapes' vectors, and how many of
+Each word has two units: itself, or a slot of its hash where it is too seldom, and its shape (letters, digits, marks, length,
+whether it repeats the word before). Words that occur often enough have vectors of their own, however many they are; what is
+enough grows with the square root of the corpus. Units have fixed sparse index vectors; a unit's context vector is the sum of
+its neighbours' index vectors over all documents. A document is the mean of its words' vectors, the mean of the squares of their shapes' vectors, and how many of
 its words are distinct. The network is trained on a bounded sample of labelled documents, and its temperature is fitted on
 labelled documents that it was not trained on.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,22 +20,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm.common import Texts, U, Words, column, documents, pick, splitmix, text_slices
+from trellis.llm.common import Texts, U, Words, column, documents, pick, released, splitmix, text_slices
+from trellis.llm.vocabulary import LEAST, frequent, word_counts
 
-#: Slots of words, dimensions of a vector, entries of an index vector that aren't zero, most labelled documents that are
-#: used, hidden units, steps of training, tasks whose tables are added up together, documents that are pooled at once.
-SLOTS, DIMS, ENTRIES, MAX_LABELLED, HIDDEN, STEPS, TABLE_TASKS, POOLED = 4096, 32, 2, 20_000, 32, 400, 256, 512
+#: Slots of seldom words, dimensions of a vector, entries of an index vector that aren't zero, most labelled documents that
+#: are used, hidden units, steps of training, tasks whose tables are added up together, documents that are pooled at once.
+SLOTS, DIMS, ENTRIES, MAX_LABELLED, HIDDEN, STEPS, TABLE_TASKS, POOLED = 4096, 32, 2, 20_000, 32, 400, 256, 256
+#: The least count of a word with a vector of its own, as a part of the square root of all words; rows for a bucket of counts.
+ROOT_SHARE, BUCKET_ROWS = 0.05, 16_000
 
 _CLASS = np.zeros(256, np.int64)  # 0 mark, 1 upper, 2 lower, 3 digit, 4 symbol, 5 beyond ASCII
 _CLASS[65:91], _CLASS[97:123], _CLASS[48:58], _CLASS[128:] = 1, 2, 3, 5
 _CLASS[np.frombuffer(b"#*$%&|<>@=_+/\\{}[]~^", np.uint8)] = 4
 SHAPES = 3 * 2 * 2 * 3 * 6 * 4 * 2
-UNITS = SLOTS + SHAPES
 FEATURES = 3 * DIMS + 2
 
 
-def units(words: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The slot and the shape of each word, shapes from SLOTS on."""
+def units(words: Words, h: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The unit and the shape of each word: words of the table (ascending hashes) first, then the slots, then shapes."""
     kinds = _CLASS[words.data]
     long = np.minimum(np.searchsorted([3, 7, 12], words.ends - words.starts, "left"), 3)
 
@@ -47,73 +51,84 @@ def units(words: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     again = np.zeros(len(h), np.int64)
     again[1:] = h[1:] == h[:-1]
     again[words.first[:-1][words.counts() > 0]] = 0
-    return (h % U(SLOTS)).astype(np.int64), SLOTS + shape * 2 + again
+    own = len(table) + (h % U(SLOTS)).astype(np.int64)
+    if len(table):
+        near = np.minimum(np.searchsorted(table, h), len(table) - 1)
+        own = np.where(table[near] == h, near, own)
+    return own, len(table) + SLOTS + shape * 2 + again
 
 
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of the entries of each unit's index vector."""
-    r = splitmix(np.arange(UNITS * ENTRIES, dtype=U) + U(0x1DE7)).reshape(UNITS, ENTRIES)
-    return (r % U(DIMS)).astype(np.int64), 1.0 - 2.0 * ((r >> U(40)) & U(1)).astype(float)
+def index_vectors(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the entries of each unit's index vector; a word's follow from its hash, whatever the table holds."""
+    seeds = np.r_[table, splitmix(np.arange(SLOTS + SHAPES, dtype=U) + U(0x1DE7))]
+    r = splitmix(seeds[:, None] ^ (np.arange(ENTRIES, dtype=U) + U(1)) * U(0x9E3779B97F4A7C15))
+    return (r % U(DIMS)).astype(np.int64), 1 - 2 * ((r >> U(40)) & U(1)).astype(np.int32)
 
 
-def word_vectors(docs: DataFrame) -> np.ndarray:
+def word_vectors(docs: DataFrame, table: np.ndarray) -> np.ndarray:
     """Index and context vectors of the units, each of length 1, added up; contexts come from all documents.
 
-    UNITS x DIMS numbers come to the driver.
+    DIMS numbers a unit come to the driver.
     """
-    place, sign = index_vectors()
+    n_units = len(table) + SLOTS + SHAPES
+    sent = docs.sparkSession.sparkContext.broadcast((table, *index_vectors(table)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(UNITS * DIMS)
+        table, place, sign = sent.value
+        total = np.zeros(n_units * DIMS, np.int32)
         for batch in batches:
             for _, texts in text_slices(batch, "text"):
                 words = texts.words()
                 if len(words.starts) < 2:
                     continue
-                both = units(words, words.hashes())
+                both = units(words, words.hashes(), table)
                 owner = words.owner()
                 near = np.flatnonzero(owner[1:] == owner[:-1])
                 for a in both:
                     for b in both:
                         for left, right in ((a[near], b[near + 1]), (a[near + 1], b[near])):
                             for j in range(ENTRIES):
-                                total += np.bincount(left * DIMS + place[right, j], sign[right, j], UNITS * DIMS)
+                                np.add.at(total, left * DIMS + place[right, j], sign[right, j])
         task = TaskContext.get().partitionId() // TABLE_TASKS
         parts = np.array_split(total, 8)
-        yield pa.record_batch({"tasks": pa.array([task] * 8, pa.int64()), "part": pa.array(range(8), pa.int32()), "sums": pa.array([p.tobytes() for p in parts], pa.binary())})
+        yield pa.record_batch({"tasks": pa.array([task] * 8, pa.int64()), "part": pa.array(range(8), pa.int32()), "wide": pa.array([False] * 8), "sums": pa.array([p.tobytes() for p in parts], pa.binary())})
+        released()
 
     def add(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(p, float) for p in rows["sums"].to_pylist())
-        return pa.table({"tasks": pa.array([0], pa.int64()), "part": pa.array([key[-1].as_py()], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+        total = sum(np.frombuffer(p, np.int64 if wide else np.int32).astype(np.int64) for wide, p in zip(rows["wide"].to_pylist(), rows["sums"].to_pylist(), strict=True))
+        return pa.table({"tasks": pa.array([0], pa.int64()), "part": pa.array([key[-1].as_py()], pa.int32()), "wide": [True], "sums": pa.array([total.tobytes()], pa.binary())})
 
-    schema = "tasks long, part int, sums binary"
+    schema = "tasks long, part int, wide boolean, sums binary"
     once = pick(docs, "text").mapInArrow(count, schema).groupBy("tasks", "part").applyInArrow(add, schema)
-    parts = {r["part"]: np.frombuffer(bytes(r["sums"]), float) for r in once.groupBy("part").applyInArrow(add, schema).toLocalIterator()}
-    contexts = np.concatenate([parts[i] for i in range(8)]).reshape(UNITS, DIMS) if parts else np.zeros((UNITS, DIMS))
-    contexts = contexts / np.maximum(np.linalg.norm(contexts, axis=1, keepdims=True), 1e-9)
-    own = np.zeros((UNITS, DIMS))
+    parts = {r["part"]: np.frombuffer(bytes(r["sums"]), np.int64) for r in once.groupBy("part").applyInArrow(add, schema).toLocalIterator()}
+    contexts = np.concatenate([parts[i] for i in range(8)]).reshape(n_units, DIMS).astype(np.float32) if parts else np.zeros((n_units, DIMS), np.float32)
+    contexts /= np.maximum(np.linalg.norm(contexts, axis=1, keepdims=True), 1e-9)
+    place, sign = index_vectors(table)
     for j in range(ENTRIES):
-        np.add.at(own, (np.arange(UNITS), place[:, j]), sign[:, j])
-    return (contexts + own / np.sqrt(ENTRIES)).astype(np.float32)
+        np.add.at(contexts, (np.arange(n_units), place[:, j]), sign[:, j] / np.float32(np.sqrt(ENTRIES)))
+    return contexts
 
 
-def pooled(texts: Texts, vectors: np.ndarray) -> np.ndarray:
+def pooled(texts: Texts, vectors: np.ndarray, table: np.ndarray) -> np.ndarray:
     """The features of each text; zeros for one without words."""
     words = texts.words()
     h, n = words.hashes(), words.counts()
-    slot, shape = units(words, h)
+    own, shape = units(words, h, table)
+    start = len(table) + SLOTS
     out = np.zeros((len(texts), FEATURES), np.float32)
-    squares = vectors[SLOTS:] ** 2
+    squares = vectors[start:] ** 2
     for a in range(0, len(texts), POOLED):
         b = min(a + POOLED, len(texts))
         part = slice(words.first[a], words.first[b])
         owner = np.repeat(np.arange(b - a), n[a:b])
         each = np.maximum(n[a:b, None], 1)
-        of_slots = np.bincount(owner * SLOTS + slot[part], minlength=(b - a) * SLOTS).reshape(b - a, SLOTS).astype(np.float32)
-        of_shapes = np.bincount(owner * SHAPES + shape[part] - SLOTS, minlength=(b - a) * SHAPES).reshape(b - a, SHAPES).astype(np.float32)
+        of_words = np.zeros((b - a, DIMS), np.float32)
+        if full := np.flatnonzero(n[a:b]).tolist():
+            of_words[full] = np.add.reduceat(vectors[own[part]], words.first[a:b][full] - words.first[a], axis=0)
+        of_shapes = np.bincount(owner * SHAPES + shape[part] - start, minlength=(b - a) * SHAPES).reshape(b - a, SHAPES).astype(np.float32)
         key = np.unique(splitmix(h[part]) >> U(16) | owner.astype(U) << U(48))
         distinct = np.bincount((key >> U(48)).astype(np.int64), minlength=b - a)
-        out[a:b] = np.hstack([of_slots @ vectors[:SLOTS] / each, of_shapes @ vectors[SLOTS:] / each, of_shapes @ squares / each, distinct[:, None] / each, np.log1p(n[a:b, None])])
+        out[a:b] = np.hstack([of_words / each, of_shapes @ vectors[start:] / each, of_shapes @ squares / each, distinct[:, None] / each, np.log1p(n[a:b, None])])
     return out
 
 
@@ -178,12 +193,15 @@ def quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(~held(F.col("doc_id")))
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    vectors = rows.sparkSession.sparkContext.broadcast(word_vectors(rows))
+    counts = word_counts(rows, max(16, -(-rows.count() // BUCKET_ROWS)), lower=False)
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    table = np.sort(frequent(counts, max(LEAST, math.ceil(ROOT_SHARE * math.sqrt(total))))[0])
+    vectors = rows.sparkSession.sparkContext.broadcast((word_vectors(rows, table), table))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in text_slices(batch, "text"):
-                x = pooled(texts, vectors.value)
+                x = pooled(texts, *vectors.value)
                 yield pa.record_batch([column(batch, "doc_id").slice(at, len(x)), column(batch, "y").slice(at, len(x)), pa.array([v.tobytes() for v in x], pa.binary())], names=["doc_id", "y", "x"])
 
     # at most max_labelled ids, so that they can be broadcast; one text for each
@@ -195,8 +213,9 @@ def quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in text_slices(batch, "text"):
-                p = network.probabilities(pooled(texts, vectors.value))
-                yield pa.record_batch([column(batch, "doc_id").slice(at, len(p)), column(batch, "held_out").slice(at, len(p)), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+                p = network.probabilities(pooled(texts, *vectors.value))
+                yield pa.record_batch([column(batch, "doc_id").slice(at, len(p)), column(batch, "held_out").slice(at, len(p)), pa.array(p.astype(np.float64)), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+        released()
 
     return rows.withColumn("held_out", held(F.col("doc_id"))).mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
 
