@@ -284,6 +284,19 @@ def test_exact_topk(spark):
     same(QUERIES["op7_exact_topk"](spark, SMALL), OP7_SQL, SMALL)
 
 
+def test_topk_in_rounds_and_beside_columns_that_clash(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    rows = [(i, r.integers(-300, 300, 6).astype(float).tolist() if i % 9 else [1.0] * 6, "x", i, 1) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, block string, id long, score int")
+    want = []
+    for q, a, *_ in rows[::20]:
+        found = sorted((-sum(int(x) * int(y) for x, y in zip(a, b)), i) for i, b, *_ in rows if i != q)[:7]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(found)]
+    for bins in (16, 1 << 16):
+        monkeypatch.setattr(topk, "BINS", bins)
+        assert sorted(tuple(x) for x in topk.exact_topk(df, "vec_id", "embedding", 7, 20, 1.0).collect()) == want
+
+
 def test_topk_of_odd_vectors(spark):
     rows = [(0, [1.0, 2.0]), (20, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, None), (4, [float("nan"), 1.0]), (5, [1.0]), (6, []), (None, [1.0, 2.0]), (7, [-1.0, 0.5]), (7, [-1.0, 0.5])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

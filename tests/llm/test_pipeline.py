@@ -74,6 +74,18 @@ def test_columns_that_clash_and_empty_tables(spark):
         now.collect()
 
 
+def test_rows_that_share_ids(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, "en", "a", 2), (1, text, "en", "a", 1), (1, "b " + text, "de", "a", 3), (None, text, "en", "b", 4), (None, text, "en", "b", 4), (2, text + " x", "en", "b", 5), (3, None, "en", None, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = pipeline.near_duplicates(spark, docs, SMALL)
+    assert sorted(map(tuple, left.collect()), key=repr) == sorted([(1, "b " + text, "de", "a", 3), *rows[3:5], rows[6]], key=repr)
+    mixed_rows = collections.Counter(tuple(r) for r in pipeline.source_mix(spark, docs, SMALL).collect())
+    taken = mixed(docs, whole=True).groupBy("doc_id", "source", "size").agg(F.sum(F.size("copies")).alias("n")).where("n > 0").collect()
+    assert {(r["doc_id"], r["size"]): r["n"] for r in taken} == {(i, len(t.split())): sum(n for k, n in mixed_rows.items() if (k[0], k[1]) == (i, t)) for i, t in {(k[0], k[1]) for k in mixed_rows}}
+    assert all(k[4] == 1 for k in mixed_rows if k[:2] == (1, text)) and all(k[1] for k in mixed_rows)
+
+
 def test_the_mix_serves_whole_documents(spark):
     r = np.random.default_rng(3)
     sizes = {"long": [60_000, 70, 90, 110], "small": [500, 800], **{f"s{k:02}": r.integers(60, 900, 7).tolist() for k in range(8)}, None: [40]}

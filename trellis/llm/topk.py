@@ -3,8 +3,9 @@
 Every query is scored against every candidate, block by block. Each round counts scores in bins of a range per query,
 finds the bin that holds the k-th highest score and narrows the range to it; scores are integers, so that the range
 ends as one value. A last pass keeps the scores above that value and, of those equal to it, the smallest ids that are
-still needed. A block counts only its highest bins, down to its own k-th score, and gives at most k rows a query, so
-that the rows between stages grow with queries and blocks, however often one vector is repeated.
+still needed. A block counts only its highest scores, down to its own k-th, and gives at most k rows a query, so that the
+rows between stages grow with queries and blocks, however often one vector is repeated. Blocks hold components in as few
+bytes as they need, since each block of candidates meets each block of queries.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from trellis.llm.common import pick, staged
 
-#: Rows of a block of queries, of a block of candidates, and bins of a round.
-QUERY_ROWS, BLOCK_ROWS, BINS = 1024, 8192, 256
+#: Rows of a block of queries, of a block of candidates, queries scored at once, and bins of a round.
+QUERY_ROWS, BLOCK_ROWS, SCORED, BINS = 4096, 8192, 256, 1 << 16
 PACKED = "block long, dim int, ids binary, vals binary"
 
 
@@ -41,7 +42,7 @@ def packed(rows: DataFrame, blocks: int) -> DataFrame:
         order = np.lexsort((*vals.T[::-1], ids))
         ids, vals = ids[order], vals[order]
         first = np.r_[True, ids[1:] != ids[:-1]]
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "dim": pa.array([key[1].as_py()], pa.int32()), "ids": pa.array([ids[first].tobytes()], pa.binary()), "vals": pa.array([vals[first].astype(np.int64).tobytes()], pa.binary())})
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "dim": pa.array([key[1].as_py()], pa.int32()), "ids": pa.array([ids[first].tobytes()], pa.binary()), "vals": pa.array([_narrow(vals[first]).tobytes()], pa.binary())})
 
     keyed = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.size("v").alias("dim"), "id", "v")
     return keyed.groupBy("block", "dim").applyInArrow(pack, PACKED)
@@ -55,8 +56,15 @@ def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return q @ c.T
 
 
-def _matrix(raw: bytes, dim: int) -> np.ndarray:
-    return np.frombuffer(raw, np.int64).reshape(-1, dim)
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """x in the smallest whole numbers that hold it."""
+    low, high = x.min(initial=0), x.max(initial=0)
+    return x.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
+
+
+def _matrix(raw: bytes, ids: np.ndarray, dim: int) -> np.ndarray:
+    kind = np.dtype(f"i{len(raw) // (len(ids) * dim)}")
+    return np.frombuffer(raw, kind).reshape(-1, dim).astype(np.int64)
 
 
 def exact_topk(df: DataFrame, id_col: str, vec_col: str, k: int, query_mod: int, scale: float) -> DataFrame:
@@ -97,27 +105,26 @@ def exact_topk(df: DataFrame, id_col: str, vec_col: str, k: int, query_mod: int,
 
 
 def _kth_bins(pairs: DataFrame, k: int, low: int, step: int, span: int, first: bool) -> DataFrame:
-    """(query, bin, n): how many scores lie in each of the bins that can hold the k-th, counted from the range's low end."""
+    """(query, bin, n): how many scores lie in each bin from the highest down to the one with the block's k-th, counted from the range's low end."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                q, c = _matrix(r["qvals"], r["dim"]), _matrix(r["vals"], r["dim"])
                 qids, ids = np.frombuffer(r["qids"], np.int64), np.frombuffer(r["ids"], np.int64)
+                q, c = _matrix(r["qvals"], qids, r["dim"]), _matrix(r["vals"], ids, r["dim"])
                 lows = np.full(len(qids), low, np.int64) if first else np.frombuffer(r["lows"], np.int64)
                 out_q, out_bin, out_n = [], [], []
-                for at in range(0, len(qids), 256):
-                    part = slice(at, at + 256)
+                for at in range(0, len(qids), SCORED):
+                    part = slice(at, at + SCORED)
                     off = _scores(q[part], c) - lows[part, None]
-                    bins = off // step
-                    bins[(off < 0) | (off >= span) | (qids[part, None] == ids[None, :])] = -1
-                    m = len(bins)
-                    n = np.bincount(((bins + 1) + np.arange(m)[:, None] * (BINS + 1)).ravel(), minlength=m * (BINS + 1)).reshape(m, -1)[:, 1:]
-                    above = np.cumsum(n[:, ::-1], 1)[:, ::-1] - n
-                    i, j = np.nonzero((n > 0) & (above < k))
-                    out_q.append(qids[part][i])
-                    out_bin.append(j)
-                    out_n.append(n[i, j])
+                    off[(off < 0) | (off >= span) | (qids[part, None] == ids[None, :])] = -1
+                    # what lies below a block's own k-th score can't be needed, and no bin above it misses anything
+                    nth = max(0, len(ids) - k)
+                    i, j = np.nonzero(off >= np.maximum(np.partition(off, nth, 1)[:, nth], 0)[:, None])
+                    codes, n = np.unique(i * (BINS + 1) + off[i, j] // step, return_counts=True)
+                    out_q.append(qids[part][codes // (BINS + 1)])
+                    out_bin.append(codes % (BINS + 1))
+                    out_n.append(n)
                 yield pa.record_batch({"qb": np.full(sum(map(len, out_q)), r["qb"]), "query_id": np.concatenate(out_q), "bin": np.concatenate(out_bin).astype(np.int32), "n": np.concatenate(out_n).astype(np.int64)})
 
     return pairs.mapInArrow(count, "qb long, query_id long, bin int, n long").groupBy("qb", "query_id", "bin").agg(F.sum("n").alias("n"))
@@ -161,11 +168,11 @@ def _kept(pairs: DataFrame, k: int) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                q, c = _matrix(r["qvals"], r["dim"]), _matrix(r["vals"], r["dim"])
                 qids, ids = np.frombuffer(r["qids"], np.int64), np.frombuffer(r["ids"], np.int64)
+                q, c = _matrix(r["qvals"], qids, r["dim"]), _matrix(r["vals"], ids, r["dim"])
                 lows, need = np.frombuffer(r["lows"], np.int64), np.frombuffer(r["need"], np.int64)
-                for at in range(0, len(qids), 256):
-                    part = slice(at, at + 256)
+                for at in range(0, len(qids), SCORED):
+                    part = slice(at, at + SCORED)
                     scores = _scores(q[part], c)
                     other = qids[part, None] != ids[None, :]
                     ties = (scores == lows[part, None]) & other
