@@ -35,32 +35,54 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows without those of a component whose doc_id isn't its smallest; one row of a doc_id stays. Null ids stay."""
+    """The rows without those of a component whose doc_id isn't its smallest.
+
+    Of rows that share a doc_id the one with the least text stays, then the one least in its other columns. Rows with a null
+    doc_id take no part and stay, and rows without words, which are linked with nothing. An empty table stays empty.
+    """
     found = staged(similar_components(docs, k=5, percent=80), "components")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
     n, rows, ids = gone.count(), *found.where("doc_id is not null").agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
-    left = docs.join(F.broadcast(gone) if n <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(F.broadcast(gone) if n <= BROADCAST_IDS else gone, docs["doc_id"] == F.col("_id"), "left_anti")
     if rows == ids:
         return left
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    row = F.struct("text", *[c for c in docs.columns if c != "text"])
+    several = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id")
+    once = left.join(several, left["doc_id"] == F.col("_id"), "left_semi").groupBy("doc_id").agg(F.min(row).alias("_row")).select("_row.*").select(*docs.columns)
+    return left.join(several, left["doc_id"] == F.col("_id"), "left_anti").unionByName(once)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, with secrets masked."""
+    """All rows, with secrets masked. Null and empty texts stay as they are, repeated rows are masked one by one, and null
+    ids play no part. An empty table stays empty."""
     return redacted(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy that the mix serves, whole, in the order of its virtual finish times."""
-    served = mixed(pick(docs, "doc_id", "text", "source"), whole=True).where("taken > 0").groupBy("doc_id", "_text").agg(F.first("copies").alias("_copies"))
-    served = served.withColumnsRenamed({"doc_id": "_id", "_text": "_hash"})
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"].alias("_doc"), F.xxhash64(docs["text"]).alias("_text"))
-    rows = rows.join(served, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))).withColumn("_copy", F.explode("_copies"))
-    return rows.orderBy("_copy.finish", "_text", "_copy.epoch").select("_row.*").select(*docs.columns)
+    """A row for each copy that the mix serves, whole, in the order of its virtual finish times.
+
+    Rows without words, null texts among them, are served nothing and go. A null source is one of its own. For rows equal in
+    doc_id, text and source, the one least in its other columns stands in all of their copies. An empty table stays empty.
+    """
+    key = ["_id", "_hash", "_source"]
+    met = lambda other: [F.col(c).eqNullSafe(other[f"{c}2"]) for c in key]
+    served = mixed(pick(docs, "doc_id", "text", "source"), whole=True).where(F.size("copies") > 0)
+    served = staged(served.select(F.col("doc_id").alias("_id2"), F.col("_text").alias("_hash2"), F.col("source").alias("_source2"), "copies"), "served")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"].alias("_id"), F.xxhash64(docs["text"]).alias("_hash"), docs["source"].alias("_source"))
+    several = staged(served.groupBy("_id2", "_hash2", "_source2").count().where("count > 1").drop("count"), "several")
+    if not several.isEmpty():
+        one = rows.join(several, met(several), "left_semi").groupBy(*key).agg(F.min("_row").alias("_row")).select("_row", *key)
+        rows = rows.join(several, met(several), "left_anti").union(one)
+    copies = rows.join(served, met(served)).select("_row", "_hash", F.explode("copies").alias("_copy"))
+    return copies.orderBy("_copy.finish", "_hash", "_copy.epoch").select("_row.*").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all rows with their places in sequences."""
+    """The pieces of all rows with their places in sequences.
+
+    Null and empty texts are one piece, the end id; repeated rows are packed each; a null doc_id stays null; an empty table
+    gives no rows.
+    """
     return packed_documents(docs)
 
 
