@@ -12,10 +12,11 @@ from trellis.functions import reports as R
 from trellis.operators import audit, feed, reconcile
 from trellis.operators import nodes as trees
 from trellis.plans.fixtures import COARSE, NODES, NOW, SNAPSHOTS, nodes, snapshots, sql_text
+from trellis import tree_catalog
 from trellis.sources.tables import staged, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(tree_catalog.QUERIES)
+SQL: dict[str, str] = dict(tree_catalog.SQL)
 
 
 def query(sql: str | None):
