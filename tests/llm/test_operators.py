@@ -43,10 +43,47 @@ OPERATORS = {
 }
 
 
+def by_text(rows, *columns):
+    """What the rows of the odd table got, by doc_id; rows of one doc_id are equal there."""
+    return {r["doc_id"]: tuple(r[c] for c in columns) for r in rows}
+
+
+def words_of(text):
+    return WORD.findall(text or "")
+
+
+def removed_by_hand():
+    seen, out = set(), {}
+    for i, t in sorted({(r[0], r[1]) for r in ODD}, key=lambda x: (x[0] is None, x[0] or 0)):
+        w = words_of(t)
+        gone = [False] * len(w)
+        for j in range(len(w) - 19):
+            if tuple(w[j : j + 20]) in seen:
+                gone[j : j + 20] = [True] * 20
+            seen.add(tuple(w[j : j + 20]))
+        out[i] = (len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g))
+    return out
+
+
+EXPECTED = {
+    "secrets": lambda got: by_text(got, "found") == {r[0]: ([],) for r in ODD},
+    "pii": lambda got: by_text(got, "found") == {r[0]: ([],) for r in ODD},
+    "redacted": lambda got: by_text(got, "text", "lang", "home", "kept") == {r[0]: (r[1], r[2], 2, True) for r in ODD},
+    "pieces": lambda got: {r["doc_id"]: r["length"] for r in got if r["doc_id"] in (1, 2)} == {1: 1, 2: 1} and sum(r["doc_id"] == 6 and r["piece"] == 0 for r in got) == 2 and max(r["offset"] + r["length"] for r in got) <= 1024,
+    "jaccard": lambda got: by_text(got, "component_id") == {r[0]: (5 if r[0] == 6 else r[0],) for r in ODD} and by_text(got, "n_shingles")[5] == (6,) and by_text(got, "n_shingles")[2] == (0,) and by_text(got, "n_shingles")[7] == (1,),
+    "mix": lambda got: by_text(got, "size") == {r[0]: (len(words_of(r[1])),) for r in ODD} and all(0 <= r["taken"] <= 3 * r["size"] for r in got) and sum(r["taken"] for r in got) == sum(r["size"] for r in got),
+    "lm": lambda got: by_text(got, "n_tokens") == {r[0]: (len(words_of(r[1])) + 1,) for r in ODD} and len({round(r["score"], 9) for r in got if r["doc_id"] in (1, 2, 3)}) == 1 and all(math.isfinite(r["score"]) and r["score"] < 0 for r in got),
+    "repeats": lambda got: by_text(got, "n_words", "n_removed", "text") == removed_by_hand(),
+    "rules": lambda got: by_text(got, "n_words", "base_failed") == {r[0]: (len(words_of(r[1])), r[0] != 4) for r in ODD} and not any(r["kept"] and r["base_failed"] for r in got),
+    "quality": lambda got: all(0 <= r["score"] <= 1 for r in got) and len({r["score"] for r in got if r["doc_id"] in (1, 2, 3)}) == 1 and len({r["score"] for r in got if r["doc_id"] in (5, 6)}) == 1,
+}
+
+
 @pytest.mark.parametrize("name", list(OPERATORS))
 def test_odd_rows_and_empty_tables(spark, odd, name):
     got = OPERATORS[name](odd).collect()
     assert len(got) == len(ODD) if name != "pieces" else {r["doc_id"] for r in got} == {r[0] for r in ODD}
+    assert EXPECTED[name](got)
     assert OPERATORS[name](odd.limit(0)).collect() == []
 
 
@@ -349,6 +386,19 @@ def test_spans_of_what_goes(spark):
     assert got == {1: (60, 0, []), 2: (37, 35, [(1, 36)]), 3: (19, 0, []), None: (60, 60, [(0, 60)])}
 
 
+def test_verdicts_can_be_filtered(spark):
+    rows = rules.quality_rules(spark.read.parquet(f"{SMALL}/documents.parquet"))
+    kept = {r["doc_id"] for r in rows.where("kept").collect()}
+    assert kept and kept == {r["doc_id"] for r in rows.collect() if r["kept"]}
+
+
+def test_distances(spark):
+    p = spark.range(1).select(rules._distance(F.array(F.lit(3), F.lit(1), F.lit(0)), F.lit(4), [0.5, 0.0, 0.5]).alias("d")).first()["d"]
+    half = lambda a, b: sum(x * math.log2(x / ((x + y) / 2)) for x, y in zip(a, b) if x)
+    a, b = [0.75, 0.25, 0.0], [0.5, 0.0, 0.5]
+    assert math.isclose(p, math.sqrt((half(a, b) + half(b, a)) / 2))
+
+
 def test_rules(spark, texts):
     got = run(spark, "op10_quality_rules")
     for i, t in texts.items():

@@ -25,7 +25,7 @@ BUCKET_ROWS = 2_000
 #: Copies on each side of the cut that are chosen anew where documents are served whole; all of their subsets are tried.
 NEAR_CUT = 6
 #: Packets of a range of the global order, and ranges at most; one sum for each comes to the driver.
-RANGE_ROWS, MAX_RANGES = 200_000, 10_000
+RANGE_ROWS, MAX_RANGES = 20_000, 10_000
 #: Sources with a row each that are broadcast at most.
 BROADCAST_SOURCES = 20_000
 
