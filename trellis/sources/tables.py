@@ -13,10 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet under spark.checkpoint.dir and read again; a folder is made only where none is set."""
+    """df written as Parquet under spark.checkpoint.dir and read again; a folder is made only where none is set and all run on one machine."""
     spark = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="trellis-")
         spark.conf.set("spark.checkpoint.dir", where)
     path = f"{where.rstrip('/')}/trellis/{name}-{uuid.uuid4().hex}"
