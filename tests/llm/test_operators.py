@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SMALL
 from tests.oracle import same
 from trellis.llm import jaccard, lm, mixing, packing, pii, quality_model, rules, secret_scan, substrings, topk
-from trellis.llm.catalog import QUERIES
+from trellis.llm.catalog import QUERIES, SQL
 from trellis.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -315,10 +315,9 @@ def test_lm(spark, texts):
     assert sum(r["score"] for r in got.values() if r["held_out"]) > sum(r["base_score"] for r in got.values() if r["held_out"])
 
 
-def test_exact_topk(spark):
-    from trellis.llm.topk import OP7_SQL
-
-    same(QUERIES["op7_exact_topk"](spark, SMALL), OP7_SQL, SMALL)
+@pytest.mark.parametrize("name", list(SQL))
+def test_query_matches_its_sql(spark, name):
+    same(QUERIES[name](spark, SMALL), SQL[name], SMALL)
 
 
 def test_topk_in_rounds_and_beside_columns_that_clash(spark, monkeypatch):

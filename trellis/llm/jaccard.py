@@ -302,3 +302,26 @@ def similar_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(documents(spark, sf_dir))
+
+
+#: The contract of the query in plain steps: whole sets, all pairs with a common shingle and fitting sizes, links followed to their ends.
+OP4_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws
+  from documents),
+sets as (
+  select doc_id, case when len(ws) = 0 then cast([] as varchar[])
+    else list_sort(list_distinct([array_to_string(ws[i:i + 3], ' ') for i in range(1, greatest(len(ws) - 2, 2))])) end as shingles
+  from w),
+groups as (select shingles, len(shingles) as n, min(doc_id) as rep from sets where len(shingles) > 0 group by shingles),
+entries as (select rep, n, unnest(shingles) as shingle from groups),
+shared as (
+  select x.rep as a, y.rep as b, any_value(x.n) + any_value(y.n) as n_sum, count(*) as n_common
+  from entries x join entries y on x.shingle = y.shingle and x.rep < y.rep and 100 * least(x.n, y.n) >= 85 * greatest(x.n, y.n) group by x.rep, y.rep),
+links as (select a, b from shared where 100 * n_common >= 85 * (n_sum - n_common)),
+edges as (select a, b from links union all select b, a from links),
+reach as (select rep as a, rep as b from groups union select r.a, e.b from reach r join edges e on e.a = r.b),
+least_of as (select a, min(b) as component from reach group by a)
+select s.doc_id, cast(len(s.shingles) as bigint) as n_shingles, coalesce(l.component, s.doc_id) as component_id
+from sets s left join groups g on g.shingles = s.shingles left join least_of l on l.a = g.rep
+"""

@@ -336,3 +336,19 @@ def _home(number, homes: int):
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+#: The contract of the query in plain steps: each window's words, all but the first place of each, the words that those cover.
+OP9_SQL = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+places as (select doc_id, ws, unnest(range(1, len(ws) - 18)) as pos from w where len(ws) >= 20),
+windows as (select doc_id, pos, array_to_string(ws[pos:pos + 19], ' ') as words from places),
+ranked as (select doc_id, pos, row_number() over (partition by words order by doc_id, pos) as r from windows),
+gone as (select distinct doc_id, pos + j as pos from ranked, range(0, 20) t(j) where r > 1),
+words as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as pos from w),
+counted as (
+  select s.doc_id, count(*) as n_words, count(g.pos) as n_removed, string_agg(word, ' ' order by s.pos) filter (where g.pos is null) as kept
+  from words s left join gone g on g.doc_id = s.doc_id and g.pos = s.pos group by s.doc_id)
+select w.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from w left join counted c on c.doc_id = w.doc_id
+"""
