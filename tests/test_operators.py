@@ -1,7 +1,10 @@
+import itertools
+
+import pytest
 from pyspark.sql import functions as F
 
 from trellis.functions import paths as P
-from trellis.operators import audit, feed, nodes
+from trellis.operators import audit, feed, nodes, reconcile
 from trellis.streaming.changes import change_stream, merge_stream, state_of
 
 
@@ -69,3 +72,29 @@ def test_a_stream_of_changes_is_merged_and_replayed(spark, tmp_path):
     assert [tuple(r) for r in state_of(spark, table, out).collect()] == [("a", "z")]
     merge_stream(stream, table, f"file://{tmp_path}/again", "file_id", "seq", "removed").awaitTermination()
     assert [tuple(r) for r in state_of(spark, table, out).collect()] == [("a", "z")]
+
+
+def test_runs_are_those_of_one_sequence_wherever_blocks_end(spark):
+    for kinds in ("aabbbaaccab" * 9, "a" * 60, "ab" * 30, "aab" + "c" * 40 + "ba"):
+        rows = [(i * 3 + i % 2, k, i) for i, k in enumerate(kinds)]
+        want, at = [], 0
+        for k, run in itertools.groupby(kinds):
+            n = len(list(run))
+            want.append((k, rows[at][0], rows[at + n - 1][2], n))
+            at += n
+        got = feed.folded(spark.createDataFrame(rows, "id long, kind string, ts long"), ["kind"], "id", "ts", block_rows=5)
+        assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == want
+
+
+def test_ranks_go_on_from_range_to_range(spark):
+    rows = [(f"p{i:03}", "hot" if i % 9 else f"m{i}", 1) for i in range(200)]
+    got = {(r["md5"], r["path"]): r["k"] for r in reconcile.ranked(spark.createDataFrame(rows, "path string, md5 string, size long").repartition(7), ["md5", "size"], "path").collect()}
+    hot = sorted(p for p, m, _ in rows if m == "hot")
+    assert got == {(m, p): hot.index(p) + 1 if m == "hot" else 1 for p, m, _ in rows}
+
+
+def test_trees_deeper_than_allowed_are_an_error(spark):
+    chain = spark.createDataFrame([(str(i + 1), str(i), "n") for i in range(5)], "file_id string, parent_id string, name string")
+    assert nodes.tree_paths(chain, "0", most=5).count() == 5
+    with pytest.raises(ValueError):
+        nodes.tree_paths(chain, "0", most=3)

@@ -132,13 +132,19 @@ def validate(spark, d):
     return reconcile.overlaps(plan_of(spark, d))
 
 
+_DOOMED = "((cast(substr(split_part(rel_path, '/', 1), 2) as int) + 3 * cast(substr(split_part(rel_path, '/', 2), 2) as int)) % 5 <= 1 or rel_path like 'd1/%')"
+
+
 def _deletes(spark, d):
-    base, _, remote = snapshots(spark, d)
-    rows = base.select("rel_path", F.expr("pmod(crc32(cast(substring_index(rel_path, '/', 2) as binary)), 5)").alias("h"))
-    return rows.where("h <= 1 or rel_path like 'd1/%'").select("rel_path"), rows.where("not (h <= 1 or rel_path like 'd1/%')").select("rel_path")
+    base = snapshots(spark, d)[0].select("rel_path", F.expr(_DOOMED).alias("doomed"))
+    return base.where("doomed").select("rel_path"), base.where("not doomed").select("rel_path")
 
 
-@query(None)
+@query(f"""with {SNAPSHOTS},
+f as (select rel_path, {_DOOMED} as doomed, split_part(rel_path, '/', 1) as top, concat(split_part(rel_path, '/', 1), '/', split_part(rel_path, '/', 2)) as dir from base),
+alive as (select * from f where not doomed)
+select case when top not in (select top from alive) then top when dir not in (select dir from alive) then dir else rel_path end as root, count(*) as files
+from f where doomed group by 1""")
 def collapse(spark, d):
     return reconcile.collapsed(*_deletes(spark, d))
 
@@ -321,7 +327,19 @@ def report_texts(spark, d):
     return table(spark, d, "documents").select("doc_id", P.one_line(F.col("text")).alias("line"), P.clip(F.col("text"), 40).alias("clipped"))
 
 
-@query(None)
+@query(f"""with {SNAPSHOTS} {_PLAN},
+written as (
+  select p.file_id, p.rel_path, r.md5 from plan p join rem r on r.file_id = p.file_id where p.type in ('download', 'record')
+  union all select p.file_id, p.rel_path, l.md5 from plan p join loc l on l.rel_path = coalesce(p.protected_by, p.rel_path) where p.type = 'update_remote'
+  union all select concat('up:', p.rel_path), p.rel_path, l.md5 from plan p left join plan b on b.type = 'conflict_backup' and b.new_rel_path = p.rel_path
+    join loc l on l.rel_path = coalesce(b.rel_path, p.rel_path) where p.type = 'upload'),
+fresh as (
+  select * from written
+  union all select p.file_id, p.new_rel_path, b.md5 from plan p join base b on b.file_id = p.file_id
+    where p.type in ('move_local', 'move_remote') and p.file_id not in (select file_id from written))
+select file_id, rel_path, md5 from base where file_id not in (select file_id from plan where type in ('forget', 'trash_remote', 'quarantine_local'))
+  and file_id not in (select file_id from fresh) and rel_path not in (select rel_path from fresh)
+union all select * from fresh""")
 def apply_baseline(spark, d):
     base, local, remote = snapshots(spark, d)
     return reconcile.applied(base, local, remote, plan_of(spark, d))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trellis.sources.tables import staged
+
 
 def latest(changes: DataFrame, key: str, seq: str) -> DataFrame:
     """The last change of each key: one aggregate with map-side combination, no window."""
@@ -18,26 +20,31 @@ def applied(state: DataFrame, changes: DataFrame, key: str, seq: str, removed: C
     return state.join(last.select(key), key, "left_anti").select(*state.columns).union(last.where(~F.col("_gone")).select(*state.columns))
 
 
-def folded(log: DataFrame, same: list[str], order: str, ts: str, within: list[str] | None = None, blocks: int = 64) -> DataFrame:
+def folded(log: DataFrame, same: list[str], order: str, ts: str, within: list[str] | None = None, block_rows: int = 250_000) -> DataFrame:
     """Runs of rows equal in `same`, in `order`: same, first (the run's first order), ts (the latest), count.
 
-    Without `within` the log is one sequence. It is cut into ranges of `order`, runs are folded range by range, and the few
-    rows left, one a run and range, are folded again in one task.
+    Without `within` the log is one sequence. It is cut into ranges of `order`, as many as its rows ask for, and runs are
+    folded range by range. Only a range's first and last run can go on in a neighbour, so that these alone, two a range, meet
+    in one task; all others stay where they are.
     """
     where = within or []
-    if not where:
-        # whole blocks of the order column by its value, so that a block's rows are neighbours
-        low, high = log.agg(F.min(order), F.max(order)).first()
-        size = max(1, ((high or 0) - (low or 0)) // blocks + 1)
-        log = log.withColumn("_block", F.floor((F.col(order) - F.lit(low or 0)) / size))
-        first = _runs(log.select("_block", *same, F.col(order).alias("first"), F.col(ts).alias("ts"), F.lit(1).cast("long").alias("count")), same, ["_block"])
-        return _runs(first, same, []).select(*same, "first", "ts", "count")
-    return _runs(log.select(*where, *[c for c in same if c not in where], F.col(order).alias("first"), F.col(ts).alias("ts"), F.lit(1).cast("long").alias("count")), same, where).select(*where, *[c for c in same if c not in where], "first", "ts", "count")
-
-
-def _runs(rows: DataFrame, same: list[str], within: list[str]) -> DataFrame:
+    rows = log.select(*where, *[c for c in same if c not in where], F.col(order).alias("first"), F.col(ts).alias("ts"), F.lit(1).cast("long").alias("count"))
+    out = [*where, *[c for c in same if c not in where], "first", "ts", "count"]
+    if where:
+        return _runs(rows, same, where).select(*out)
+    low, high, n = rows.agg(F.min("first"), F.max("first"), F.count("*")).first()
+    size = max(1, ((high or 0) - (low or 0)) // max(8, n // block_rows) + 1)
+    runs = staged(_runs(rows.withColumn("_block", F.floor((F.col("first") - F.lit(low or 0)) / size)), same, ["_block"]), "runs")
+    ends = runs.groupBy("_block").agg(F.min("first").alias("_head"), F.max("first").alias("_tail"))
+    runs = runs.join(ends, "_block").withColumn("_edge", F.col("first").isin(F.col("_head"), F.col("_tail"))).drop("_head", "_tail")
+    inner = runs.where(~F.col("_edge")).select(*out)
+    # two runs of one block are two runs, whatever lay between them
+    return _runs(runs.where("_edge").drop("_edge"), same, [], "_block").select(*out).union(inner)
+
+
+def _runs(rows: DataFrame, same: list[str], within: list[str], apart: str | None = None) -> DataFrame:
     along = Window.partitionBy(*within).orderBy("first") if within else Window.orderBy("first")
-    equal = F.lit(True)
+    equal = F.lit(True) if apart is None else F.col(apart) != F.lag(apart).over(along)
     for c in same:
         equal = equal & F.col(c).eqNullSafe(F.lag(c).over(along))
     rows = rows.withColumn("_new", F.when(equal & F.lag("first").over(along).isNotNull(), 0).otherwise(1))

@@ -35,12 +35,14 @@ def tree_paths(nodes: DataFrame, root: str, most: int = 10_000) -> DataFrame:
 
     A level is an equality join with the one before it, written in the shared folder, so that the plan stays flat and a
     lost executor costs one level. A node met once isn't met again, as each has one parent; a cycle through the root
-    ends because the root isn't taken.
+    ends because the root isn't taken. Trees that are deeper than `most` levels are an error.
     """
     rows = nodes.where(F.col("file_id") != root).select("file_id", "parent_id", "name")
     level = staged(rows.where(F.col("parent_id") == root).select("file_id", F.col("name").alias("rel_path"), F.lit(1).alias("depth")), "level")
     levels = [level]
-    while not level.isEmpty() and len(levels) < most:
+    while not level.isEmpty():
+        if len(levels) > most:
+            raise ValueError(f"directories are nested more than {most} deep")
         above = level.select(F.col("file_id").alias("parent_id"), F.col("rel_path").alias("above"), "depth")
         level = staged(rows.join(above, "parent_id").select("file_id", join_path(F.col("above"), F.col("name")).alias("rel_path"), (F.col("depth") + 1).alias("depth")), "level")
         levels.append(level)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trellis.functions.paths import conflict_name, depth, proper_ancestors
+from trellis.functions.paths import conflict_name, depth, dirname, proper_ancestors
 from trellis.sources.tables import staged
 
 #: Where each type of action runs. Of the moves the backups come first; deletes go from the deepest path up.
@@ -57,14 +57,27 @@ def action(kind: str, rel_path: Column, new_rel_path: Column | None = None, file
     return F.struct(F.lit(kind).alias("type"), rel_path.alias("rel_path"), text(new_rel_path).alias("new_rel_path"), text(file_id).alias("file_id"), text(protected_by).alias("protected_by"))
 
 
+def ranked(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """df with k, the rank of each row by `order` among those of equal keys, from 1.
+
+    Rows are cut into ranges of keys and order, so that rows of one key spread over as many tasks as they need; a key that
+    goes on from one range into the next starts there at the number of its rows before.
+    """
+    rows = staged(df.repartitionByRange(*keys, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # at most one key a range goes on from an earlier one
+    before = rows.groupBy(*keys, "_range").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(earlier)).where("_before > 0").drop("_n")
+    rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy("_range", *keys).orderBy(order)))
+    return rows.join(before, [*keys, "_range"], "left").withColumn("k", F.coalesce("_before", F.lit(0)) + F.col("_at")).drop("_range", "_at", "_before")
+
+
 def move_pairs(gone: DataFrame, new: DataFrame) -> DataFrame:
     """Deleted rows (path, file_id, md5, size) and new ones (path, md5, size) of equal content, first come first served by path.
 
     Both sides are ranked within their content and joined on content and rank, which a queue per content would give too.
     """
-    rank = Window.partitionBy("md5", "size").orderBy("path")
-    left = gone.withColumn("k", F.row_number().over(rank)).withColumnRenamed("path", "from")
-    return left.join(new.withColumn("k", F.row_number().over(rank)).withColumnRenamed("path", "to"), ["md5", "size", "k"]).select("from", "to", "file_id", "md5", "size")
+    left, right = (ranked(x, ["md5", "size"], "path").withColumnRenamed("path", name) for x, name in ((gone, "from"), (new, "to")))
+    return left.join(right, ["md5", "size", "k"]).select("from", "to", "file_id", "md5", "size")
 
 
 def planned(base: DataFrame, local: DataFrame, remote: DataFrame, machine: str, now: Column) -> DataFrame:
@@ -165,9 +178,14 @@ def collapsed(deletes: DataFrame, alive: DataFrame) -> DataFrame:
     Containment is an equality on exploded ancestors, so that there is no join on prefixes.
     """
     held = alive.select(F.explode(proper_ancestors(F.col("rel_path"))).alias("dir")).distinct()
-    dirs = deletes.select("rel_path", F.explode(proper_ancestors(F.col("rel_path"))).alias("dir")).join(held, "dir", "left_anti")
-    roots = dirs.groupBy("rel_path").agg(F.min_by("dir", depth(F.col("dir"))).alias("root"))
-    return deletes.join(roots, "rel_path", "left").groupBy(F.coalesce("root", "rel_path").alias("root")).agg(F.count("*").alias("files"))
+    # files are counted up by their directories before these meet the directories above them
+    parents = deletes.groupBy(dirname(F.col("rel_path")).alias("parent")).agg(F.count("*").alias("files")).where("parent <> ''")
+    dirs = parents.select("parent", F.explode(F.concat(proper_ancestors(F.col("parent")), F.array("parent"))).alias("dir"))
+    dead = dirs.select("dir").distinct().join(held, "dir", "left_anti")
+    roots = dirs.join(dead, "dir").groupBy("parent").agg(F.min_by("dir", depth(F.col("dir"))).alias("root"))
+    gathered = parents.join(roots, "parent").groupBy("root").agg(F.sum("files").alias("files"))
+    alone = deletes.join(roots, dirname(F.col("rel_path")) == F.col("parent"), "left_anti").groupBy(F.col("rel_path").alias("root")).agg(F.count("*").alias("files"))
+    return gathered.union(alone)
 
 
 def rewritten(paths: DataFrame, moves: DataFrame) -> DataFrame:
