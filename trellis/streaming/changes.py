@@ -7,42 +7,50 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from trellis.functions.paths import ignored
 from trellis.operators.feed import applied
+from trellis.sources.store import Store
 
 
 def change_stream(spark: SparkSession, folder: str, schema: StructType, files: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
-def state_of(spark: SparkSession, folder: str, schema: StructType, before: int = 2**62) -> DataFrame:
-    """The newest whole version of the table before a batch, empty before the first; versions are numbered by batch."""
-    fs, path = _files(spark, folder)
-    if not fs.exists(path):
-        return spark.createDataFrame([], schema)
-    done = sorted(n for s in fs.listStatus(path) if fs.exists(_path(spark, s.getPath().toString() + "/_SUCCESS")) and (n := int(s.getPath().getName()[1:])) < before)
-    return spark.read.schema(schema).parquet(f"{folder}/v{done[-1]}") if done else spark.createDataFrame([], schema)
+def state_of(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """The table as of the last commit, empty before the first."""
+    store = Store(spark, folder)
+    return store.table("rows") if "rows" in store.tables() else spark.createDataFrame([], schema)
 
 
-def _path(spark: SparkSession, name: str):
-    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+def merge_stream(changes: DataFrame, folder: str, checkpoint: str, key: str, seq: str, removed: str, every: str | None = None) -> StreamingQuery:
+    """Merges changes batch by batch into the table in folder: all there are, or, with `every`, for good at that interval.
 
-
-def _files(spark: SparkSession, folder: str):
-    path = _path(spark, folder)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
-
-
-def merge_stream(changes: DataFrame, folder: str, checkpoint: str, key: str, seq: str, removed: str) -> StreamingQuery:
-    """Merges all changes there are, batch by batch, into the table in folder; offsets are kept once a batch is written."""
-    schema = StructType([f for f in changes.schema if f.name not in (seq, removed)])
+    A batch and its number are one commit; offsets are kept once that is done. A batch that comes again after a crash is
+    known by its number. A replay from other offsets merges the same changes again, which ends in the same table.
+    """
+    schema, mark = StructType([f for f in changes.schema if f.name not in (seq, removed)]), f"batch:{checkpoint}"
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        applied(state_of(spark, folder, schema, number), batch, key, seq, F.col(removed)).write.mode("overwrite").parquet(f"{folder}/v{number}")
+        store = Store(spark, folder)
+        if number > int(store.meta(mark) or -1):
+            store.commit({"rows": applied(state_of(spark, folder, schema), batch, key, seq, F.col(removed))}, {mark: str(number)})
 
-    return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    when = {"processingTime": every} if every else {"availableNow": True}
+    return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**when).start()
 
 
 def debounced(events: DataFrame, ts: str, gap: str = "500 milliseconds", late: str = "10 seconds") -> DataFrame:
     """One row for each burst of events that are less than gap apart."""
     return events.withWatermark(ts, late).groupBy(F.session_window(ts, gap)).agg(F.count("*").alias("n"))
+
+
+def telling(events: DataFrame, root: str, globs: list[str]) -> DataFrame:
+    """The events (path, op) that are worth a cycle: content came, went or moved, and no name on the way from root is ignored.
+
+    The root itself always is. Of paths elsewhere only the last name counts.
+    """
+    within = F.startswith("path", F.lit(root + "/"))
+    names = F.when(within, F.split(F.substr("path", F.lit(len(root) + 2)), "/")).otherwise(F.array(F.substring_index("path", "/", -1)))
+    quiet = F.exists(names, lambda name: ignored(name, globs))
+    return events.where(F.col("op").isin("create", "write", "remove", "rename") & ((F.col("path") == root) | ~quiet))
