@@ -76,3 +76,20 @@ def thousands(n: Column) -> Column:
 
 def repeat_suffix(count: Column) -> Column:
     return F.when(count < 2, "").otherwise(F.concat(F.lit(" (×"), count.cast("string"), F.lit(")")))
+
+
+def filter_label(direction: Column, query: Column) -> Column:
+    """The filters of a list as a heading: what direction, and the text that was typed; empty where all is shown."""
+    side = F.when(direction == "error", "errors").when(direction == "local", "local→drive").when(direction == "remote", "drive→local").when(direction != "", direction)
+    return F.concat_ws(" + ", side, F.when(query != "", F.concat(F.lit("“"), query, F.lit("”"))))
+
+
+def expired_grant(error: Column) -> Column:
+    """Whether an error says that access was revoked or ran out, which only a new login mends."""
+    return F.coalesce(F.contains(error, F.lit("invalid_grant")), F.lit(False))
+
+
+def nanoseconds(text: Column) -> Column:
+    """An instant with zone (RFC 3339) as nanoseconds since 1970; 0, which means not known, for all other texts."""
+    whole = F.regexp_like(text, F.lit(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)$"))
+    return F.coalesce(F.when(whole, F.unix_micros(F.try_to_timestamp(text)) * 1000), F.lit(0)).cast("long")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellis.functions.paths import ignored, join_path, valid_name
+from trellis.functions.reports import nanoseconds
 from trellis.sources.tables import staged
 
 FOLDER, NATIVE_PREFIX = "application/vnd.google-apps.folder", "application/vnd.google-apps"
@@ -55,3 +56,18 @@ def tree_paths(nodes: DataFrame, root: str, most: int = 10_000) -> DataFrame:
 def pruned(nodes: DataFrame, root: str) -> DataFrame:
     """The nodes that root doesn't reach: those that a mirror drops."""
     return nodes.where(F.col("file_id") != root).join(tree_paths(nodes, root).select("file_id"), "file_id", "left_anti")
+
+
+def children(nodes: DataFrame, parent: str, *columns: str) -> DataFrame:
+    """The named columns of what lies in a directory and not in the bin; both conditions reach the scan."""
+    return nodes.where((F.col("parent_id") == parent) & ~F.col("trashed")).select(*columns)
+
+
+def from_feed(files: DataFrame) -> DataFrame:
+    """Rows of the mirror from listed files: times as nanoseconds, 0 where none or an unreadable one is given."""
+    return files.select("file_id", "parent_id", "name", "mime_type", F.coalesce("md5", F.lit("")).alias("md5"), F.coalesce("size", F.lit(0)).cast("long").alias("size"), F.coalesce("trashed", F.lit(False)).alias("trashed"), nanoseconds(F.col("modified")).alias("modified_ns"))
+
+
+def found(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of any number of keys at once."""
+    return rows.join(keys.select(key).distinct(), key, "left_semi")
