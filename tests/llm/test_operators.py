@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -14,6 +15,7 @@ from tests.conftest import SMALL
 from tests.oracle import same
 from trellis.llm import jaccard, lm, mixing, packing, pii, quality_model, rules, secret_scan, substrings, topk
 from trellis.llm.catalog import QUERIES, SQL
+from trellis.llm.common import staged
 from trellis.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -254,6 +256,51 @@ def test_rows_of_one_id_are_linked_each_with_its_text(spark):
     assert got == collections.Counter([(1, 37, 1), (5, 37, 1), (5, 37, 1), (7, 37, 1), (8, 37, 8), (9, 38, 8), (9, 37, 8), (9, 0, 9), (10, 37, 8), (None, None, None), (11, 0, 11), (11, 0, 11)])
 
 
+def test_sketches_lose_no_link(spark):
+    r = np.random.default_rng(7)
+    base, sets = r.integers(0, 1 << 63, 3000).astype(np.uint64), []
+    for n in (3, 20, 63, 64, 65, 125, 128, 131, 500, 512, 530, 1024, 1040, 2300):
+        for share in (0.0, 0.02, 0.07, 0.1, 0.3, 1.0):
+            new = int(n * share)
+            sets.append(set(base[: n - new].tolist()) | set(r.integers(0, 1 << 63, new).tolist()))
+    rows = [((i, i), len(x), jaccard.sketch(np.array(sorted(x), np.uint64)).tolist()) for i, x in enumerate(sets)]
+    known = spark.createDataFrame(rows, "rep struct<doc_id: long, th: long>, n int, bits array<long>")
+    pairs = known.select(F.col("rep").alias("x")).crossJoin(known.select(F.col("rep").alias("y"))).where("x.doc_id < y.doc_id")
+    kept = {(r["x"]["doc_id"], r["y"]["doc_id"]) for r in jaccard._likely(pairs, known, 85).collect()}
+    every = [(i, j) for j in range(len(sets)) for i in range(j)]
+    linked = {(i, j) for i, j in every if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
+    far = {(i, j) for i, j in every if 100 * len(sets[i] & sets[j]) < 50 * len(sets[i] | sets[j]) and len(sets[i]) > 60}
+    assert any(jaccard.sketch(np.array(sorted(sets[i]), np.uint64)).size != jaccard.sketch(np.array(sorted(sets[j]), np.uint64)).size for i, j in linked)
+    assert linked <= kept and not far & kept
+
+
+def test_texts_of_unlike_documents_are_not_compared(spark, monkeypatch):
+    asked, whole = [], jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, *a: asked.append(pairs.count()) or whole(pairs, *a))
+    r = np.random.default_rng(5)
+    rows = [(i, " ".join(f"b{b}w{j}" for b in r.choice(30, 3, replace=False) for j in range(40))) for i in range(150)]
+    rows += [(1000 + i, rows[i][1] + " one more") for i in range(0, 150, 10)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[1000 + i] == got[i] for i in range(0, 150, 10)) and len(set(got.values())) > 140
+    assert 0 < sum(asked) <= 40
+
+
+def test_staged_tables_leave_no_shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        found = files.getAllFiles()
+        return {n for n in (found.apply(i).getName() for i in range(found.size())) if n.startswith("shuffle_")}
+
+    before = shuffled()
+    held = staged(spark.range(5000, numPartitions=4).withColumn("k", F.col("id") % 700).groupBy("k").agg(F.max("id").alias("m")).orderBy("k"), "sums")
+    ends = time.monotonic() + 20
+    while shuffled() - before and time.monotonic() < ends:
+        time.sleep(0.2)
+    assert not shuffled() - before and held.count() == 700
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_components_of_large_stars(spark, monkeypatch):
     from trellis.llm import components as c
 

@@ -21,6 +21,8 @@ SLICE_BYTES, SLICE_ROWS = 1 << 19, 1 << 15
 #: White space, as the contracts of this subpackage define it.
 SPACE = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
+#: Whether Spark deletes the files that a write or query of this session has shuffled when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 MASK = (1 << 64) - 1
 U = np.uint64
@@ -48,10 +50,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again: later jobs start there, whatever executors are lost."""
+    """Writes df as Parquet in the shared folder and reads it again: later jobs start there, whatever executors are lost.
+
+    Files that the write has shuffled go as soon as it is done; else they stay until the driver happens to collect its garbage.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/trellis/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)

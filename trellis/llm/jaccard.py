@@ -11,7 +11,9 @@ fixed number of slots, filled from all documents, and its hash; the table bears
 4. Lists that still have several components are expanded to members, and pairs of different components, of fitting sizes
    and places, are verified. Pairs within a component can't change it.
 
-Verification compares whole sets, made again from the texts.
+Verification compares whole sets, made again from the texts. Only pairs whose sketches leave room for a link come that
+far: a sketch has a bit or two for each shingle, each the parity of the shingles that fall on it, so that two of them differ
+in no more bits than the sets do in shingles. No link is lost by that, and few texts are shuffled that aren't linked.
 """
 
 from __future__ import annotations
@@ -112,11 +114,29 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-FOUND = "kind int, a long, th long, g long, n int, s1 long, s2 long, at int, center long"
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parities of how many of the distinct tokens fall on each bit: as many bits as the next power of two from their number, 64 at least."""
+    bits = max(64, 1 << (len(tokens) - 1).bit_length())
+    odd = np.bincount((splitmix(tokens ^ U(0x51E7C4)) % U(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (x, y) of rep of sets whose sizes and sketches leave room for a link; the longer sketch is folded to the other's bits."""
+    for c in "xy":
+        pairs = pairs.join(sets.select(F.col("rep").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits")), c)
+    fitting = pairs.where(100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")).withColumn("words", F.least(F.size("x_bits"), F.size("y_bits")))
+    folded = lambda c: F.when(F.size(c) > F.col("words"), F.zip_with(F.slice(c, 1, F.col("words")), F.slice(c, F.col("words") + 1, F.col("words")), lambda a, b: a.bitwiseXOR(b))).otherwise(F.col(c))
+    apart = F.aggregate(F.zip_with(folded("x_bits"), folded("y_bits"), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, n: total + n)
+    # of n1 + n2 shingles in all, those of one set only are at least as many as the bits that differ
+    return fitting.where((100 + percent) * apart.cast("long") <= (100 - percent) * (F.col("x_n") + F.col("y_n")).cast("long")).select("x", "y")
+
+
+FOUND = "kind int, a long, th long, g long, n int, s1 long, s2 long, bits array<long>, at int, center long"
 
 
 def prefix_lists(rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of kind 0, a row per document: a = doc_id, th = the hash of its text, its group g, size n and two hashes of its set. Of kind 1, a row per place of a
+    """Of kind 0, a row per document: a = doc_id, th = the hash of its text, its group g, size n, two hashes and the sketch of its set. Of kind 1, a row per place of a
     group in a list of two groups or more: a = the shingle, g, n, at = the place in the prefix, center = the list's group of the first place."""
     count = rows.count()
     bits = min(MAX_BITS, max(12, math.ceil(math.log2(max(1, count))) + 4))
@@ -126,7 +146,7 @@ def prefix_lists(rows: DataFrame, k: int, percent: int) -> DataFrame:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, batch in enumerate(batches):
             size, group, s1, s2 = (np.zeros(batch.num_rows, t) for t in (np.int32, np.int64, np.int64, np.int64))
-            entries, listed = [], set()
+            entries, listed, sketches = [], set(), [np.empty(0, np.int64)] * batch.num_rows
             for row, texts in text_slices(batch, "text"):
                 h, edges = shingles(texts, k)
                 tokens = _in_order(h, sent.value)
@@ -139,6 +159,7 @@ def prefix_lists(rows: DataFrame, k: int, percent: int) -> DataFrame:
                     g = splitmix(splitmix(head).sum(keepdims=True) + U(n)).view(np.int64)[0]
                     at = row + i
                     size[at], group[at] = n, g
+                    sketches[at] = sketch(t)
                     s1[at], s2[at] = splitmix(t + U(1)).sum(keepdims=True).view(np.int64)[0], splitmix(t ^ U(0x5DEECE66D)).sum(keepdims=True).view(np.int64)[0]
                     if g not in listed:
                         listed.add(g)
@@ -146,7 +167,7 @@ def prefix_lists(rows: DataFrame, k: int, percent: int) -> DataFrame:
                         e["token"], e["g"], e["n"], e["at"] = head, g, n, np.arange(len(head))
                         entries.append(e)
             docs = column(batch, "doc_id").cast(pa.int64())
-            table = pa.table({"a": docs, "th": column(batch, "th"), "g": group, "n": size, "s1": s1, "s2": s2}).to_batches()[0] if batch.num_rows else None
+            table = pa.table({"a": docs, "th": column(batch, "th"), "g": group, "n": size, "s1": s1, "s2": s2, "bits": _lists(sketches)}).to_batches()[0] if batch.num_rows else None
             if table is not None:
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, table.schema) as out:
@@ -162,7 +183,7 @@ def prefix_lists(rows: DataFrame, k: int, percent: int) -> DataFrame:
                 yield pa.record_batch({"kind": pa.array([1] * (len(cuts) - 1), pa.int32()), "key": pa.array(home[cuts[:-1]]), "payload": pa.array([e[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
         released()
 
-    kinds = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("th", pa.int64()), ("g", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("at", pa.int32()), ("center", pa.int64())])
+    kinds = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("th", pa.int64()), ("g", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("bits", pa.list_(pa.int64())), ("at", pa.int32()), ("center", pa.int64())])
 
     def settle(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         payloads = table["payload"].to_pylist()
@@ -170,7 +191,7 @@ def prefix_lists(rows: DataFrame, k: int, percent: int) -> DataFrame:
             docs = pa.concat_tables([pa.ipc.open_stream(p).read_all() for p in payloads])
             n = len(docs)
             zero32, zero64 = pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int64))
-            return pa.table([zero32, docs["a"], docs["th"], docs["g"], docs["n"], docs["s1"], docs["s2"], zero32, zero64], schema=kinds)
+            return pa.table([zero32, docs["a"], docs["th"], docs["g"], docs["n"], docs["s1"], docs["s2"], docs["bits"], zero32, zero64], schema=kinds)
         e = np.concatenate([np.frombuffer(p, ENTRY) for p in payloads])
         e = e[np.lexsort((e["g"], e["at"], e["token"]))]
         new = np.r_[True, e["token"][1:] != e["token"][:-1]]
@@ -181,11 +202,15 @@ def prefix_lists(rows: DataFrame, k: int, percent: int) -> DataFrame:
         keep = np.repeat(sizes > 1, sizes)
         e, center = e[keep], center[keep]
         zero = np.zeros(len(e), np.int64)
-        return pa.table([pa.array(zero.astype(np.int32) + 1, pa.int32()), pa.array(e["token"].view(np.int64).copy()), pa.array(zero), pa.array(e["g"].copy()), pa.array(e["n"].copy()), pa.array(zero), pa.array(zero), pa.array(e["at"].copy()), pa.array(center)], schema=kinds)
+        return pa.table([pa.array(zero.astype(np.int32) + 1, pa.int32()), pa.array(e["token"].view(np.int64).copy()), pa.array(zero), pa.array(e["g"].copy()), pa.array(e["n"].copy()), pa.array(zero), pa.array(zero), pa.nulls(len(e), pa.list_(pa.int64())), pa.array(e["at"].copy()), pa.array(center)], schema=kinds)
 
     return rows.mapInArrow(gather, "kind int, key long, payload binary").groupBy("kind", "key").applyInArrow(settle, FOUND)
 
 
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int32), pa.array(np.concatenate(parts), pa.int64()))
+
+
 def verified(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of the pairs (x, y) of texts, struct<doc_id, th> each, whose whole sets are similar enough, as doc_ids (u, v)."""
     ids = staged(pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct(), "ids")
@@ -252,8 +277,8 @@ def similar_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     rows = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("th", F.xxhash64("text"))
     known = rows.where(F.col("doc_id").isNotNull())
     found = staged(prefix_lists(known, k, percent), "lists")
-    members = found.where("kind = 0").select(F.col("a").alias("doc_id"), "th", "g", "n", "s1", "s2")
-    sets = staged(members.where("n > 0").groupBy("s1", "s2", "n", "g").agg(F.min(F.struct("doc_id", "th")).alias("rep")), "sets")
+    members = found.where("kind = 0").select(F.col("a").alias("doc_id"), "th", "g", "n", "s1", "s2", "bits")
+    sets = staged(members.where("n > 0").groupBy("s1", "s2", "n", "g").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.any_value("bits").alias("bits")), "sets")
     lists = found.where("kind = 1").select(F.col("a").alias("token"), "g", "n", "at", "center")
     firsts = sets.groupBy("g").agg(F.min("rep").alias("first"))
 
@@ -265,8 +290,8 @@ def similar_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     # the sets of one doc_id
     of_id = F.struct("s1", "s2", "n")
     several = members.where("n > 0").groupBy("doc_id").agg(F.min(of_id).alias("lo"), F.max(of_id).alias("hi")).where("lo <> hi").select("doc_id")
-    own = members.join(several, "doc_id").join(sets, ["s1", "s2", "n", "g"]).select(F.col("doc_id").alias("u"), F.col("rep.doc_id").alias("v")).where("u <> v")
-    links = staged(verified(staged(across.union(within).distinct(), "pairs"), known, k, percent).union(own), "links")
+    own = members.drop("bits").join(several, "doc_id").join(sets, ["s1", "s2", "n", "g"]).select(F.col("doc_id").alias("u"), F.col("rep.doc_id").alias("v")).where("u <> v")
+    links = staged(verified(staged(_likely(across.union(within).distinct(), sets, percent), "pairs"), known, k, percent).union(own), "links")
 
     # long lists: each member and the first of its shuffled part of the list, until no further link turns up
     for turn in range(ROUNDS):
@@ -275,7 +300,7 @@ def similar_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
         near = placed.where(F.col("entries") > LONG_LIST)
         near = near.select(*[F.col(c).alias(f"{c}1") for c in ("t", "rep", "c", "n", "at")], *[F.first(c).over(part).alias(f"{c}2") for c in ("rep", "c", "n", "at")])
         near = near.where((F.col("c1") != F.col("c2")) & _close(percent)).select(F.greatest("rep1", "rep2").alias("x"), F.least("rep1", "rep2").alias("y"))
-        new = staged(verified(staged(near.distinct(), "pairs"), known, k, percent), "links")
+        new = staged(verified(staged(_likely(near.distinct(), sets, percent), "pairs"), known, k, percent), "links")
         if new.isEmpty():
             break
         links = staged(links.union(new), "links")
@@ -291,7 +316,7 @@ def similar_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     able = (100 * F.col("n1") >= percent * F.col("low2")) & (100 * F.col("high2") >= percent * F.col("n1"))
     able &= ((100 + percent) * F.least(F.col("n1") - F.col("at1"), F.col("room2")) >= percent * (F.col("n1") + F.col("low2"))) | (F.col("t") == 1)
     both = ways.join(x, ["t", "token", "c1"]).where(able).select("t", "token", "c2", "rep1", "c1", "n1", "at1").join(y, ["t", "token", "c2"]).withColumnRenamed("t", "t1").where(_close(percent))
-    rest = staged(both.select(F.greatest("rep1", "rep2").alias("x"), F.least("rep1", "rep2").alias("y")).distinct(), "rest")
+    rest = staged(_likely(both.select(F.greatest("rep1", "rep2").alias("x"), F.least("rep1", "rep2").alias("y")).distinct(), sets, percent), "rest")
     more = verified(rest, known, k, percent)
 
     named = sets.join(components(links.union(more)), F.col("rep.doc_id") == F.col("node"), "left").select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("n").alias("size"), F.coalesce("component", "rep.doc_id").alias("component_id"))
