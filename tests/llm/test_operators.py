@@ -362,6 +362,31 @@ def test_lm(spark, texts):
     assert sum(r["score"] for r in got.values() if r["held_out"]) > sum(r["base_score"] for r in got.values() if r["held_out"])
 
 
+def test_seldom_words_have_classes_of_their_own(spark):
+    learned, held = (iter([i for i in range(9000) if (zlib.crc32(str(i).encode()) % 5 == 1) == out]) for out in (False, True))
+    rows = [(next(learned), f"{a} {x}{i}zz {b}") for a, x, b in (("alpha", "x", "gamma"), ("beta", "y", "delta")) for i in range(300) for _ in range(2)]
+    rows += [(next(learned), text) for text in ("alpha often gamma", "beta usual delta") for _ in range(60)]
+    own, other, new = ([(next(held), f"alpha {x}{i}zz gamma") for i in range(30)] for x in ("x", "y", "z"))
+    got = {r["doc_id"]: r for r in lm.scored(spark.createDataFrame(rows + own + other + new, "doc_id long, text string")).collect()}
+    assert all(got[i]["n_known"] == 4 for i, _ in own + other) and len({round(got[i]["base_score"], 9) for i, _ in own + other}) == 1
+    assert min(got[i]["score"] for i, _ in own) > max(got[i]["score"] for i, _ in other) + 1
+    assert all(got[i]["n_known"] == 3 and math.isfinite(got[i]["score"]) for i, _ in new)
+
+
+def test_classes_of_seldom_words_are_the_likeliest(monkeypatch):
+    monkeypatch.setattr(lm, "SELDOM_WORDS", 7)
+    r, k = np.random.default_rng(3), lm.CLASSES + 1
+    g = r.integers(0, 9000, (k, k)).astype(float)
+    at, before, after = r.integers(0, 400, 900) * 3, r.integers(0, k, 900).astype(np.uint8), r.integers(0, k, 900).astype(np.uint8)
+    words, own = lm.seldom_classes(at, before, after, lm.pulls(g))
+    p = np.log(g + lm.ADDED_CLASS)
+    into, out = np.log((g + lm.ADDED_CLASS).sum(0)), np.log((g + lm.ADDED_CLASS).sum(1))
+    for w, c in zip(words, own, strict=True):
+        gain = [sum(p[a, x] - into[x] + p[x, b] - out[x] for a, b in zip(before[at == w], after[at == w], strict=True)) for x in range(1, k)]
+        assert math.isclose(gain[c - 1], max(gain), rel_tol=1e-9)
+    assert set(words) == set(at)
+
+
 @pytest.mark.parametrize("name", list(SQL))
 def test_query_matches_its_sql(spark, name):
     same(QUERIES[name](spark, SMALL), SQL[name], SMALL)

@@ -1,16 +1,18 @@
 """Scoring by a class-based bigram model, after exchange clustering.
 
 Words are counted first, by tasks and then by buckets of hashes. Those that occur often enough (least_count: a count that
-grows with the square root of the corpus) are units of their own, however many they are; each seldom word shares a unit
+grows with the square root of the corpus) are units of their own, however many they are; each seldom word starts in a unit
 with others that end alike. Texts become numbers of units, written once. Classes are found by exchange in windows of
 frequency: the most frequent words and the units of seldom words change places on the driver, one by one, over the table of
 their bigrams; after that all frequent words take part in rounds in which every second one goes, part by part of the
 vocabulary, to the class that raises the likelihood most, by how often each class stands before and after it anywhere in the
-training documents. Only classes, a byte a word, and the table of class bigrams come to the driver.
+training documents. Then every seldom word, however seldom, leaves its unit for the class that raises the likelihood most
+by its own neighbours. Classes of frequent words, a byte a word, and the table of class bigrams are all that comes to the
+driver; counts and classes of seldom words stay in their buckets.
 
 A token's probability is that of its class after the last one's, times that of the word in its class, both smoothed by added
-counts; each class keeps room for one unseen word. Counts of seldom words stay in their buckets: blocks of documents send
-them their seldom tokens, and sums a document come back. Words are told apart by hashes of 64 bits.
+counts; each class keeps room for one unseen word, which has the class of its unit. Blocks of documents send the buckets
+their seldom tokens with the classes beside them; class and count of each come back. Words are told apart by hashes of 64 bits.
 """
 
 from __future__ import annotations
@@ -19,23 +21,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellis.llm.common import U, column, documents, pick, released, staged, text_slices
-from trellis.llm.vocabulary import SUFFIXES, bucket_of, cuts_by, frequent, least_count, seldom_types, suffix_slots, word_counts
+from trellis.llm.vocabulary import SUFFIXES, bucket_of, cuts_by, frequent, least_count, suffix_slots, word_counts
 
 #: Words of the first window, classes besides that of the end, rounds of the exchange on the driver, rounds for all words.
 TOP, CLASSES, ROUNDS, WIDE_ROUNDS = 511, 32, 8, 4
 SEEDS = 1 + TOP + SUFFIXES
-#: Rows and seldom tokens of a block, documents and task tables that are dealt with together, units of a part of the
-#: vocabulary, and pairs of units and classes that a task holds before it adds them up.
-BLOCK_ROWS, BLOCK_TOKENS, BUCKET_ROWS, TABLE_TASKS, PART_UNITS, HELD_PAIRS = 1 << 16, 1 << 20, 16_000, 256, 2048, 1 << 21
+#: Tokens of a block, documents of a bucket and task tables that are dealt with together, units of a part of the
+#: vocabulary, seldom words whose neighbours are counted at once, and pairs of units and classes that a task holds before
+#: it adds them up.
+BLOCK_TOKENS, BUCKET_ROWS, TABLE_TASKS, PART_UNITS, SELDOM_WORDS, HELD_PAIRS = 1 << 20, 16_000, 256, 2048, 1 << 13, 1 << 21
+#: In place of a class: of the word before a token that isn't learned from, and of a word that wasn't seen in training.
+NO_CLASS = 255
 ADDED_WORD, ADDED_CLASS = 0.5, 0.1
 
-BLOCKS = "block long, first int, doc_ids array<long>, sizes binary, held binary, low binary, high binary, sums binary, known binary, bucket long, of long, words binary, rows binary"
-_BLOCKS = pa.schema([("block", pa.int64()), ("first", pa.int32()), ("doc_ids", pa.list_(pa.int64())), *((n, pa.binary()) for n in ("sizes", "held", "low", "high", "sums", "known")), ("bucket", pa.int64()), ("of", pa.int64()), ("words", pa.binary()), ("rows", pa.binary())])
+_BLOCKS = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), *((n, pa.binary()) for n in ("sizes", "held", "low", "high", "sums", "known", "seldom"))])
+BLOCKS = "block long, doc_ids array<long>, sizes binary, held binary, low binary, high binary, sums binary, known binary, seldom binary"
 
 
 def ids_of(row: dict) -> np.ndarray:
@@ -48,9 +54,9 @@ def learning(row: dict) -> np.ndarray:
     return np.repeat(~np.frombuffer(row["held"], bool), np.frombuffer(row["sizes"], np.int32))
 
 
-def blocks(rows: DataFrame, words: np.ndarray, counts: np.ndarray, ends: int, buckets: int) -> DataFrame:
-    """Rows of documents, where block is not null: units of their tokens, sums of log10(count + added) and numbers of known
-    tokens over the frequent words and the end; and rows of requests: seldom words by bucket, with the rows in their block."""
+def blocks(rows: DataFrame, words: np.ndarray, counts: np.ndarray, ends: int) -> DataFrame:
+    """Documents by blocks: units of their tokens, sums of log10(count + added) and numbers of known tokens over the frequent
+    words and the end, and hashes of their seldom tokens in their order."""
     order = np.argsort(words)
     logs = np.r_[np.log10(ends + ADDED_WORD), np.log10(counts + ADDED_WORD), np.zeros(SUFFIXES)]
     sent = rows.sparkSession.sparkContext.broadcast((words[order], (1 + order).astype(np.uint32), logs))
@@ -61,12 +67,11 @@ def blocks(rows: DataFrame, words: np.ndarray, counts: np.ndarray, ends: int, bu
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             held = column(batch, "held_out").to_numpy(zero_copy_only=False).astype(bool)
-            row, seldom, places = 0, [], []
+            first, tokens, parts = 0, 0, []
             for at, texts in text_slices(batch, "text"):
-                to = at + len(texts)
-                if row + len(texts) > BLOCK_ROWS or sum(map(len, seldom)) > BLOCK_TOKENS:
-                    yield from _requests(number, seldom, places, buckets)
-                    number, row, seldom, places = number + 1, 0, [], []
+                if tokens > BLOCK_TOKENS:
+                    yield _block(number, batch, held, first, at, parts)
+                    number, first, tokens, parts = number + 1, at, 0, []
                 found = texts.words(lower=True)
                 h, n = found.hashes(), found.counts()
                 units = np.zeros(len(h), np.uint32)
@@ -78,55 +83,142 @@ def blocks(rows: DataFrame, words: np.ndarray, counts: np.ndarray, ends: int, bu
                 other = np.flatnonzero(~known)
                 if len(other):
                     units[other] = 1 + v + suffix_slots(found.data, found.starts[other], found.ends[other]).astype(np.uint32)
-                    seldom.append(h[other])
-                    places.append((row + found.owner()[other]).astype(np.uint16))
                 last = np.cumsum(n + 1) - 1
                 ids = np.zeros(int(n.sum()) + len(n), np.uint32)
                 inner = np.ones(len(ids), bool)
                 inner[last] = False
                 ids[inner] = units
-                first = np.r_[0, last[:-1] + 1]
-                sums, sure = np.add.reduceat(logs[ids], first), np.add.reduceat(((ids <= v) & ((ids > 0) | (ends > 0))).astype(np.int64), first)
-                out = {"block": number, "first": row, "doc_ids": column(batch, "doc_id").slice(at, to - at).to_pylist(), "sizes": (n + 1).astype(np.int32).tobytes(), "held": held[at:to].tobytes()}
-                out |= {"low": ids.astype(np.uint16).tobytes(), "high": (ids >> 16).astype(np.uint16).tobytes(), "sums": sums.tobytes(), "known": sure.tobytes()}
-                yield pa.RecordBatch.from_pylist([out], schema=_BLOCKS)
-                row += len(texts)
-            yield from _requests(number, seldom, places, buckets)
-            number += 1
+                start = np.r_[0, last[:-1] + 1]
+                sums, sure = np.add.reduceat(logs[ids], start), np.add.reduceat(((ids <= v) & ((ids > 0) | (ends > 0))).astype(np.int64), start)
+                parts.append(((n + 1).astype(np.int32), ids.astype(np.uint16), (ids >> 16).astype(np.uint16), sums, sure, h[other]))
+                tokens += len(ids)
+            if parts:
+                yield _block(number, batch, held, first, batch.num_rows, parts)
+                number += 1
         released()
 
     return rows.mapInArrow(run, BLOCKS)
 
 
-def _requests(number: int, seldom: list[np.ndarray], places: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
-    if seldom:
-        words, rows = np.concatenate(seldom), np.concatenate(places)
-        home = bucket_of(words, buckets)
-        order, edges = cuts_by(home)
-        words, rows, home = words[order], rows[order], home[order]
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            yield pa.RecordBatch.from_pylist([{"bucket": int(home[a]), "of": number, "words": words[a:b].tobytes(), "rows": rows[a:b].tobytes()}], schema=_BLOCKS)
+def _block(number: int, batch: pa.RecordBatch, held: np.ndarray, first: int, to: int, parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    sizes, low, high, sums, known, seldom = (np.concatenate(x).tobytes() for x in zip(*parts, strict=True))
+    ids = column(batch, "doc_id").slice(first, to - first).to_pylist()
+    return pa.RecordBatch.from_pylist([{"block": number, "doc_ids": ids, "sizes": sizes, "held": held[first:to].tobytes(), "low": low, "high": high, "sums": sums, "known": known, "seldom": seldom}], schema=_BLOCKS)
 
 
-def answers(requests: DataFrame, counts: DataFrame) -> DataFrame:
-    """of, rows, sums, known: for each block and bucket the rows with seldom words of that bucket, and what these add up to."""
+def requests(table: DataFrame, classes: np.ndarray, v: int, buckets: int) -> DataFrame:
+    """For each block and bucket the seldom tokens in their order: words, and the classes before (none, if not learned from) and after them."""
+    sent = table.sparkSession.sparkContext.broadcast(classes)
+    schema = pa.schema([("bucket", pa.int64()), ("of", pa.int64()), ("words", pa.binary()), ("before", pa.binary()), ("after", pa.binary())])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids, words = ids_of(r), np.frombuffer(r["seldom"], U)
+                c, where = sent.value[ids], np.flatnonzero(ids > v)
+                before = np.where(learning(r)[where], np.r_[np.uint8(0), c[:-1]][where], np.uint8(NO_CLASS))
+                after = c[where + 1]  # an end follows each text
+                home = bucket_of(words, buckets)
+                order, edges = cuts_by(home)
+                pairs = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+                parts = [pa.array([x[order[a:b]].tobytes() for a, b in pairs], pa.binary()) for x in (words, before.astype(np.uint8), after)]
+                yield pa.record_batch([pa.array(home[order[edges[:-1]]] if pairs else [], pa.int64()), pa.array([r["block"]] * len(pairs), pa.int64()), *parts], schema=schema)
+        released()
+
+    return table.select("block", "sizes", "held", "low", "high", "seldom").mapInArrow(ask, "bucket long, of long, words binary, before binary, after binary")
+
+
+def pulls(g: np.ndarray) -> np.ndarray:
+    """How much a word's likelihood in each class gains by one more class before it (the first rows) and after it (the rest).
+
+    That is the first order of what an exchange gains, which is all there is to a word seldom beside the classes.
+    """
+    g = g + ADDED_CLASS
+    return np.r_[np.log(g) - np.log(g.sum(0)), np.log(g).T - np.log(g.sum(1))]
+
+
+def seldom_classes(at: np.ndarray, before: np.ndarray, after: np.ndarray, pull: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of tokens of words numbered at, with the classes before and after them: the words, and for each the class it belongs to by all its neighbours."""
+    k = CLASSES + 1
+    order = np.argsort(at, kind="stable")
+    at, before, after = at[order], before[order].astype(np.int64), after[order].astype(np.int64)
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.empty(0, np.int64)
+    out, ends = np.empty(len(first), np.uint8), np.r_[first, len(at)]
+    for i in range(0, len(first), SELDOM_WORDS):
+        to = min(i + SELDOM_WORDS, len(first))
+        word = np.repeat(np.arange(to - i), np.diff(ends[i : to + 1])) * (2 * k)
+        a, b = ends[i], ends[to]
+        n = np.bincount(np.r_[word + before[a:b], word + k + after[a:b]], minlength=(to - i) * 2 * k).reshape(to - i, 2 * k)
+        out[i:to] = 1 + np.argmax((n @ pull)[:, 1:], 1)
+    return at[first], out
+
+
+def answers(asked: DataFrame, counts: DataFrame, classes: np.ndarray, g: np.ndarray, v: int, least: int) -> DataFrame:
+    """of, bucket, classes, n: for each request the classes of its tokens and how often their words occur in training, both none for
+    unseen words; and of = -1 for each bucket, with n = how many seldom words of it are in each class."""
+    k = CLASSES + 1
+    sent = asked.sparkSession.sparkContext.broadcast((classes[1 + v :], pulls(g)))
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        words = np.concatenate([np.frombuffer(x, U) for x in right["words"].to_pylist()] or [np.empty(0, U)])
-        n = np.concatenate([np.frombuffer(x, np.int64) for x in right["counts"].to_pylist()] or [np.empty(0, np.int64)])
-        out: list[tuple] = []
-        for of, raw, places in zip(left["of"].to_pylist(), left["words"], left["rows"], strict=True):
-            asked, row = np.frombuffer(raw.as_buffer(), U), np.frombuffer(places.as_buffer(), np.uint16)
-            got = np.zeros(len(asked), np.int64)
-            if len(words):
-                near = np.minimum(np.searchsorted(words, asked), len(words) - 1)
-                got = np.where(words[near] == asked, n[near], 0)
-            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            out.append((of, row[first].tobytes(), np.add.reduceat(np.log10(got + ADDED_WORD), first).tobytes(), np.add.reduceat((got > 0).astype(np.int64), first).tobytes()))
+        slot, pull = sent.value
+        words, n, slots = (np.concatenate([np.frombuffer(x, t) for x in right[c].to_pylist()] or [np.empty(0, t)]) for c, t in (("words", U), ("counts", np.int64), ("slots", np.uint16)))
+        home = slot[slots]
+        sizes = [x.as_py() for x in pa.compute.binary_length(left["words"])] if len(left) else []
+        asked, before, after = (np.concatenate([np.frombuffer(x, t) for x in left[c].to_pylist()] or [np.empty(0, t)]) for c, t in (("words", U), ("before", np.uint8), ("after", np.uint8)))
+        near = np.minimum(np.searchsorted(words, asked), max(0, len(words) - 1))
+        seen = words[near] == asked if len(words) else np.zeros(len(asked), bool)
+        from_ = np.flatnonzero(seen & (before != NO_CLASS))
+        which, own = seldom_classes(near[from_], before[from_], after[from_], pull)
+        home[which] = own
+        got, count = np.full(len(asked), NO_CLASS, np.uint8), np.zeros(len(asked), np.uint32)
+        got[seen], count[seen] = home[near[seen]], n[near[seen]]
+        edges = np.r_[0, np.cumsum(np.array(sizes, np.int64) // 8)].tolist()
+        key = (left if len(left) else right)["bucket"][0].as_py()
+        of, parts = [-1, *left["of"].to_pylist()], list(zip(edges[:-1], edges[1:], strict=True))
+        types = np.bincount(home[n < least], minlength=k).astype("<i8")
+        released()
+        return pa.table([pa.array(of, pa.int64()), pa.array([key] * len(of), pa.int64()), pa.array([b"", *(got[a:b].tobytes() for a, b in parts)], pa.binary()), pa.array([types.tobytes(), *(count[a:b].tobytes() for a, b in parts)], pa.binary())], names=["of", "bucket", "classes", "n"])
+
+    return asked.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(answer, "of long, bucket long, classes binary, n binary")
+
+
+def classed(table: DataFrame, replies: DataFrame, classes: np.ndarray, v: int, buckets: int) -> DataFrame:
+    """Blocks with the class of each token, sums and known over all tokens."""
+    sent = table.sparkSession.sparkContext.broadcast(classes)
+    schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), *((n, pa.binary()) for n in ("sizes", "held", "sums", "known", "classes", "homes", "places"))])
+    final = pa.schema([schema.field(n) for n in ("doc_ids", "sizes", "held", "sums", "known", "classes")])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids = ids_of(r)
+                out = {n: r[n] for n in ("block", "doc_ids", "sizes", "held", "sums", "known")}
+                out |= {"classes": sent.value[ids].tobytes(), "homes": bucket_of(np.frombuffer(r["seldom"], U), buckets).astype(np.uint32).tobytes(), "places": np.packbits(ids > v).tobytes()}
+                yield pa.RecordBatch.from_pylist([out], schema=schema)
         released()
-        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["of", "rows", "sums", "known"])
 
-    return requests.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(answer, "of long, rows binary, sums binary, known binary")
+    def fill(left: pa.Table, right: pa.Table) -> pa.Table:
+        replies = {r["bucket"]: r for r in right.to_pylist()}
+        out = []
+        for r in left.to_pylist():
+            sizes, c = np.frombuffer(r["sizes"], np.int32), np.frombuffer(r["classes"], np.uint8).copy()
+            where = np.flatnonzero(np.unpackbits(np.frombuffer(r["places"], np.uint8), count=len(c)))
+            home, n = np.frombuffer(r["homes"], np.uint32), np.zeros(len(where), np.int64)
+            order, edges = cuts_by(home)
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                reply, own = replies[int(home[order[a]])], order[a:b]
+                got = np.frombuffer(reply["classes"], np.uint8)
+                c[where[own[got != NO_CLASS]]] = got[got != NO_CLASS]
+                n[own] = np.frombuffer(reply["n"], np.uint32)
+            row = np.repeat(np.arange(len(sizes)), sizes)[where]
+            sums = np.frombuffer(r["sums"]) + np.bincount(row, np.log10(n + ADDED_WORD), len(sizes))
+            known = np.frombuffer(r["known"], np.int64) + np.bincount(row[n > 0], minlength=len(sizes))
+            out.append({"doc_ids": r["doc_ids"], "sizes": r["sizes"], "held": r["held"], "sums": sums.tobytes(), "known": known.tobytes(), "classes": c.tobytes()})
+        released()
+        return pa.Table.from_pylist(out, schema=final)
+
+    kind = "block long, doc_ids array<long>, sizes binary, held binary, sums binary, known binary, classes binary, homes binary, places binary"
+    return table.mapInArrow(walk, kind).groupBy("block").cogroup(replies.where("of >= 0").groupBy("of")).applyInArrow(fill, "doc_ids array<long>, sizes binary, held binary, sums binary, known binary, classes binary")
 
 
 def seed_bigrams(table: DataFrame, seeds: np.ndarray) -> np.ndarray:
@@ -216,8 +308,8 @@ def exchanged(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -
     return home
 
 
-def class_bigrams(table: DataFrame, classes: np.ndarray) -> np.ndarray:
-    """How often each class follows each in the training documents."""
+def class_bigrams(table: DataFrame, classes: np.ndarray | None = None) -> np.ndarray:
+    """How often each class follows each in the training documents; classes of units, or none where the table has those of tokens."""
     k = CLASSES + 1
     sent = table.sparkSession.sparkContext.broadcast(classes)
 
@@ -225,13 +317,14 @@ def class_bigrams(table: DataFrame, classes: np.ndarray) -> np.ndarray:
         total = np.zeros(k * k, np.int64)
         for batch in batches:
             for r in batch.to_pylist():
-                c = sent.value[ids_of(r)[learning(r)]].astype(np.int64)
+                c = np.frombuffer(r["classes"], np.uint8) if sent.value is None else sent.value[ids_of(r)]
+                c = c[learning(r)].astype(np.int64)
                 total += np.bincount(np.r_[0, c[:-1]] * k + c, minlength=k * k) if len(c) else 0
         yield pa.record_batch([pa.array([total.tolist()], pa.list_(pa.int64()))], names=["n"])
         released()
 
     out = np.zeros(k * k)
-    for r in table.select("sizes", "held", "low", "high").mapInArrow(count, "n array<long>").select(F.posexplode("n")).groupBy("pos").agg(F.sum("col").alias("n")).collect():
+    for r in table.select("sizes", "held", *(["classes"] if classes is None else ["low", "high"])).mapInArrow(count, "n array<long>").select(F.posexplode("n")).groupBy("pos").agg(F.sum("col").alias("n")).collect():
         out[r["pos"]] = r["n"]
     return out.reshape(k, k)
 
@@ -337,46 +430,31 @@ def scored(docs: DataFrame) -> DataFrame:
     n, v = n + ends, v + (ends > 0)
     least = least_count(n)
     words, often, slots = frequent(counts, least)
-    table = staged(blocks(rows, words, often, ends, buckets), "blocks")
-    whole = table.where("block is not null").select("block", "first", "doc_ids", "sizes", "held", "low", "high", "sums", "known")
-    classes, moves = clustered(whole, slots)
+    table = staged(blocks(rows, words, often, ends), "blocks")
+    classes, g = clustered(table, slots)
+    replies = staged(answers(requests(table, classes, len(words), buckets), counts, classes, g, len(words), least), "replies")
+    tokens = staged(classed(table, replies, classes, len(words), buckets), "classed")
+    moves = class_bigrams(tokens)
     step = np.log10((moves + ADDED_CLASS) / (moves.sum(1, keepdims=True) + ADDED_CLASS * (CLASSES + 1)))
-    kinds = np.r_[1, np.ones(len(words)), seldom_types(counts, least)]
-    types = np.bincount(classes, kinds, CLASSES + 1)
+    types = np.bincount(classes[: 1 + len(words)], minlength=CLASSES + 1)
+    for r in replies.where("of < 0").select("n").toLocalIterator():
+        types = types + np.frombuffer(bytes(r["n"]), np.int64)
     room = np.log10(moves.sum(0) + ADDED_WORD * (types + (np.arange(CLASSES + 1) > 0)))
     floor = np.log10(n + ADDED_WORD * (v + 1))
-    sent = rows.sparkSession.sparkContext.broadcast((classes, step - room[None, :]))
+    sent = rows.sparkSession.sparkContext.broadcast(step - room[None, :])
+    final = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, cost = sent.value
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cost = sent.value
         for batch in batches:
             for r in batch.to_pylist():
-                c, sizes = classes[ids_of(r)], np.frombuffer(r["sizes"], np.int32)
-                model = np.add.reduceat(cost[np.r_[0, c[:-1]], c], np.cumsum(sizes) - sizes) + np.frombuffer(r["sums"])
-                yield pa.RecordBatch.from_pylist([{k: r[k] for k in ("block", "first", "doc_ids", "sizes", "held", "sums", "known")} | {"model": model.tobytes()}], schema=walked)
+                c, sizes = np.frombuffer(r["classes"], np.uint8), np.frombuffer(r["sizes"], np.int32).astype(np.int64)
+                sums, known = np.frombuffer(r["sums"]), np.frombuffer(r["known"], np.int64)
+                model = np.add.reduceat(cost[np.r_[np.uint8(0), c[:-1]], c], np.cumsum(sizes) - sizes)
+                yield pa.record_batch([pa.array(r["doc_ids"], pa.int64()), pa.array(np.frombuffer(r["held"], bool)), *(pa.array(x) for x in (sizes, known, np.full(len(sizes), n, np.int64), sums - sizes * floor, model + sums))], schema=final)
         released()
 
-    walked = pa.schema([*(_BLOCKS.field(k) for k in ("block", "first", "doc_ids", "sizes", "held", "sums", "known")), ("model", pa.binary())])
-
-    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        whose, sums, known = (np.concatenate([np.frombuffer(x, t) for x in right[c].to_pylist()] or [np.empty(0, t)]) for c, t in (("rows", np.uint16), ("sums", np.float64), ("known", np.int64)))
-        out = []
-        for r in left.to_pylist():
-            sizes = np.frombuffer(r["sizes"], np.int32).astype(np.int64)
-            mine = (whose >= r["first"]) & (whose < r["first"] + len(sizes))
-            row = whose[mine].astype(np.int64) - r["first"]
-            more = np.bincount(row, sums[mine], len(sizes))
-            sure = np.frombuffer(r["known"], np.int64) + np.bincount(row, known[mine], len(sizes)).astype(np.int64)
-            base = np.frombuffer(r["sums"]) + more - sizes * floor
-            columns = [pa.array(r["doc_ids"], pa.int64()), np.frombuffer(r["held"], bool), sizes, sure, np.full(len(sizes), n, np.int64), base, np.frombuffer(r["model"]) + more]
-            out.append(pa.table(columns, schema=final))
-        return pa.concat_tables(out) if out else final.empty_table()
-
-    final = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-    kind = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    replies = answers(table.where("block is null").select("bucket", "of", "words", "rows"), counts.select("bucket", "words", "counts"))
-    ways = whole.mapInArrow(walk, "block long, first int, doc_ids array<long>, sizes binary, held binary, sums binary, known binary, model binary")
-    out = ways.groupBy("block").cogroup(replies.groupBy("of")).applyInArrow(finish, kind)
+    out = tokens.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 

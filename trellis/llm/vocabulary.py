@@ -12,7 +12,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from trellis.llm.common import U, Words, released, splitmix, staged, text_slices
 
@@ -113,18 +112,3 @@ def frequent(counts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray, np.
     words, n, slots = (np.frombuffer(b"".join(bytes(x[i]) for x in found), t) for i, t in enumerate((U, np.int64, np.uint16)))
     order = np.lexsort((words, -n))
     return words[order], n[order], slots[order]
-
-
-def seldom_types(counts: DataFrame, least: int) -> np.ndarray:
-    """How many distinct words that occur less than least times fall into each suffix slot."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                slots = np.frombuffer(r["slots"], np.uint16)[np.frombuffer(r["counts"], np.int64) < least]
-                yield pa.record_batch([pa.array([np.bincount(slots, minlength=SUFFIXES).tolist()], pa.list_(pa.int64()))], names=["types"])
-
-    out = np.zeros(SUFFIXES, np.int64)
-    for r in counts.select("counts", "slots").mapInArrow(count, "types array<long>").select(F.posexplode("types")).groupBy("pos").agg(F.sum("col").alias("n")).collect():
-        out[r["pos"]] = r["n"]
-    return out
