@@ -124,11 +124,11 @@ class Texts:
     def bytes(self, i: int) -> bytes:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
-    def words(self, lower: bool = False) -> "Words":
+    def words(self, lower: bool = False, apart: np.ndarray = IS_SPACE) -> "Words":
         data = LOWER[self.data] if lower else self.data
         n = len(data)
         inside = np.zeros(n + 2, bool)
-        np.logical_not(IS_SPACE[data], out=inside[1:-1])
+        np.logical_not(apart[data], out=inside[1:-1])
         edge = np.zeros(n + 1, bool)
         edge[self.offsets] = True
         starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:-1]))
