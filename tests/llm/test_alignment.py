@@ -61,12 +61,14 @@ def by_hand(encode, texts):
             while k < len(b) and b[k][0] < e:
                 links.append((ids_a[i], ids_b[k]))
                 k += 1
-        groups = []
-        for e in sorted({e for _, e in a} & {e for _, e in b}):
-            start = groups[-1][0] if groups else 0
-            groups.append((e, ",".join(str(ids_a[i]) for i, x in enumerate(a) if start <= x[0] < e) + "|" + ",".join(str(ids_b[i]) for i, x in enumerate(b) if start <= x[0] < e)))
+        number_a, number_b = ({e: n for n, (_, e) in enumerate(x, 1)} for x in (a, b))
+        groups, i, k = [], 0, 0
+        for end in sorted({e for _, e in a} & {e for _, e in b}):
+            i2, k2 = number_a[end], number_b[end]
+            groups.append(",".join(map(str, ids_a[i:i2])) + "|" + ",".join(map(str, ids_b[k:k2])))
+            i, k = i2, k2
         total.update(links)
-        found.append((len(a), len(b), links, [g for _, g in groups]))
+        found.append((len(a), len(b), links, groups))
     best = collections.Counter()
     for (_, b), n in total.items():
         best[b] = max(best[b], n)

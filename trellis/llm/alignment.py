@@ -24,24 +24,24 @@ from pyspark.sql import functions as F
 
 from trellis.llm.common import IS_SPACE, Texts, Words, binary, column, documents, ints, pick, released, staged, text_slices
 
-#: Bytes of text in a block, but for one longer text. Distinct units are fewer in larger blocks, and so are id pairs.
-BLOCK_BYTES = 4 << 20
+#: Bytes of text in a block, and those whose new units are aligned together, but for one longer text. Larger blocks hold
+#: fewer distinct units and id pairs; what is held at once in DuckDB follows the smaller number.
+BLOCK_BYTES, STEP_BYTES = 8 << 20, 1 << 19
 #: What the first bytes of white space beyond ASCII are among: no unit begins beside a character that begins with them.
 _WIDE = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
 _META = "▁"
 
 OVERLAPS = [
-    "create temp table shared as select a.e from a join b using (e)",
+    "create or replace temp table shared as select a.e from a join b using (e)",
     *(
-        f"create temp table grouped_{x} as select u, k, coalesce(sum(shut) over (order by k rows between unbounded preceding and 1 preceding), 0)::int as g "
-        f"from (select {x}.u, {x}.k, (shared.e is not null)::int as shut from {x} left join shared using (e))"
+        f"create or replace temp table grouped_{x} as select k, coalesce(sum(shut) over (order by k rows between unbounded preceding and 1 preceding), 0)::int as g "
+        f"from (select {x}.k, (shared.e is not null)::int as shut from {x} left join shared using (e))"
         for x in "ab"
     ),
-    "create temp table started as select a.u, a.s, a.e, a.id as a, b.id as b, b.e as upto from a asof join b on a.s >= b.s",
-    "create temp table later as select b.s, b.id as b from b anti join a using (s)",
-    "create temp table inside as select started.u, started.a, later.b from started join later on later.s > started.s and later.s < started.e where started.upto < started.e",
-    "create temp table links as select u, a, b, count(*) as m from (select u, a, b from started union all select u, a, b from inside) group by all",
-    "create temp table pairs as select a, b, row_number() over (order by a, b) - 1 as p, sum(m * n)::bigint as n from links join units using (u) group by a, b",
+    "create or replace temp table started as select a.u, a.s, a.e, a.id as a, b.id as b, b.e as upto from a asof join b on a.s >= b.s",
+    "create or replace temp table later as select b.s, b.id as b from b anti join a using (s)",
+    "create or replace temp table inside as select started.u, started.a, later.b from started join later on later.s > started.s and later.s < started.e where started.upto < started.e",
+    "create or replace temp table links as select u, (a::bigint << 32) + b as pair, count(*) as m from (select u, a, b from started union all select u, a, b from inside) group by all",
 ]
 
 
@@ -98,6 +98,8 @@ def unit_starts(texts: Texts, splits: bool) -> np.ndarray:
 
 def unequal(units: list[bytes], tokens: list[list[int]], token_bytes: list[bytes]) -> np.ndarray:
     """Whether the tokens of each unit, joined, are something else than the unit."""
+    if b"".join(map(token_bytes.__getitem__, chain.from_iterable(tokens))) == b"".join(units):
+        return np.zeros(len(units), bool)
     return np.fromiter((b"".join(map(token_bytes.__getitem__, t)) != u for u, t in zip(units, tokens, strict=True)), bool, len(units))
 
 
@@ -112,72 +114,110 @@ def intervals(tokens: list[list[int]], n_bytes: np.ndarray) -> pa.Table:
 class Overlaps:
     """The groups and links of units: per unit its numbers and the text of its groups, per unit and id pair the links."""
 
-    def __init__(self, voc: Vocabularies, of_a: list[list[int]], of_b: list[list[int]], times: np.ndarray) -> None:
-        import duckdb
-
+    def __init__(self, con: "duckdb.DuckDBPyConnection", voc: Vocabularies, of_a: list[list[int]], of_b: list[list[int]]) -> None:
         a, b, n = intervals(of_a, voc.n_a), intervals(of_b, voc.n_b), len(of_a)
-        with duckdb.connect(config={"threads": 1}) as con:
-            for name, rows in (("a", a), ("b", b), ("units", pa.table({"u": np.arange(n, dtype=np.int32), "n": times}))):
-                con.register("rows", rows)
-                con.execute(f"create temp table {name} as select * from rows")
-                con.unregister("rows")
-            for statement in OVERLAPS:
-                con.execute(statement)
-            group_a, group_b = (con.sql(f"select g from grouped_{x} order by k").fetchnumpy()["g"] for x in "ab")
-            links = con.sql("select u, p, m from links join pairs using (a, b) order by u, p").fetchnumpy()
-            self.pairs = con.sql("select a, b, n from pairs order by p").to_arrow_table()
-        self.unit, self.pair, self.links = links["u"].astype(np.int32), links["p"].astype(np.int32), links["m"].astype(np.int64)
+        for name, rows in (("a", a), ("b", b)):
+            con.register("rows", rows)
+            con.execute(f"create or replace temp table {name} as select * from rows")
+            con.unregister("rows")
+        for statement in OVERLAPS:
+            con.execute(statement)
+        group_a, group_b = (con.sql(f"select g from grouped_{x} order by k").fetchnumpy()["g"] for x in "ab")
+        links = con.sql("select u, pair, m from links order by u, pair").fetchnumpy()
+        self.unit, self.pair, self.links = links["u"].astype(np.int32), links["pair"].astype(np.int64), links["m"].astype(np.int32)
         unit_a, unit_b = a["u"].to_numpy(), b["u"].to_numpy()
-        self.n_a, self.n_b = np.bincount(unit_a, minlength=n), np.bincount(unit_b, minlength=n)
-        self.n_links = np.bincount(self.unit, self.links, minlength=n).astype(np.int64)
-        last_a, last_b = np.r_[group_a[1:] != group_a[:-1], np.ones(min(len(group_a), 1), bool)], np.r_[group_b[1:] != group_b[:-1], np.ones(min(len(group_b), 1), bool)]
-        self.n_groups = np.bincount(unit_a[last_a], minlength=n)
+        last_a, last_b = (np.append(g[1:] != g[:-1], np.ones(min(len(g), 1), bool)) for g in (group_a, group_b))
+        self.numbers = [np.bincount(unit_a, minlength=n), np.bincount(unit_b, minlength=n), np.bincount(unit_a[last_a], minlength=n), np.bincount(self.unit, self.links, minlength=n).astype(np.int64)]
         # a group's tokens of a, then those of b
         order = np.empty(len(group_a) + len(group_b), np.int64)
         order[np.arange(len(group_a)) + np.searchsorted(group_b, group_a, "left")] = 2 * a["id"].to_numpy().astype(np.int64) + last_a
         order[np.arange(len(group_b)) + np.searchsorted(group_a, group_b, "right")] = 2 * len(voc.bytes_a) + 2 * b["id"].to_numpy().astype(np.int64) + last_b
         text = voc.strings.take(pa.array(order))
-        ends = np.r_[0, np.cumsum(pc.binary_length(text).to_numpy())][np.r_[0, np.cumsum(self.n_a + self.n_b)]].tolist()
+        ends = np.append(0, np.cumsum(pc.binary_length(text).to_numpy()))[np.append(0, np.cumsum(self.numbers[0] + self.numbers[1]))].tolist()
         raw = "".join(text.to_pylist())
         self.texts = [raw[i:j] for i, j in zip(ends, ends[1:])]
 
 
 def _sums(values: np.ndarray, units: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The sum of the units' values over each text, whose units are those from first[i] to first[i + 1]."""
-    return np.diff(np.r_[0, np.cumsum(values[units])][first])
-
-
-def _block(voc: Vocabularies, texts: Texts, digest: bool) -> dict:
-    """What a block is written as: the numbers of its texts, the units of each in order, and links by unit and id pair."""
-    empty = np.diff(texts.offsets) == 0
-    texts = spaced(texts)
-    starts = unit_starts(texts, voc.splits)
-    ends = np.r_[starts[1:], len(texts.data)]
-    first = np.searchsorted(starts, texts.offsets)
-    _, which, unit = np.unique(Words(texts.data, starts, ends, first).hashes(), return_index=True, return_inverse=True)
-    raw = texts.data.tobytes()
-    units = [raw[i:j] for i, j in zip(starts[which].tolist(), ends[which].tolist())]
-    plain = [u.decode() for u in units]
-    of_a = list(map(voc.a.encode_ordinary, plain))
-    of_b = voc.b.encode([u[1:] for u in plain], num_threads=1)
-    # a text with a unit that either tokenizer changes has no tokens
-    changed = unequal(units, of_a, voc.bytes_a) | unequal(units, of_b, voc.bytes_b)
-    owner = np.repeat(np.arange(len(texts)), np.diff(first))
-    whole = ~empty & ~np.bincount(owner, changed[unit], minlength=len(texts)).astype(bool)
-    unit = unit[whole[owner]]
-    first = np.r_[0, np.cumsum(np.where(whole, np.diff(first), 0))]
-    used, unit, times = np.unique(unit, return_inverse=True, return_counts=True)
-    found = Overlaps(voc, [of_a[i] for i in used.tolist()], [of_b[i] for i in used.tolist()], times)
-    edges, flat, groups = first.tolist(), unit.tolist(), []
-    for i, j in zip(edges, edges[1:]):
-        text = "".join([found.texts[u] for u in flat[i:j]])[:-1]
-        groups.append(hashlib.sha256(text.encode()).hexdigest() if digest and text else text)
-    numbers = {name: _sums(getattr(found, name), unit, first) for name in ("n_a", "n_b", "n_groups", "n_links")}
-    return {"groups": groups, "n_units": np.diff(first), **numbers, "units": unit.astype(np.int32), "of_unit": found.unit, "of_pair": found.pair, "links": found.links, "pairs": found.pairs}
+    return np.diff(np.append(0, np.cumsum(values[units]))[first])
+
+
+class Block:
+    """Texts that are written together, as sequences of units, each of which is encoded and aligned where it is first seen."""
+
+    def __init__(self, con: "duckdb.DuckDBPyConnection", voc: Vocabularies) -> None:
+        self.con, self.voc, self.n_bytes = con, voc, 0
+        self.ids: list[pa.Array] = []
+        self.units: list[np.ndarray] = []
+        self.n_units: list[np.ndarray] = []
+        self.empty: list[np.ndarray] = []
+        # units in the order of their numbers, and the numbers by ascending hash
+        self.hashes, self.by_hash = np.empty(0, np.uint64), np.empty(0, np.int32)
+        self.texts: list[str] = []
+        self.changed: list[np.ndarray] = []
+        self.numbers: list[list[np.ndarray]] = []
+        self.links: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, ids: pa.Array, texts: Texts) -> None:
+        self.ids.append(ids)
+        self.n_bytes += len(texts.data)
+        self.empty.append(np.diff(texts.offsets) == 0)
+        texts = spaced(texts)
+        starts = unit_starts(texts, self.voc.splits)
+        ends = np.append(starts[1:], len(texts.data))
+        first = np.searchsorted(starts, texts.offsets)
+        found, which, unit = np.unique(Words(texts.data, starts, ends, first).hashes(), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, found)
+        new = (at == len(self.hashes)) | (np.take(self.hashes, at, mode="clip") != found) if len(self.hashes) else np.ones(len(found), bool)
+        self._align(texts.data.tobytes(), starts[which[new]].tolist(), ends[which[new]].tolist())
+        self.by_hash = np.insert(self.by_hash, at[new], np.arange(len(self.hashes), len(self.hashes) + new.sum(), dtype=np.int32))
+        self.hashes = np.insert(self.hashes, at[new], found[new])
+        self.units.append(self.by_hash[np.searchsorted(self.hashes, found)][unit])
+        self.n_units.append(np.diff(first))
+
+    def _align(self, raw: bytes, starts: list[int], ends: list[int]) -> None:
+        """Encodes new units; those that a tokenizer changes have no tokens."""
+        before, voc = len(self.texts), self.voc
+        units = [raw[i:j] for i, j in zip(starts, ends)]
+        plain = [u.decode() for u in units]
+        of_a, of_b = list(map(voc.a.encode_ordinary, plain)), voc.b.encode([u[1:] for u in plain], num_threads=1)
+        changed = unequal(units, of_a, voc.bytes_a) | unequal(units, of_b, voc.bytes_b)
+        for i in np.flatnonzero(changed).tolist():
+            of_a[i] = of_b[i] = []
+        found = Overlaps(self.con, voc, of_a, of_b)
+        self.texts += found.texts
+        self.changed.append(changed)
+        self.numbers.append(found.numbers)
+        self.links.append((found.unit + np.int32(before), found.pair, found.links))
+
+    def row(self, number: int, digest: bool) -> pa.RecordBatch:
+        """The block's number, its texts' ids, numbers and units, links by unit and place of the id pair, and counts of pairs."""
+        unit, n_units = np.concatenate(self.units), np.concatenate(self.n_units)
+        owner = np.repeat(np.arange(len(n_units)), n_units)
+        # a text with a unit that either tokenizer changes has no tokens
+        whole = ~np.concatenate(self.empty) & (np.bincount(owner, np.concatenate(self.changed)[unit], minlength=len(n_units)) == 0)
+        unit, n_units = unit[whole[owner]], np.where(whole, n_units, 0)
+        first = np.append(0, np.cumsum(n_units))
+        groups = []
+        for i, j in zip(first[:-1].tolist(), first[1:].tolist()):
+            text = "".join([self.texts[u] for u in unit[i:j].tolist()])[:-1]
+            groups.append(hashlib.sha256(text.encode()).hexdigest() if digest and text else text)
+        of_unit, pair, links = (np.concatenate(x) for x in zip(*self.links))
+        pairs, of_pair = np.unique(pair, return_inverse=True)
+        counts = np.zeros(len(pairs), np.int64)
+        np.add.at(counts, of_pair, links * np.bincount(unit, minlength=len(self.texts))[of_unit])
+        listed = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        numbers = [_sums(np.concatenate(x), unit, first) for x in zip(*self.numbers)]
+        columns = {"block": pa.array([number], pa.int64()), "doc_id": listed(pa.concat_arrays(self.ids)), "groups": listed(pa.array(groups, pa.string()))}
+        columns |= {name: listed(pa.array(x, pa.int64())) for name, x in zip(_LONGS, [*numbers, n_units], strict=True)}
+        columns |= {name: binary([x.astype(np.int32)]) for name, x in (("units", unit), ("of_unit", of_unit), ("of_pair", of_pair), ("links", links))}
+        a, b = (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32)
+        columns["pairs"] = listed(pa.StructArray.from_arrays([pa.array(a), pa.array(b), pa.array(counts)], names=["a", "b", "n"]))
+        return pa.record_batch(columns)
 
 
 _LONGS = ("n_a", "n_b", "n_groups", "n_links", "n_units")
-_PAIR = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])
 
 
 def blocks(docs: DataFrame, ranks_path: str, pattern: str, model_path: str, digest: bool = True) -> DataFrame:
@@ -185,18 +225,21 @@ def blocks(docs: DataFrame, ranks_path: str, pattern: str, model_path: str, dige
     rows = pick(docs, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import duckdb
+
         voc, number = vocabularies(ranks_path, pattern, model_path), TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for at, texts in text_slices(batch, "text", BLOCK_BYTES):
-                made = _block(voc, texts, digest)
-                ids = column(batch, "doc_id").slice(at, len(texts))
-                whole = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-                pairs = pa.StructArray.from_arrays([made["pairs"][f.name].combine_chunks().cast(f.type) for f in _PAIR], fields=list(_PAIR))
-                listed = {"block": pa.array([number], pa.int64()), "doc_id": whole(ids), "groups": whole(pa.array(made["groups"], pa.string()))}
-                listed |= {name: whole(pa.array(made[name], pa.int64())) for name in _LONGS}
-                listed |= {name: binary([made[name]]) for name in ("units", "of_unit", "of_pair", "links")}
-                yield pa.record_batch(listed | {"pairs": whole(pairs)})
-                number += 1
+        with duckdb.connect(config={"threads": 1}) as con:
+            block = Block(con, voc)
+            for batch in batches:
+                for at, texts in text_slices(batch, "text", min(STEP_BYTES, BLOCK_BYTES)):
+                    block.add(column(batch, "doc_id").slice(at, len(texts)), texts)
+                    if block.n_bytes >= BLOCK_BYTES:
+                        yield block.row(number, digest)
+                        block, number = Block(con, voc), number + 1
+                        released()
+            if block.ids:
+                yield block.row(number, digest)
+            del block
         released()
 
     longs = ", ".join(f"{name} array<long>" for name in _LONGS)
@@ -205,6 +248,7 @@ def blocks(docs: DataFrame, ranks_path: str, pattern: str, model_path: str, dige
 
 
 def _own_pairs(written: DataFrame) -> DataFrame:
+    """The id pairs of each block with their places there; pairs that only changed texts have count nothing."""
     return written.select("block", F.posexplode("pairs").alias("p", "pair")).select("block", "p", "pair.*")
 
 
@@ -213,7 +257,7 @@ def pair_counts(written: DataFrame) -> DataFrame:
 
     Blocks have each pair once, so that no key has more rows than there are blocks, and sums are combined before the shuffle.
     """
-    counts = _own_pairs(written).groupBy("a", "b").agg(F.sum("n").alias("count"))
+    counts = _own_pairs(written).where("n > 0").groupBy("a", "b").agg(F.sum("n").alias("count"))
     return counts.withColumn("best", F.col("count") == F.max("count").over(Window.partitionBy("b")))
 
 
@@ -237,12 +281,12 @@ def aligned(docs: DataFrame, ranks_path: str, pattern: str, model_path: str, dig
         row = block.combine_chunks().to_batches()[0]
         listed = lambda name: column(row, name).values.slice(column(row, name).offsets[0].as_py(), column(row, name).value_lengths()[0].as_py())
         numbers = lambda name, kind: np.frombuffer(column(row, name)[0].as_buffer(), kind)
-        count, best = np.zeros(answer.num_rows, np.int64), np.zeros(answer.num_rows, np.int64)
+        units, of_unit, of_pair, links = (numbers(x, np.int32) for x in ("units", "of_unit", "of_pair", "links"))
+        count, best = np.zeros((2, int(of_pair.max(initial=-1)) + 1), np.int64)
         if answer.num_rows:
             one = answer.combine_chunks().to_batches()[0]
             count[ints(one, "p")], best[ints(one, "p")] = ints(one, "count"), ints(one, "best")
-        units, of_unit, of_pair, links = numbers("units", np.int32), numbers("of_unit", np.int32), numbers("of_pair", np.int32), numbers("links", np.int64)
-        first, n = np.r_[0, np.cumsum(listed("n_units").to_numpy())], int(units.max(initial=-1)) + 1
+        first, n = np.append(0, np.cumsum(listed("n_units").to_numpy())), int(of_unit.max(initial=-1)) + 1
         sums = {}
         for name, values in (("n_best", best), ("count_sum", count)):
             of = np.zeros(n, np.int64)
