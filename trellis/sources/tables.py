@@ -12,16 +12,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet under spark.checkpoint.dir and read again; a folder is made only where none is set and all run on one machine."""
-    spark = df.sparkSession
+def shared(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one is made only where none is set and all run on one machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="trellis-")
         spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/trellis/{name}-{uuid.uuid4().hex}"
+    return where.rstrip("/")
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet under spark.checkpoint.dir and read again."""
+    spark = df.sparkSession
+    path = f"{shared(spark)}/trellis/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)

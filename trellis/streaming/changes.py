@@ -8,7 +8,6 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from trellis.functions.paths import ignored
-from trellis.operators.feed import applied
 from trellis.sources.store import Store
 
 
@@ -22,19 +21,24 @@ def state_of(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
     return store.table("rows") if "rows" in store.tables() else spark.createDataFrame([], schema)
 
 
-def merge_stream(changes: DataFrame, folder: str, checkpoint: str, key: str, seq: str, removed: str, every: str | None = None) -> StreamingQuery:
-    """Merges changes batch by batch into the table in folder: all there are, or, with `every`, for good at that interval.
+def merge_stream(changes: DataFrame, folder: str, checkpoint: str, key: str, seq: str, removed: str, every: str | None = None, buckets: int = 64, most_parts: int = 8) -> StreamingQuery:
+    """Merges changes batch by batch into the keyed table in folder: all there are, or, with `every`, for good at that interval.
 
-    A batch and its number are one commit; offsets are kept once that is done. A batch that comes again after a crash is
-    known by its number. A replay from other offsets merges the same changes again, which ends in the same table.
+    A batch writes the rows that it changes and nothing else; buckets that have gathered more than most_parts such parts are
+    rewritten behind it. A batch and its number are one commit; offsets are kept once that is done. A batch that comes again
+    after a crash is known by its number. A replay from other offsets merges the same changes again, which ends in the same
+    table.
     """
     schema, mark = StructType([f for f in changes.schema if f.name not in (seq, removed)]), f"batch:{checkpoint}"
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         store = Store(spark, folder)
+        if "rows" not in store.tables():
+            store.keyed("rows", spark.createDataFrame([], schema), key, buckets)
         if number > int(store.meta(mark) or -1):
-            store.commit({"rows": applied(state_of(spark, folder, schema), batch, key, seq, F.col(removed))}, {mark: str(number)})
+            store.merge("rows", batch, F.col(seq), F.col(removed), {mark: str(number)})
+        store.compact("rows", most_parts)
 
     when = {"processingTime": every} if every else {"availableNow": True}
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**when).start()
