@@ -17,7 +17,6 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,7 +25,7 @@ from trellis.llm.common import IS_SPACE, Texts, Words, binary, column, documents
 
 #: Bytes of text in a block, and those whose new units are aligned together, but for one longer text. Larger blocks hold
 #: fewer distinct units and id pairs; what is held at once in DuckDB follows the smaller number.
-BLOCK_BYTES, STEP_BYTES = 8 << 20, 1 << 19
+BLOCK_BYTES, STEP_BYTES = 4 << 20, 1 << 18
 #: What the first bytes of white space beyond ASCII are among: no unit begins beside a character that begins with them.
 _WIDE = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
 _META = "▁"
@@ -132,10 +131,10 @@ class Overlaps:
         order = np.empty(len(group_a) + len(group_b), np.int64)
         order[np.arange(len(group_a)) + np.searchsorted(group_b, group_a, "left")] = 2 * a["id"].to_numpy().astype(np.int64) + last_a
         order[np.arange(len(group_b)) + np.searchsorted(group_a, group_b, "right")] = 2 * len(voc.bytes_a) + 2 * b["id"].to_numpy().astype(np.int64) + last_b
-        text = voc.strings.take(pa.array(order))
-        ends = np.append(0, np.cumsum(pc.binary_length(text).to_numpy()))[np.append(0, np.cumsum(self.numbers[0] + self.numbers[1]))].tolist()
-        raw = "".join(text.to_pylist())
-        self.texts = [raw[i:j] for i, j in zip(ends, ends[1:])]
+        # texts of tokens that are taken one after another lie so in memory: those of a unit are one text there
+        tokens = voc.strings.take(pa.array(order))
+        ends = np.frombuffer(tokens.buffers()[1], np.int32)[np.append(0, np.cumsum(self.numbers[0] + self.numbers[1]))] if n else np.zeros(1, np.int32)
+        self.texts = pa.StringArray.from_buffers(n, pa.py_buffer(ends.tobytes()), tokens.buffers()[2] or pa.py_buffer(b""))
 
 
 def _sums(values: np.ndarray, units: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -154,7 +153,7 @@ class Block:
         self.empty: list[np.ndarray] = []
         # units in the order of their numbers, and the numbers by ascending hash
         self.hashes, self.by_hash = np.empty(0, np.uint64), np.empty(0, np.int32)
-        self.texts: list[str] = []
+        self.texts: list[pa.StringArray] = []
         self.changed: list[np.ndarray] = []
         self.numbers: list[list[np.ndarray]] = []
         self.links: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -178,7 +177,7 @@ class Block:
 
     def _align(self, raw: bytes, starts: list[int], ends: list[int]) -> None:
         """Encodes new units; those that a tokenizer changes have no tokens."""
-        before, voc = len(self.texts), self.voc
+        before, voc = len(self.hashes), self.voc
         units = [raw[i:j] for i, j in zip(starts, ends)]
         plain = [u.decode() for u in units]
         of_a, of_b = list(map(voc.a.encode_ordinary, plain)), voc.b.encode([u[1:] for u in plain], num_threads=1)
@@ -186,7 +185,7 @@ class Block:
         for i in np.flatnonzero(changed).tolist():
             of_a[i] = of_b[i] = []
         found = Overlaps(self.con, voc, of_a, of_b)
-        self.texts += found.texts
+        self.texts.append(found.texts)
         self.changed.append(changed)
         self.numbers.append(found.numbers)
         self.links.append((found.unit + np.int32(before), found.pair, found.links))
@@ -199,14 +198,19 @@ class Block:
         whole = ~np.concatenate(self.empty) & (np.bincount(owner, np.concatenate(self.changed)[unit], minlength=len(n_units)) == 0)
         unit, n_units = unit[whole[owner]], np.where(whole, n_units, 0)
         first = np.append(0, np.cumsum(n_units))
-        groups = []
+        texts, groups = pa.concat_arrays(self.texts).cast(pa.large_string()), []
+        n_texts = len(texts)
         for i, j in zip(first[:-1].tolist(), first[1:].tolist()):
-            text = "".join([self.texts[u] for u in unit[i:j].tolist()])[:-1]
-            groups.append(hashlib.sha256(text.encode()).hexdigest() if digest and text else text)
+            of = texts.take(pa.array(unit[i:j])).buffers() if j > i else None
+            raw = memoryview(of[2])[: np.frombuffer(of[1], np.int64)[j - i] - 1] if of else b""
+            groups.append(hashlib.sha256(raw).hexdigest() if digest and of else bytes(raw).decode())
+        del texts
+        self.texts.clear()
         of_unit, pair, links = (np.concatenate(x) for x in zip(*self.links))
+        self.links.clear()
         pairs, of_pair = np.unique(pair, return_inverse=True)
         counts = np.zeros(len(pairs), np.int64)
-        np.add.at(counts, of_pair, links * np.bincount(unit, minlength=len(self.texts))[of_unit])
+        np.add.at(counts, of_pair, links * np.bincount(unit, minlength=n_texts)[of_unit])
         listed = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
         numbers = [_sums(np.concatenate(x), unit, first) for x in zip(*self.numbers)]
         columns = {"block": pa.array([number], pa.int64()), "doc_id": listed(pa.concat_arrays(self.ids)), "groups": listed(pa.array(groups, pa.string()))}
