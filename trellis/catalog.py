@@ -12,11 +12,11 @@ from trellis.functions import reports as R
 from trellis.operators import audit, feed, reconcile
 from trellis.operators import nodes as trees
 from trellis.plans.fixtures import COARSE, NODES, NOW, SNAPSHOTS, nodes, snapshots, sql_text
-from trellis import listing_catalog, state_catalog, tree_catalog
+from trellis import listing_catalog, live_catalog, state_catalog, tree_catalog
 from trellis.sources.tables import staged, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = tree_catalog.QUERIES | state_catalog.QUERIES | listing_catalog.QUERIES
-SQL: dict[str, str] = tree_catalog.SQL | state_catalog.SQL | listing_catalog.SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = tree_catalog.QUERIES | state_catalog.QUERIES | listing_catalog.QUERIES | live_catalog.QUERIES
+SQL: dict[str, str] = tree_catalog.SQL | state_catalog.SQL | listing_catalog.SQL | live_catalog.SQL
 
 
 def query(sql: str | None):

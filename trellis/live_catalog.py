@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from trellis.operators import watching
 from trellis.sources.change_feed import feed, hold, publish, release
 from trellis.sources.store import Store
 from trellis.sources.tables import shared, table
@@ -39,3 +40,27 @@ def feed_mirror(spark, d):
         release(log)
     merge_stream(feed(spark, log, changes.schema), store.folder, offsets, "user_id", "seq", "removed").awaitTermination()
     return store.table("rows")
+
+
+_SINCE = "select user_id, event_id, {columns} from (select *, cast(sum(cast(c as int)) over (partition by user_id, g order by event_id) as bigint) as n from (select *, sum(cast(r as int)) over (partition by user_id order by event_id) as g from (select user_id, event_id, {counted} as c, {reset} as r from events) a) b) d"
+
+
+@query(_SINCE.format(columns="n as pending", counted="event_type in ('click', 'view')", reset="event_type = 'purchase'"))
+def pending_changes(spark, d):
+    events = table(spark, d, "events").select("user_id", "event_id", "event_type")
+    return watching.since(events, "user_id", "event_id", F.col("event_type").isin("click", "view"), F.col("event_type") == "purchase", "pending").drop("event_type")
+
+
+@query(_SINCE.format(columns="n as failures, n >= 3 as latched", counted="event_type in ('error', 'signup')", reset="event_type not in ('error', 'signup')"))
+def failure_latch(spark, d):
+    events = table(spark, d, "events").select("user_id", "event_id", "event_type")
+    return watching.latched(events, "user_id", "event_id", F.col("event_type").isin("error", "signup")).drop("event_type")
+
+
+@query("""with b as (select distinct user_id, epoch_us(ts) as at from events), l as (select user_id, at, lead(at) over (partition by user_id order by at) as later, (select max(epoch_us(ts)) from events) as limit_at from b)
+select user_id, at as last_us, later as back_us from l where coalesce(later, limit_at) - at > 172800000000""")
+def silent_users(spark, d):
+    events = table(spark, d, "events")
+    until = events.agg(F.max("ts")).first()[0]
+    found = watching.silences(events, "user_id", "ts", 172_800_000_000, F.lit(until))
+    return found.select("user_id", F.unix_micros("last").alias("last_us"), F.unix_micros("back").alias("back_us"))
