@@ -6,7 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from trellis.operators import watching
+from trellis.operators import digests, watching
+from trellis.operators.nodes import tree_paths
+from trellis.plans.fixtures import NODES, nodes, sql_text
+from trellis.plans.trees import TREES, trees
 from trellis.sources.change_feed import feed, hold, publish, release
 from trellis.sources.store import Store
 from trellis.sources.tables import shared, table
@@ -57,10 +60,31 @@ def failure_latch(spark, d):
     return watching.latched(events, "user_id", "event_id", F.col("event_type").isin("error", "signup")).drop("event_type")
 
 
-@query("""with b as (select distinct user_id, epoch_us(ts) as at from events), l as (select user_id, at, lead(at) over (partition by user_id order by at) as later, (select max(epoch_us(ts)) from events) as limit_at from b)
-select user_id, at as last_us, later as back_us from l where coalesce(later, limit_at) - at > 172800000000""")
+@query("""with b as (select distinct user_id, epoch_us(ts) as t0 from events), l as (select user_id, t0, lead(t0) over (partition by user_id order by t0) as later, (select max(epoch_us(ts)) from events) as limit_at from b)
+select user_id, t0 as last_us, later as back_us from l where coalesce(later, limit_at) - t0 > 172800000000""")
 def silent_users(spark, d):
     events = table(spark, d, "events")
     until = events.agg(F.max("ts")).first()[0]
     found = watching.silences(events, "user_id", "ts", 172_800_000_000, F.lit(until))
     return found.select("user_id", F.unix_micros("last").alias("last_us"), F.unix_micros("back").alias("back_us"))
+
+
+@query(sql_text(f"""with recursive {NODES}, t as (
+  select file_id, name as rel_path, 1 as depth from nodes where parent_id = 'r2'
+  union all select n.file_id, concat(t.rel_path, '/', n.name), t.depth + 1 from t join nodes n on n.parent_id = t.file_id)
+select * from t"""))
+def subtree_paths(spark, d):
+    """The walk of one directory: its id is the root."""
+    return tree_paths(nodes(spark, d), "r2")
+
+
+@query(f"""with {TREES.replace('{orders}', 'orders')}, x as (select rel_path, is_dir, md5 from loc), y as (select rel_path, is_dir, md5 from rem),
+j as (select coalesce(x.rel_path, y.rel_path) as rel_path, x.is_dir as a, y.is_dir as b, x.md5 as ma, y.md5 as mb from x full join y on x.rel_path = y.rel_path)
+select rel_path, case when b is null then 'only_a' when a is null then 'only_b' when a <> b then 'kind' else 'changed' end as why from j
+where (a is null or b is null or a <> b or (not a and ma <> mb))
+  and (not contains(rel_path, '/') or regexp_replace(rel_path, '/[^/]*$', '') in (select rel_path from j where a and b))""")
+def tree_difference(spark, d):
+    """Where the local and the remote tree differ, by digests from the root down."""
+    t = trees(spark, d)
+    local, remote = (digests.kept_tree(t[side], F.col("md5")) for side in ("loc", "rem"))
+    return digests.differences(local, remote)

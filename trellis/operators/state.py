@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellis.functions.paths import basename, dirname, extension
+from trellis.sources.tables import staged
 
 #: States of an action in the journal, in order.
 STATES = ["planned", "in_progress", "done"]
@@ -45,6 +46,7 @@ def made_but_unrecorded(ops: DataFrame, base: DataFrame, nodes: DataFrame, root_
         placed = with_parent(waiting, known, root_id).where("parent_id is not null").withColumn("name", basename(F.col("rel_path")))
         new = placed.join(nodes.select("file_id", "parent_id", "name"), ["parent_id", "name"]).select("rel_path", "file_id", "op_type").distinct()
         new = new if found is None else new.join(found.select("rel_path", "file_id"), ["rel_path", "file_id"], "left_anti")
+        new = staged(new, "made")
         # a level of directories made by one run: as few as that run's paths are deep
         if new.isEmpty():
             return new.select("rel_path", "file_id") if found is None else found.select("rel_path", "file_id")
