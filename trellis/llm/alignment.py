@@ -191,7 +191,7 @@ class Block:
         self.links.append((found.unit + np.int32(before), found.pair, found.links))
 
     def row(self, number: int, digest: bool) -> pa.RecordBatch:
-        """The block's number, its texts' ids, numbers and units, links by unit and place of the id pair, and counts of pairs."""
+        """The block's number, its texts' ids, numbers and units, the links of each unit by the place of their id pair, and counts of pairs."""
         unit, n_units = np.concatenate(self.units), np.concatenate(self.n_units)
         owner = np.repeat(np.arange(len(n_units)), n_units)
         # a text with a unit that either tokenizer changes has no tokens
@@ -215,7 +215,9 @@ class Block:
         numbers = [_sums(np.concatenate(x), unit, first) for x in zip(*self.numbers)]
         columns = {"block": pa.array([number], pa.int64()), "doc_id": listed(pa.concat_arrays(self.ids)), "groups": listed(pa.array(groups, pa.string()))}
         columns |= {name: listed(pa.array(x, pa.int64())) for name, x in zip(_LONGS, [*numbers, n_units], strict=True)}
-        columns |= {name: binary([x.astype(np.int32)]) for name, x in (("units", unit), ("of_unit", of_unit), ("of_pair", of_pair), ("links", links))}
+        # a link an entry, by unit: nearly all are the only one of their pair in a unit
+        per_unit = np.bincount(of_unit, links, minlength=n_texts)
+        columns |= {name: binary([x.astype(np.int32)]) for name, x in (("units", unit), ("per_unit", per_unit), ("of_pair", np.repeat(of_pair, links)))}
         a, b = (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32)
         columns["pairs"] = listed(pa.StructArray.from_arrays([pa.array(a), pa.array(b), pa.array(counts)], names=["a", "b", "n"]))
         return pa.record_batch(columns)
@@ -248,7 +250,7 @@ def blocks(docs: DataFrame, ranks_path: str, pattern: str, model_path: str, dige
 
     longs = ", ".join(f"{name} array<long>" for name in _LONGS)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"block long, doc_id array<{kind}>, groups array<string>, {longs}, units binary, of_unit binary, of_pair binary, links binary, pairs array<struct<a:int,b:int,n:long>>")
+    return rows.mapInArrow(run, f"block long, doc_id array<{kind}>, groups array<string>, {longs}, units binary, per_unit binary, of_pair binary, pairs array<struct<a:int,b:int,n:long>>")
 
 
 def _own_pairs(written: DataFrame) -> DataFrame:
@@ -285,17 +287,14 @@ def aligned(docs: DataFrame, ranks_path: str, pattern: str, model_path: str, dig
         row = block.combine_chunks().to_batches()[0]
         listed = lambda name: column(row, name).values.slice(column(row, name).offsets[0].as_py(), column(row, name).value_lengths()[0].as_py())
         numbers = lambda name, kind: np.frombuffer(column(row, name)[0].as_buffer(), kind)
-        units, of_unit, of_pair, links = (numbers(x, np.int32) for x in ("units", "of_unit", "of_pair", "links"))
+        units, per_unit, of_pair = (numbers(x, np.int32) for x in ("units", "per_unit", "of_pair"))
         count, best = np.zeros((2, int(of_pair.max(initial=-1)) + 1), np.int64)
         if answer.num_rows:
             one = answer.combine_chunks().to_batches()[0]
             count[ints(one, "p")], best[ints(one, "p")] = ints(one, "count"), ints(one, "best")
-        first, n = np.append(0, np.cumsum(listed("n_units").to_numpy())), int(of_unit.max(initial=-1)) + 1
-        sums = {}
-        for name, values in (("n_best", best), ("count_sum", count)):
-            of = np.zeros(n, np.int64)
-            np.add.at(of, of_unit, values[of_pair] * links)
-            sums[name] = _sums(of, units, first)
+        first, edges = (np.append(0, np.cumsum(x, dtype=np.int64)) for x in (listed("n_units").to_numpy(), per_unit))
+        of_units = {name: np.diff(np.append(0, np.cumsum(of[of_pair]))[edges]) for name, of in (("n_best", best), ("count_sum", count))}
+        sums = {name: _sums(of, units, first) for name, of in of_units.items()}
         return pa.table({"doc_id": listed("doc_id"), **{x: listed(x) for x in _LONGS[:4]}, **sums, "groups": listed("groups")})
 
     schema = f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
