@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -286,11 +288,15 @@ def scan(field: Field, texts: list[str]) -> list[list[Span]]:
                 t = to
             else:
                 t += 1
-    out = []
-    for text, spans in zip(texts, found, strict=True):
-        base = base_spans(text)
-        out.append(ordered([*base, *(s for s in spans if not any(s[1] < y and x < s[2] for _, x, y, _ in base))], KINDS))
-    return out
+    return [ordered([*base, *apart(spans, base)], KINDS) for spans, base in zip(found, map(base_spans, texts), strict=True)]
+
+
+def apart(spans: list[Span], base: list[Span]) -> list[Span]:
+    """The spans that overlap none of base: those that end before the next one of base begins, and begin behind all before it."""
+    base = sorted(base, key=lambda s: s[1])
+    starts, ends = [a for _, a, _, _ in base], list(accumulate((b for _, _, b, _ in base), max))
+    # base spans that begin before a span's end are the first k; the farthest end of these tells
+    return [s for s in spans if not (k := bisect_left(starts, s[2])) or ends[k - 1] <= s[1]]
 
 
 _MARKS = np.isin(np.arange(256), np.frombuffer(b"0123456789@", np.uint8))
