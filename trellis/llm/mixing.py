@@ -1,12 +1,12 @@
 """Mixing sources to target weights by weighted fair queueing, in DataFrame operations only.
 
-The documents of a source wait in a shuffled queue, again and again up to max_epochs times. A copy's virtual finish time is
-the number of its source's words up to its end, divided by the source's target. A copy is served in packets: the words up to
-the moment at which its source has been served its target, which is virtual time 1, the word in service then, and those
-after it; most copies lie on one side and are one packet. All packets of all sources are range-sorted by their finish times, running totals are added up over
-the ranges, and the order is truncated where the total budget is spent; the packet there is served in part. Where documents
-are served whole, the copies next to the cut are chosen anew, so that their words come nearest to what is left of the target.
-Targets above max_epochs times a source's size are cut there, and the excess is shared again by weight.
+The documents of a source wait in a shuffled queue, again and again up to max_epochs times. A copy is served in packets of at
+most PACKET words, so that long documents don't hold up others. A packet's virtual finish time is the number of its source's
+words up to its end, divided by the source's target. All packets of all sources are range-sorted by their finish times,
+running totals are added up over the ranges, and the order is truncated where the total budget is spent; the packet there is
+served in part. Nothing else decides what a source gets: it ends within about a packet of its target. Where documents are
+served whole, a copy stays if at least half of it lies before the cut. Targets above max_epochs times a source's size are cut
+there, and the excess is shared again by weight.
 
 Running sums over a source are split into buckets by a hash of the document, whose number follows the row count, so that
 no task holds a source: sums per bucket are added up first, and each bucket's rows after that.
@@ -22,12 +22,11 @@ from trellis.llm.common import NOT_SPACE, documents, pick, staged
 WEIGHTS, MAX_EPOCHS = (5.0, 2.0, 1.0), 3
 #: Rows that a bucket of the shuffle holds on average.
 BUCKET_ROWS = 2_000
-#: Copies on each side of the cut that are chosen anew where documents are served whole; all of their subsets are tried.
-NEAR_CUT = 6
-#: Packets of a range of the global order, and ranges at most; one sum for each comes to the driver.
+#: Words of a packet at most. Shorter ones make more rows to sort, longer ones leave sources farther from their targets.
+PACKET = 100
+#: Packets of a range of the global order, and ranges at most; one sum for each comes to the driver. A range that is larger
+#: is cut into ranges again.
 RANGE_ROWS, MAX_RANGES = 20_000, 10_000
-#: Sources with a row each that are broadcast at most.
-BROADCAST_SOURCES = 20_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -58,133 +57,94 @@ def targets(by_source: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epoc
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, budget: float | None = None, seed: int = 1, whole: bool = False) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies (struct<epoch, finish, words> of the copies served) of each document.
 
-    taken counts the words served, those of repeats too. With whole, no copy is served in part: taken is 0 or size times
-    the copies, and a source ends near its target instead of at it. The order within a source is that of hashes of doc_id with the
-    seed, then of doc_id, size and a hash of the text, so that reruns agree; rows equal in all of these are
-    interchangeable. A null source is one of its own, after all others. Documents without words are served nothing; an
-    empty table gives no rows. Other columns are not read.
+    taken counts the words served, those of repeats too. Of each source at most one copy is served in part, with whole none. The
+    order within a source is that of hashes of doc_id with the seed, then of doc_id, size and a hash of the text, so that
+    reruns agree; rows equal in all of these are interchangeable. Packets of several sources that finish at the same time are
+    served in the order of their sources. A null source is one of its own, after all others. A document counts by its words
+    alone, whatever its length. Documents without words are served nothing; an empty table gives no rows. Other columns are
+    not read.
     """
     rows = staged(sizes(docs), "sizes")
     buckets = max(1, -(-rows.count() // BUCKET_ROWS))
     rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(buckets)))
-    filled = F.when(F.col("size") > 0, 1).otherwise(0)
-    sums = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"), F.sum(filled).alias("_filled"))
+    sums = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
     goals = targets(sums.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, max_epochs, budget)
     through = Window.partitionBy("source").orderBy("_bucket")
-    ranks = [(F.sum("_filled").over(through) - F.col("_filled")).alias("_ahead"), F.sum("_filled").over(Window.partitionBy("source")).alias("_of")]
-    starts = sums.select("source", "_bucket", "_sum", (F.sum("_sum").over(through) - F.col("_sum")).alias("_before"), *(ranks if whole else [])).join(goals.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "_sum")
+    starts = sums.select("source", "_bucket", (F.sum("_sum").over(through) - F.col("_sum")).alias("_before")).join(goals.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     starts = starts.withColumnsRenamed({"source": "_s", "_bucket": "_b"})
     inside = Window.partitionBy("source", "_bucket").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size", "_text")
-    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.select("*", F.sum("size").over(so_far).alias("_end"), F.row_number().over(inside).alias("_row"), *([F.sum(filled).over(so_far).alias("_rank")] if whole else []))
+    rows = rows.select("*", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("_end"), F.row_number().over(inside).alias("_row"))
     rows = rows.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    end = F.col("_before") + F.col("_end")
-
+    rows = staged(rows.select("doc_id", "source", "size", "source_size", "target", "_text", "_bucket", "_row", (F.col("_before") + F.col("_end")).alias("_end")), "queue")
     epochs = F.sequence(F.lit(0), F.lit(max_epochs - 1))
-    rows = _whole(rows, end, F.round("target").cast("long"), epochs) if whole else _truncated(rows, end, F.floor("target").cast("long"), epochs, budget)
+    packets = F.flatten(F.transform(epochs, lambda e: F.transform(_numbers(), lambda p: F.struct(_place(e, p).alias("key"), _words(p).alias("words")))))
+    queue = rows.where("size > 0").select(F.explode(packets).alias("p")).select("p.key.*", "p.words")
+    spent = int(rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]) if budget is None else int(budget)
+    at, left = truncation(queue, spent)
+
+    def served(epoch: Column) -> Column:
+        if at is None:
+            return F.col("size")
+        upto = lambda total, p: total + F.when(_place(epoch, p) < at, _words(p)).when(_place(epoch, p) == at, F.lit(left)).otherwise(0)
+        part = F.aggregate(_numbers(), F.lit(0).cast("long"), lambda total, p: upto(total, p).cast("long"))
+        words = F.when(_place(epoch, _packets() - 1) < at, F.col("size")).when(_place(epoch, F.lit(0)) > at, 0).otherwise(part)
+        return F.when(2 * words >= F.col("size"), F.col("size")).otherwise(0) if whole else words
+
+    finish = lambda e: _place(e, _packets() - 1)["finish"]
+    copies = F.transform(epochs, lambda e: F.struct(e.cast("int").alias("epoch"), finish(e).alias("finish"), served(e).cast("long").alias("words")))
+    rows = rows.withColumn("copies", F.when(F.col("size") > 0, F.filter(copies, lambda c: c["words"] > 0)).otherwise(F.filter(copies, lambda c: F.lit(False))))
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])
     return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "copies", "_text")
 
 
-def _truncated(rows: DataFrame, end: Column, goal: Column, epochs: Column, budget: float | None) -> DataFrame:
-    """Adds copies, with the words that they are served: packets in the global order of finish times, up to the budget."""
-    order = ["finish", "part", "source", "epoch", "bucket", "row"]
-    rows = staged(rows.select("doc_id", "source", "size", "source_size", "target", "_text", "_bucket", "_row", end.alias("_end"), goal.alias("_goal")), "queue")
-
-    def packets(epoch: Column) -> list[Column]:
-        last = F.col("_end") + epoch * F.col("source_size")
-        start, none = last - F.col("size"), F.lit(0).cast("long")
-        early = F.least(F.col("size"), F.greatest(none, F.col("_goal") - start))
-        at_one = F.when((start <= F.col("_goal")) & (F.col("_goal") < last) & (F.col("_goal") < F.col("target")), 1).otherwise(none)
-        # packets that start after their source's target are behind more words than the budget has
-        late = F.when(start <= F.col("_goal"), F.col("size") - early - at_one).otherwise(none)
-
-        def packet(part: int, to: Column, words: Column) -> Column:
-            exact = F.try_divide(to.cast("double"), F.col("target"))
-            finish = [F.least(exact, F.lit(1.0)), F.lit(1.0), F.greatest(exact, F.lit(1.0))][part]
-            key = [finish, F.lit(part), F.col("source"), epoch.cast("int"), F.col("_bucket"), F.col("_row")]
-            return F.struct(F.struct(*[c.alias(n) for c, n in zip(key, order, strict=True)]).alias("key"), words.alias("words"))
-
-        return [packet(0, start + early, early), packet(1, last, at_one), packet(2, last, late)]
-
-    every = F.flatten(F.transform(epochs, lambda e: F.array(*packets(e))))
-    queue = rows.where("size > 0").select(F.explode(F.filter(every, lambda p: p["words"] > 0)).alias("p")).select("p.key.*", "p.words")
-    total = rows.agg(F.sum("size"), F.count("*")).first()
-    spent = int(total[0] or 0) if budget is None else int(budget)
-    ranges = min(MAX_RANGES, max(1, -(-2 * total[1] // RANGE_ROWS)))
-    queue = staged(queue.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "packets")
-    before, cut = 0, None
-    for r in queue.groupBy("_range").agg(F.sum("words").alias("words")).orderBy("_range").collect():
-        if before + r["words"] > spent:
-            so_far = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-            inside = queue.where(F.col("_range") == r["_range"]).withColumn("_to", F.sum("words").over(so_far))
-            cut = inside.where(F.col("_to") + F.lit(before) > spent).orderBy(*order).limit(1).withColumn("_left", F.lit(spent - before) - F.col("_to") + F.col("words")).first()
-            break
-        before += r["words"]
-    kinds = dict(queue.dtypes)
-    at = None if cut is None else F.struct(*[F.lit(cut[n]).cast(kinds[n]).alias(n) for n in order])
+#: The global order of packets.
+ORDER = ["finish", "source", "epoch", "bucket", "row", "packet"]
 
-    def served(p: Column) -> Column:
-        if at is None:
-            return p["words"]
-        return F.when(p["key"] < at, p["words"]).when(p["key"] == at, F.least(p["words"], F.lit(cut["_left"]))).otherwise(F.lit(0).cast("long"))
 
-    def copy(epoch: Column) -> Column:
-        words = sum((served(p) for p in packets(epoch)), F.lit(0).cast("long"))
-        finish = F.try_divide((F.col("_end") + epoch * F.col("source_size")).cast("double"), F.col("target"))
-        return F.struct(epoch.cast("int").alias("epoch"), finish.alias("finish"), words.alias("words"))
+def _packets() -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.col("size") / PACKET)).cast("int")
 
-    return rows.withColumn("copies", F.filter(F.transform(epochs, copy), lambda c: (F.col("size") > 0) & (c["words"] > 0)))
 
+def _numbers() -> Column:
+    return F.sequence(F.lit(0), _packets() - 1)
 
-def _whole(rows: DataFrame, end: Column, goal: Column, epochs: Column) -> DataFrame:
-    """Adds copies, each of a whole document: those well before the cut of their source, and the chosen ones next to it.
 
-    A copy's place is its number in the queue of its source. The cut is behind the last copy that ends at the target or
-    before it. Among the subsets of the NEAR_CUT copies on each side the one with the nearest sum is taken; of several,
-    the one closest to the queue's order. What all sources together are then off the budget is made up by another subset of
-    the one source that comes nearest to it; no source ends farther from its target than half its longest document there.
-    """
+def _words(packet: Column) -> Column:
+    return (F.least(F.col("size"), (packet + 1) * F.lit(PACKET).cast("long")) - packet * F.lit(PACKET).cast("long")).cast("long")
 
-    def copy(epoch):
-        finish = end + epoch * F.col("source_size")
-        place = F.col("_ahead") + F.col("_rank") + epoch * F.col("_of")
-        return F.struct(epoch.cast("int").alias("epoch"), finish.alias("end"), place.alias("place"))
-
-    queued = F.when(F.col("size") > 0, F.transform(epochs, copy)).otherwise(F.filter(F.transform(epochs, copy), lambda c: F.lit(False)))
-    rows = staged(rows.select("doc_id", "source", "size", "source_size", "target", "_text", goal.alias("_goal"), queued.alias("_queued")), "queue")
-    cuts = rows.groupBy(F.col("source").alias("_s")).agg(F.sum(F.size(F.filter("_queued", lambda c: c["end"] <= F.col("_goal")))).alias("_cut"))
-    cuts = staged(cuts, "cuts")
-    small = cuts.count() <= BROADCAST_SOURCES
-    placed = rows.join(F.broadcast(cuts) if small else cuts, F.col("source").eqNullSafe(F.col("_s")))
-    near = placed.select("source", "size", "_goal", "_cut", F.explode(F.filter("_queued", lambda c: (c["place"] > F.col("_cut") - NEAR_CUT) & (c["place"] <= F.col("_cut") + NEAR_CUT))).alias("c"))
-    near = near.groupBy("source", "_goal", "_cut").agg(F.sort_array(F.collect_list(F.struct(F.col("c.place"), "size", F.col("c.end")))).alias("_near"))
-    near = staged(near.withColumn("_left", F.col("_goal") - (F.col("_near")[0]["end"] - F.col("_near")[0]["size"])), "near")
-    subset = lambda words, changes, places: F.struct(words.alias("words"), changes.alias("changes"), places.alias("places"))
-    none = F.array(subset(F.lit(0).cast("long"), F.lit(0), F.array().cast("array<bigint>")))
-
-    def both(subsets: Column, c: Column) -> Column:
-        early = F.when(c["place"] <= F.col("_cut"), 1).otherwise(0)
-        out = F.transform(subsets, lambda x: subset(x["words"], x["changes"] + early, x["places"]))
-        return F.concat(out, F.transform(subsets, lambda x: subset(x["words"] + c["size"], x["changes"] + 1 - early, F.concat(x["places"], F.array(c["place"])))))
-
-    def best(off: Column) -> Column:
-        """The subset with which a source that others leave off by that many words comes nearest."""
-        tried = F.transform(F.aggregate("_near", none, both), lambda x: F.struct(F.abs(x["words"] - F.col("_left") + off).alias("far"), x["changes"], x["places"].alias("places"), (x["words"] - F.col("_left")).alias("over")))
-        most = F.aggregate("_near", F.lit(0).cast("long"), lambda a, c: F.greatest(a, c["size"]))
-        return F.array_min(F.filter(tried, lambda x: 2 * F.abs(x["over"]) <= most))
-
-    first = staged(near.withColumn("_best", best(F.lit(0))), "first")
-    over = first.agg(F.coalesce(F.sum("_best.over"), F.lit(0))).first()[0]
-    places = F.col("_best.places")
-    other = first.select("source", best(F.lit(over) - F.col("_best.over")).alias("_best")).where(F.col("_best.far") < abs(over))
-    for r in other.orderBy("_best.far", F.abs("_best.over"), "source").limit(1).collect():
-        places = F.when(F.col("source").eqNullSafe(F.lit(r["source"])), F.array(*[F.lit(x) for x in r["_best"]["places"]]).cast("array<bigint>")).otherwise(places)
-    chosen = first.select(F.col("source").alias("_t"), places.alias("_chosen"))
-    cuts = staged(cuts.join(chosen, F.col("_s").eqNullSafe(F.col("_t")), "left").select("_s", "_cut", "_chosen"), "chosen")
-    rows = rows.join(F.broadcast(cuts) if small else cuts, F.col("source").eqNullSafe(F.col("_s")))
-    kept = F.filter("_queued", lambda c: (c["place"] <= F.col("_cut") - NEAR_CUT) | F.coalesce(F.array_contains("_chosen", c["place"]), F.lit(False)))
-    return rows.withColumn("copies", F.transform(kept, lambda c: F.struct(c["epoch"], F.try_divide(c["end"].cast("double"), F.col("target")).alias("finish"), F.col("size").alias("words"))))
+
+def _place(epoch: Column, packet: Column) -> Column:
+    """The place in the global order of a packet of a document's copy."""
+    end = F.col("_end") - F.col("size") + F.least(F.col("size"), (packet + 1) * F.lit(PACKET).cast("long")) + epoch * F.col("source_size")
+    key = [F.try_divide(end.cast("double"), F.col("target")), F.col("source"), epoch.cast("int"), F.col("_bucket"), F.col("_row"), packet.cast("int")]
+    return F.struct(*[c.alias(n) for c, n in zip(key, ORDER, strict=True)])
+
+
+def truncation(queue: DataFrame, budget: int) -> tuple[Column | None, int]:
+    """(place, words left for it) of the packet at which the budget is spent, None where all together don't spend it.
+
+    queue has ORDER and words. Its ranges are in that order; the one in which the running total passes the budget is cut
+    into ranges again until it is small enough to be added up row by row.
+    """
+    before, found, n = 0, queue, queue.count()
+    while True:
+        ranges = min(MAX_RANGES, max(1, -(-n // RANGE_ROWS)))
+        found = staged(found.drop("_range").repartitionByRange(ranges, *ORDER).withColumn("_range", F.spark_partition_id()), "ranges")
+        cut = None
+        for r in found.groupBy("_range").agg(F.sum("words").alias("words"), F.count("*").alias("n")).orderBy("_range").collect():
+            if before + r["words"] > budget:
+                cut = r
+                break
+            before += r["words"]
+        if cut is None:
+            return None, 0
+        found, n, whole = found.where(F.col("_range") == cut["_range"]), cut["n"], n
+        if n <= 4 * RANGE_ROWS or n == whole:
+            break
+    so_far = Window.partitionBy("_range").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    at = found.withColumn("_to", F.sum("words").over(so_far)).where(F.col("_to") + F.lit(before) > budget).orderBy(*ORDER).limit(1).first()
+    kinds = dict(found.dtypes)
+    return F.struct(*[F.lit(at[n]).cast(kinds[n]).alias(n) for n in ORDER]), budget - before - at["_to"] + at["words"]
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
