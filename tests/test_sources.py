@@ -64,3 +64,27 @@ def test_tables_are_committed_together(spark, tmp_path):
     assert store.vacuum() > 0 and store.table("items").isEmpty() and store.meta("token") == "5"
     with pytest.raises(ValueError):
         store.migrate([])
+
+
+def test_a_view_is_one_file_or_none(spark, tmp_path):
+    from trellis.sources.json_view import JsonViewWriter, write_view
+
+    folder = f"file://{tmp_path}/views"
+    rows = spark.createDataFrame([(i, '{"n":%d}' % i) for i in range(40)], "ord long, json string").repartition(5)
+    write_view(rows, folder, "status")
+    assert (tmp_path / "views/status.json").read_text() == "".join('{"n":%d}\n' % i for i in range(40))
+    assert [p.name for p in (tmp_path / "views").iterdir()] == ["status.json"]
+    # a task that fails takes the write with it, and the old file stays
+    import pytest
+
+    with pytest.raises(Exception):
+        write_view(rows.union(spark.createDataFrame([(41, "{broken")], "ord long, json string")), folder, "status")
+    assert [p.name for p in (tmp_path / "views").iterdir()] == ["status.json"]
+    assert len((tmp_path / "views/status.json").read_text().splitlines()) == 40
+    write_view(rows.limit(0), folder, "status")
+    assert (tmp_path / "views/status.json").read_text() == ""
+    small = JsonViewWriter({"path": folder, "name": "big", "most_bytes": "10"})
+    part = small.write(iter([{"ord": 1, "json": '{"a":"0123456789"}'}]))
+    with pytest.raises(ValueError, match="at most 10 bytes"):
+        small.commit([part])
+    assert [p.name for p in (tmp_path / "views").iterdir()] == ["status.json"]

@@ -58,3 +58,21 @@ def test_events_that_are_worth_a_cycle(spark):
     rows = [("/r", "write"), ("/r/a", "chmod"), ("/r/a", "create"), ("/r/x.tmp/b", "write"), ("/r/d/y.tmp", "remove"), ("/r/d/e", "rename"), ("/q/x.tmp/b", "write"), ("/q/y.tmp", "write")]
     got = telling(spark.createDataFrame(rows, "path string, op string"), "/r", ["*.tmp"])
     assert {tuple(r) for r in got.select("path", F.col("op")).collect()} == {("/r", "write"), ("/r/a", "create"), ("/r/d/e", "rename"), ("/q/x.tmp/b", "write")}
+
+
+def test_bursts_of_a_stream_end_in_the_rows_of_the_batch(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from trellis.streaming.changes import debounced
+
+    at = [0, 200, 600, 1300, 1350, 5000, 5400, 5800, 9000]
+    rows = [(m, datetime(2024, 1, 1) + timedelta(milliseconds=t + 37 * k)) for k, m in enumerate("ab") for t in at] + [("z", datetime(2024, 1, 1, 1))]
+    events = spark.createDataFrame(rows, "machine string, ts timestamp")
+    for part in (events.where("machine <> 'z'"), events.where("machine = 'z'"), events.where("machine = 'z'")):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    seen = []
+    stream = debounced(change_stream(spark, str(tmp_path / "log"), events.schema), "ts", "500 milliseconds", "1 second", "machine")
+    writer = stream.writeStream.outputMode("append").foreachBatch(lambda df, n: seen.extend(map(tuple, df.collect()))).option("checkpointLocation", f"file://{tmp_path}/offsets")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    expected = {tuple(r) for r in debounced(events.where("machine <> 'z'"), "ts", "500 milliseconds", "1 second", "machine").collect()}
+    assert {r for r in seen if r[0] != "z"} == expected and sorted(r[3] for r in expected if r[0] == "a") == [1, 2, 3, 3]

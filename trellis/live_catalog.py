@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from trellis.operators import digests, watching
+from trellis.functions import reports as R
+from trellis.operators import audit, commit, digests, planner, status, watching
+from trellis.operators import feed as feed_ops
+from trellis.operators import nodes as trees_of
 from trellis.operators.nodes import tree_paths
-from trellis.plans.fixtures import NODES, nodes, sql_text
-from trellis.plans.trees import TREES, trees
+from trellis.plans.fixtures import NODES, NOW, nodes, sql_text
+from trellis.plans.trees import COLLAPSED, ORDERED, TREES, moved_sql, tree_sql, trees
 from trellis.sources.change_feed import feed, hold, publish, release
+from trellis.sources.json_view import write_view
 from trellis.sources.store import Store
-from trellis.sources.tables import shared, table
-from trellis.streaming.changes import merge_stream
+from trellis.sources.tables import shared, staged, table
+from trellis.streaming.changes import debounced, merge_stream
 
 QUERIES, SQL = {}, {}
 
@@ -88,3 +93,148 @@ def tree_difference(spark, d):
     t = trees(spark, d)
     local, remote = (digests.kept_tree(t[side], F.col("md5")) for side in ("loc", "rem"))
     return digests.differences(local, remote)
+
+
+def _sides(spark, d):
+    t = trees(spark, d)
+    return commit.Sides(t["base"].select(*commit.BASE), t["loc"].select(*commit.LOCAL), t["rem"].select(*commit.REMOTE)), t
+
+
+@query(tree_sql(f"""
+, w as (select coalesce(file_id, concat(case when type = 'mkdir_remote' then 'mk:' else 'up:' end, rel_path)) as file_id, rel_path, is_dir from final where type in ('upload', 'update_remote', 'download', 'record', 'mkdir_remote', 'mkdir_local')),
+m as (select file_id, new_rel_path as rel_path, is_dir from final where type in ('move_local', 'move_remote') and not is_dir and file_id in (select file_id from base) and file_id not in (select file_id from w)),
+noted as (select * from w union all select * from m),
+stay as (select file_id, coalesce((select x.t from mv x where x.f = b.rel_path), {moved_sql('b.rel_path', 'mv')}) as rel_path, is_dir from base b
+  where file_id not in (select file_id from noted) and file_id not in (select file_id from final where stage = 7 and file_id is not null))
+select * from noted union all select * from stay where rel_path not in (select rel_path from noted)"""))
+def tree_commit(spark, d):
+    """The base after the whole plan for trees has run stage by stage, with its journal, in a store."""
+    sides, t = _sides(spark, d)
+    plan, _ = planner.planned_tree(planner.Tree(t["base"], t["loc"], t["rem"], "test_box", F.expr(NOW), t["shad"], t["unread"], case_fold=True, prefer_newer=True))
+    store = Store(spark, f"{shared(spark)}/trellis/commit-{uuid.uuid4().hex}")
+    store.commit(vars(sides))
+    run = commit.Run(store)
+    run.begin(planner.numbered(plan, planner.run_order()))
+    run.all()
+    return store.table("base").select("file_id", "rel_path", "is_dir")
+
+
+@query(tree_sql(f""", o as ({ORDERED}), bad as (select distinct rel_path from o where type in ('conflict_backup', 'move_remote') and not is_dir),
+l0 as (select ord, rel_path, 'failed' as why from o where rel_path in (select rel_path from bad)),
+l1 as (select ord, rel_path, 'refused' as why from o where protected_by in (select rel_path from l0) and ord not in (select ord from l0)),
+l2 as (select ord, rel_path, 'refused' as why from o where protected_by in (select rel_path from l1) and ord not in (select ord from l0 union all select ord from l1))
+select ord, why from l0 union all select ord, why from l1 union all select ord, why from l2"""))
+def tree_refusals(spark, d):
+    """What doesn't run once all backups and moves on the remote side fail: these, and what they protect."""
+    t = trees(spark, d)
+    plan, _ = planner.planned_tree(planner.Tree(t["base"], t["loc"], t["rem"], "test_box", F.expr(NOW), t["shad"], t["unread"], case_fold=True, prefer_newer=True))
+    plan = staged(planner.numbered(plan, planner.run_order()), "plan")
+    failed = plan.where("type in ('conflict_backup', 'move_remote') and not is_dir").select("rel_path").distinct()
+    return commit.failing(plan, failed)
+
+
+def _plan(spark, d):
+    t = trees(spark, d)
+    return planner.planned_tree(planner.Tree(t["base"], t["loc"], t["rem"], "test_box", F.expr(NOW), t["shad"], t["unread"], case_fold=True, prefer_newer=True)), t
+
+
+_GATHERED = f"{COLLAPSED}".replace("select f.stage, f.type, f.rel_path,", "select f.stage, f.type, f.rel_path, f.new_rel_path,", 1)
+
+
+def _told(which: str) -> str:
+    """What the log says of the types of actions, by the names that the report functions give them."""
+    table = R.KINDS if which == "kind" else R.SOURCES
+    return "case " + " ".join(f"when type in ({', '.join(repr(x) for x in types)}) then '{name}'" for name, types in table.items()) + " end"
+
+
+@query(tree_sql(_GATHERED.replace("select f.stage", f"select {_told('kind')} as kind, rel_path, case when new_rel_path is not null then concat('-> ', new_rel_path) when subtree_files > 0 then concat('(', cast(subtree_files as varchar), ' files)') else '' end as detail, {_told('source')} as source from (select f.stage", 1) + f") z where {_told('kind')} is not null"))
+def tree_log(spark, d):
+    """What a cycle that went well adds to the log, deleted directories with the number of their files."""
+    (plan, _), t = _plan(spark, d)
+    gathered = planner.collapsed_tree(plan, t["rem"])
+    return status.cycle_log(gathered, spark.createDataFrame([], "rel_path string, error string"), False, True)
+
+
+@query(tree_sql(", bad as (select distinct rel_path from final where type = 'conflict_backup') select 'error' as kind, rel_path, concat('can''t move ', rel_path) as detail, '' as source from bad"))
+def tree_errors(spark, d):
+    """What a cycle that failed in part adds to the log: the errors alone."""
+    (plan, _), _ = _plan(spark, d)
+    plan = staged(plan, "plan")
+    failed = plan.where("type = 'conflict_backup'").select("rel_path").distinct().withColumn("error", F.concat(F.lit("can't move "), "rel_path"))
+    return status.cycle_log(plan, failed, False, True)
+
+
+@query(tree_sql(""", n as (select cast(count(*) filter (where type = 'quarantine_local') as bigint) as l, cast(count(*) filter (where type = 'trash_remote') as bigint) as r from final where not is_dir), t as (select count(*) as n from base where not is_dir)
+select l as deleted_local, r as deleted_remote, greatest(l, r) > 10 and greatest(l, r) * 50 > t.n as large from n, t"""))
+def tree_deletions(spark, d):
+    (plan, _), t = _plan(spark, d)
+    return status.deletions(planner.collapsed_tree(plan, t["rem"]), t["base"].where("not is_dir").count(), 0.02, 0)
+
+
+@query(tree_sql("select *, row_number() over (order by rel_path, reason) as ord from skips"))
+def skips_sorted(spark, d):
+    (_, skips), _ = _plan(spark, d)
+    return planner.numbered(skips, [F.col("rel_path"), F.col("reason")])
+
+
+@query(tree_sql("select type, rel_path, row_number() over (order by type, rel_path) as ord from final where type in ('conflict_backup', 'quarantine_local') and not is_dir"))
+def report_sorted(spark, d):
+    """The paths that the report of a merge lists: conflicts and what was put aside, each list in order."""
+    (plan, _), _ = _plan(spark, d)
+    listed = plan.where("type in ('conflict_backup', 'quarantine_local') and not is_dir").select("type", "rel_path")
+    return planner.numbered(listed, [F.col("type"), F.col("rel_path")])
+
+
+@query(sql_text(f"with {NODES} select parent_id, name, cast(count(*) as bigint) as n, min(file_id) as kept from nodes group by parent_id, name having count(*) > 1"))
+def duplicate_names(spark, d):
+    """Names that a directory has several times, and whose id stays."""
+    return trees_of.duplicates(nodes(spark, d))
+
+
+@query(_SINCE.format(columns="n as failures, cast(case when n <= 0 then 45 else 45 * pow(2, least(n - 1, 4)) end as bigint) as wait", counted="event_type in ('error', 'signup')", reset="event_type not in ('error', 'signup')"))
+def failure_backoff(spark, d):
+    events = table(spark, d, "events").select("user_id", "event_id", "event_type")
+    found = watching.latched(events, "user_id", "event_id", F.col("event_type").isin("error", "signup"))
+    return found.select("user_id", "event_id", "failures", status.backoff(F.col("failures"), 45).cast("long").alias("wait"))
+
+
+@query("""select user_id, min(ts) as "first", max(ts) as "last", cast(count(*) as bigint) as n from (
+  select *, sum(case when prev is null or epoch_us(ts) - epoch_us(prev) >= 86400000000 then 1 else 0 end) over (partition by user_id order by ts, event_id) as g from (select *, lag(ts) over (partition by user_id order by ts, event_id) as prev from events) a) b group by user_id, g""")
+def event_bursts(spark, d):
+    """Events of a user that are less than a day apart, as one."""
+    return debounced(table(spark, d, "events"), "ts", "1 day", "1 day", "user_id")
+
+
+_OWN_RULES = " union all ".join(f"select doc_id as id, line, '{name}' as rule from l where regexp_matches(t, '{rule}')" for name, rule in audit.SECRET_RULES.items())
+
+
+@query(f"with s as (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null), l as (select doc_id, cast(i as bigint) as line, ls[i] as t from s, lateral (select unnest(range(1, len(ls) + 1)) as i) u) {_OWN_RULES}")
+def secret_lines_own_rules(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return audit.secret_lines(docs.where("text is not null"))
+
+
+@query("select o_orderkey, concat('/bin/', strftime(o_orderdate, '%Y-%m-%d'), '/d', cast(o_custkey as varchar), '/o.txt') as path from orders")
+def rescue_paths(spark, d):
+    o = table(spark, d, "orders")
+    return o.select("o_orderkey", R.rescue_path("/bin", F.col("o_orderdate").cast("timestamp"), F.concat(F.lit("d"), F.col("o_custkey").cast("string"), F.lit("/o.txt"))).alias("path"))
+
+
+@query("""with m as (select cast(count(*) as bigint) as tracked_items, cast(count(*) filter (where event_type = 'error') as bigint) as pending_ops, max(event_id) as last_sync_at from events),
+r as (select '[' || string_agg('{"kind":"' || event_type || '","user_id":' || cast(user_id as varchar) || '}', ',' order by event_id desc) || ']' as a from (select * from events order by event_id desc limit 5) t)
+select '{"tracked_items":' || tracked_items || ',"pending_ops":' || pending_ops || ',"last_sync_at":' || last_sync_at || ',"recent_activity":' || a || '}' as json from m, r""")
+def status_json(spark, d):
+    events = table(spark, d, "events")
+    machine = events.agg(F.count("*").alias("tracked_items"), F.count_if(F.col("event_type") == "error").alias("pending_ops"), F.max("event_id").alias("last_sync_at"))
+    return status.status_view(machine, events.select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), "user_id"))
+
+
+@query("""select '{"event_id":' || event_id || ',"event_type":"' || event_type || '"}' as json, row_number() over (order by event_id desc) as ord from (select * from events order by event_id desc limit 50) t""")
+def activity_file(spark, d):
+    """The newest entries of the log as the file that the sink leaves, read again."""
+    newest = feed_ops.recent(table(spark, d, "events").select("event_id", "event_type"), 50, "event_id")
+    rows = newest.select(F.row_number().over(Window.orderBy(F.col("event_id").desc())).cast("long").alias("ord"), F.to_json(F.struct("event_id", "event_type")).alias("json"))
+    folder = f"{shared(spark)}/trellis/view-{uuid.uuid4().hex}"
+    write_view(rows, folder, "activity")
+    lines = spark.read.text(f"{folder}/activity.json", wholetext=True)
+    return lines.select(F.posexplode(F.split(F.rtrim("value", F.lit("\n")), "\n")).alias("pos", "json")).select("json", (F.col("pos") + 1).cast("long").alias("ord"))

@@ -24,6 +24,11 @@ def siblings(nodes: DataFrame, key: Column) -> DataFrame:
     return rows.withColumn("verdict", verdict).drop("_key", "_n", "_first")
 
 
+def duplicates(nodes: DataFrame) -> DataFrame:
+    """parent_id, name, n, kept: names that a directory has several times, how often, and the id that stays, which is the first."""
+    return nodes.groupBy("parent_id", "name").agg(F.count("*").alias("n"), F.min("file_id").alias("kept")).where("n > 1")
+
+
 def child_rules(nodes: DataFrame, globs: list[str]) -> DataFrame:
     """Each node with rule: the first that keeps it out (trashed, native, ignored, invalid), or ok."""
     native = F.startswith("mime_type", F.lit(NATIVE_PREFIX)) & (F.col("mime_type") != FOLDER)

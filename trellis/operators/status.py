@@ -21,6 +21,29 @@ def recorded(plan: DataFrame, guard_blocked: bool, bin_available: bool, most: in
     return rows.select(what.alias("kind"), one_line(F.col("rel_path")).alias("rel_path"), clip(one_line(detail(F.col("new_rel_path"), F.col("subtree_files"))), most).alias("detail"), source(t).alias("source"))
 
 
+def cycle_log(plan: DataFrame, failed: DataFrame, guard_blocked: bool, bin_available: bool, most: int = 500) -> DataFrame:
+    """kind, rel_path, detail, source of what a cycle adds to the log: its actions, or, if any failed (rel_path, error), the errors alone."""
+    errors = failed.select(F.lit("error").alias("kind"), one_line(F.col("rel_path")).alias("rel_path"), clip(one_line(F.col("error")), most).alias("detail"), F.lit("").alias("source"))
+    return errors if not failed.isEmpty() else recorded(plan, guard_blocked, bin_available, most)
+
+
+def backoff(failures: Column, poll: int, most: int = 10) -> Column:
+    """How long to wait after so many failures in a row: poll, doubled each time until it is `most` times poll or longer."""
+    doublings, wait = 0, poll
+    while wait < most * poll:
+        wait, doublings = wait * 2, doublings + 1
+    return F.when(failures <= 0, poll).otherwise((F.lit(poll) * F.pow(F.lit(2), F.least(failures - 1, F.lit(doublings)))).cast("long"))
+
+
+def status_view(machine: DataFrame, log: DataFrame, recent: int = 5) -> DataFrame:
+    """One row, json: machine's one row (any columns) as it is, and recent_activity: the newest entries of the log (id first)."""
+    columns = [f for f in log.schema if f.name != "id"]
+    entry = lambda r: F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in columns])
+    kind = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in columns)
+    newest = F.array(*map(entry, log.orderBy(F.col("id").desc()).limit(recent).collect())).cast(f"array<struct<{kind}>>")
+    return machine.select(F.to_json(F.struct(*machine.columns, newest.alias("recent_activity")), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def deletions(plan: DataFrame, tracked: int, threshold: float, failed: int, least: int = 10) -> DataFrame:
     """deleted_local, deleted_remote, large: files that a cycle took away on each side; zeros if any action failed."""
     n = F.when(F.col("is_dir"), F.col("subtree_files")).otherwise(1)

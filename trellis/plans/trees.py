@@ -52,6 +52,10 @@ def _moved(path: str, moves: str) -> str:
     return f"coalesce((select arg_max(concat(m.t, substr({path}, length(m.f) + 1)), length(m.f)) from {moves} m where starts_with({path}, concat(m.f, '/'))), {path})"
 
 
+#: The path after moves, for other texts than the plan's.
+moved_sql = _moved
+
+
 def _copy(path: str) -> str:
     return f"concat(regexp_replace({path}, '\\.[^./]*$', ''), ' (conflict test_box 2026-07-08_103000)', regexp_extract({path}, '(\\.[^./]*)$', 1))"
 

@@ -44,9 +44,10 @@ def merge_stream(changes: DataFrame, folder: str, checkpoint: str, key: str, seq
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**when).start()
 
 
-def debounced(events: DataFrame, ts: str, gap: str = "500 milliseconds", late: str = "10 seconds") -> DataFrame:
-    """One row for each burst of events that are less than gap apart."""
-    return events.withWatermark(ts, late).groupBy(F.session_window(ts, gap)).agg(F.count("*").alias("n"))
+def debounced(events: DataFrame, ts: str, gap: str = "500 milliseconds", late: str = "10 seconds", *within: str) -> DataFrame:
+    """One row for each burst of events, of each of `within`, that are less than gap apart; from a stream, once it is over."""
+    bursts = events.withWatermark(ts, late).groupBy(*within, F.session_window(ts, gap)).agg(F.count("*").alias("n"), F.min(ts).alias("first"), F.max(ts).alias("last"))
+    return bursts.select(*within, "first", "last", "n")
 
 
 def telling(events: DataFrame, root: str, globs: list[str]) -> DataFrame:
