@@ -23,7 +23,7 @@ def test_a_folder_is_scanned(spark, tmp_path):
     rows, skips = scanned(spark, str(tmp_path), base, ["*.tmp", "skip"])
     md5 = lambda b: hashlib.md5(b).hexdigest()
     assert {(r["rel_path"], r["is_dir"], r["size"], r["md5"]) for r in rows.collect()} == {("a.txt", False, 3, "known"), ("d", True, 0, ""), ("d/b.txt", False, 3, md5(b"two")), ("d/e", True, 0, ""), ("d/e/c.txt", False, 0, md5(b""))}
-    assert {tuple(r) for r in skips.collect()} == {("link", "symlink; not followed", False), ("d/pipe", "not a regular file", False)}
+    assert {tuple(r) for r in skips.collect()} == {("link", "a link, which is left alone", False), ("d/pipe", "neither file nor directory", False)}
     assert [r["rel_path"] for r in temporary(spark, str(tmp_path)).collect()] == ["d/" + TEMP_PREFIX + "1"]
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trellis.operators.watching import ranges
 from trellis.sources.tables import staged
 
 
@@ -32,9 +33,8 @@ def folded(log: DataFrame, same: list[str], order: str, ts: str, within: list[st
     out = [*where, *[c for c in same if c not in where], "first", "ts", "count"]
     if where:
         return _runs(rows, same, where).select(*out)
-    low, high, n = rows.agg(F.min("first"), F.max("first"), F.count("*")).first()
-    size = max(1, ((high or 0) - (low or 0)) // max(8, n // block_rows) + 1)
-    runs = staged(_runs(rows.withColumn("_block", F.floor((F.col("first") - F.lit(low or 0)) / size)), same, ["_block"]), "runs")
+    blocks = ranges(rows, "first", block_rows=block_rows)
+    runs = staged(_runs(blocks, same, ["_block"]), "runs")
     ends = runs.groupBy("_block").agg(F.min("first").alias("_head"), F.max("first").alias("_tail"))
     runs = runs.join(ends, "_block").withColumn("_edge", F.col("first").isin(F.col("_head"), F.col("_tail"))).drop("_head", "_tail")
     inner = runs.where(~F.col("_edge")).select(*out)

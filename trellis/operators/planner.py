@@ -123,7 +123,7 @@ def planned_tree(tree: Tree) -> tuple[DataFrame, DataFrame]:
             rows = ids.select("file_id", F.lit(why).alias("_why"))
             held = rows if held is None else held.unionByName(rows.join(held, "file_id", "left_anti"))
     known = known.withColumn("_why", F.lit(None).cast("string")) if held is None else known.join(held.distinct(), "file_id", "left")
-    known = known.withColumn("at", F.when(F.col("is_dir"), F.col("at")).otherwise(F.col("at"))).join(ld.select(F.col("from").alias("_from"), F.col("to").alias("_to")), F.col("is_dir") & (F.col("rel_path") == F.col("_from")), "left")
+    known = known.join(ld.select(F.col("from").alias("_from"), F.col("to").alias("_to")), F.col("is_dir") & (F.col("rel_path") == F.col("_from")), "left")
     known = known.withColumn("at", F.coalesce("_to", "at")).drop("_from", "_to")
     known = known.join(_named(local, "l", "rel_path", "is_dir", "size", "mtime_ns", "md5"), F.col("at") == F.col("l_rel_path"), "left")
     known = known.join(_named(there, "r", "file_id", "rel_path", "to_path", "md5", "version"), F.col("file_id") == F.col("r_file_id"), "left")

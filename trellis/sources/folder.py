@@ -16,7 +16,7 @@ from trellis.sources.tables import staged
 
 LISTED = "rel_path string, kind string, size long, mtime_ns long, note string"
 #: Why an entry of a kind is no row of the snapshot.
-REASONS = {"symlink": "symlink; not followed", "other": "not a regular file", "unnamed": "name is not valid text"}
+REASONS = {"symlink": "a link, which is left alone", "other": "neither file nor directory", "unnamed": "its name can't be read as text"}
 
 
 def _listed(root: str):
@@ -37,7 +37,10 @@ def _listed(root: str):
             except UnicodeEncodeError:
                 yield path.encode("utf-8", "replace").decode(), "unnamed", 0, 0, None
                 continue
-            s = e.stat(follow_symlinks=False)
+            try:
+                s = e.stat(follow_symlinks=False)
+            except FileNotFoundError:
+                continue  # gone since it was listed
             kind = next((k for k, is_ in (("symlink", stat.S_ISLNK), ("dir", stat.S_ISDIR), ("file", stat.S_ISREG)) if is_(s.st_mode)), "other")
             yield path, kind, s.st_size, s.st_mtime_ns, None
 
@@ -90,7 +93,7 @@ def scanned(spark: SparkSession, root: str, base: DataFrame, globs: list[str]) -
     """
     rows = listing(spark, root, globs)
     good = valid_name(basename(F.col("rel_path")))
-    reason = F.coalesce(*[F.when(F.col("kind") == k, text) for k, text in REASONS.items()], F.when(F.col("kind") == "unreadable", F.concat(F.lit("directory could not be read; its contents are left untouched on both sides: "), "note")), F.when(~good, "name is not valid"))
+    reason = F.coalesce(*[F.when(F.col("kind") == k, text) for k, text in REASONS.items()], F.when(F.col("kind") == "unreadable", F.concat(F.lit("nothing beneath it is touched, as it can't be listed: "), "note")), F.when(~good, "its name can't be used"))
     skips = rows.select("rel_path", reason.alias("reason"), (F.col("kind") == "unreadable").alias("unreadable")).where("reason is not null")
     dirs = rows.where((F.col("kind") == "dir") & good).select("rel_path", F.lit(True).alias("is_dir"), F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("mtime_ns"), F.lit("").alias("md5"))
     known = base.where("not is_dir").select("rel_path", "size", "mtime_ns", "md5")

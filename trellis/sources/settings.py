@@ -1,35 +1,62 @@
-"""Settings from a TOML text: defaults, overlaid, with unknown keys and values out of range refused."""
+"""Settings from a TOML text: each field states its type, its default and the rule that its values keep."""
 
 from __future__ import annotations
 
-import re
 import socket
+import string
 import tomllib
+from collections.abc import Callable
 from dataclasses import dataclass, field, fields
 from typing import Any
 
+_KEPT = frozenset(string.ascii_letters + string.digits + "_-")
+
 
 def safe_name(name: str) -> str:
-    """Letters, digits, _ and - stay, dots and spaces become _, all else goes."""
-    return re.sub(r"[^A-Za-z0-9_-]", "", re.sub(r"[. ]", "_", name)) or "unknown_machine"
+    """A machine's name as file names can carry it: what separates words is written _, and only what _KEPT has is left."""
+    written = "".join("_" if c in ". " else c for c in name)
+    return "".join(filter(_KEPT.__contains__, written)) or "unknown_machine"
 
 
+@dataclass(frozen=True)
+class Rule:
+    """What values of a field are like, and a test for it."""
+
+    like: str
+    holds: Callable[[Any], bool]
+
+
+def above(low: float, upto: float | None = None) -> Rule:
+    like = f"a number above {low}" + (f", {upto} at most" if upto is not None else "")
+    return Rule(like, lambda v: v > low and (upto is None or v <= upto))
+
+
+FILLED = Rule("a text with at least one character", bool)
+FILE_NAME = Rule("a text of letters, digits, _ and -", lambda v: bool(v) and set(v) <= _KEPT)
+
+
+def kept(default: Any, rule: Rule) -> Any:
+    source = {"default_factory": default} if callable(default) else {"default": default}
+    return field(**source, metadata={"rule": rule})
+
+
+# The default numbers and globs.
 @dataclass(frozen=True)
 class Drive:
-    folder_name: str = "Trellis"
+    folder_name: str = kept("Trellis", FILLED)
 
 
 @dataclass(frozen=True)
 class Local:
-    sync_dir: str = "~/Trellis"
+    sync_dir: str = kept("~/Trellis", FILLED)
 
 
 @dataclass(frozen=True)
 class Engine:
-    poll_interval_secs: int = 45
-    mass_delete_threshold: float = 0.25
-    machine_name: str = field(default_factory=lambda: safe_name(socket.gethostname()))
-    quarantine_retention_days: int = 30
+    poll_interval_secs: int = kept(45, above(0))
+    mass_delete_threshold: float = kept(0.25, above(0, 1))
+    machine_name: str = kept(lambda: safe_name(socket.gethostname()), FILE_NAME)
+    quarantine_retention_days: int = kept(30, above(0))
     ignore: tuple[str, ...] = ("*.tmp", "~$*", ".DS_Store", "Thumbs.db", "*.swp", ".trellis*")
 
 
@@ -40,39 +67,37 @@ class Settings:
     engine: Engine = field(default_factory=Engine)
 
 
-def _section(of: type, name: str, given: Any) -> Any:
-    if not isinstance(given, dict):
-        raise ValueError(f"{name} must be a table")
-    kinds = {f.name: f.type for f in fields(of)}
+def _typed(kind: str, value: Any) -> Any:
+    """The value as a field of this kind holds it, None where it can't."""
+    if kind == "str":
+        return value if isinstance(value, str) else None
+    if kind == "tuple[str, ...]":
+        return tuple(value) if isinstance(value, list) and all(isinstance(x, str) for x in value) else None
+    number = isinstance(value, int | float) and not isinstance(value, bool)
+    return value if number and (kind == "float" or isinstance(value, int)) else None
+
+
+def _built(of: type, given: dict[str, Any], at: str) -> Any:
+    """An instance of a section from its table; every value is of its field's kind and keeps its field's rule."""
+    known = {f.name: f for f in fields(of)}
+    values = {}
     for key, value in given.items():
-        if key not in kinds:
-            raise ValueError(f'unknown key "{name}.{key}"')
-        strings = isinstance(value, list) and all(isinstance(x, str) for x in value)
-        number = isinstance(value, int | float) and not isinstance(value, bool)
-        fits = {"str": isinstance(value, str), "int": number and isinstance(value, int), "float": number, "tuple[str, ...]": strings}
-        if not fits[kinds[key]]:
-            raise ValueError(f"{name}.{key} is of the wrong type")
-    return of(**{k: tuple(v) if isinstance(v, list) else v for k, v in given.items()})
+        where = f"{at}{key}"
+        if key not in known:
+            raise ValueError(f"{where}: there is no such setting; {', '.join(sorted(known))} can stand here")
+        rule, typed = known[key].metadata.get("rule"), _typed(known[key].type, value)
+        if typed is None or (rule and not rule.holds(typed)):
+            raise ValueError(f"{where}: {value!r} is not {rule.like if rule else 'a list of texts'}")
+        values[key] = typed
+    return of(**values)
 
 
 def settings(text: str) -> Settings:
-    """The settings that a TOML text gives; keys that it doesn't name keep their defaults."""
-    given, sections = tomllib.loads(text), {"drive": Drive, "local": Local, "engine": Engine}
-    for key in given:
-        if key not in sections:
-            raise ValueError(f'unknown key "{key}"')
-    out = Settings(**{name: _section(of, name, given.get(name, {})) for name, of in sections.items()})
-    e = out.engine
-    wrong = [
-        (not out.drive.folder_name, "drive.folder_name must not be empty"),
-        (not out.local.sync_dir, "local.sync_dir must not be empty"),
-        (e.poll_interval_secs <= 0, "engine.poll_interval_secs must be positive"),
-        (not 0 < e.mass_delete_threshold <= 1, "engine.mass_delete_threshold must be in (0, 1]"),
-        (e.quarantine_retention_days <= 0, "engine.quarantine_retention_days must be positive"),
-        (not e.machine_name, "engine.machine_name must not be empty"),
-        (e.machine_name != safe_name(e.machine_name), "engine.machine_name has characters that are unsafe in file names"),
-    ]
-    for bad, why in wrong:
-        if bad:
-            raise ValueError(why)
-    return out
+    """The settings that a TOML text gives; what it doesn't name keeps its default."""
+    sections = {f.name: f.default_factory for f in fields(Settings)}
+    out = {}
+    for name, given in tomllib.loads(text).items():
+        if name not in sections or not isinstance(given, dict):
+            raise ValueError(f"{name}: not one of the sections {', '.join(sorted(sections))}")
+        out[name] = _built(sections[name], given, f"{name}.")
+    return Settings(**out)
