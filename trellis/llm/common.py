@@ -68,6 +68,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discarded(df: DataFrame) -> None:
+    """Deletes the files of a staged table that nothing reads any more: another has taken its place."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/trellis/" not in folder:
+            raise ValueError(f"{folder} isn't a staged table")
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def released() -> None:
     """Gives freed memory back to the system: Python workers live on after a task, beside those of the next one."""
     pa.default_memory_pool().release_unused()

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trellis.llm.common import Texts, U, column, documents, pick, released, splitmix, staged, text_slices, windows
+from trellis.llm.common import Texts, U, column, discarded, documents, pick, released, splitmix, staged, text_slices, windows
 from trellis.llm.components import components
 
 SHINGLE, PERCENT = 4, 85
@@ -253,7 +253,9 @@ def _open_lists(lists: DataFrame, sets: DataFrame, links: DataFrame) -> DataFram
     placed = lists.select("token", "g", "at").join(tied, "g").select(F.lit(0).alias("t"), "token", "rep", "c", "n", "at")
     placed = placed.union(tied.select(F.lit(1).alias("t"), F.col("g").alias("token"), "rep", "c", "n", F.lit(0).alias("at")))
     several = placed.groupBy("t", "token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("entries")).where("lo < hi").select("t", "token", "entries")
-    return placed.join(several, ["t", "token"])
+    out = staged(placed.join(several, ["t", "token"]), "open")
+    discarded(tied)
+    return out
 
 
 def _close(percent: int) -> Column:
@@ -294,13 +296,19 @@ def similar_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     links = staged(verified(staged(_likely(across.union(within).distinct(), sets, percent), "pairs"), known, k, percent).union(own), "links")
 
     # long lists: each member and the first of its shuffled part of the list, until no further link turns up
+    placed = None
     for turn in range(ROUNDS):
-        placed = staged(_open_lists(lists, sets, links), "open")
+        # the lists of the turn before have given all of their pairs
+        if placed is not None:
+            discarded(placed)
+        placed = _open_lists(lists, sets, links)
         part = Window.partitionBy("t", "token", F.pmod(F.hash("rep", F.lit(turn)), F.ceil(F.col("entries") / LONG_LIST))).orderBy("at", "rep")
         near = placed.where(F.col("entries") > LONG_LIST)
         near = near.select(*[F.col(c).alias(f"{c}1") for c in ("t", "rep", "c", "n", "at")], *[F.first(c).over(part).alias(f"{c}2") for c in ("rep", "c", "n", "at")])
         near = near.where((F.col("c1") != F.col("c2")) & _close(percent)).select(F.greatest("rep1", "rep2").alias("x"), F.least("rep1", "rep2").alias("y"))
-        new = staged(verified(staged(_likely(near.distinct(), sets, percent), "pairs"), known, k, percent), "links")
+        pairs = staged(_likely(near.distinct(), sets, percent), "pairs")
+        new = staged(verified(pairs, known, k, percent), "links")
+        discarded(pairs)
         if new.isEmpty():
             break
         links = staged(links.union(new), "links")
