@@ -86,10 +86,11 @@ def test_what_is_held_is_left_alone(spark):
 def test_deletes_gather_at_directories(spark):
     base = [D, F1, ("d/s", "S", None), ("d/s/b.txt", "b", "k"), ("e", "E", None), ("e/c.txt", "c", "q")]
     t = tree(spark, base, [(p, m) for p, _, m in base], [])
-    plan = pl.collapsed_tree(pl.planned_tree(t)[0], t.remote)
-    got = {r["rel_path"]: (r["subtree_files"], [x["rel_path"] for x in r["subtree"]]) for r in plan.collect()}
-    assert got == {"d": (2, ["d/a.txt", "d/s", "d/s/b.txt"]), "e": (1, ["e/c.txt"])}
+    plan, entries = pl.collapsed_tree(pl.planned_tree(t)[0], t.remote)
+    beneath = sorted((r["root"], r["rel_path"]) for r in entries.collect())
+    got = {r["rel_path"]: (r["subtree_files"], [p for root, p in beneath if root == r["rel_path"]]) for r in plan.collect()}
+    assert {r["rel_path"]: r["entries"] for r in plan.collect()} == {"d": 3, "e": 1} and got == {"d": (2, ["d/a.txt", "d/s", "d/s/b.txt"]), "e": (1, ["e/c.txt"])}
     assert pl.guarded(plan, 3, 0.5, False, False, least=1).first()["tripped"] and not pl.guarded(plan, 3, 0.5, True, False, least=1).first()["tripped"]
     t = tree(spark, [D, F1], [], [("d", "D", None), F1])
-    assert [r["rel_path"] for r in pl.collapsed_tree(pl.planned_tree(t)[0], t.remote).collect()] == ["d"]
+    assert [r["rel_path"] for r in pl.collapsed_tree(pl.planned_tree(t)[0], t.remote)[0].collect()] == ["d"]
     assert pl.without_deletes(pl.planned_tree(t)[0]).isEmpty()

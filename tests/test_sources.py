@@ -88,3 +88,28 @@ def test_a_view_is_one_file_or_none(spark, tmp_path):
     with pytest.raises(ValueError, match="at most 10 bytes"):
         small.commit([part])
     assert [p.name for p in (tmp_path / "views").iterdir()] == ["status.json"]
+
+
+def test_a_lookup_opens_the_files_of_its_keys(spark, tmp_path):
+    import shutil
+    from pathlib import Path
+
+    from pyspark.sql import functions as F
+
+    from trellis.sources.clustered import clustered
+
+    rows = spark.range(2000).select(F.format_string("k%05d", F.when(F.col("id") % 10 == 3, 777).otherwise(F.col("id"))).alias("key"), "id").union(spark.createDataFrame([(None, -1)], "key string, id long"))
+    t = clustered(rows, "key", 20, f"file://{tmp_path}/t")
+    keys = spark.createDataFrame([("k00004",), ("k00005",), ("k00005",), ("k01999",), ("none",), ("",), (None,)], "key string")
+    files = t.files(keys)
+    assert 1 <= len(files) <= 3 < len(t.bounds())
+    for f in Path(tmp_path / "t/rows").glob("*.parquet"):
+        if not any(x.endswith(f.name) for x in files):
+            shutil.move(f, tmp_path / f.name)
+    assert sorted(r["id"] for r in t.lookup(keys).collect()) == [4, 5, 1999]
+    for f in tmp_path.glob("*.parquet"):
+        shutil.move(f, tmp_path / "t/rows" / f.name)
+    assert t.lookup(spark.createDataFrame([("k00777",)], "key string")).count() == 201
+    assert t.lookup(keys.limit(0)).count() == 0
+    empty = clustered(rows.limit(0), "key", 4, f"file://{tmp_path}/e")
+    assert empty.lookup(keys).count() == 0

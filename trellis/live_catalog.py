@@ -15,6 +15,7 @@ from trellis.operators.nodes import tree_paths
 from trellis.plans.fixtures import NODES, NOW, nodes, sql_text
 from trellis.plans.trees import COLLAPSED, ORDERED, TREES, moved_sql, tree_sql, trees
 from trellis.sources.change_feed import feed, hold, publish, release
+from trellis.sources.clustered import clustered
 from trellis.sources.json_view import write_view
 from trellis.sources.store import Store
 from trellis.sources.tables import shared, staged, table
@@ -151,7 +152,7 @@ def _told(which: str) -> str:
 def tree_log(spark, d):
     """What a cycle that went well adds to the log, deleted directories with the number of their files."""
     (plan, _), t = _plan(spark, d)
-    gathered = planner.collapsed_tree(plan, t["rem"])
+    gathered = planner.collapsed_tree(plan, t["rem"])[0]
     return status.cycle_log(gathered, spark.createDataFrame([], "rel_path string, error string"), False, True)
 
 
@@ -168,7 +169,7 @@ def tree_errors(spark, d):
 select l as deleted_local, r as deleted_remote, greatest(l, r) > 10 and greatest(l, r) * 50 > t.n as large from n, t"""))
 def tree_deletions(spark, d):
     (plan, _), t = _plan(spark, d)
-    return status.deletions(planner.collapsed_tree(plan, t["rem"]), t["base"].where("not is_dir").count(), 0.02, 0)
+    return status.deletions(planner.collapsed_tree(plan, t["rem"])[0], t["base"].where("not is_dir").count(), 0.02, 0)
 
 
 @query(tree_sql("select *, row_number() over (order by rel_path, reason) as ord from skips"))
@@ -238,3 +239,11 @@ def activity_file(spark, d):
     write_view(rows, folder, "activity")
     lines = spark.read.text(f"{folder}/activity.json", wholetext=True)
     return lines.select(F.posexplode(F.split(F.rtrim("value", F.lit("\n")), "\n")).alias("pos", "json")).select("json", (F.col("pos") + 1).cast("long").alias("ord"))
+
+
+@query("select o_orderkey, o_custkey, o_totalprice from orders where o_orderkey in (select l_orderkey from lineitem where l_quantity = 50 and l_linenumber = 1)")
+def clustered_lookup(spark, d):
+    """Orders of some lines, from a layout in which a lookup opens the files of its keys alone."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    keys = table(spark, d, "lineitem").where("l_quantity = 50 and l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"))
+    return clustered(orders, "o_orderkey", 16).lookup(keys)

@@ -275,8 +275,11 @@ def numbered(df: DataFrame, order: list[Column], name: str = "ord") -> DataFrame
     return rows.join(starts, "_range").withColumn(name, F.col("_before") + F.col("_at")).drop("_range", "_at", "_before")
 
 
-def collapsed_tree(plan: DataFrame, remote: DataFrame) -> DataFrame:
-    """The plan with deletes of one kind beneath a deleted directory gathered into its row: subtree and subtree_files.
+def collapsed_tree(plan: DataFrame, remote: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The plan with deletes of one kind beneath a deleted directory gathered into its row, and the deletes that went.
+
+    The plan has subtree_files and entries, how many of them lie beneath; they themselves are rows of root, type, rel_path,
+    is_dir, file_id, size and mtime_ns, so that a directory can hold any number.
 
     A directory qualifies if nothing but deletes happens beneath it, at either end of a move, and, where it goes to the
     remote bin, every remote row beneath it is deleted or forgotten by the plan. Of nested ones the highest counts; deletes of
@@ -293,10 +296,11 @@ def collapsed_tree(plan: DataFrame, remote: DataFrame) -> DataFrame:
     roots = dirs.join(inner, "root", "left_anti")
     covered = plan.where(deletes).select("*", F.explode(proper_ancestors(F.col("rel_path"))).alias("root")).join(roots, "root").where("type = kind")
     covered = staged(covered, "covered")
-    entry = F.struct("rel_path", "is_dir", "file_id", F.col("pin_size").alias("size"), F.col("pin_mtime").alias("mtime_ns"))
-    trees = covered.groupBy(F.col("root").alias("rel_path"), F.col("kind").alias("type")).agg(F.sort_array(F.collect_list(entry)).alias("subtree"), F.count_if(~F.col("is_dir")).alias("subtree_files"))
+    counts = covered.groupBy(F.col("root").alias("_root"), F.col("kind").alias("_kind")).agg(F.count_if(~F.col("is_dir")).alias("subtree_files"), F.count("*").alias("entries"))
     kept = plan.join(covered.select("type", "rel_path").distinct(), ["type", "rel_path"], "left_anti").select(*plan.columns)
-    return kept.join(trees, (kept["rel_path"] == trees["rel_path"]) & (kept["type"] == trees["type"]) & kept["is_dir"], "left").select(*[kept[c] for c in plan.columns], "subtree", F.coalesce("subtree_files", F.lit(0).cast("long")).alias("subtree_files"))
+    kept = kept.join(counts, (F.col("rel_path") == F.col("_root")) & (F.col("type") == F.col("_kind")) & F.col("is_dir"), "left")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return kept.select(*plan.columns, count("subtree_files"), count("entries")), covered.select("root", "type", "rel_path", "is_dir", "file_id", F.col("pin_size").alias("size"), F.col("pin_mtime").alias("mtime_ns"))
 
 
 def guarded(plan: DataFrame, tracked: int, threshold: float, confirmed: bool, bin_available: bool, least: int = 10) -> DataFrame:

@@ -32,14 +32,14 @@ def tree_dir_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tree_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = _tree(spark, sf_dir)
-    plan = planner.collapsed_tree(planner.planned_tree(tree)[0], tree.remote)
-    return plan.select("stage", "type", "rel_path", "is_dir", "subtree_files", F.coalesce(F.size("subtree"), F.lit(0)).cast("long").alias("entries"))
+    plan = planner.collapsed_tree(planner.planned_tree(tree)[0], tree.remote)[0]
+    return plan.select("stage", "type", "rel_path", "is_dir", "subtree_files", "entries")
 
 
 def tree_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = _tree(spark, sf_dir)
     tracked = tree.base.where("not is_dir").count()
-    plan = planner.collapsed_tree(planner.planned_tree(tree)[0], tree.remote)
+    plan = planner.collapsed_tree(planner.planned_tree(tree)[0], tree.remote)[0]
     return planner.guarded(plan, tracked, 0.02, confirmed=False, bin_available=False).withColumn("tracked", F.lit(tracked).cast("long"))
 
 
