@@ -132,8 +132,24 @@ def failing(plan: DataFrame, failed: DataFrame | None) -> DataFrame:
     return out.select("ord", "why")
 
 
+def _followed(base: DataFrame, acts: DataFrame, local: DataFrame, remote: DataFrame) -> DataFrame:
+    """The base with the moves that a side has made: what moves is at its new path there, and no longer at the old one."""
+    moves = acts.where(F.col("type").isin("move_local", "move_remote")).select("type", "is_dir", "file_id", F.col("rel_path").alias("from"), F.col("new_rel_path").alias("to"))
+    made = None
+    for kind, side in (("move_local", local), ("move_remote", remote)):
+        there = moves.where(F.col("type") == kind).join(side.select(F.col("rel_path").alias("to")), "to", "left_semi").join(side.select(F.col("rel_path").alias("from")), "from", "left_anti")
+        made = there if made is None else made.unionByName(there)
+    made = staged(made, "made")
+    dirs = made.where("is_dir")
+    for d in sorted(r[0] for r in dirs.select(depth(F.col("from"))).distinct().collect()):
+        base = staged(renamed(base, dirs.where(depth(F.col("from")) == d).select("from", "to")), "base")
+    files = made.where("not is_dir and file_id is not null").select("file_id", F.col("to").alias("_to"))
+    return upserted(base, base.join(files, "file_id").withColumn("rel_path", F.col("_to")).select(*BASE))
+
+
 def recovered(base: DataFrame, journal: DataFrame, local: DataFrame, remote: DataFrame, root: str = "") -> DataFrame:
-    """The base with what an interrupted run made on the remote side but didn't record: its uploads and directories."""
+    """The base with what an interrupted run did but didn't record: moves that a side has made, uploads, and remote directories."""
+    base = _followed(base, journal.where("state = 'in_progress'"), local, remote)
     parent = lambda df: F.when(F.contains("rel_path", F.lit("/")), F.regexp_replace("rel_path", "/[^/]*$", "")).otherwise(root)
     ids = remote.select(F.col("rel_path").alias("_dir"), F.col("file_id").alias("parent_id"))
     nodes = remote.withColumn("_dir", parent(remote)).join(ids, "_dir", "left").withColumn("parent_id", F.when(F.col("_dir") == root, root).otherwise(F.col("parent_id")))
