@@ -97,3 +97,23 @@ def test_what_a_failed_protector_guards_doesnt_run(spark, tmp_path, sides, plan)
     run.begin(planned(run.sides()))
     run.all()
     assert planned(run.sides()).count() == 0
+
+
+def test_an_upload_finds_its_file_where_the_directory_went(spark, tmp_path):
+    base = [("d", "D", True, 0, "", 1, "", 1), ("d/x.txt", "X", False, 3, "old", 1, "old", 1), ("d/y.txt", "Y", False, 3, "y", 1, "y", 1)]
+    local = [("d", True, 0, 1, ""), ("d/x.txt", False, 4, 2, "new"), ("d/y.txt", False, 3, 1, "y")]
+    remote = [("r", "D", True, 0, "", 1, 0), ("r/y.txt", "Y", False, 3, "y", 1, 0)]
+    schema = lambda names: ", ".join(f"{n} {'boolean' if n == 'is_dir' else 'long' if n in ('size', 'mtime_ns', 'version', 'modified_ns') else 'string'}" for n in names)
+    sides = commit.Sides(*(spark.createDataFrame(rows, schema(names)) for rows, names in ((base, commit.BASE), (local, commit.LOCAL), (remote, commit.REMOTE))))
+    run, _ = started(spark, tmp_path, sides, planned(sides))
+    assert {(r["type"], r["rel_path"], r["source"]) for r in run.store.table("journal").where("stage = 6").collect()} == {("upload", "d/x.txt", "r/x.txt")}
+    run.all()
+    after = run.sides()
+    assert ("d/x.txt", "new") in {(r["rel_path"], r["md5"]) for r in after.remote.collect()} & {(r["rel_path"], r["md5"]) for r in after.base.collect()}
+    assert {r["rel_path"]: r["md5"] for r in after.local.where("not is_dir").collect()} == {"r/x.txt": "new", "r/y.txt": "y"}
+    for _ in range(3):
+        if (rest := planned(run.sides())).isEmpty():
+            break
+        run.begin(rest)
+        run.all()
+    assert rest.isEmpty() and {r["rel_path"] for r in run.sides().remote.where("md5 = 'new'").collect()} == {"r/x.txt"}

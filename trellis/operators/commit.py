@@ -51,6 +51,17 @@ def _dir_moves(sides: Sides, moves: DataFrame, side: str) -> Sides:
     return sides
 
 
+def sourced(plan: DataFrame) -> DataFrame:
+    """plan with source: where the file at rel_path lies once the local moves of directories are done, told level by level."""
+    if "source" in plan.columns:
+        return plan
+    moves = plan.where("type = 'move_local' and is_dir").select(F.col("rel_path").alias("from"), F.col("new_rel_path").alias("to"))
+    moves, out = staged(moves, "moves"), plan.withColumn("source", F.col("rel_path"))
+    for d in sorted(r[0] for r in moves.select(depth(F.col("from"))).distinct().collect()):
+        out = carried(out, "source", moves.where(depth(F.col("from")) == d), "_now").withColumn("source", F.col("_now")).drop("_now")
+    return out
+
+
 def _directories(sides: Sides, acts: DataFrame) -> Sides:
     dirs = acts.select("rel_path", F.when(F.col("type") == "mkdir_remote", F.concat(F.lit("mk:"), "rel_path")).otherwise(F.col("file_id")).alias("file_id"), "type")
     none, text = F.lit(0).cast("long"), F.lit("")
@@ -81,16 +92,21 @@ def _transfers(sides: Sides, acts: DataFrame) -> Sides:
     local, remote = sides.local, sides.remote
     l = local.select("rel_path", F.col("size").alias("l_size"), F.col("mtime_ns").alias("l_mtime"), F.col("md5").alias("l_md5"))  # noqa: E741
     r = remote.select("file_id", F.col("size").alias("r_size"), F.col("md5").alias("r_md5"), F.col("version").alias("r_version"), F.col("modified_ns").alias("r_modified"))
-    of = lambda *types: acts.where(F.col("type").isin(*types)).select("rel_path", "file_id", "is_dir")
+    of = lambda *types: acts.where(F.col("type").isin(*types)).select("rel_path", "file_id", "is_dir", "source")
+
+    def lying(rows: DataFrame) -> DataFrame:
+        # a plan may tell a file at the path that it had before its directory moved here
+        left = rows.join(l, "rel_path", "left_anti").where("source <> rel_path")
+        return rows.join(l, "rel_path").unionByName(left.join(l.withColumnRenamed("rel_path", "source"), "source"))
 
     def row(size: Column | str, md5: Column | str, mtime: Column | str, theirs: Column | str, version: Column | str) -> list[Column]:
         c = lambda x, n: (F.col(x) if isinstance(x, str) else x).alias(n)
         return ["rel_path", "file_id", "is_dir", c(size, "size"), c(md5, "md5"), c(mtime, "mtime_ns"), c(theirs, "drive_md5"), c(version, "version")]
 
-    sent = of("upload").join(l, "rel_path").withColumn("file_id", F.concat(F.lit("up:"), "rel_path")).select(*row("l_size", "l_md5", "l_mtime", "l_md5", F.lit(1).cast("long")))
-    changed = of("update_remote").join(l, "rel_path").join(r, "file_id").select(*row("l_size", "l_md5", "l_mtime", "l_md5", F.col("r_version") + 1))
+    sent = lying(of("upload")).withColumn("file_id", F.concat(F.lit("up:"), "rel_path")).select(*row("l_size", "l_md5", "l_mtime", "l_md5", F.lit(1).cast("long")))
+    changed = lying(of("update_remote")).join(r, "file_id").select(*row("l_size", "l_md5", "l_mtime", "l_md5", F.col("r_version") + 1))
     got = of("download").join(r, "file_id").select(*row("r_size", "r_md5", "r_modified", "r_md5", "r_version"))
-    noted = of("record").join(l, "rel_path").join(r, "file_id").select(*row("l_size", "l_md5", "l_mtime", "r_md5", "r_version"))
+    noted = lying(of("record")).join(r, "file_id").select(*row("l_size", "l_md5", "l_mtime", "r_md5", "r_version"))
     got, up = staged(got, "got"), staged(sent.union(changed), "up")
     there = up.select(*BASE).withColumn("modified_ns", F.col("mtime_ns")).select(*REMOTE)
     remote = remote.join(there.select("file_id"), "file_id", "left_anti").select(*REMOTE).union(there)
@@ -109,7 +125,7 @@ def _removals(sides: Sides, acts: DataFrame) -> Sides:
 
 def ran(sides: Sides, plan: DataFrame, stage: int) -> Sides:
     """The sides and the base after one stage of a plan whose every action there goes well."""
-    acts = plan.where(F.col("stage") == stage)
+    acts = (sourced(plan) if stage == 6 else plan).where(F.col("stage") == stage)
     if stage in (1, 3):
         return _dir_moves(sides, acts, "local" if stage == 1 else "remote")
     of = {2: _directories, 4: _directories, 5: _moves, 6: _transfers, 7: _removals}[stage]
@@ -180,8 +196,8 @@ class Run:
     def begin(self, plan: DataFrame, failed: DataFrame | None = None) -> DataFrame:
         """Writes the journal; ord, why of what will not run."""
         out = staged(failing(plan, failed), "failing")
-        runs = plan.join(out.select("ord"), "ord", "left_anti")
-        self.store.commit({"journal": runs.select(F.col("ord").alias("op_id"), *[c for c in plan.columns if c != "ord"], F.lit("planned").alias("state"))})
+        runs = sourced(plan.join(out.select("ord"), "ord", "left_anti"))
+        self.store.commit({"journal": runs.select(F.col("ord").alias("op_id"), *[c for c in runs.columns if c != "ord"], F.lit("planned").alias("state"))})
         return out
 
     def _states(self, stage: int, state: str) -> DataFrame:
