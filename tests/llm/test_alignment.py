@@ -107,3 +107,19 @@ def test_the_query_against_every_pair(spark, encoders):
     hashed = lambda text: hashlib.sha256(text.encode()).hexdigest() if text else ""
     expected = sorted((i, *x[:-1], hashed(x[-1])) for (i, _), x in zip(rows, by_hand(encoders, [t for _, t in rows])))
     assert sorted((r["doc_id"], *(r[c] for c in NUMBERS), r["groups_sha256"]) for r in QUERIES["op12_token_alignment"](spark, SMALL).collect()) == expected
+
+
+def test_rows_of_megabytes_get_row_groups_of_few_rows(spark):
+    from urllib.parse import urlparse
+
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from trellis.llm.common import LARGE_ROWS, staged
+
+    rows = spark.range(12).coalesce(1).select("id", F.expr("transform(sequence(1, 300000), x -> xxhash64(id, x))").alias("x"))
+    kept = staged(rows, "large", **LARGE_ROWS)
+    [file] = kept.inputFiles()
+    found = pq.ParquetFile(urlparse(file).path).metadata
+    assert found.num_rows == 12 and max(found.row_group(i).num_rows for i in range(found.num_row_groups)) <= 4
+    assert kept.select(F.sum(F.size("x"))).first()[0] == 12 * 300000

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trellis.llm.common import IS_SPACE, Texts, Words, binary, column, documents, ints, pick, released, staged, text_slices
+from trellis.llm.common import IS_SPACE, LARGE_ROWS, Texts, Words, binary, column, documents, ints, pick, released, staged, text_slices
 
 #: Bytes of text in a block, and those whose new units are aligned together, but for one longer text. Larger blocks hold
 #: fewer distinct units and id pairs; what is held at once in DuckDB follows the smaller number.
@@ -276,7 +276,7 @@ def aligned(docs: DataFrame, ranks_path: str, pattern: str, model_path: str, dig
     text are plain text. Repeated rows each count; a null doc_id stays null. Texts are encoded whole whatever their length;
     memory follows the block, the longest text and the longest unit. An empty table gives no rows.
     """
-    written = staged(blocks(docs, ranks_path, pattern, model_path, digest), "aligned")
+    written = staged(blocks(docs, ranks_path, pattern, model_path, digest), "aligned", **LARGE_ROWS)
     counts = staged(pair_counts(written), "pair-counts")
     answers = _own_pairs(written).join(counts, ["a", "b"]).select(F.col("block").alias("_block"), "p", "count", "best")
     kind = written.schema["doc_id"].dataType.elementType.simpleString()

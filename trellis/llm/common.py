@@ -49,7 +49,12 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+#: For tables with rows of megabytes: the writer looks at its buffer after each row, not each hundred, and ends a row group at 8 MB.
+#: Neither it nor the reader, whose batches end with row groups, then holds more than a few rows, however many a task has.
+LARGE_ROWS = {"parquet.block.size": str(8 << 20), "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
+
+
+def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: later jobs start there, whatever executors are lost.
 
     Files that the write has shuffled go as soon as it is done; else they stay until the driver happens to collect its garbage.
@@ -59,7 +64,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     jvm = spark.sparkContext._jvm
