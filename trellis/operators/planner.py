@@ -13,8 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trellis.functions.paths import conflict_name, depth, fold_key, join_path, proper_ancestors
-from trellis.operators.reconcile import move_pairs
+from trellis.functions.paths import conflict_name, depth, dirname, fold_key, join_path, proper_ancestors
+from trellis.operators.reconcile import in_parts, in_ranges, move_pairs, within
 from trellis.sources.tables import staged
 
 ACTION = "type string, rel_path string, new_rel_path string, file_id string, is_dir boolean, protected_by string, pin_size long, pin_mtime long"
@@ -60,12 +60,17 @@ def _flags(df: DataFrame, *prefixes: str) -> DataFrame:
     return df.withColumns({f"in_{p}": F.coalesce(f"in_{p}", F.lit(False)) for p in prefixes})
 
 
-def carried(df: DataFrame, path: str, moves: DataFrame, out: str) -> DataFrame:
-    """df with out: the path after moves (from, to) of directories; of several that strictly contain it the longest applies."""
-    hit = df.select(F.col(path).alias("_p"), F.explode(proper_ancestors(F.col(path))).alias("from")).distinct().join(moves.select("from", "to"), "from")
-    best = hit.groupBy("_p").agg(F.max_by(F.struct("from", "to"), F.length("from")).alias("_m"))
+def carried(df: DataFrame, path: str, moves: DataFrame, out: str, among: DataFrame | None = None) -> DataFrame:
+    """df with out: the path after moves (from, to) of directories; of several that strictly contain it the longest applies.
+
+    It is looked up once for each directory that holds paths; those that moved are staged, so that the join with the rows
+    knows their size. among has the same column, and no fewer paths, where df itself is dear to compute twice.
+    """
+    dirs = (df if among is None else among).select(dirname(F.col(path)).alias("_d")).where("_d <> ''").distinct()
+    hit = dirs.select("_d", F.explode(F.concat(proper_ancestors(F.col("_d")), F.array("_d"))).alias("from")).join(moves.select("from", "to"), "from")
+    best = staged(hit.groupBy("_d").agg(F.max_by(F.struct("from", "to"), F.length("from")).alias("_m")), "carried")
     now = F.when(F.col("_m").isNull(), F.col(path)).otherwise(F.concat(F.col("_m.to"), F.substr(F.col(path), F.length("_m.from") + 1)))
-    return df.join(best, F.col(path) == F.col("_p"), "left").withColumn(out, now).drop("_p", "_m")
+    return df.join(best, dirname(F.col(path)) == F.col("_d"), "left").withColumn(out, now).drop("_d", "_m")
 
 
 def beneath(paths: DataFrame) -> DataFrame:
@@ -76,33 +81,42 @@ def beneath(paths: DataFrame) -> DataFrame:
 def remote_dir_moves(base: DataFrame, remote: DataFrame) -> DataFrame:
     """from, to of the directories whose id is at another path on the remote side."""
     there = remote.select("file_id", F.col("rel_path").alias("to"))
-    return base.where("is_dir").select("file_id", F.col("rel_path").alias("from")).join(there, "file_id").where("from <> to").select("from", "to")
+    dirs = staged(base.where("is_dir").select("file_id", F.col("rel_path").alias("from")), "dirs")
+    return dirs.join(there, "file_id").where("from <> to").select("from", "to")
 
 
-def local_dir_moves(tree: Tree, by_remote: DataFrame) -> DataFrame:
+def local_dir_moves(tree: Tree, by_remote: DataFrame, new: DataFrame | None = None, fresh: DataFrame | None = None) -> DataFrame:
     """from, to, file_id of the directories that were renamed locally, told by what their files became.
 
     A directory of the base counts that is gone locally and unmoved remotely, if at least one file beneath it pairs with a
     new local file of equal content, and all that pair kept their places beneath one and the same new directory. That must be
-    there, unknown to the base and free on the remote side. Of nested ones the outermost counts.
+    there, unknown to the base and free on the remote side. Of nested ones the outermost counts. new and fresh are what the
+    base doesn't know, local rows by path and remote ones by id, where the caller has them.
     """
     base, local, remote = tree.base, tree.local, tree.remote
     files = carried(base.where("not is_dir"), "rel_path", by_remote, "expected")
     files = files.join(_named(remote, "r", "file_id", "rel_path", "md5"), F.col("file_id") == F.col("r_file_id")).join(_named(local, "l", "rel_path", "md5", "is_dir"), F.col("rel_path") == F.col("l_rel_path"), "left")
-    files = staged(_flags(files, "l"), "dir-evidence")
-    gone = files.where("not in_l and r_md5 = drive_md5 and r_rel_path = expected").select(F.col("rel_path").alias("path"), "file_id", "md5", "size")
+    files = _flags(files, "l")
     clash = (F.col("l_md5") != F.col("md5")) & (F.col("r_md5") != F.col("drive_md5")) & (F.col("l_md5") != F.col("r_md5"))
-    aside = files.where(F.col("in_l") & ~F.col("l_is_dir") & (F.col("r_rel_path") != F.col("expected")) & ~clash).select(F.col("r_rel_path").alias("rel_path"))
-    fresh = remote.where("not is_dir").join(base.select("file_id"), "file_id", "left_anti").select("rel_path")
-    new = local.where("not is_dir").join(base.select("rel_path"), "rel_path", "left_anti").join(aside.union(fresh), "rel_path", "left_anti")
+    files = files.withColumn("_gone", F.expr("not in_l and r_md5 = drive_md5 and r_rel_path = expected")).withColumn("_aside", F.col("in_l") & ~F.col("l_is_dir") & (F.col("r_rel_path") != F.col("expected")) & ~clash)
+    files = staged(files.where("_gone or _aside").select("rel_path", "file_id", "md5", "size", "r_rel_path", "_gone", "_aside"), "dir-evidence")
+    gone = files.where("_gone").select(F.col("rel_path").alias("path"), "file_id", "md5", "size")
+    aside = files.where("_aside").select(F.col("r_rel_path").alias("rel_path"))
+    fresh = remote.join(base.select("file_id"), "file_id", "left_anti") if fresh is None else fresh
+    new = local.join(base.select("rel_path"), "rel_path", "left_anti") if new is None else new
+    new = new.where("not is_dir").join(aside.union(fresh.where("not is_dir").select("rel_path")), "rel_path", "left_anti")
     pairs = move_pairs(gone, new.select(F.col("rel_path").alias("path"), "md5", "size"))
     told = pairs.select("from", "to", F.explode(proper_ancestors(F.col("from"))).alias("dir")).withColumn("rest", F.substr("from", F.length("dir") + 1))
     told = told.groupBy("dir").agg(F.bool_and(F.endswith("to", F.col("rest")) & (F.length("to") > F.length("rest"))).alias("shaped"), F.count_distinct(F.left("to", F.length("to") - F.length("rest"))).alias("n"), F.min(F.left("to", F.length("to") - F.length("rest"))).alias("new"))
-    dirs = base.where("is_dir").select(F.col("rel_path").alias("dir"), "file_id").join(local.select(F.col("rel_path").alias("dir")), "dir", "left_anti")
-    dirs = dirs.join(remote.select("file_id", F.col("rel_path").alias("dir")), ["file_id", "dir"], "left_semi")
-    found = told.where("shaped and n = 1").join(dirs, "dir").withColumnsRenamed({"dir": "from", "new": "rel_path"}).select("from", "rel_path", "file_id")
-    found = found.join(local.where("is_dir").select("rel_path"), "rel_path", "left_semi").join(base.select("rel_path"), "rel_path", "left_anti").join(remote.select("rel_path"), "rel_path", "left_anti")
-    found = staged(found.withColumnRenamed("rel_path", "to"), "dir-moves")
+    told = staged(told.where("shaped and n = 1").select(F.col("dir").alias("from"), F.col("new").alias("to")), "told")
+    # the sides are cut down to the few paths in question before these meet them
+    asked = staged(told.select(F.col("from").alias("rel_path")).union(told.select("to")).distinct(), "asked")
+    base, local, remote = (df.join(asked, "rel_path", "left_semi") for df in (base, local, remote))
+    at = lambda df, name: df.select(F.col("rel_path").alias(name))
+    found = told.join(base.where("is_dir").select(F.col("rel_path").alias("from"), "file_id"), "from").join(at(local, "from"), "from", "left_anti")
+    found = found.join(remote.select("file_id", F.col("rel_path").alias("from")), ["file_id", "from"], "left_semi")
+    found = found.join(at(local.where("is_dir"), "to"), "to", "left_semi").join(at(base, "to"), "to", "left_anti").join(at(remote, "to"), "to", "left_anti")
+    found = staged(found.select("from", "to", "file_id"), "dir-moves")
     inner = found.select("from", F.explode(proper_ancestors(F.col("from"))).alias("above")).join(found.select(F.col("from").alias("above")), "above", "left_semi").select("from").distinct()
     return found.join(inner, "from", "left_anti").select("from", "to", "file_id")
 
@@ -112,11 +126,12 @@ def planned_tree(tree: Tree) -> tuple[DataFrame, DataFrame]:
     base, local, remote = tree.base, tree.local, tree.remote
     copy = lambda p: conflict_name(p, tree.machine, tree.now)
     rd = staged(remote_dir_moves(base, remote), "remote-dir-moves")
-    ld = staged(local_dir_moves(tree, rd), "local-dir-moves")
+    unknown = staged(local.join(base.select("rel_path"), "rel_path", "left_anti"), "unknown")
+    fresh = staged(remote.join(base.select("file_id"), "file_id", "left_anti"), "fresh")
+    ld = staged(local_dir_moves(tree, rd, unknown, fresh), "local-dir-moves")
     every = rd.union(ld.select("from", "to"))
-    there = staged(carried(remote, "rel_path", ld, "to_path"), "remote")
-    fresh = staged(there.join(base.select("file_id"), "file_id", "left_anti"), "fresh")
-    known = carried(carried(base, "rel_path", ld, "at"), "rel_path", every, "expected")
+    there, fresh = (carried(x, "rel_path", ld, "to_path") for x in (remote, fresh))
+    known = carried(carried(base, "rel_path", ld, "at"), "rel_path", every, "expected", base)
     held = None
     for ids, why in ((tree.shadowed, "remote copy is shadowed"), (tree.unreadable, "local copy can't be read")):
         if ids is not None:
@@ -128,19 +143,17 @@ def planned_tree(tree: Tree) -> tuple[DataFrame, DataFrame]:
     known = known.join(_named(local, "l", "rel_path", "is_dir", "size", "mtime_ns", "md5"), F.col("at") == F.col("l_rel_path"), "left")
     known = known.join(_named(there, "r", "file_id", "rel_path", "to_path", "md5", "version"), F.col("file_id") == F.col("r_file_id"), "left")
     known = _flags(known, "l", "r").withColumn("now_at", F.coalesce("r_to_path", "expected")).withColumn("moved", F.col("in_r") & (F.col("r_to_path") != F.col("expected")))
-    known = staged(known, "known")
+    known = staged(known.drop("l_rel_path", "r_file_id"), "known")
 
     # files of the base
     rows = known.where("not is_dir and _why is null and not (in_l and l_is_dir)")
-    rows = rows.join(_named(local, "o", "rel_path", "is_dir", "size", "mtime_ns", "md5"), F.col("moved") & (F.col("now_at") == F.col("o_rel_path")), "left")
-    rows = rows.join(_named(base, "t", "rel_path"), F.col("moved") & (F.col("now_at") == F.col("t_rel_path")), "left")
-    rows = rows.join(_named(fresh, "n", "rel_path", "file_id", "md5"), F.col("in_l") & ~F.col("in_r") & (F.col("at") == F.col("n_rel_path")), "left")
-    rows = _flags(rows, "o", "t", "n")
+    at_target = [(_named(local, "o", "rel_path", "is_dir", "size", "mtime_ns", "md5"), F.col("now_at") == F.col("o_rel_path")), (_named(base, "t", "rel_path"), F.col("now_at") == F.col("t_rel_path"))]
+    new_there = [(_named(fresh, "n", "rel_path", "file_id", "md5"), F.col("at") == F.col("n_rel_path"))]
+    rows = _flags(in_parts(rows, (F.col("moved"), at_target), (F.col("in_l") & ~F.col("in_r"), new_there)), "o", "t", "n")
     lm, rm, om, nm = (F.col(f"{x}_md5") for x in "lron")
     rows = rows.withColumns({"lc": F.col("in_l") & (lm != F.col("md5")), "rc": F.col("in_r") & (rm != F.col("drive_md5")), "o_file": F.col("in_o") & ~F.coalesce("o_is_dir", F.lit(False))})
     rows = rows.withColumns({"met": ~F.col("in_l") & F.col("moved") & ~F.col("in_t") & F.col("o_file"), "clash": F.col("in_l") & F.col("lc") & F.col("rc") & (lm != rm)})
     rows = rows.withColumns({"moving": F.col("moved") & F.col("in_l") & ~F.col("clash"), "displaced": F.col("o_file") & ~F.col("in_t")})
-    rows = staged(rows, "files")
     p, at, ex, go, fid = (F.col(c) for c in ("rel_path", "at", "expected", "now_at", "file_id"))
     l_pin, o_pin = (F.col("l_size"), F.col("l_mtime_ns")), (F.col("o_size"), F.col("o_mtime_ns"))
     after = F.when(F.col("moved"), ex)
@@ -173,7 +186,7 @@ def planned_tree(tree: Tree) -> tuple[DataFrame, DataFrame]:
     # new local rows, at the paths that they will have
     used = rows.where("met or (moving and displaced)").select(go.alias("rel_path"))
     back = ld.select(F.col("to").alias("from"), F.col("from").alias("to"))
-    new = carried(carried(local.join(base.select("rel_path"), "rel_path", "left_anti"), "rel_path", every, "target"), "rel_path", back, "origin")
+    new = carried(carried(unknown, "rel_path", every, "target"), "rel_path", back, "origin", unknown)
     new = new.join(back.withColumnsRenamed({"from": "_from", "to": "_to"}), F.col("rel_path") == F.col("_from"), "left").withColumn("origin", F.coalesce("_to", "origin")).drop("_from", "_to")
     explained = _named(base, "e", "rel_path")
     new = new.join(explained, (F.col("origin") != F.col("rel_path")) & (F.col("origin") == F.col("e_rel_path")), "left_anti").join(used, "rel_path", "left_anti")
@@ -267,11 +280,10 @@ def run_order() -> list[Column]:
 
 def numbered(df: DataFrame, order: list[Column], name: str = "ord") -> DataFrame:
     """df with the place of each row in a total order, from 1: ranges are sorted apart, and their sizes added up before them."""
-    rows = staged(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    rows = staged(in_ranges(df, order, order), "ranges")
     sizes = rows.groupBy("_range").agg(F.count("*").alias("_n"))
     # a row for each range, as many as there are shuffle partitions
-    starts = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    starts = staged(sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n"), "starts")
     return rows.join(starts, "_range").withColumn(name, F.col("_before") + F.col("_at")).drop("_range", "_at", "_before")
 
 
@@ -317,11 +329,10 @@ def without_deletes(plan: DataFrame) -> DataFrame:
 
 def overlaps_tree(plan: DataFrame) -> DataFrame:
     """rel_path, problem: paths that the transfer stage touches twice, and files beneath a path that it writes as a file."""
-    rows = plan.where("stage = 6").select("rel_path", "is_dir")
+    rows = staged(plan.where("stage = 6").select("rel_path", "is_dir"), "transfers")
     twice = rows.groupBy("rel_path").agg(F.count("*").alias("n")).where("n > 1").select("rel_path", F.lit("twice").alias("problem"))
     files = rows.where("not is_dir").select("rel_path")
-    under = files.select("rel_path", F.explode(proper_ancestors(F.col("rel_path"))).alias("above")).join(files.select(F.col("rel_path").alias("above")), "above", "left_semi")
-    return twice.union(under.select("rel_path", F.lit("beneath").alias("problem")).distinct())
+    return twice.union(within(files).select("rel_path", F.lit("beneath").alias("problem")).distinct())
 
 
 def expanded(base: DataFrame, paths: DataFrame) -> DataFrame:

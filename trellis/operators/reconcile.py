@@ -7,6 +7,8 @@ of them is broadcast is left to the optimizer, by size. Absence is told by a fla
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,16 +59,36 @@ def action(kind: str, rel_path: Column, new_rel_path: Column | None = None, file
     return F.struct(F.lit(kind).alias("type"), rel_path.alias("rel_path"), text(new_rel_path).alias("new_rel_path"), text(file_id).alias("file_id"), text(protected_by).alias("protected_by"))
 
 
+def in_ranges(df: DataFrame, by: list[Column | str], order: list[Column | str]) -> DataFrame:
+    """df in ranges of by, with _range, ascending with these, and _at, the place of the row in its range by order, from 1."""
+    # a row's number has the task in its upper bits and its place there in the lower 33
+    rows = df.repartitionByRange(*by).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    return rows.withColumn("_range", F.shiftright("_id", 33).cast("int")).withColumn("_at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_id")
+
+
+def in_parts(rows: DataFrame, *parts: tuple[Column, list[tuple[DataFrame, Column]]]) -> DataFrame:
+    """Staged rows, those of each part (a condition that excludes the others) left joined as it says; the rest isn't moved for it."""
+    out = rows.where(~F.coalesce(functools.reduce(Column.__or__, (c for c, _ in parts)), F.lit(False)))
+    for condition, joins in parts:
+        part = rows.where(condition)
+        for other, on in joins:
+            part = part.join(other, on, "left")
+        out = out.unionByName(staged(part, "part"), allowMissingColumns=True)
+    return out
+
+
 def ranked(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """df with k, the rank of each row by `order` among those of equal keys, from 1.
 
     Rows are cut into ranges of keys and order, so that rows of one key spread over as many tasks as they need; a key that
     goes on from one range into the next starts there at the number of its rows before.
     """
-    rows = staged(df.repartitionByRange(*keys, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    rows = staged(in_ranges(df, [*keys, order], [*keys, order]), "ranges")
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    # at most one key a range goes on from an earlier one
-    before = rows.groupBy(*keys, "_range").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(earlier)).where("_before > 0").drop("_n")
+    # at most one key a range goes on from an earlier one, that of its first row
+    heads = staged(rows.where("_at = 1").select(*keys).distinct(), "heads")
+    before = rows.join(heads, keys, "left_semi").groupBy(*keys, "_range").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(earlier)).where("_before > 0").drop("_n")
+    before = staged(before, "before")
     rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy("_range", *keys).orderBy(order)))
     return rows.join(before, [*keys, "_range"], "left").withColumn("k", F.coalesce("_before", F.lit(0)) + F.col("_at")).drop("_range", "_at", "_before")
 
@@ -75,9 +97,13 @@ def move_pairs(gone: DataFrame, new: DataFrame) -> DataFrame:
     """Deleted rows (path, file_id, md5, size) and new ones (path, md5, size) of equal content, first come first served by path.
 
     Both sides are ranked within their content and joined on content and rank, which a queue per content would give too.
+    Only content that both sides have is ranked.
     """
-    left, right = (ranked(x, ["md5", "size"], "path").withColumnRenamed("path", name) for x, name in ((gone, "from"), (new, "to")))
-    return left.join(right, ["md5", "size", "k"]).select("from", "to", "file_id", "md5", "size")
+    keys = ["md5", "size"]
+    gone, new = staged(gone, "gone"), staged(new, "new")
+    common = staged(gone.select(*keys).distinct().join(new.select(*keys).distinct(), keys), "common")
+    left, right = (ranked(x.join(common, keys, "left_semi"), keys, "path").withColumnRenamed("path", name) for x, name in ((gone, "from"), (new, "to")))
+    return left.join(right, [*keys, "k"]).select("from", "to", "file_id", *keys)
 
 
 def planned(base: DataFrame, local: DataFrame, remote: DataFrame, machine: str, now: Column) -> DataFrame:
@@ -90,15 +116,13 @@ def planned(base: DataFrame, local: DataFrame, remote: DataFrame, machine: str,
     nl, nr = new_rows(base, local, remote)
     b, r, lp, rp = F.col("b_md5"), F.col("r_md5"), F.col("b_rel_path"), F.col("r_rel_path")
     rows = aligned(base, local, remote)
-    at_target = _side(local.select("rel_path", "md5"), "o")
-    rows = rows.join(at_target, (F.col("o_rel_path") == rp) & (rp != lp), "left")
-    rows = rows.join(_side(base.select("rel_path"), "t"), (F.col("t_rel_path") == rp) & (rp != lp), "left")
-    rows = rows.join(_side(nr.select("rel_path", "file_id", "md5"), "n"), (F.col("n_rel_path") == lp) & F.col("in_l") & ~F.col("in_r"), "left")
+    at_target = [(_side(local.select("rel_path", "md5"), "o"), F.col("o_rel_path") == rp), (_side(base.select("rel_path"), "t"), F.col("t_rel_path") == rp)]
+    new_there = [(_side(nr.select("rel_path", "file_id", "md5"), "n"), F.col("n_rel_path") == lp)]
+    rows = in_parts(staged(rows.drop("l_rel_path", "r_file_id"), "aligned"), (rp != lp, at_target), (F.col("in_l") & ~F.col("in_r"), new_there))  # every branch below starts from these rows
     rows = rows.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("in_o", "in_t", "in_n")})
     rows = rows.withColumns({"moved": F.coalesce(rp != lp, F.lit(False)), "lc": F.col("in_l") & (F.col("l_md5") != b), "rc": F.col("in_r") & (r != F.col("b_drive_md5"))})
     rows = rows.withColumn("met", ~F.col("in_l") & F.col("moved") & ~F.col("in_t") & F.col("in_o"))
     rows = rows.withColumn("clash", F.col("in_l") & F.col("in_r") & F.col("lc") & F.col("rc") & (F.col("l_md5") != r))
-    rows = staged(rows, "aligned")  # every branch below starts from these rows
     fid, copy = F.col("b_file_id"), lambda p: conflict_name(p, machine, now)
     none = F.array().cast("array<struct<type:string,rel_path:string,new_rel_path:string,file_id:string,protected_by:string>>")
     there = F.when(F.col("moved"), rp).otherwise(lp)
@@ -166,10 +190,17 @@ def mass_delete_guard(plan: DataFrame, tracked: DataFrame, threshold: float, con
 
 def overlaps(plan: DataFrame) -> DataFrame:
     """rel_path, problem: paths that the transfer stage touches twice, and those beneath a path that it writes as a file."""
-    rows = plan.where(F.col("type").isin("upload", "update_remote", "download", "record")).select("rel_path")
+    rows = staged(plan.where(F.col("type").isin("upload", "update_remote", "download", "record")).select("rel_path"), "transfers")
     twice = rows.groupBy("rel_path").agg(F.count("*").alias("n")).where("n > 1").select("rel_path", F.lit("twice").alias("problem"))
-    above = rows.select("rel_path", F.explode(proper_ancestors(F.col("rel_path"))).alias("above")).join(rows.select(F.col("rel_path").alias("above")), "above", "left_semi")
-    return twice.union(above.select("rel_path", F.lit("beneath").alias("problem")).distinct())
+    return twice.union(within(rows).select("rel_path", F.lit("beneath").alias("problem")).distinct())
+
+
+def within(rows: DataFrame) -> DataFrame:
+    """rel_path of those of the rows that lie beneath another's path; directories are compared once, not for each path in them."""
+    above = lambda df: df.select("rel_path", F.explode(proper_ancestors(F.col("rel_path"))).alias("above"))
+    dirs = staged(above(rows).select(F.col("above").alias("rel_path")).distinct(), "dirs")
+    hit = staged(rows.join(dirs, "rel_path", "left_semi").select(F.col("rel_path").alias("above")).distinct(), "hit")
+    return above(rows).join(hit, "above", "left_semi").select("rel_path")
 
 
 def collapsed(deletes: DataFrame, alive: DataFrame) -> DataFrame:
@@ -203,6 +234,7 @@ def summary(plan: DataFrame) -> DataFrame:
 
 def applied(base: DataFrame, local: DataFrame, remote: DataFrame, plan: DataFrame) -> DataFrame:
     """file_id, rel_path, md5 of the base after a plan whose every action went well; uploads get ids from their paths."""
+    plan = staged(plan, "plan")
     gone = plan.where(F.col("type").isin("forget", "trash_remote", "quarantine_local")).select("file_id")
     backed = plan.where("type = 'conflict_backup'").select(F.col("rel_path").alias("was"), F.col("new_rel_path").alias("rel_path"))
     here = local.select("rel_path", F.col("md5").alias("l_md5"))
