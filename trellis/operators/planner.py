@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellis.functions.paths import conflict_name, depth, dirname, fold_key, join_path, proper_ancestors
-from trellis.operators.reconcile import in_parts, in_ranges, move_pairs, within
+from trellis.operators.reconcile import in_parts, in_ranges, move_pairs, near, sides, unknown_local, unknown_remote, within
 from trellis.sources.tables import staged
 
 ACTION = "type string, rel_path string, new_rel_path string, file_id string, is_dir boolean, protected_by string, pin_size long, pin_mtime long"
@@ -85,25 +85,27 @@ def remote_dir_moves(base: DataFrame, remote: DataFrame) -> DataFrame:
     return dirs.join(there, "file_id").where("from <> to").select("from", "to")
 
 
-def local_dir_moves(tree: Tree, by_remote: DataFrame, new: DataFrame | None = None, fresh: DataFrame | None = None) -> DataFrame:
+def tree_sides(tree: Tree, notes: DataFrame | None = None) -> DataFrame:
+    """The three snapshots as sides, with what a plan asks of each."""
+    return sides(tree.base, tree.local.select("rel_path", "is_dir", "size", "mtime_ns", "md5"), tree.remote.select("file_id", "rel_path", "is_dir", "md5", "version", "modified_ns"), notes)
+
+
+def local_dir_moves(tree: Tree, by_remote: DataFrame, both: DataFrame | None = None) -> DataFrame:
     """from, to, file_id of the directories that were renamed locally, told by what their files became.
 
     A directory of the base counts that is gone locally and unmoved remotely, if at least one file beneath it pairs with a
     new local file of equal content, and all that pair kept their places beneath one and the same new directory. That must be
-    there, unknown to the base and free on the remote side. Of nested ones the outermost counts. new and fresh are what the
-    base doesn't know, local rows by path and remote ones by id, where the caller has them.
+    there, unknown to the base and free on the remote side. Of nested ones the outermost counts. both are the sides, where the
+    caller has them.
     """
-    base, local, remote = tree.base, tree.local, tree.remote
-    files = carried(base.where("not is_dir"), "rel_path", by_remote, "expected")
-    files = files.join(_named(remote, "r", "file_id", "rel_path", "md5"), F.col("file_id") == F.col("r_file_id")).join(_named(local, "l", "rel_path", "md5", "is_dir"), F.col("rel_path") == F.col("l_rel_path"), "left")
-    files = _flags(files, "l")
+    both = tree_sides(tree) if both is None else both
+    files = carried(both.where("in_b and in_r and not is_dir"), "rel_path", by_remote, "expected")
     clash = (F.col("l_md5") != F.col("md5")) & (F.col("r_md5") != F.col("drive_md5")) & (F.col("l_md5") != F.col("r_md5"))
     files = files.withColumn("_gone", F.expr("not in_l and r_md5 = drive_md5 and r_rel_path = expected")).withColumn("_aside", F.col("in_l") & ~F.col("l_is_dir") & (F.col("r_rel_path") != F.col("expected")) & ~clash)
     files = staged(files.where("_gone or _aside").select("rel_path", "file_id", "md5", "size", "r_rel_path", "_gone", "_aside"), "dir-evidence")
     gone = files.where("_gone").select(F.col("rel_path").alias("path"), "file_id", "md5", "size")
     aside = files.where("_aside").select(F.col("r_rel_path").alias("rel_path"))
-    fresh = remote.join(base.select("file_id"), "file_id", "left_anti") if fresh is None else fresh
-    new = local.join(base.select("rel_path"), "rel_path", "left_anti") if new is None else new
+    new, fresh = unknown_local(both, "is_dir", "size", "md5"), unknown_remote(both, "rel_path", "is_dir")
     new = new.where("not is_dir").join(aside.union(fresh.where("not is_dir").select("rel_path")), "rel_path", "left_anti")
     pairs = move_pairs(gone, new.select(F.col("rel_path").alias("path"), "md5", "size"))
     told = pairs.select("from", "to", F.explode(proper_ancestors(F.col("from"))).alias("dir")).withColumn("rest", F.substr("from", F.length("dir") + 1))
@@ -111,7 +113,7 @@ def local_dir_moves(tree: Tree, by_remote: DataFrame, new: DataFrame | None = No
     told = staged(told.where("shaped and n = 1").select(F.col("dir").alias("from"), F.col("new").alias("to")), "told")
     # the sides are cut down to the few paths in question before these meet them
     asked = staged(told.select(F.col("from").alias("rel_path")).union(told.select("to")).distinct(), "asked")
-    base, local, remote = (df.join(asked, "rel_path", "left_semi") for df in (base, local, remote))
+    base, local, remote = (df.join(asked, "rel_path", "left_semi") for df in (tree.base, tree.local, tree.remote))
     at = lambda df, name: df.select(F.col("rel_path").alias(name))
     found = told.join(base.where("is_dir").select(F.col("rel_path").alias("from"), "file_id"), "from").join(at(local, "from"), "from", "left_anti")
     found = found.join(remote.select("file_id", F.col("rel_path").alias("from")), ["file_id", "from"], "left_semi")
@@ -126,28 +128,33 @@ def planned_tree(tree: Tree) -> tuple[DataFrame, DataFrame]:
     base, local, remote = tree.base, tree.local, tree.remote
     copy = lambda p: conflict_name(p, tree.machine, tree.now)
     rd = staged(remote_dir_moves(base, remote), "remote-dir-moves")
-    unknown = staged(local.join(base.select("rel_path"), "rel_path", "left_anti"), "unknown")
-    fresh = staged(remote.join(base.select("file_id"), "file_id", "left_anti"), "fresh")
-    ld = staged(local_dir_moves(tree, rd, unknown, fresh), "local-dir-moves")
-    every = rd.union(ld.select("from", "to"))
-    there, fresh = (carried(x, "rel_path", ld, "to_path") for x in (remote, fresh))
-    known = carried(carried(base, "rel_path", ld, "at"), "rel_path", every, "expected", base)
     held = None
     for ids, why in ((tree.shadowed, "remote copy is shadowed"), (tree.unreadable, "local copy can't be read")):
         if ids is not None:
             rows = ids.select("file_id", F.lit(why).alias("_why"))
             held = rows if held is None else held.unionByName(rows.join(held, "file_id", "left_anti"))
-    known = known.withColumn("_why", F.lit(None).cast("string")) if held is None else known.join(held.distinct(), "file_id", "left")
+    both = tree_sides(tree, None if held is None else held.distinct())
+    both = both.withColumn("_why", F.lit(None).cast("string")) if held is None else both
+    unknown = staged(unknown_local(both, "is_dir", "size", "mtime_ns", "md5"), "unknown")
+    fresh = staged(unknown_remote(both, "rel_path", "is_dir", "md5", "modified_ns"), "fresh")
+    ld = staged(local_dir_moves(tree, rd, both), "local-dir-moves")
+    every = rd.union(ld.select("from", "to"))
+    fresh = carried(fresh, "rel_path", ld, "to_path")
+    known = both.where("in_b").drop("in_b", "r_is_dir", "r_modified_ns")
+    known = carried(carried(carried(known, "rel_path", ld, "at"), "rel_path", every, "expected", known), "r_rel_path", ld, "r_to_path", known)
     known = known.join(ld.select(F.col("from").alias("_from"), F.col("to").alias("_to")), F.col("is_dir") & (F.col("rel_path") == F.col("_from")), "left")
     known = known.withColumn("at", F.coalesce("_to", "at")).drop("_from", "_to")
-    known = known.join(_named(local, "l", "rel_path", "is_dir", "size", "mtime_ns", "md5"), F.col("at") == F.col("l_rel_path"), "left")
-    known = known.join(_named(there, "r", "file_id", "rel_path", "to_path", "md5", "version"), F.col("file_id") == F.col("r_file_id"), "left")
-    known = _flags(known, "l", "r").withColumn("now_at", F.coalesce("r_to_path", "expected")).withColumn("moved", F.col("in_r") & (F.col("r_to_path") != F.col("expected")))
-    known = staged(known.drop("l_rel_path", "r_file_id"), "known")
+    # beneath a directory that moved locally the local row is another one than that at the path of the base
+    stays, l_side = F.col("at").eqNullSafe(F.col("rel_path")), ["rel_path", "is_dir", "size", "mtime_ns", "md5"]
+    follows = known.where(~stays).drop("in_l", *[f"l_{c}" for c in l_side])
+    follows = follows.join(_named(near(local, "rel_path", follows, F.col("at")), "l", *l_side), F.col("at") == F.col("l_rel_path"), "left").drop("l_rel_path")
+    known = _flags(known.where(stays).unionByName(follows), "l").withColumn("now_at", F.coalesce("r_to_path", "expected")).withColumn("moved", F.col("in_r") & (F.col("r_to_path") != F.col("expected")))
+    known = staged(known, "known")
 
     # files of the base
     rows = known.where("not is_dir and _why is null and not (in_l and l_is_dir)")
-    at_target = [(_named(local, "o", "rel_path", "is_dir", "size", "mtime_ns", "md5"), F.col("now_at") == F.col("o_rel_path")), (_named(base, "t", "rel_path"), F.col("now_at") == F.col("t_rel_path"))]
+    o_side, t_side = (near(df, "rel_path", rows.where("moved"), F.col("now_at")) for df in (local, base))
+    at_target = [(_named(o_side, "o", *l_side), F.col("now_at") == F.col("o_rel_path")), (_named(t_side, "t", "rel_path"), F.col("now_at") == F.col("t_rel_path"))]
     new_there = [(_named(fresh, "n", "rel_path", "file_id", "md5"), F.col("at") == F.col("n_rel_path"))]
     rows = _flags(in_parts(rows, (F.col("moved"), at_target), (F.col("in_l") & ~F.col("in_r"), new_there)), "o", "t", "n")
     lm, rm, om, nm = (F.col(f"{x}_md5") for x in "lron")
@@ -188,7 +195,7 @@ def planned_tree(tree: Tree) -> tuple[DataFrame, DataFrame]:
     back = ld.select(F.col("to").alias("from"), F.col("from").alias("to"))
     new = carried(carried(unknown, "rel_path", every, "target"), "rel_path", back, "origin", unknown)
     new = new.join(back.withColumnsRenamed({"from": "_from", "to": "_to"}), F.col("rel_path") == F.col("_from"), "left").withColumn("origin", F.coalesce("_to", "origin")).drop("_from", "_to")
-    explained = _named(base, "e", "rel_path")
+    explained = _named(near(base, "rel_path", new.where("origin <> rel_path"), F.col("origin")), "e", "rel_path")
     new = new.join(explained, (F.col("origin") != F.col("rel_path")) & (F.col("origin") == F.col("e_rel_path")), "left_anti").join(used, "rel_path", "left_anti")
     new = new.join(_named(fresh, "n", "rel_path", "file_id", "is_dir", "md5", "modified_ns"), F.col("target") == F.col("n_rel_path"), "left")
     new = new.join(_named(remote, "x", "rel_path"), F.col("is_dir") & (F.col("target") == F.col("x_rel_path")), "left")

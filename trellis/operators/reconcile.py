@@ -38,6 +38,42 @@ def new_rows(base: DataFrame, local: DataFrame, remote: DataFrame) -> tuple[Data
     return local.join(base.select("rel_path"), "rel_path", "left_anti"), remote.join(base.select("file_id"), "file_id", "left_anti")
 
 
+def sides(base: DataFrame, local: DataFrame, remote: DataFrame, notes: DataFrame | None = None) -> DataFrame:
+    """Base rows with the local row at their path (l_) and the remote row of their id (r_), and the rows that the base doesn't know.
+
+    in_b, in_l and in_r tell where a row is. rel_path is that of the base or else the local one, file_id that of the base or
+    else the remote one. notes are more columns by file_id. Each side is moved once, and what is staged serves all later steps.
+    """
+    here = local.select(F.col("rel_path").alias("_path"), *[F.col(c).alias(f"l_{c}") for c in local.columns if c != "rel_path"], F.lit(True).alias("in_l"))
+    rows = base.withColumn("in_b", F.lit(True)).join(here, F.col("rel_path") == F.col("_path"), "full_outer")
+    # rows without an id meet nothing; a number from their path spreads them over all tasks
+    salt = F.when(F.col("file_id").isNull(), F.xxhash64("rel_path")).otherwise(F.lit(0).cast("long"))
+    rows = rows.withColumn("rel_path", F.coalesce("rel_path", "_path")).withColumn("_salt", salt).drop("_path")
+    by_id = lambda df, prefix: df.select(F.col("file_id").alias("_id"), salt.alias("_none"), *[F.col(c).alias(f"{prefix}{c}") for c in df.columns if c != "file_id"])
+    on = (F.col("file_id") == F.col("_id")) & (F.col("_salt") == F.col("_none"))
+    if notes is not None:
+        marked = notes.withColumn("rel_path", F.lit(None).cast("string"))
+        rows = rows.join(by_id(marked, "").drop("rel_path"), on, "left").drop("_id", "_none")
+    rows = rows.join(by_id(remote, "r_").withColumn("in_r", F.lit(True)), on, "full_outer").withColumn("file_id", F.coalesce("file_id", "_id")).drop("_id", "_none", "_salt")
+    return staged(rows.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("in_b", "in_l", "in_r")}), "sides")
+
+
+def unknown_local(both: DataFrame, *columns: str) -> DataFrame:
+    """Those rows of sides that the local side alone has, as it has them."""
+    return both.where("in_l and not in_b").select("rel_path", *[F.col(f"l_{c}").alias(c) for c in columns])
+
+
+def unknown_remote(both: DataFrame, *columns: str) -> DataFrame:
+    """Those rows of sides that the remote side alone has, as it has them."""
+    return both.where("in_r and not in_b").select("file_id", *[F.col(f"r_{c}").alias(c) for c in columns])
+
+
+def near(df: DataFrame, path: str, rows: DataFrame, at: Column, most: int = 100_000) -> DataFrame:
+    """df cut down to the directories that hold a path of rows (at), as a join by path asks for no others; df as it is if these are more than most."""
+    dirs = staged(rows.select(dirname(at).alias("_d")).where("_d is not null").distinct(), "near")
+    return df if dirs.count() > most else df.join(dirs, dirname(F.col(path)) == F.col("_d"), "left_semi")
+
+
 def classified(base: DataFrame, local: DataFrame, remote: DataFrame) -> DataFrame:
     """row_cls, n: how many rows fall into each class of the decision table."""
     lm, rm, bm = F.col("l_md5"), F.col("r_md5"), F.col("b_md5")
