@@ -101,8 +101,7 @@ for _c in ("spot", "rp"):
 
 
 def plan_of(spark, d, of=None):
-    base, local, remote = (staged(x, "snapshot") for x in snapshots(spark, d, of))
-    return reconcile.planned(base, local, remote, "test_box", now())
+    return reconcile.planned(*snapshots(spark, d, of), "test_box", now())
 
 
 @query(f"with {SNAPSHOTS} {_PLAN} select * from plan")

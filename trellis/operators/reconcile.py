@@ -149,12 +149,14 @@ def planned(base: DataFrame, local: DataFrame, remote: DataFrame, machine: str,
     local bytes step aside under a conflict name and are uploaded too. Directories, moves of directories and folding of
     names are not planned here.
     """
-    nl, nr = new_rows(base, local, remote)
+    both = sides(base.select("rel_path", "file_id", "md5", "drive_md5", "size", "version"), local.select("rel_path", "md5", "size"), remote.select("file_id", "rel_path", "md5", "version"))
+    nl, nr = unknown_local(both, "md5", "size"), unknown_remote(both, "rel_path", "md5")
     b, r, lp, rp = F.col("b_md5"), F.col("r_md5"), F.col("b_rel_path"), F.col("r_rel_path")
-    rows = aligned(base, local, remote)
-    at_target = [(_side(local.select("rel_path", "md5"), "o"), F.col("o_rel_path") == rp), (_side(base.select("rel_path"), "t"), F.col("t_rel_path") == rp)]
+    rows = both.where("in_b").drop("in_b").withColumnsRenamed({c: f"b_{c}" for c in ("rel_path", "file_id", "md5", "drive_md5", "size", "version")})
+    o_side, t_side = (near(df, "rel_path", rows.where(rp != lp), rp) for df in (local.select("rel_path", "md5"), base.select("rel_path")))
+    at_target = [(_side(o_side, "o"), F.col("o_rel_path") == rp), (_side(t_side, "t"), F.col("t_rel_path") == rp)]
     new_there = [(_side(nr.select("rel_path", "file_id", "md5"), "n"), F.col("n_rel_path") == lp)]
-    rows = in_parts(staged(rows.drop("l_rel_path", "r_file_id"), "aligned"), (rp != lp, at_target), (F.col("in_l") & ~F.col("in_r"), new_there))  # every branch below starts from these rows
+    rows = in_parts(rows, (rp != lp, at_target), (F.col("in_l") & ~F.col("in_r"), new_there))  # every branch below starts from these rows
     rows = rows.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("in_o", "in_t", "in_n")})
     rows = rows.withColumns({"moved": F.coalesce(rp != lp, F.lit(False)), "lc": F.col("in_l") & (F.col("l_md5") != b), "rc": F.col("in_r") & (r != F.col("b_drive_md5"))})
     rows = rows.withColumn("met", ~F.col("in_l") & F.col("moved") & ~F.col("in_t") & F.col("in_o"))
