@@ -121,3 +121,14 @@ def test_paths_beneath_others(spark):
     paths = ["a", "a/b", "a/b/c", "ab/c", "d/e/f", "d/e/f", "d/e/g", "d/e", "é/x", "é"]
     got = overlaps(spark.createDataFrame([("upload", p) for p in paths], "type string, rel_path string"))
     assert {(r[0], r[1]) for r in got.collect()} == {("d/e/f", "twice"), *((p, "beneath") for p in ("a/b", "a/b/c", "d/e/f", "d/e/g", "é/x"))} and got.count() == 6
+
+
+def test_each_side_is_moved_once(spark):
+    from tests.test_reconcile import shuffled
+
+    ids = spark.range(20000).select(F.concat(F.lit("d"), F.col("id") % 7, F.lit("/"), "id").alias("rel_path"), F.concat(F.lit("i"), "id").alias("file_id"), F.lit(False).alias("is_dir"), F.lit(1).cast("long").alias("size"), F.md5(F.col("id").cast("string")).alias("md5"))
+    base = ids.withColumns({"mtime_ns": F.col("size"), "drive_md5": F.col("md5"), "version": F.col("size")})
+    local, remote = base.select("rel_path", "is_dir", "size", "mtime_ns", "md5"), base.select("rel_path", "file_id", "is_dir", "size", "md5", "version", F.col("size").alias("modified_ns"))
+    once = shuffled(spark, lambda: [df.repartition(4, by).write.format("noop").mode("overwrite").save() for df, by in ((base, "rel_path"), (local, "rel_path"), (base, "file_id"), (remote, "file_id"))])
+    got = shuffled(spark, lambda: pl.planned_tree(pl.Tree(base, local, remote, "box", F.current_timestamp()))[0].write.format("noop").mode("overwrite").save())
+    assert once > 1_000_000 and got < 1.8 * once

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import deque
 
 import pytest
@@ -104,3 +105,45 @@ def test_guard(spark):
 def test_overlaps(spark):
     acts = spark.createDataFrame([("upload", "a"), ("download", "a"), ("upload", "a/b"), ("forget", "c")], "type string, rel_path string")
     assert {tuple(r) for r in reconcile.overlaps(acts).collect()} == {("a", "twice"), ("a/b", "beneath")}
+
+
+def shuffled(spark, run, most="50k"):
+    """Bytes that run writes into shuffles while only small tables are broadcast, as on large inputs."""
+    def total():
+        time.sleep(0.5)
+        spark.range(1).count()  # later tasks make the store take in the figures of earlier ones
+        return sum(x.totalShuffleWrite() for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+
+    name, before = "spark.sql.autoBroadcastJoinThreshold", total()
+    limit = spark.conf.get(name)
+    spark.conf.set(name, most)
+    try:
+        run()
+    finally:
+        spark.conf.set(name, limit)
+    return total() - before
+
+
+def test_each_side_is_moved_once(spark):
+    ids = spark.range(20000).select(F.concat(F.lit("d"), F.col("id") % 7, F.lit("/"), "id").alias("rel_path"), F.concat(F.lit("i"), "id").alias("file_id"), F.md5(F.col("id").cast("string")).alias("md5"))
+    base = ids.withColumns({"drive_md5": F.col("md5"), "size": F.lit(1).cast("long"), "version": F.lit(1).cast("long")})
+    local, remote = base.select("rel_path", "md5", "size"), base.select("rel_path", "file_id", "md5", "size", "version")
+    once = shuffled(spark, lambda: [df.repartition(4, by).write.format("noop").mode("overwrite").save() for df, by in ((base, "rel_path"), (local, "rel_path"), (base, "file_id"), (remote, "file_id"))])
+    got = shuffled(spark, lambda: reconcile.planned(base, local, remote, "box", F.current_timestamp()).write.format("noop").mode("overwrite").save())
+    assert once > 1_000_000 and got < 1.4 * once
+
+
+def test_rows_of_one_side_have_its_columns(spark):
+    base = spark.createDataFrame([("a", "i", "m", "m", 1, 1), ("b", "j", "m", "m", 1, 1)], BASE)
+    local, remote = spark.createDataFrame([("a", "x", 5), ("n", "y", 6)], LOCAL), spark.createDataFrame([("c", "j", "z", 1, 3), ("n", "k", None, 1, 4)], REMOTE)
+    both = reconcile.sides(base, local, remote, spark.createDataFrame([("j", "held"), ("k", "no"), (None, "none")], "file_id string, why string"))
+    got = {tuple(r) for r in both.select("rel_path", "file_id", "in_b", "in_l", "in_r", "l_md5", "r_rel_path", "why").collect()}
+    assert got == {("a", "i", True, True, False, "x", None, None), ("b", "j", True, False, True, None, "c", "held"), ("n", None, False, True, False, "y", None, None), (None, "k", False, False, True, None, "n", None)} and both.count() == 4
+    assert [tuple(r) for r in reconcile.unknown_local(both, "md5", "size").collect()] == [("n", "y", 6)] and [tuple(r) for r in reconcile.unknown_remote(both, "rel_path", "version").collect()] == [("k", "n", 4)]
+
+
+def test_rows_near_others(spark):
+    df = spark.createDataFrame([("a/1",), ("a/b/2",), ("c",), ("d/3",)], "rel_path string")
+    rows = spark.createDataFrame([("a/x",), ("e/y",), ("z",), (None,)], "at string")
+    assert sorted(r[0] for r in reconcile.near(df, "rel_path", rows, F.col("at")).collect()) == ["a/1", "c"]
+    assert reconcile.near(df, "rel_path", rows, F.col("at"), most=2).count() == 4
