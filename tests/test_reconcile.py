@@ -1,3 +1,4 @@
+import os
 import random
 import time
 from collections import deque
@@ -6,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trellis.operators import reconcile
+from trellis.sources.tables import staged
 
 BASE = "rel_path string, file_id string, md5 string, drive_md5 string, size long, version long"
 LOCAL, REMOTE = "rel_path string, md5 string, size long", "rel_path string, file_id string, md5 string, size long, version long"
@@ -147,3 +149,36 @@ def test_rows_near_others(spark):
     rows = spark.createDataFrame([("a/x",), ("e/y",), ("z",), (None,)], "at string")
     assert sorted(r[0] for r in reconcile.near(df, "rel_path", rows, F.col("at")).collect()) == ["a/1", "c"]
     assert reconcile.near(df, "rel_path", rows, F.col("at"), most=2).count() == 4
+
+
+def test_packed_texts_come_back(spark):
+    from trellis.sources.tables import packed, unpacked
+
+    texts = ["d41d8cd98f00b204e9800998ecf8427e", "D41D", "abc", "", "zz", "é\x00x", "ff", "0a\n", " 0a", "tc", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("p", packed(F.col("t"))).withColumn("u", unpacked(F.col("p"))).collect()
+    assert [r["u"] for r in rows] == texts and len(rows[0]["p"]) == 17 and len({bytes(r["p"]) for r in rows[:-1]}) == 10
+
+
+def test_columns_like_another_come_back(spark):
+    from trellis.sources.tables import staged_alike
+
+    rows = [("a", "a", 1), ("a", "b", 2), ("a", None, 3), (None, "b", 4), (None, None, 5)]
+    got = staged_alike(spark.createDataFrame(rows, "x string, y string, n int"), "alike", {"y": "x"})
+    assert got.columns == ["x", "y", "n"] and sorted(map(tuple, got.collect()), key=lambda r: r[2]) == rows
+
+
+def test_sides_move_digests_packed_and_write_them_once(spark):
+    ids = spark.range(20000).select(F.concat(F.lit("d"), F.col("id") % 7, F.lit("/"), "id").alias("rel_path"), F.concat(F.lit("i"), "id").alias("file_id"), F.md5(F.col("id").cast("string")).alias("md5"))
+    base = ids.withColumns({"drive_md5": F.col("md5"), "size": F.lit(1).cast("long"), "version": F.lit(1).cast("long")})
+    local, remote = base.select("rel_path", "md5", "size"), base.select("rel_path", "file_id", "md5", "version")
+    once = shuffled(spark, lambda: [df.repartition(4, by).write.format("noop").mode("overwrite").save() for df, by in ((base, "rel_path"), (local, "rel_path"), (base, "file_id"), (remote, "file_id"))])
+    both = []
+    got = shuffled(spark, lambda: both.append(reconcile.sides(base, local, remote)))
+    assert once > 1_000_000 and got < 0.85 * once
+    assert folder_size(both[0]) < 1.3 * folder_size(staged(ids, "ids"))
+    assert both[0].where("in_b and in_l and in_r and md5 = l_md5 and md5 = r_md5 and md5 = drive_md5 and r_rel_path = rel_path").count() == 20000
+
+
+def folder_size(df):
+    """Bytes of the files of a staged table."""
+    return sum(os.path.getsize(f.removeprefix("file://")) for f in df.inputFiles())

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,3 +32,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def staged_alike(df: DataFrame, name: str, like: dict[str, str]) -> DataFrame:
+    """df staged; a column that mostly equals another one (like: its name to that one's) is written only where it differs."""
+    same = {c: F.col(c).eqNullSafe(F.col(o)) for c, o in like.items()}
+    rows = df.select(*[F.when(~same[c], F.col(c)).alias(c) if c in like else c for c in df.columns], *[is_same.alias(f"_{c}_same") for c, is_same in same.items()])
+    back = staged(rows, name)
+    return back.select(*[F.when(F.col(f"_{c}_same"), F.col(like[c])).otherwise(F.col(c)).alias(c) if c in like else c for c in df.columns])
+
+
+def packed(text: Column) -> Column:
+    """The text as bytes behind a mark, a digest in lower-case hex as those that it stands for, which are half as many."""
+    is_hex = F.coalesce(F.lower(F.hex(F.unhex(text))) == text, F.lit(False))
+    return F.when(is_hex, F.concat(F.lit(b"\x01"), F.unhex(text))).otherwise(F.concat(F.lit(b"\x00"), text.cast("binary")))
+
+
+def unpacked(held: Column) -> Column:
+    """The text that was packed."""
+    rest = F.substring(held, 2, 2**31 - 1)
+    return F.when(F.substring(held, 1, 1) == F.lit(b"\x01"), F.lower(F.hex(rest))).otherwise(rest.cast("string"))
