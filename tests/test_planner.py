@@ -132,3 +132,22 @@ def test_each_side_is_moved_once(spark):
     once = shuffled(spark, lambda: [df.repartition(4, by).write.format("noop").mode("overwrite").save() for df, by in ((base, "rel_path"), (local, "rel_path"), (base, "file_id"), (remote, "file_id"))])
     got = shuffled(spark, lambda: pl.planned_tree(pl.Tree(base, local, remote, "box", F.current_timestamp()))[0].write.format("noop").mode("overwrite").save())
     assert once > 1_000_000 and got < 1.8 * once
+
+
+def test_files_that_are_as_they_were_are_not_written_again(spark):
+    """Of an unchanged tree nothing but its directories is staged as known; what changed is, and is planned."""
+    import os
+    from glob import glob
+
+    files = [(f"d{i % 3}/{i}", f"i{i}", f"m{i}") for i in range(300)]
+    base = [(f"d{k}", f"D{k}", None) for k in range(3)] + files
+    local = [(p, m) for p, _, m in base if p != "d1/1"]
+    local[3] = (local[3][0], "other")
+    remote = [(p, i, m) for p, i, m in base if p != "d2/2"]
+    where = spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/trellis"
+    before = set(os.listdir(where)) if os.path.isdir(where) else set()
+    plan, _ = pl.planned_tree(tree(spark, base, local, remote))
+    known = [d for d in set(os.listdir(where)) - before if d.startswith("known-")]
+    assert len(known) == 1 and glob(f"{where}/{known[0]}/*.parquet")
+    assert sorted(r["rel_path"] for r in spark.read.parquet(f"file://{where}/{known[0]}").select("rel_path").collect()) == ["d0", "d0/0", "d1", "d1/1", "d2", "d2/2"]
+    assert sorted((r["type"], r["rel_path"]) for r in plan.collect()) == [("quarantine_local", "d2/2"), ("trash_remote", "d1/1"), ("update_remote", "d0/0")]

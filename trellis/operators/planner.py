@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellis.functions.paths import conflict_name, depth, dirname, fold_key, join_path, proper_ancestors
-from trellis.operators.reconcile import in_parts, in_ranges, move_pairs, near, sides, unknown_local, unknown_remote, within
-from trellis.sources.tables import staged
+from trellis.operators.reconcile import ALIKE, in_parts, in_ranges, move_pairs, near, sides, unknown_local, unknown_remote, within
+from trellis.sources.tables import staged, staged_alike
 
 ACTION = "type string, rel_path string, new_rel_path string, file_id string, is_dir boolean, protected_by string, pin_size long, pin_mtime long"
 SKIP = "rel_path string, reason string"
@@ -148,8 +148,12 @@ def planned_tree(tree: Tree) -> tuple[DataFrame, DataFrame]:
     stays, l_side = F.col("at").eqNullSafe(F.col("rel_path")), ["rel_path", "is_dir", "size", "mtime_ns", "md5"]
     follows = known.where(~stays).drop("in_l", *[f"l_{c}" for c in l_side])
     follows = follows.join(_named(near(local, "rel_path", follows, F.col("at")), "l", *l_side), F.col("at") == F.col("l_rel_path"), "left").drop("l_rel_path")
-    known = _flags(known.where(stays).unionByName(follows), "l").withColumn("now_at", F.coalesce("r_to_path", "expected")).withColumn("moved", F.col("in_r") & (F.col("r_to_path") != F.col("expected")))
-    known = staged(known, "known")
+    known = _flags(known.where(stays).unionByName(follows), "l").withColumn("moved", F.col("in_r") & (F.col("r_to_path") != F.col("expected")))
+    drift = (F.col("mtime_ns") != F.col("l_mtime_ns")) | (F.col("size") != F.col("l_size")) | (F.col("version") != F.col("r_version"))
+    # files that are everywhere as they were ask for nothing; they are most of a tree
+    changed = F.col("moved") | F.col("l_is_dir") | (F.col("l_md5") != F.col("md5")) | (F.col("r_md5") != F.col("drive_md5")) | drift
+    known = known.where(F.col("is_dir") | F.col("_why").isNotNull() | ~F.col("in_l") | ~F.col("in_r") | F.coalesce(changed, F.lit(True)))
+    known = staged_alike(known, "known", ALIKE | {c: "rel_path" for c in ("at", "expected", "r_to_path")}).withColumn("now_at", F.coalesce("r_to_path", "expected"))
 
     # files of the base
     rows = known.where("not is_dir and _why is null and not (in_l and l_is_dir)")
@@ -168,7 +172,6 @@ def planned_tree(tree: Tree) -> tuple[DataFrame, DataFrame]:
     def triple(spot: Column, to: Column, file_id: Column) -> Column:
         return F.array(act("conflict_backup", spot, copy(spot)), act("upload", copy(spot), protected_by=spot), act("download", to, file_id=file_id, protected_by=spot))
 
-    drift = (F.col("mtime_ns") != F.col("l_mtime_ns")) | (F.col("size") != F.col("l_size")) | (F.col("version") != F.col("r_version"))
     one = lambda *a, **k: F.array(act(*a, **k))
     decided = (
         F.when(F.col("met"), F.when(om == rm, one("record", go, file_id=fid, pin=o_pin)).otherwise(triple(go, go, fid)))
