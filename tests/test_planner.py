@@ -151,3 +151,38 @@ def test_files_that_are_as_they_were_are_not_written_again(spark):
     assert len(known) == 1 and glob(f"{where}/{known[0]}/*.parquet")
     assert sorted(r["rel_path"] for r in spark.read.parquet(f"file://{where}/{known[0]}").select("rel_path").collect()) == ["d0", "d0/0", "d1", "d1/1", "d2", "d2/2"]
     assert sorted((r["type"], r["rel_path"]) for r in plan.collect()) == [("quarantine_local", "d2/2"), ("trash_remote", "d1/1"), ("update_remote", "d0/0")]
+
+
+def test_new_directories_move_no_remote_rows(spark):
+    """Whether the remote side has a new local directory is asked for that directory alone."""
+    from tests.test_reconcile import shuffled
+
+    base = spark.range(60000).select(F.concat(F.lit("d"), F.col("id") % 7, F.lit("/"), F.md5(F.col("id").cast("string"))).alias("rel_path"), F.concat(F.lit("i"), "id").alias("file_id"), F.lit(False).alias("is_dir"), F.lit(1).cast("long").alias("size"), F.lit("").alias("md5"))
+    base = base.withColumns({"mtime_ns": F.col("size"), "drive_md5": F.col("md5"), "version": F.col("size")})
+    local, remote = base.select("rel_path", "is_dir", "size", "mtime_ns", "md5"), base.select("rel_path", "file_id", "is_dir", "size", "md5", "version", F.col("size").alias("modified_ns"))
+    local = local.union(spark.createDataFrame([(f"d{i}/new", True, 0, 1, "") for i in range(7)], LOCAL))
+    remote = remote.union(spark.createDataFrame([("d3/new", "X", False, 1, "", 1, 0)], REMOTE))
+    paths = shuffled(spark, lambda: remote.select("rel_path").repartition(4, "rel_path").write.format("noop").mode("overwrite").save())
+    plans = []
+    sides = shuffled(spark, lambda: pl.tree_sides(pl.Tree(base, local, remote, "box", F.current_timestamp())))
+    got = shuffled(spark, lambda: plans.extend(pl.planned_tree(pl.Tree(base, local, remote, "box", F.current_timestamp()))))
+    assert paths > 1_000_000 and got - sides < 1.5 * paths
+    assert sorted((r["type"], r["rel_path"]) for r in plans[0].collect()) == [("mkdir_remote", f"d{i}/new") for i in range(7) if i != 3] and [r["rel_path"] for r in plans[1].collect()] == ["d3/new"]
+
+
+def test_digests_stay_packed(spark):
+    """No step of a plan writes digests as texts, and what differs in case, or is no digest at all, differs still."""
+    import os
+
+    base = [("d", "D", None), ("d/a", "a", "ab"), ("d/b", "b", "cd"), ("d/c", "c", "not hex"), ("d/e", "e", "ef")]
+    local = [("d", None), ("d/a", "AB"), ("d/b", "cd"), ("d/c", "not hex"), ("d/moved", "ef"), ("d/n", "0a")]
+    where = spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/trellis"
+    before = set(os.listdir(where)) if os.path.isdir(where) else set()
+    plan, _ = pl.planned_tree(tree(spark, base, local, [*base, ("d/n", "n", "0A")]))
+    written = [f for d in set(os.listdir(where)) - before for f in spark.read.parquet(f"file://{where}/{d}").schema if f.name.endswith("md5")]
+    assert written and {f.dataType.simpleString() for f in written} == {"binary"}
+    assert sorted((r["type"], r["rel_path"]) for r in plan.collect()) == [("conflict_backup", "d/n"), ("download", "d/n"), ("move_remote", "d/e"), ("update_remote", "d/a"), ("upload", copy_of("d/n"))]
+
+
+def copy_of(path):
+    return f"{path} (conflict box 2026-07-08_103000)"

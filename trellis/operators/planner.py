@@ -8,13 +8,13 @@ each set that a later step must not touch again is an anti join. Tables that sev
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellis.functions.paths import conflict_name, depth, dirname, fold_key, join_path, proper_ancestors
-from trellis.operators.reconcile import ALIKE, in_parts, in_ranges, move_pairs, near, sides, unknown_local, unknown_remote, within
+from trellis.operators.reconcile import ALIKE, in_parts, in_ranges, move_pairs, near, sides, unknown_local, unknown_remote, with_packed, within
 from trellis.sources.tables import staged, staged_alike
 
 ACTION = "type string, rel_path string, new_rel_path string, file_id string, is_dir boolean, protected_by string, pin_size long, pin_mtime long"
@@ -60,6 +60,12 @@ def _flags(df: DataFrame, *prefixes: str) -> DataFrame:
     return df.withColumns({f"in_{p}": F.coalesce(f"in_{p}", F.lit(False)) for p in prefixes})
 
 
+def _at(df: DataFrame, rows: DataFrame, at: Column, name: str) -> DataFrame:
+    """rel_path of df where it is a path of rows (at), staged."""
+    asked = staged(rows.select(at.alias("rel_path")).distinct(), "asked")
+    return staged(near(df, "rel_path", rows, at).select("rel_path").join(asked, "rel_path", "left_semi"), name)
+
+
 def carried(df: DataFrame, path: str, moves: DataFrame, out: str, among: DataFrame | None = None) -> DataFrame:
     """df with out: the path after moves (from, to) of directories; of several that strictly contain it the longest applies.
 
@@ -125,7 +131,9 @@ def local_dir_moves(tree: Tree, by_remote: DataFrame, both: DataFrame | None = N
 
 def planned_tree(tree: Tree) -> tuple[DataFrame, DataFrame]:
     """The plan (stage and the columns of ACTION) and the skips (SKIP)."""
-    base, local, remote = tree.base, tree.local, tree.remote
+    # digests are compared and never told: they are moved and written packed all along
+    base, local, remote = (with_packed(df) for df in (tree.base, tree.local, tree.remote))
+    tree = replace(tree, base=base, local=local, remote=remote)
     copy = lambda p: conflict_name(p, tree.machine, tree.now)
     rd = staged(remote_dir_moves(base, remote), "remote-dir-moves")
     held = None
@@ -194,14 +202,16 @@ def planned_tree(tree: Tree) -> tuple[DataFrame, DataFrame]:
     first = staged(_rows(rows, F.concat(decided, F.when(F.col("moving"), move).otherwise(_none()))), "first")
 
     # new local rows, at the paths that they will have
-    used = rows.where("met or (moving and displaced)").select(go.alias("rel_path"))
+    # what few of the new rows ask for is looked up for these alone and staged, so that the joins with all of them know its size
+    used = staged(rows.where("met or (moving and displaced)").select(go.alias("rel_path")), "used")
     back = ld.select(F.col("to").alias("from"), F.col("from").alias("to"))
     new = carried(carried(unknown, "rel_path", every, "target"), "rel_path", back, "origin", unknown)
     new = new.join(back.withColumnsRenamed({"from": "_from", "to": "_to"}), F.col("rel_path") == F.col("_from"), "left").withColumn("origin", F.coalesce("_to", "origin")).drop("_from", "_to")
-    explained = _named(near(base, "rel_path", new.where("origin <> rel_path"), F.col("origin")), "e", "rel_path")
-    new = new.join(explained, (F.col("origin") != F.col("rel_path")) & (F.col("origin") == F.col("e_rel_path")), "left_anti").join(used, "rel_path", "left_anti")
+    explained = _at(base, new.where("origin <> rel_path"), F.col("origin"), "explained")
+    new = new.join(_named(explained, "e", "rel_path"), (F.col("origin") != F.col("rel_path")) & (F.col("origin") == F.col("e_rel_path")), "left_anti").drop("origin").join(used, "rel_path", "left_anti")
+    taken = _at(remote, new.where("is_dir"), F.col("target"), "taken")
+    new = new.join(_named(taken, "x", "rel_path"), F.col("is_dir") & (F.col("target") == F.col("x_rel_path")), "left")
     new = new.join(_named(fresh, "n", "rel_path", "file_id", "is_dir", "md5", "modified_ns"), F.col("target") == F.col("n_rel_path"), "left")
-    new = new.join(_named(remote, "x", "rel_path"), F.col("is_dir") & (F.col("target") == F.col("x_rel_path")), "left")
     fold = lambda c: F.array_join(F.transform(F.split(c, "/"), lambda s: fold_key(s, tree.case_fold, False)), "/") if not tree.norm_fold else fold_key(c, tree.case_fold, True)
     met_by_name = fresh.where("not is_dir").withColumn("_fold", fold(F.col("rel_path")))
     new = _flags(new, "n", "x").withColumn("_key", F.when(~F.col("in_n") & ~F.col("is_dir") & F.lit(tree.case_fold or tree.norm_fold), fold(F.col("target"))))

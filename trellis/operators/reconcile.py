@@ -17,6 +17,8 @@ from trellis.sources.tables import packed, staged, staged_alike, unpacked
 
 #: Where each type of action runs. Of the moves the backups come first; deletes go from the deepest path up.
 STAGES = {"conflict_backup": 5, "move_local": 5, "move_remote": 5, "upload": 6, "update_remote": 6, "download": 6, "record": 6, "trash_remote": 7, "quarantine_local": 7, "forget": 7}
+#: Columns of base, local and remote that hold digests.
+DIGESTS = ("md5", "drive_md5")
 #: Columns of sides that mostly are what another one is.
 ALIKE = {"drive_md5": "md5", "l_md5": "md5", "r_md5": "md5", "r_rel_path": "rel_path"}
 
@@ -40,14 +42,21 @@ def new_rows(base: DataFrame, local: DataFrame, remote: DataFrame) -> tuple[Data
     return local.join(base.select("rel_path"), "rel_path", "left_anti"), remote.join(base.select("file_id"), "file_id", "left_anti")
 
 
+def with_packed(df: DataFrame) -> DataFrame:
+    """df with its digests packed; those that are bytes already stay as they are. Equal ones stay equal, others unequal."""
+    texts = [c for c, kind in df.dtypes if c in DIGESTS and kind == "string"]
+    return df.withColumns({c: packed(F.col(c)) for c in texts}) if texts else df
+
+
 def sides(base: DataFrame, local: DataFrame, remote: DataFrame, notes: DataFrame | None = None) -> DataFrame:
     """Base rows with the local row at their path (l_) and the remote row of their id (r_), and the rows that the base doesn't know.
 
     in_b, in_l and in_r tell where a row is. rel_path is that of the base or else the local one, file_id that of the base or
-    else the remote one. notes are more columns by file_id. Each side is moved once, with its digests (md5, drive_md5) packed, and
-    what is staged serves all later steps.
+    else the remote one. notes are more columns by file_id. Each side is moved once, with its digests packed, and
+    what is staged serves all later steps. Digests that were packed before stay so, texts become texts again.
     """
-    base, local, remote = (df.withColumns({c: packed(F.col(c)) for c in df.columns if c in ("md5", "drive_md5")}) for df in (base, local, remote))
+    texts = dict(base.dtypes)["md5"] == "string"
+    base, local, remote = (with_packed(df) for df in (base, local, remote))
     here = local.select(F.col("rel_path").alias("_path"), *[F.col(c).alias(f"l_{c}") for c in local.columns if c != "rel_path"], F.lit(True).alias("in_l"))
     rows = base.withColumn("in_b", F.lit(True)).join(here, F.col("rel_path") == F.col("_path"), "full_outer")
     # rows without an id meet nothing; a number from their path spreads them over all tasks
@@ -60,7 +69,8 @@ def sides(base: DataFrame, local: DataFrame, remote: DataFrame, notes: DataFrame
         rows = rows.join(by_id(marked, "").drop("rel_path"), on, "left").drop("_id", "_none")
     rows = rows.join(by_id(remote, "r_").withColumn("in_r", F.lit(True)), on, "full_outer").withColumn("file_id", F.coalesce("file_id", "_id")).drop("_id", "_none", "_salt")
     rows = rows.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("in_b", "in_l", "in_r")})
-    rows = rows.withColumns({c: unpacked(F.col(c)) for c in ("md5", "drive_md5", "l_md5", "r_md5")})
+    if texts:
+        rows = rows.withColumns({c: unpacked(F.col(c)) for c in ("md5", "drive_md5", "l_md5", "r_md5")})
     return staged_alike(rows, "sides", ALIKE)
 
 
