@@ -117,3 +117,39 @@ def test_an_upload_finds_its_file_where_the_directory_went(spark, tmp_path):
         run.begin(rest)
         run.all()
     assert rest.isEmpty() and {r["rel_path"] for r in run.sides().remote.where("md5 = 'new'").collect()} == {"r/x.txt"}
+
+
+def test_a_stage_writes_what_its_actions_change(spark, tmp_path, sides, plan):
+    run, _ = started(spark, tmp_path, sides, plan)
+    run.all()
+    acts, dirs = plan.count(), [r[0] for r in plan.where("is_dir and type in ('move_local', 'move_remote')").select("rel_path").collect()]
+    assert dirs
+    for name, side in vars(sides).items():
+        written = sum(spark.read.parquet(str(p)).count() for p in (tmp_path / "store" / "data").iterdir() if p.name.startswith(f"{name}-"))
+        beneath = sum(side.where(F.startswith("rel_path", F.lit(d)) & (F.col("rel_path").isin(d) | F.startswith("rel_path", F.lit(f"{d}/")))).count() for d in dirs)
+        assert written <= side.count() + acts + beneath
+    # one copy as it was planned, one as it ran, and a row for each stage that was marked
+    journal = sum(spark.read.parquet(str(p)).count() for p in (tmp_path / "store" / "data").iterdir() if p.name.startswith("journal-"))
+    assert journal <= 2 * acts + len(commit.STAGES)
+
+
+def test_inner_directories_move_at_the_paths_that_outer_ones_leave(spark, tmp_path):
+    rows = [("a", "A", True), ("a/c", "C", True), ("a/c/x", "X", False), ("a/y", "Y", False), ("ab", "B", False)]
+    of = lambda names, *more: spark.createDataFrame([r + more for r in rows], "rel_path string, file_id string, is_dir boolean, size long, mtime_ns long, version long, modified_ns long, md5 string, drive_md5 string").select(*names)
+    store = Store(spark, f"file://{tmp_path}/store")
+    store.commit({n: of(names, 1, 1, 1, 1, "m", "m") for n, names in (("base", commit.BASE), ("local", commit.LOCAL), ("remote", commit.REMOTE))})
+    acts = spark.createDataFrame([("b/c", "b/d"), ("a", "b")], "rel_path string, new_rel_path string")
+    after = commit._dir_moves(store, acts, "local")
+    store.commit(after)
+    for name in ("local", "base"):
+        assert {r[0] for r in store.table(name).select("rel_path").collect()} == {"b", "b/d", "b/d/x", "b/y", "ab"}
+    assert {r["rel_path"] for r in after["local"][0].rows.collect()} == {"b", "b/d", "b/d/x", "b/y"}
+
+
+def test_sides_for_a_planner_have_no_changes_beside_them(spark, tmp_path, sides, plan):
+    run, _ = started(spark, tmp_path, sides, plan)
+    run.all()
+    held = {n: sorted(map(str, run.store.table(n).collect())) for n in vars(sides)}
+    assert any(run.store.changes(n) for n in held)
+    after = vars(run.sides())
+    assert not any(run.store.changes(n) for n in held) and held == {n: sorted(map(str, df.collect())) for n, df in after.items()}

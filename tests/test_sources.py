@@ -113,3 +113,27 @@ def test_a_lookup_opens_the_files_of_its_keys(spark, tmp_path):
     assert t.lookup(keys.limit(0)).count() == 0
     empty = clustered(rows.limit(0), "key", 4, f"file://{tmp_path}/e")
     assert empty.lookup(keys).count() == 0
+
+
+def test_changes_lie_beside_a_table_until_it_is_written_anew(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    rows = lambda *of: spark.createDataFrame(list(of), "id string, path string, n long")
+    held = lambda **k: {tuple(r) for r in store.table("t", **k).collect()}
+    store.commit({"t": rows(("a", "p", 1), ("b", "q", 1), ("c", "r", 1), (None, "s", 1))})
+    # what is at a path goes too, rows without an id meet nothing, and rows of one change leave each other alone
+    first = store.change("t", rows(("a", "q", 2), ("d", "q", 2), (None, "t", 2)), "id", "path")
+    assert len(held()) == 4
+    store.commit({"t": [first]})
+    assert held() == {("a", "q", 2), ("d", "q", 2), (None, "t", 2), ("c", "r", 1), (None, "s", 1)}
+    gone = store.change("t", spark.createDataFrame([("c", "q")], "id string, was string"), ("path", "was"), "id", gives=False)
+    again = store.change("t", rows(("c", "q", 3)))
+    store.commit({"t": [gone, again]})
+    assert held() == {("c", "q", 3), (None, "t", 2), (None, "s", 1)} and store.table("t").columns == ["id", "path", "n"]
+    assert held(among=spark.createDataFrame([("q",), ("r",), ("p",)], "path string")) == {("c", "q", 3)}
+    assert held(shape=lambda df: df.select("path", "id")) == {("q", "c"), ("t", None), ("s", None)}
+    store.vacuum()
+    assert len(held()) == 3 and store.changes("t") == 3
+    store.commit({"t": store.table("t")})
+    assert len(held()) == 3 and store.changes("t") == 0
+    with pytest.raises(ValueError):
+        store.commit({"other": [first]})

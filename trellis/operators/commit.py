@@ -2,26 +2,30 @@
 
 The sides are tables here as they are everywhere in this library: local, remote and base as in `planner`. A stage is one set
 of joins, but for moves of directories, which run depth by depth, as inner ones are told at the paths that outer ones leave.
+It writes the rows that its actions change, beside the tables, and no others.
 An action whose protector failed is refused, and so are those that it protects.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellis.functions.paths import depth
 from trellis.operators.planner import carried
-from trellis.operators.state import made_but_unrecorded, refused, upserted
-from trellis.sources.store import Store
-from trellis.sources.tables import staged
+from trellis.operators.reconcile import DIGESTS, with_packed
+from trellis.operators.state import latest, made_but_unrecorded, refused, upserted
+from trellis.sources.store import Change, Store
+from trellis.sources.tables import staged, unpacked
 
 STAGES = range(1, 8)
 BASE = ["rel_path", "file_id", "is_dir", "size", "md5", "mtime_ns", "drive_md5", "version"]
 LOCAL = ["rel_path", "is_dir", "size", "mtime_ns", "md5"]
 REMOTE = ["rel_path", "file_id", "is_dir", "size", "md5", "version", "modified_ns"]
+#: What a commit changes, by the names of the tables.
+Changes = dict[str, list[Change]]
 
 
 @dataclass(frozen=True)
@@ -38,17 +42,19 @@ def renamed(df: DataFrame, moves: DataFrame) -> DataFrame:
     return rows.withColumn("rel_path", F.coalesce("_to", "_now")).select(*df.columns)
 
 
-def put(df: DataFrame, rows: DataFrame) -> DataFrame:
-    """df with rows in the places of those that had their paths."""
-    return df.join(rows.select("rel_path"), "rel_path", "left_anti").select(*df.columns).union(rows.select(*df.columns))
+def _followed_dirs(rows: DataFrame, moves: DataFrame) -> DataFrame:
+    """rows beneath moves of directories (from, to), the outermost first, at their new paths; _was is where they were."""
+    moves, rows = staged(moves, "moves"), rows.withColumn("_was", F.col("rel_path"))
+    for d in sorted(r[0] for r in moves.select(depth(F.col("from"))).distinct().collect()):
+        rows = renamed(rows, moves.where(depth(F.col("from")) == d))
+    return rows.where("rel_path <> _was")
 
 
-def _dir_moves(sides: Sides, moves: DataFrame, side: str) -> Sides:
-    """Moves of directories on one side, the outermost first; the base goes along."""
-    for d in sorted(r[0] for r in moves.select(depth(F.col("rel_path"))).distinct().collect()):
-        level = moves.where(depth(F.col("rel_path")) == d).select(F.col("rel_path").alias("from"), F.col("new_rel_path").alias("to"))
-        sides = replace(sides, **{side: staged(renamed(getattr(sides, side), level), side), "base": staged(renamed(sides.base, level), "base")})
-    return sides
+def _dir_moves(store: Store, acts: DataFrame, side: str) -> Changes:
+    """Moves of directories on one side; the base goes along."""
+    moves = acts.select(F.col("rel_path").alias("from"), F.col("new_rel_path").alias("to"))
+    key = lambda name: ("rel_path", "_was") if name == "local" else "file_id"
+    return {name: [store.change(name, _followed_dirs(store.table(name), moves), key(name))] for name in (side, "base")}
 
 
 def sourced(plan: DataFrame) -> DataFrame:
@@ -62,75 +68,102 @@ def sourced(plan: DataFrame) -> DataFrame:
     return out
 
 
-def _directories(sides: Sides, acts: DataFrame) -> Sides:
+def _directories(store: Store, acts: DataFrame) -> Changes:
     dirs = acts.select("rel_path", F.when(F.col("type") == "mkdir_remote", F.concat(F.lit("mk:"), "rel_path")).otherwise(F.col("file_id")).alias("file_id"), "type")
     none, text = F.lit(0).cast("long"), F.lit("")
-    base = dirs.select("rel_path", "file_id", F.lit(True).alias("is_dir"), none.alias("size"), text.alias("md5"), none.alias("mtime_ns"), text.alias("drive_md5"), F.lit(1).cast("long").alias("version"))
-    made = base.select("rel_path", "is_dir", "size", "mtime_ns", "md5")
-    local = put(sides.local, made.join(dirs.where("type = 'mkdir_local'").select("rel_path"), "rel_path", "left_semi"))
-    there = base.join(dirs.where("type = 'mkdir_remote'").select("file_id"), "file_id", "left_semi").withColumn("modified_ns", none)
-    return Sides(upserted(sides.base, base), local, put(sides.remote, there))
+    rows = dirs.select("rel_path", "file_id", F.lit(True).alias("is_dir"), none.alias("size"), text.alias("md5"), none.alias("mtime_ns"), text.alias("drive_md5"), F.lit(1).cast("long").alias("version"), none.alias("modified_ns"), "type")
+    rows = staged(rows, "made")
+    made = {"base": store.change("base", latest(rows.select(*BASE)), "file_id", "rel_path")}
+    for name, kind, columns in (("local", "mkdir_local", LOCAL), ("remote", "mkdir_remote", REMOTE)):
+        made[name] = store.change(name, rows.where(F.col("type") == kind).select(*columns), "rel_path")
+    return {name: [change] for name, change in made.items()}
+
+
+def _light(df: DataFrame) -> DataFrame:
+    """df as it is moved: digests packed, drive_md5 null where it is md5, as _same tells."""
+    df = with_packed(df)
+    if "drive_md5" not in df.columns:
+        return df
+    same = F.col("md5").eqNullSafe(F.col("drive_md5"))
+    return df.withColumns({"_same": same, "drive_md5": F.when(~same, F.col("drive_md5"))})
+
 
+def _plain(df: DataFrame, names: list[str]) -> DataFrame:
+    """The named columns of what was made light."""
+    if "_same" in df.columns:
+        df = df.withColumn("drive_md5", F.when(F.col("_same"), F.col("md5")).otherwise(F.col("drive_md5")))
+    return df.select(*[unpacked(F.col(c)).alias(c) if c in DIGESTS else c for c in names])
 
-def _moves(sides: Sides, acts: DataFrame) -> Sides:
+
+def _moves(store: Store, acts: DataFrame) -> Changes:
     """Moves of files and backups, all at once; what lies where one goes is replaced, unless it goes away itself."""
+    acts = staged(acts.select("type", "file_id", "rel_path", "new_rel_path"), "acts")
     here = acts.where(F.col("type").isin("move_local", "conflict_backup")).select("rel_path", F.col("new_rel_path").alias("_to"))
-    gone = sides.local.join(here, "rel_path").withColumn("rel_path", F.col("_to")).select(*LOCAL)
-    local = put(sides.local.join(here.select("rel_path"), "rel_path", "left_anti").select(*LOCAL), gone)
     there = acts.where("type = 'move_remote'").select("file_id", F.col("new_rel_path").alias("_to"))
-    at = lambda df, to: df.join(to, "file_id", "left").withColumn("rel_path", F.coalesce("_to", "rel_path")).select(*df.columns)
+    asked = here.select("rel_path").union(there.select("_to")).distinct()
+    found = staged(store.table("local", _light).join(asked, "rel_path", "left_semi"), "found")
+    gone = found.join(here, "rel_path").withColumns({"_was": F.col("rel_path"), "rel_path": F.col("_to")})
+    gone = store.change("local", _plain(gone, [*LOCAL, "_was"]), ("rel_path", "_was"), "rel_path")
+    kept = found.join(here, "rel_path", "left_anti").join(gone.rows, "rel_path", "left_anti")
+    local = kept.select("rel_path", "size", "mtime_ns").union(gone.rows.select("rel_path", "size", "mtime_ns"))
+    went = store.table("remote", _light).join(there, "file_id").withColumn("rel_path", F.col("_to"))
+    went = store.change("remote", _plain(went, REMOTE), "file_id")
     followed = acts.where(F.col("type").isin("move_local", "move_remote") & F.col("file_id").isNotNull()).select("file_id", F.col("new_rel_path").alias("_to"))
-    took = sides.base.join(followed, "file_id").withColumn("rel_path", F.col("_to"))
+    took = store.table("base", _light, followed.select("file_id")).join(followed, "file_id").withColumn("rel_path", F.col("_to"))
     # what moved on the remote side is noted as it is on both sides now
     fresh = there.join(local.select(F.col("rel_path").alias("_to"), F.col("size").alias("_size"), F.col("mtime_ns").alias("_mtime")), "_to", "left").drop("_to")
-    took = took.join(fresh, "file_id", "left").join(sides.remote.join(there, "file_id", "left_semi").select("file_id", F.col("version").alias("_version")), "file_id", "left")
+    took = took.join(fresh, "file_id", "left").join(went.rows.select("file_id", F.col("version").alias("_version")), "file_id", "left")
     noted = {"size": F.coalesce("_size", "size"), "mtime_ns": F.coalesce("_mtime", "mtime_ns"), "version": F.coalesce("_version", "version")}
-    return Sides(upserted(sides.base, took.withColumns(noted).select(*BASE)), local, at(sides.remote, there))
-
-
-def _transfers(sides: Sides, acts: DataFrame) -> Sides:
-    local, remote = sides.local, sides.remote
-    l = local.select("rel_path", F.col("size").alias("l_size"), F.col("mtime_ns").alias("l_mtime"), F.col("md5").alias("l_md5"))  # noqa: E741
-    r = remote.select("file_id", F.col("size").alias("r_size"), F.col("md5").alias("r_md5"), F.col("version").alias("r_version"), F.col("modified_ns").alias("r_modified"))
-    of = lambda *types: acts.where(F.col("type").isin(*types)).select("rel_path", "file_id", "is_dir", "source")
-
-    def lying(rows: DataFrame) -> DataFrame:
-        # a plan may tell a file at the path that it had before its directory moved here
-        left = rows.join(l, "rel_path", "left_anti").where("source <> rel_path")
-        return rows.join(l, "rel_path").unionByName(left.join(l.withColumnRenamed("rel_path", "source"), "source"))
-
-    def row(size: Column | str, md5: Column | str, mtime: Column | str, theirs: Column | str, version: Column | str) -> list[Column]:
-        c = lambda x, n: (F.col(x) if isinstance(x, str) else x).alias(n)
-        return ["rel_path", "file_id", "is_dir", c(size, "size"), c(md5, "md5"), c(mtime, "mtime_ns"), c(theirs, "drive_md5"), c(version, "version")]
-
-    sent = lying(of("upload")).withColumn("file_id", F.concat(F.lit("up:"), "rel_path")).select(*row("l_size", "l_md5", "l_mtime", "l_md5", F.lit(1).cast("long")))
-    changed = lying(of("update_remote")).join(r, "file_id").select(*row("l_size", "l_md5", "l_mtime", "l_md5", F.col("r_version") + 1))
-    got = of("download").join(r, "file_id").select(*row("r_size", "r_md5", "r_modified", "r_md5", "r_version"))
-    noted = lying(of("record")).join(r, "file_id").select(*row("l_size", "l_md5", "l_mtime", "r_md5", "r_version"))
-    got, up = staged(got, "got"), staged(sent.union(changed), "up")
-    there = up.select(*BASE).withColumn("modified_ns", F.col("mtime_ns")).select(*REMOTE)
-    remote = remote.join(there.select("file_id"), "file_id", "left_anti").select(*REMOTE).union(there)
-    return Sides(upserted(sides.base, up.union(got).union(noted).select(*BASE)), put(local, got.select(*LOCAL)), remote)
-
-
-def _removals(sides: Sides, acts: DataFrame) -> Sides:
+    took = latest(took.withColumns(noted).select(*BASE, "_same"))
+    return {"local": [gone], "remote": [went], "base": [store.change("base", _plain(took, BASE), "file_id", "rel_path")]}
+
+
+def _transfers(store: Store, acts: DataFrame) -> Changes:
+    names = {"size": "size", "mtime_ns": "mtime", "md5": "md5"}
+    here = lambda df: _light(df).select("rel_path", *[F.col(c).alias(f"l_{n}") for c, n in names.items()], F.lit(True).alias("_found"))
+    there = lambda df: _light(df).select("file_id", "rel_path", *[F.col(c).alias(f"r_{n}") for c, n in {"size": "size", "md5": "md5", "version": "version", "modified_ns": "modified"}.items()])
+    acts = acts.select("type", "rel_path", "file_id", "is_dir", "source")
+    sent = acts.where(F.col("type").isin("upload", "update_remote", "record"))
+    sent = staged(sent.join(store.table("local", here), "rel_path", "left"), "sent")
+    # a plan may tell a file at the path that it had before its directory moved here
+    left = staged(sent.where("_found is null and source <> rel_path").select(*acts.columns), "left")
+    late = store.table("local", here, left.select(F.col("source").alias("rel_path"))).withColumnRenamed("rel_path", "source")
+    lying = sent.where("_found").unionByName(left.join(late, "source"))
+    got = acts.where("type = 'download'").withColumns({"l_size": F.lit(None).cast("long"), "l_mtime": F.lit(None).cast("long"), "l_md5": F.lit(None).cast("binary"), "_found": F.lit(None).cast("boolean")})
+    known = lying.where("type <> 'upload'").unionByName(got).join(store.table("remote", there).drop("rel_path"), "file_id")
+    up = lying.where("type = 'upload'").withColumn("file_id", F.concat(F.lit("up:"), "rel_path"))
+    rows = known.unionByName(up, allowMissingColumns=True)
+    down, note = F.col("type") == "download", F.col("type") == "record"
+    version = F.when(F.col("type") == "upload", F.lit(1).cast("long")).when(F.col("type") == "update_remote", F.col("r_version") + 1).otherwise(F.col("r_version"))
+    side = lambda n: F.when(down, F.col(f"r_{n}")).otherwise(F.col(f"l_{n}"))
+    mtime = F.when(down, F.col("r_modified")).otherwise(F.col("l_mtime"))
+    rows = rows.select("type", "rel_path", "file_id", "is_dir", side("size").alias("size"), side("md5").alias("md5"), mtime.alias("mtime_ns"), F.when(down | note, F.col("r_md5")).otherwise(F.col("l_md5")).alias("drive_md5"), version.alias("version"))
+    rows = staged(_light(rows), "transfers")
+    base = store.change("base", _plain(latest(rows.drop("type")), BASE), "file_id", "rel_path")
+    went = rows.where(F.col("type").isin("upload", "update_remote")).withColumn("modified_ns", F.col("mtime_ns"))
+    return {
+        "base": [base],
+        "local": [store.change("local", _plain(rows.where("type = 'download'"), LOCAL), "rel_path")],
+        "remote": [store.change("remote", _plain(went, REMOTE), "file_id")],
+    }
+
+
+def _removals(store: Store, acts: DataFrame) -> Changes:
     ids = lambda *types: acts.where(F.col("type").isin(*types)).select("file_id")
-    without = lambda df, keys, key: df.join(keys, key, "left_anti").select(*df.columns)
     # a deleted row's path is that of its id in the base, which went along with its directory in the stages before
-    aside = acts.where("type = 'quarantine_local'").select("file_id", F.col("rel_path").alias("_told"))
-    aside = aside.join(sides.base.select("file_id", "rel_path"), "file_id", "left").select(F.coalesce("rel_path", "_told").alias("rel_path"))
-    local = without(sides.local, aside, "rel_path")
-    return Sides(without(sides.base, ids("quarantine_local", "trash_remote", "forget"), "file_id"), local, without(sides.remote, ids("trash_remote"), "file_id"))
+    aside = staged(acts.where("type = 'quarantine_local'").select("file_id", F.col("rel_path").alias("_told")), "aside")
+    paths = store.table("base", lambda df: df.select("file_id", "rel_path"), aside.select("file_id"))
+    aside = aside.join(paths, "file_id", "left").select(F.coalesce("rel_path", "_told").alias("rel_path"))
+    gone = lambda name, rows, key: [store.change(name, rows, key, gives=False)]
+    return {"base": gone("base", ids("quarantine_local", "trash_remote", "forget"), "file_id"), "local": gone("local", aside, "rel_path"), "remote": gone("remote", ids("trash_remote"), "file_id")}
 
 
-def ran(sides: Sides, plan: DataFrame, stage: int) -> Sides:
-    """The sides and the base after one stage of a plan whose every action there goes well."""
+def ran(store: Store, plan: DataFrame, stage: int) -> Changes:
+    """What one stage of a plan whose every action there goes well changes of the sides and of the base in the store, written there."""
     acts = (sourced(plan) if stage == 6 else plan).where(F.col("stage") == stage)
     if stage in (1, 3):
-        return _dir_moves(sides, acts, "local" if stage == 1 else "remote")
-    of = {2: _directories, 4: _directories, 5: _moves, 6: _transfers, 7: _removals}[stage]
-    after = of(sides, acts)
-    return Sides(*(staged(df.select(*names), "side") for df, names in ((after.base, BASE), (after.local, LOCAL), (after.remote, REMOTE))))
+        return _dir_moves(store, acts, "local" if stage == 1 else "remote")
+    return {2: _directories, 4: _directories, 5: _moves, 6: _transfers, 7: _removals}[stage](store, acts)
 
 
 def failing(plan: DataFrame, failed: DataFrame | None) -> DataFrame:
@@ -191,6 +224,9 @@ class Run:
         self.store = store
 
     def sides(self) -> Sides:
+        """The three tables for a planner, which reads them many times: those with changes beside them are written anew first."""
+        if changed := [n for n in ("base", "local", "remote") if self.store.changes(n)]:
+            self.store.commit({n: self.store.table(n) for n in changed})
         return Sides(*(self.store.table(n) for n in ("base", "local", "remote")))
 
     def begin(self, plan: DataFrame, failed: DataFrame | None = None) -> DataFrame:
@@ -200,21 +236,19 @@ class Run:
         self.store.commit({"journal": runs.select(F.col("ord").alias("op_id"), *[c for c in runs.columns if c != "ord"], F.lit("planned").alias("state"))})
         return out
 
-    def _states(self, stage: int, state: str) -> DataFrame:
-        return self.store.table("journal").withColumn("state", F.when(F.col("stage") == stage, state).otherwise(F.col("state")))
-
     def stage(self, stage: int) -> None:
         plan = self.store.table("journal").where(F.col("stage") == stage)
         if plan.isEmpty():
             return
-        self.store.commit({"journal": self._states(stage, "in_progress")})
-        after = ran(self.sides(), plan.withColumn("ord", F.col("op_id")), stage)
+        own = self.store.change("journal", self.store.spark.range(1).select(F.lit(stage).alias("stage")), "stage", gives=False)
+        self.store.commit({"journal": [own, self.store.change("journal", plan.withColumn("state", F.lit("in_progress")))]})
+        after = ran(self.store, plan.withColumn("ord", F.col("op_id")), stage)
         self.touch(after)
-        self.store.commit({"base": after.base, "journal": self.store.table("journal").where(F.col("stage") != stage)})
+        self.store.commit({"base": after["base"], "journal": [own]})
 
-    def touch(self, after: Sides) -> None:
+    def touch(self, after: Changes) -> None:
         """The change of the two sides, which no commit of the base can be one with."""
-        self.store.commit({"local": after.local, "remote": after.remote})
+        self.store.commit({side: after[side] for side in ("local", "remote") if side in after})
 
     def all(self) -> None:
         for stage in STAGES:

@@ -64,9 +64,14 @@ def uncovered(base: DataFrame, nodes: DataFrame) -> DataFrame:
     return base.join(nodes.select("file_id"), "file_id", "left_anti").select("rel_path", "file_id")
 
 
+def latest(rows: DataFrame) -> DataFrame:
+    """Of rows with one id the one with the last path."""
+    return rows.groupBy(F.col("file_id").alias("_id")).agg(F.max_by(F.struct(*rows.columns), "rel_path").alias("r")).select("r.*")
+
+
 def upserted(base: DataFrame, rows: DataFrame) -> DataFrame:
     """base with rows in it; rows of the base that share an id or a path with one of them go. Of rows with one id the last path stays."""
-    last = rows.groupBy(F.col("file_id").alias("_id")).agg(F.max_by(F.struct(*base.columns), "rel_path").alias("r")).select("r.*")
+    last = latest(rows.select(*base.columns))
     stay = base.join(last.select("file_id"), "file_id", "left_anti").join(last.select("rel_path"), "rel_path", "left_anti")
     return stay.select(*base.columns).union(last.select(*base.columns))
 

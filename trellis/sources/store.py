@@ -1,7 +1,8 @@
 """Tables that are committed together: data first, then one manifest, whose name is the commit.
 
-A table is rewritten whole by a commit, or it is keyed: its rows lie in buckets by a hash of their key, a merge writes only
-what a batch changes, beside what is there, and a compaction rewrites the buckets that have gathered many such parts.
+A table is rewritten whole by a commit or changed by it: what goes and what comes lies beside the table, and reading joins
+them. Or it is keyed: its rows lie in buckets by a hash of their key, a merge writes only what a batch changes, beside what is
+there, and a compaction rewrites the buckets that have gathered many such parts.
 """
 
 from __future__ import annotations
@@ -10,12 +11,15 @@ import json
 import os
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
+from trellis.sources.tables import union_of
+
 Migration = Callable[["Store"], tuple[dict[str, DataFrame], dict[str, str]]]
 VERSION = "schema_version"
 #: Columns that the parts of a keyed table have beside its own: where a change stands in its feed, and whether it takes the row away.
@@ -23,6 +27,19 @@ SEQ, GONE, BUCKET = "_seq", "_gone", "_bucket"
 CHANGE = [StructField(SEQ, LongType()), StructField(GONE, BooleanType())]
 
 
+@dataclass(frozen=True)
+class Change:
+    """Rows of a store's data folder as a change of a table: what they name goes, then they come in, unless they only name.
+
+    takes has pairs of a column of the table and a column of these rows: rows of the table go that have one of its values there.
+    """
+
+    path: str
+    rows: DataFrame
+    takes: tuple[tuple[str, str], ...]
+    gives: bool = True
+
+
 class Store:
     """Named tables and texts in a folder that all executors share.
 
@@ -44,19 +61,51 @@ class Store:
 
     def _read(self) -> tuple[int, dict]:
         if not (done := self._numbers()):
-            return 0, {"tables": {}, "keyed": {}, "meta": {}}
+            return 0, {"tables": {}, "keyed": {}, "changes": {}, "meta": {}}
         stream = self._fs.open(self._path(f"{self.folder}/manifests/{done[-1]}"))
         try:
-            return done[-1], {"keyed": {}} | json.loads(bytes(stream.readAllBytes()).decode())
+            return done[-1], {"keyed": {}, "changes": {}} | json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
-    def table(self, name: str) -> DataFrame:
-        now = self._read()[1]
+    def table(self, name: str, shape: Callable[[DataFrame], DataFrame] | None = None, among: DataFrame | None = None) -> DataFrame:
+        """The table, each part of it as shape makes it, and of its rows those that have a value of among, a table of one of its columns.
+
+        Both come before parts meet the changes behind them, so that these joins move no more than is asked for. shape must
+        leave the columns by which changes take rows.
+        """
+        now, shape = self._read()[1], shape or (lambda df: df)
+        cut = lambda df: df if among is None else df.join(among, among.columns[0], "left_semi").select(*df.columns)
         if name in now["keyed"]:
-            return self._merged(now["keyed"][name])
+            return cut(shape(self._merged(now["keyed"][name])))
         path, schema = now["tables"][name]
-        return self.spark.read.schema(StructType.fromJson(schema)).parquet(f"{self.folder}/{path}")
+        schema = StructType.fromJson(schema)
+        first, changes = shape(self._at(path, schema)), now["changes"].get(name, [])
+        if not changes:
+            return cut(first)
+        parts = [first, *[shape(self._at(c["path"], schema)) if c["gives"] else None for c in changes]]
+        rows = cut(union_of([df.withColumn("_part", F.lit(n)) for n, df in enumerate(parts) if df is not None]))
+        taken: dict[str, list[DataFrame]] = {}
+        for n, c in enumerate(changes, 1):
+            for column, of in c["takes"]:
+                keys = self._at(c["path"], StructType([StructField(of, schema[column].dataType)]))
+                taken.setdefault(column, []).append(keys.select(F.col(of).alias("_key"), F.lit(n).alias("_by")))
+        for column, keys in taken.items():
+            rows = rows.join(union_of(keys), (F.col(column) == F.col("_key")) & (F.col("_part") < F.col("_by")), "left_anti")
+        return rows.select(*first.columns)
+
+    def _at(self, path: str, schema: StructType) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{path}")
+
+    def changes(self, name: str) -> int:
+        """How many changes lie beside the table."""
+        return len(self._read()[1]["changes"].get(name, []))
+
+    def change(self, name: str, rows: DataFrame, *takes: tuple[str, str] | str, gives: bool = True) -> Change:
+        """Writes rows for a commit that changes the table by them; a column alone takes what has the same value there."""
+        path = self._new(name)
+        rows.write.option("compression", "zstd").parquet(f"{self.folder}/{path}")
+        return Change(path, self._at(path, rows.schema), tuple((t, t) if isinstance(t, str) else t for t in takes), gives)
 
     def tables(self) -> list[str]:
         now = self._read()[1]
@@ -65,14 +114,20 @@ class Store:
     def meta(self, key: str) -> str | None:
         return self._read()[1]["meta"].get(key)
 
-    def commit(self, tables: dict[str, DataFrame], meta: dict[str, str] | None = None) -> int:
-        """All of the tables and texts, or none of them; others stay as they are. The number of the commit."""
+    def commit(self, tables: dict[str, DataFrame | list[Change]], meta: dict[str, str] | None = None) -> int:
+        """All of the tables, changes of tables and texts, or none of them; others stay as they are. The number of the commit."""
         number, now = self._read()
         for name, df in tables.items():
+            if isinstance(df, list):
+                if name not in now["tables"]:
+                    raise ValueError(f"{name} is no table that changes can lie beside")
+                now["changes"].setdefault(name, []).extend({"path": c.path, "takes": c.takes, "gives": c.gives} for c in df)
+                continue
             path = self._new(name)
-            df.write.parquet(f"{self.folder}/{path}")
+            df.write.option("compression", "zstd").parquet(f"{self.folder}/{path}")
             now["tables"][name] = [path, df.schema.jsonValue()]
             now["keyed"].pop(name, None)
+            now["changes"].pop(name, None)
         return self._name(number, now, meta)
 
     def _new(self, name: str) -> str:
@@ -109,6 +164,7 @@ class Store:
         path = self._new(name)
         held = self._deal(rows, key, buckets, path)
         now["tables"].pop(name, None)
+        now["changes"].pop(name, None)
         now["keyed"][name] = {"key": key, "buckets": buckets, "schema": rows.schema.jsonValue(), "base": dict.fromkeys(held, path), "parts": {}}
         return self._name(number, now, meta)
 
@@ -184,6 +240,7 @@ class Store:
         """Removes data and manifests that the newest commit doesn't need; only for times without readers and writers."""
         number, now = self._read()
         keep, gone = {path.split("/")[1] for path, _ in now["tables"].values()}, 0
+        keep |= {c["path"].split("/")[1] for changes in now["changes"].values() for c in changes}
         held: dict[str, set[str]] = {}
         for t in now["keyed"].values():
             for b, path in [*t["base"].items(), *((b, p) for b, of in t["parts"].items() for p in of)]:

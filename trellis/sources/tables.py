@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -42,6 +43,10 @@ def staged_alike(df: DataFrame, name: str, like: dict[str, str]) -> DataFrame:
     return back.select(*[F.when(F.col(f"_{c}_same"), F.col(like[c])).otherwise(F.col(c)).alias(c) if c in like else c for c in df.columns])
 
 
+def union_of(parts: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def packed(text: Column) -> Column:
     """The text as bytes behind a mark, a digest in lower-case hex as those that it stands for, which are half as many."""
     is_hex = F.coalesce(F.lower(F.hex(F.unhex(text))) == text, F.lit(False))
